@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from aerolith.llm import chat, encoding, language, quality, token_counts, toxicity
+from aerolith.llm import chat, decontaminate, encoding, language, quality, token_counts, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op3_sentencepiece": encoding.op3_sentencepiece,
     "op4_quality": quality.op4_quality,
     "op5_language": language.op5_language,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_chat_format": chat.op7_chat_format,
     "op10_toxicity": toxicity.op10_toxicity,
 }
