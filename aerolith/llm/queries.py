@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from aerolith.llm import chat, decontaminate, encoding, language, quality, token_counts, toxicity
+from aerolith.llm import chat, decontaminate, encoding, language, near_duplicates, quality, token_counts, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_near_duplicates": near_duplicates.op2_near_duplicates,
     "op3_sentencepiece": encoding.op3_sentencepiece,
     "op4_quality": quality.op4_quality,
     "op5_language": language.op5_language,
