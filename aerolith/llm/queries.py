@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from aerolith.llm import chat, context_tree, decontaminate, encoding, language, near_duplicates, quality, token_counts, toxicity
+from aerolith.llm import chat, context_tree, decontaminate, encoding, language, near_duplicates, neighbours, quality, token_counts, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_chat_format": chat.op7_chat_format,
     "op8_lm_score": context_tree.op8_lm_score,
+    "op9_neighbours": neighbours.op9_neighbours,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {"op7_chat_format": chat.ORACLE}
