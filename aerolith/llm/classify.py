@@ -22,10 +22,11 @@ def labelled_ids(labels: DataFrame, label: str, id_col: str, most: int) -> DataF
     return each.orderBy(F.xxhash64(id_col), id_col).limit(most)
 
 
-def bagged(docs: DataFrame, ids: DataFrame, spec: features.Spec, id_col: str, text_col: str) -> list[tuple[int, int, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """(label, bytes, bag) of the documents with these ids; ids holds as many rows as the caller's bound lets it.
+def bagged(docs: DataFrame, ids: DataFrame, spec: features.Spec, id_col: str, text_col: str) -> DataFrame:
+    """(id, label, size, ids, share, count) of the documents with these ids; ids holds as many rows as the caller's bound lets it.
 
-    Of repeated ids one row is taken, that of the smallest text.
+    size is in bytes; the arrays are the document's bag of features. Of repeated ids one row is taken, that of the
+    smallest text.
     """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,11 +40,31 @@ def bagged(docs: DataFrame, ids: DataFrame, spec: features.Spec, id_col: str, te
     few = docs.select(F.col(id_col).alias("id"), common.as_bytes(text_col).alias("data")).join(F.broadcast(ids.withColumnRenamed(id_col, "id")), "id")
     few = few.groupBy("id").agg(F.first("label").alias("label"), F.min("data").alias("data"))
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = few.select("id", "label", "data").mapInArrow(made, f"id {kind}, label int, size long, ids array<int>, share array<float>, count array<int>").toArrow().combine_chunks().sort_by("id")
-    lists = [rows.column(k).combine_chunks() for k in ("ids", "share", "count")]
+    return few.select("id", "label", "data").mapInArrow(made, f"id {kind}, label int, size long, ids array<int>, share array<float>, count array<int>")
+
+
+def restricted(bags: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """(id, label, size, ids, count) with only the chosen buckets (rising) in the bags."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [batch.column(k) for k in (3, 4)]
+            ids, count = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
+            keep = np.isin(ids, chosen)
+            ends = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(lists[0].value_lengths().to_numpy())])]
+            parts = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x[keep])) for x in (ids, count)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *parts], ["id", "label", "size", "ids", "count"])
+
+    return bags.select("id", "label", "size", "ids", "count").mapInArrow(made, f"id {bags.schema['id'].dataType.simpleString()}, label int, size long, ids array<int>, count array<int>")
+
+
+def collected(bags: DataFrame, value: str) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(label, size, ids, value) of a bounded number of bags, in order of their ids."""
+    rows = bags.select("id", "label", "size", "ids", value).toArrow().combine_chunks().sort_by("id")
+    lists = [rows.column(k).combine_chunks() for k in ("ids", value)]
     ends = lists[0].offsets.to_numpy() if len(rows) else np.zeros(1, np.int32)
     flat = [x.values.to_numpy(zero_copy_only=False) for x in lists]
-    return [(y, n, tuple(x[a:b] for x in flat)) for y, n, a, b in zip(rows.column("label").to_pylist(), rows.column("size").to_pylist(), ends[:-1], ends[1:], strict=True)]
+    return [(y, n, *(x[a:b] for x in flat)) for y, n, a, b in zip(rows.column("label").to_pylist(), rows.column("size").to_pylist(), ends[:-1], ends[1:], strict=True)]
 
 
 def scored(docs: DataFrame, weights: np.ndarray, logit: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], spec: features.Spec, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:

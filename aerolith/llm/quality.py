@@ -20,7 +20,7 @@ from aerolith.llm import classify, common, features
 
 SPEC = features.Spec(orders=(3, 4, 5), bits=18, pairs=True)
 #: Bound of the training sample: so many labelled documents at most, lowest hash of the id first.
-TRAIN_ROWS = 4096
+TRAIN_ROWS = 2048
 DIMENSIONS, EPOCHS, RATE, SEED = 8, 6, 2.0, 1
 #: A document is kept from this score on.
 THRESHOLD = 0.3
@@ -64,8 +64,8 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], spec: fe
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = TRAIN_ROWS, spec: features.Spec = SPEC) -> Model:
     """Learns from at most `most` labelled documents outside fold 0; nothing but their texts is an input."""
-    rows = classify.bagged(docs, classify.labelled_ids(labels, label, id_col, most), spec, id_col, text_col)
-    return train([(b[0], b[1]) for _, _, b in rows], [y for y, _, _ in rows], spec)
+    rows = classify.collected(classify.bagged(docs, classify.labelled_ids(labels, label, id_col, most), spec, id_col, text_col), "share")
+    return train([(ids, share) for _, _, ids, share in rows], [y for y, _, _, _ in rows], spec)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), spec: features.Spec = SPEC) -> DataFrame:

@@ -43,24 +43,21 @@ def _scale(size: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(1.0, np.asarray(size) / UNIT_BYTES))
 
 
-def train(positive: list[tuple[np.ndarray, np.ndarray, int]], unlabelled: list[tuple[np.ndarray, np.ndarray, int]], prior: float, spec: features.Spec = SPEC) -> Model:
-    """Each document: distinct buckets, counts, bytes. Without documents of either kind the score is that of the prior."""
-    buckets, start = 1 << spec.bits, float(np.log(prior / (1 - prior)))
-    m, n = len(positive), len(positive) + len(unlabelled)
-    if not m or n == m:
-        return Model(np.zeros(buckets, np.float32), start)
-    rate_p, rate_u = (np.bincount(np.concatenate([d[0] for d in docs]), minlength=buckets) / len(docs) for docs in (positive, unlabelled))
-    strength = (rate_p - rate_u) / np.sqrt((rate_u + 1 / (n - m)) * (1 / m + 1 / (n - m)))
+def strongest(rate_p: np.ndarray, rate_u: np.ndarray, m: int, u: int) -> np.ndarray:
+    """Buckets, rising, that m confirmed documents hold most significantly more often than u unlabelled ones."""
+    strength = (rate_p - rate_u) / np.sqrt((rate_u + 1 / u) * (1 / m + 1 / u))
     strength[(rate_p * m < SUPPORT) | (rate_p < RATIO * rate_u)] = 0
-    chosen = np.sort(np.argsort(-strength, kind="stable")[: min(FEATURES, int((strength > 0).sum()))])
-    place = np.full(buckets, -1)
-    place[chosen] = np.arange(len(chosen))
+    return np.sort(np.argsort(-strength, kind="stable")[: min(FEATURES, int((strength > 0).sum()))])
+
+
+def train(positive: list[tuple[np.ndarray, np.ndarray, int]], unlabelled: list[tuple[np.ndarray, np.ndarray, int]], chosen: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
+    """Weights of the chosen buckets, and the bias. Each document: buckets (all of them chosen ones), counts, bytes."""
+    m, n = len(positive), len(positive) + len(unlabelled)
     both = positive + unlabelled
-    column = place[np.concatenate([d[0] for d in both])]
+    column = np.searchsorted(chosen, np.concatenate([d[0] for d in both]))
     row = np.repeat(np.arange(n), [len(d[0]) for d in both])
-    value = np.concatenate([d[1] for d in both]) / np.repeat(_scale(np.array([d[2] for d in both])), [len(d[0]) for d in both])
-    column, row, value = (x[column >= 0] for x in (column, row, value))
-    w, b, speed, speed_b = np.zeros(len(chosen)), start, np.zeros(len(chosen)), 0.0
+    value = np.concatenate([d[1] for d in both]) / _scale(np.array([d[2] for d in both]))[row]
+    w, b, speed, speed_b = np.zeros(len(chosen)), float(np.log(prior / (1 - prior))), np.zeros(len(chosen)), 0.0
     for _ in range(STEPS):
         z = np.bincount(row, w[column] * value, n) + b
         p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
@@ -73,9 +70,7 @@ def train(positive: list[tuple[np.ndarray, np.ndarray, int]], unlabelled: list[t
         speed = MOMENTUM * speed + np.bincount(column, slope[row] * value, len(chosen)) + DECAY * w
         speed_b = MOMENTUM * speed_b + slope.sum()
         w, b = w - RATE * speed, b - RATE * speed_b
-    weights = np.zeros(buckets, np.float32)
-    weights[chosen] = w
-    return Model(weights, float(b))
+    return w, float(b)
 
 
 def class_prior(labels: DataFrame, label: str, id_col: str) -> float:
@@ -92,9 +87,22 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     drawn = pool.distinct().orderBy(F.xxhash64(id_col), id_col).limit(UNLABELLED_ROWS)
     ids = confirmed.select(id_col, F.lit(1).alias("label")).unionByName(drawn.select(id_col, F.lit(0).alias("label")))
     ids = ids.groupBy(id_col).agg(F.sum(F.when(F.col("label") == 1, 2).otherwise(1)).cast("int").alias("label"))
-    rows = classify.bagged(docs, ids, SPEC, id_col, text_col)
-    take = lambda bit: [(b[0], b[2], n) for y, n, b in rows if y & bit]  # noqa: E731  a document may be of both samples
-    return train(take(2), take(1), class_prior(labels, label, id_col))
+    # bit 0: drawn as unlabelled, bit 1: confirmed; a document may be both
+    bags = common.written(classify.bagged(docs, ids, SPEC, id_col, text_col).select("id", "label", "size", "ids", "count"))
+    bit = lambda k: F.sum(F.col("label").bitwiseAND(k) / k).alias(f"n{k}")
+    u, m = (int(x or 0) for x in bags.agg(bit(1), bit(2)).first())
+    prior = class_prior(labels, label, id_col)
+    weights, start = np.zeros(1 << SPEC.bits, np.float32), float(np.log(prior / (1 - prior)))
+    if not m or not u:
+        return Model(weights, start)
+    rates = bags.select("label", F.explode("ids").alias("bucket")).groupBy("bucket").agg(bit(2), bit(1)).toArrow()
+    held = np.zeros((2, 1 << SPEC.bits))
+    held[:, rates.column("bucket").to_numpy()] = [rates.column("n2").to_numpy() / m, rates.column("n1").to_numpy() / u]
+    chosen = strongest(held[0], held[1], m, u)
+    rows = classify.collected(classify.restricted(bags, chosen), "count")
+    take = lambda k: [(x, c, n) for y, n, x, c in rows if y & k]
+    weights[chosen], bias = train(take(2), take(1), chosen, prior)
+    return Model(weights, bias)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
