@@ -90,13 +90,16 @@ def vincenty(lon1: np.ndarray, lat1: np.ndarray, lon2: np.ndarray, lat2: np.ndar
     return np.where(settled, b * big_a * (sigma - d), np.nan)
 
 
-@F.pandas_udf("double")
-def geodesic(lon1: pd.Series, lat1: pd.Series, lon2: pd.Series, lat2: pd.Series) -> pd.Series:
-    """vincenty, as a column; null where any input is."""
+def _geodesic(lon1: pd.Series, lat1: pd.Series, lon2: pd.Series, lat2: pd.Series) -> pd.Series:
     found = vincenty(*(x.to_numpy(float, na_value=np.nan) for x in (lon1, lat1, lon2, lat2)))
     return pd.Series(found).where(~np.isnan(found), None)
 
 
+def geodesic(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+    """vincenty, as a column; null where any input is."""
+    return F.pandas_udf(_geodesic, "double")(lon1, lat1, lon2, lat2)
+
+
 def _distance(a: Coordinate, b: Coordinate) -> float:
     h = math.sin(math.radians(b.latitude - a.latitude) / 2) ** 2 + math.cos(math.radians(a.latitude)) * math.cos(math.radians(b.latitude)) * math.sin(math.radians(b.longitude - a.longitude) / 2) ** 2
     return 2 * RADIUS * math.asin(math.sqrt(h))

@@ -24,16 +24,20 @@ def by_time(grid: DataFrame, keys: tuple[str, ...] = (TIME,)) -> DataFrame:
 
 @dataclass(frozen=True)
 class Axis:
-    """An axis of the grid: its window, and the coordinate that derivatives are taken along."""
+    """An axis of the grid: the keys of its lines, its column, and the coordinate that derivatives are taken along."""
 
-    window: WindowSpec
-    coordinate: Callable[[], Column]
+    lines: tuple[str, ...]
     name: str
+    coordinate: Callable[[], Column]
+
+    @property
+    def window(self) -> WindowSpec:
+        return Window.partitionBy(*self.lines).orderBy(self.name)
 
 
-X = Axis(Window.partitionBy(TIME, LEVEL, LAT).orderBy(LON), lambda: geodesy.easting(F.col(LON)), LON)
-Y = Axis(Window.partitionBy(TIME, LEVEL, LON).orderBy(LAT), lambda: geodesy.northing(F.col(LAT)), LAT)
-P = Axis(Window.partitionBy(TIME, LAT, LON).orderBy(LEVEL), lambda: F.col(LEVEL), LEVEL)
+X = Axis((TIME, LEVEL, LAT), LON, lambda: geodesy.easting(F.col(LON)))
+Y = Axis((TIME, LEVEL, LON), LAT, lambda: geodesy.northing(F.col(LAT)))
+P = Axis((TIME, LAT, LON), LEVEL, lambda: F.col(LEVEL))
 
 
 def first_derivative(f: Column, axis: Axis, x: Column | None = None) -> Column:
