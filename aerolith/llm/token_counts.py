@@ -34,16 +34,17 @@ def spliced(text: str, path: str, chunk: int = CHUNK_CHARS, overlap: int = OVERL
         ids = library.encode(text[lo:hi])
         return ids, np.cumsum(model.chars[ids]) - lead + lo
 
+    # start is 0 or a stable place; a chunk that begins there is read from the character before, whose tokens are dropped
     start, end = 0, chunk
     ids, ends = encoded(start, end)
     while end < len(text):
-        width = overlap
+        width, floor = overlap, max(start - 1, 0)
         while True:
-            lo = max(start, end - width)
+            lo = max(floor, end - width)
             hi = min(len(text), end + max(chunk, end - start))
             next_ids, next_ends = encoded(lo, hi)
             cut = _common(model, text, ends, next_ends, max(lo, start) + 1, end)
-            if cut is not None or lo == start:
+            if cut is not None or lo == floor:
                 break
             width *= 2
         if cut is not None:
@@ -51,7 +52,8 @@ def spliced(text: str, path: str, chunk: int = CHUNK_CHARS, overlap: int = OVERL
             keep = int(np.searchsorted(next_ends, cut, side="right"))
             ids, ends, start = next_ids[keep:], next_ends[keep:], cut
         else:
-            ids, ends = next_ids, next_ends
+            keep = int(np.searchsorted(next_ends, start, side="right")) if start else 0
+            ids, ends = next_ids[keep:], next_ends[keep:]
         end = hi
     yield ids
 
