@@ -13,15 +13,22 @@ differing bits. A key of more than FEW nodes is not compared pair by pair: its n
 by the result. Two nodes within two bits have such a midpoint in common, and all nodes of a midpoint (65 at most) are
 within two bits of each other, so linking each to the least of them loses no component; the work grows with the number of
 nodes, not with its square. Components come from rounds of star contraction on written tables.
+
+Two bits of 64 find copies that are all but equal. For near copies in the usual sense, whose shingle sets are similar to
+SIMILARITY or more, a text also has VIEWS fingerprints of its words, weighted by the root of their counts: a changed word
+moves fewer bits of those than of shingle fingerprints. Each view gives the keys in which A or B is taken as it is and the
+other by near codewords. Texts with a common key are candidates, each key's linked to its first text and to the one
+before, and the similarity of their whole shingle sets decides.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from aerolith.llm import common, golay
@@ -29,6 +36,8 @@ from aerolith.llm import common, golay
 SHINGLE, SEED, BITS, MOST_BITS = 3, 42, 64, 2
 #: Nodes of a key up to which candidates are compared pair by pair.
 FEW = 12
+#: For near copies: words of a shingle, least Jaccard similarity of the shingle sets, and fingerprints of the words.
+WORDS, SIMILARITY, VIEWS = 5, 0.8, 12
 _EACH_BIT = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -61,6 +70,48 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), common.as_bytes(text_col).alias("data")).mapInArrow(made, f"id {kind}, fp long").withColumnRenamed("id", id_col)
 
 
+def word_views(text: bytes, views: int = VIEWS) -> np.ndarray:
+    """So many 64-bit fingerprints of the words, each weighted by the square root of its count; 0 without words."""
+    import xxhash
+
+    counts = Counter(text.lower().split())
+    if not counts:
+        return np.zeros(views, np.int64)
+    weight = np.sqrt(np.fromiter(counts.values(), np.float32, len(counts)))
+    total, half = np.zeros((views, 64), np.float32), weight.sum() / 2
+    words = np.frombuffer(b"".join([xxhash.xxh64_digest(w, SEED) for w in counts]), ">u8").astype(np.uint64)
+    turns = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) & (1 << 64) - 1 for k in range(views)], np.uint64)
+    for lo in range(0, len(words), 4096):
+        z = words[lo : lo + 4096, None] * turns
+        for shift, factor in ((29, 0xBF58476D1CE4E5B9), (32, 0x94D049BB133111EB)):
+            z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+        bits = np.unpackbits((z ^ (z >> np.uint64(31))).view(np.uint8).reshape(len(z), -1), axis=1)
+        total += (weight[lo : lo + 4096] @ bits.astype(np.float32)).reshape(views, 64)
+    return np.packbits(total > half, axis=1).view(np.int64).ravel()
+
+
+def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
+    """The distinct XXH64 values of the text's shingles, rising; a shorter text has one, of all its words; none has none."""
+    import xxhash
+
+    found = text.lower().split()
+    if not found:
+        return np.zeros(0, np.int64)
+    span = min(words, len(found))
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(found[i : i + span]), SEED) for i in range(len(found) - span + 1)], np.uint64).view(np.int64))
+
+
+def view_keys(views: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, which text) of every view of every text: A and an index near B, or B and an index near A."""
+    n, k = views.shape
+    fps = views.view(np.uint64)
+    a, b = ((fps >> np.uint64(s) & np.uint64(0x7FFFFF)).astype(np.int64).ravel() for s in (41, 18))
+    (near_a, n_a), (near_b, n_b) = golay.near(a), golay.near(b)
+    view, which, six = np.tile(np.arange(k), n) << 44, np.repeat(np.arange(n), k), np.arange(6)
+    parts = [((1 << 60 | view | a << 12)[:, None] | near_b, six < n_b[:, None]), ((2 << 60 | view | b << 12)[:, None] | near_a, six < n_a[:, None])]
+    return np.concatenate([key[m] for key, m in parts]), np.concatenate([np.broadcast_to(which[:, None], m.shape)[m] for _, m in parts])
+
+
 def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(key, which fingerprint), all keys of all fingerprints."""
     fps = fps.view(np.uint64)
@@ -129,25 +180,67 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first())
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE) -> DataFrame:
+def near_links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b), a < b, of fingerprints whose texts are similar. nodes: fp, and the least id of its rows.
+
+    A node stands for the text of its least id; nodes without an id are not compared.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(F.col(id_col).alias("id"), common.as_bytes(text_col).alias("data"))
+
+    def viewed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in common.blocks(batch.column(1)):
+                rows = [word_views(x) for x in batch.column(1)[lo:hi].to_pylist()]
+                key, which = view_keys(np.stack(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0)[lo:hi].take(pa.array(which))], ["key", "id"])
+
+    firsts = nodes.where("least is not null").select(F.col("least").alias("id"), "fp")
+    keyed = texts.mapInArrow(viewed, f"key long, id {kind}").join(firsts.select("id").distinct(), "id", "left_semi")
+    by_key = Window.partitionBy("key").orderBy("id")
+    chained = keyed.distinct().select(F.first("id").over(by_key).alias("first"), F.lag("id").over(by_key).alias("before"), F.col("id").alias("b"))
+    pairs = chained.select(F.explode(F.array("first", "before")).alias("a"), "b").where("a < b").distinct()
+    pairs = common.written(pairs)
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in common.blocks(batch.column(1)):
+                sets = [shingle_set(x, words) for x in batch.column(1)[lo:hi].to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = texts.join(wanted, "id", "left_semi").mapInArrow(shingled, f"id {kind}, s array<long>").groupBy("id").agg(F.max("s").alias("s"))
+    sets = common.written(sets)
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    alike = both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    named = alike.join(firsts.toDF("a", "fa"), "a").join(firsts.toDF("b", "fb"), "b")
+    return named.select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b")).where("a < b").distinct()
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """(id, fp, component_id) for every row of docs; component_id is the least id of the row's component.
 
-    Rows of equal fingerprints, or fingerprints that differ in two bits or fewer, are linked. Null and empty texts, and
-    texts of white space alone, have fingerprint 0 and are linked like any other. A null id is no component's name
-    unless it has no other. Repeated rows each give a row. Other columns are not read.
+    Rows of equal fingerprints, or fingerprints that differ in two bits or fewer, are linked. With a similarity, texts
+    whose sets of WORDS-word shingles reach it are linked too, as far as their word fingerprints bring them together.
+    Null and empty texts, and texts of white space alone, have fingerprint 0 and are linked like any other. A null id
+    is no component's name unless it has no other. Repeated rows each give a row. Other columns are not read.
     """
     found = common.written(fingerprints(docs, id_col, text_col, words))
     nodes = common.written(found.groupBy("fp").agg(F.min(id_col).alias("least")))
-    roots = components(links(nodes))
+    edges = links(nodes)
+    if similarity is not None:
+        edges = edges.unionByName(near_links(docs, nodes, id_col, text_col, similarity=similarity)).distinct()
+    roots = components(edges)
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = rooted.join(named, "root").select("fp", "component_id")
     return found.join(by_fp, "fp").select(id_col, "fp", "component_id")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE) -> DataFrame:
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, similarity: float | None = SIMILARITY) -> DataFrame:
     """The row of least id of each component, with all its columns; of repeated ids one row stays, and one null id's row."""
-    kept = classes(docs, id_col, text_col, words).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
+    kept = classes(docs, id_col, text_col, words, similarity).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
     return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates([id_col])
 
 

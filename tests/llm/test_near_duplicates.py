@@ -114,3 +114,29 @@ def test_query(spark, sf_dir):
     fps = {d.doc_id: slow_fingerprint(d.text) for d in docs}
     assert {r.doc_id: r.fingerprint for r in found} == {i: f"{f:016x}" for i, f in fps.items()}
     assert {r.doc_id: r.component_id for r in found} == slow_classes(fps)
+
+
+def test_near_copies_of_similarity_080_are_linked(spark):
+    random = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    rows, groups = [], {}
+    for g in range(25):
+        words = list(random.choice(vocabulary, int(random.integers(120, 500))))
+        for copy in range(4):
+            changed = list(words)
+            for k in random.choice(len(words), copy * len(words) // 150, replace=False):
+                changed[k] = str(random.choice(vocabulary))
+            groups[len(rows)] = g
+            rows.append((len(rows), " ".join(changed)))
+    shingles = {i: set(near_duplicates.shingle_set(t.encode()).tolist()) for i, t in rows}
+    found = {r.doc_id: r.component_id for r in near_duplicates.classes(spark.createDataFrame(rows, "doc_id long, text string"), similarity=0.8).collect()}
+    pairs = [(a, b) for a in shingles for b in shingles if a < b and len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])]
+    assert len(pairs) > 60
+    assert np.mean([found[a] == found[b] for a, b in pairs]) >= 0.97
+    assert all(groups[i] == groups[c] for i, c in found.items())
+
+
+def test_shingle_sets():
+    assert len(near_duplicates.shingle_set(b"a b c d e f")) == 2
+    assert len(near_duplicates.shingle_set(b"a b")) == 1
+    assert len(near_duplicates.shingle_set(b" ")) == 0
