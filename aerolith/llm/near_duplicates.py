@@ -38,6 +38,8 @@ SHINGLE, SEED, BITS, MOST_BITS = 3, 42, 64, 2
 FEW = 12
 #: For near copies: words of a shingle, least Jaccard similarity of the shingle sets, and fingerprints of the words.
 WORDS, SIMILARITY, VIEWS = 5, 0.8, 12
+#: Ids up to which a set of them is broadcast.
+BROADCAST_ROWS = 1 << 20
 _EACH_BIT = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -58,16 +60,19 @@ def fingerprint(text: bytes, words: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(counts[:, ::-1] * 2 > len(lanes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE) -> DataFrame:
-    """(id, fp) for every row; fp is the fingerprint as a signed long. A null text is empty and has fingerprint 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, views: int = 0) -> DataFrame:
+    """(id, fp, views) for every row; fp is the fingerprint as a signed long, views are word_views. A null text is empty."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(x, words) for lo, hi in common.blocks(batch.column(1)) for x in batch.column(1)[lo:hi].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], ["id", "fp"])
+            for lo, hi in common.blocks(batch.column(1)):
+                texts = batch.column(1)[lo:hi].to_pylist()
+                found = np.array([fingerprint(x, words) for x in texts], np.uint64).view(np.int64)
+                seen = pa.array([word_views(x, views) for x in texts] if views else [[]] * len(texts), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(found), seen], ["id", "fp", "views"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), common.as_bytes(text_col).alias("data")).mapInArrow(made, f"id {kind}, fp long").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), common.as_bytes(text_col).alias("data")).mapInArrow(made, f"id {kind}, fp long, views array<long>").withColumnRenamed("id", id_col)
 
 
 def word_views(text: bytes, views: int = VIEWS) -> np.ndarray:
@@ -180,27 +185,30 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first())
 
 
+def _held(df: DataFrame, count: int) -> DataFrame:
+    """df to be broadcast if it has few enough rows; else it is joined as any other."""
+    return F.broadcast(df) if count <= BROADCAST_ROWS else df
+
+
 def near_links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b), a < b, of fingerprints whose texts are similar. nodes: fp, and the least id of its rows.
+    """(a, b), a < b, of fingerprints whose texts are similar. nodes: fp, the least id of its rows and that row's views.
 
     A node stands for the text of its least id; nodes without an id are not compared.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), common.as_bytes(text_col).alias("data"))
 
     def viewed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in common.blocks(batch.column(1)):
-                rows = [word_views(x) for x in batch.column(1)[lo:hi].to_pylist()]
-                key, which = view_keys(np.stack(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0)[lo:hi].take(pa.array(which))], ["key", "id"])
+            for lo in range(0, batch.num_rows, 2048):
+                part = batch.slice(lo, 2048)
+                key, which = view_keys(part.column(1).flatten().to_numpy().reshape(part.num_rows, -1))
+                yield pa.RecordBatch.from_arrays([pa.array(key), part.column(0).take(pa.array(which))], ["key", "id"])
 
-    firsts = nodes.where("least is not null").select(F.col("least").alias("id"), "fp")
-    keyed = texts.mapInArrow(viewed, f"key long, id {kind}").join(firsts.select("id").distinct(), "id", "left_semi")
+    firsts = nodes.where("least is not null").select(F.col("least").alias("id"), "fp", "views")
+    keyed = firsts.select("id", "views").mapInArrow(viewed, f"key long, id {kind}")
     by_key = Window.partitionBy("key").orderBy("id")
-    chained = keyed.distinct().select(F.first("id").over(by_key).alias("first"), F.lag("id").over(by_key).alias("before"), F.col("id").alias("b"))
-    pairs = chained.select(F.explode(F.array("first", "before")).alias("a"), "b").where("a < b").distinct()
-    pairs = common.written(pairs)
+    chained = keyed.select(F.first("id").over(by_key).alias("first"), F.lag("id").over(by_key).alias("before"), F.col("id").alias("b")).where("before is not null")
+    pairs = common.written(chained.select(F.explode(F.array("first", "before")).alias("a"), "b").where("a < b").distinct())
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,13 +216,13 @@ def near_links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, wo
                 sets = [shingle_set(x, words) for x in batch.column(1)[lo:hi].to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = texts.join(wanted, "id", "left_semi").mapInArrow(shingled, f"id {kind}, s array<long>").groupBy("id").agg(F.max("s").alias("s"))
-    sets = common.written(sets)
+    wanted = common.written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    texts = docs.select(F.col(id_col).alias("id"), common.as_bytes(text_col).alias("data")).join(_held(wanted, wanted.count()), "id", "left_semi")
+    sets = common.written(texts.mapInArrow(shingled, f"id {kind}, s array<long>").groupBy("id").agg(F.max("s").alias("s")))
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     alike = both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
-    named = alike.join(firsts.toDF("a", "fa"), "a").join(firsts.toDF("b", "fb"), "b")
+    named = alike.join(firsts.select("id", "fp").toDF("a", "fa"), "a").join(firsts.select("id", "fp").toDF("b", "fb"), "b")
     return named.select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b")).where("a < b").distinct()
 
 
@@ -226,8 +234,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     Null and empty texts, and texts of white space alone, have fingerprint 0 and are linked like any other. A null id
     is no component's name unless it has no other. Repeated rows each give a row. Other columns are not read.
     """
-    found = common.written(fingerprints(docs, id_col, text_col, words))
-    nodes = common.written(found.groupBy("fp").agg(F.min(id_col).alias("least")))
+    found = common.written(fingerprints(docs, id_col, text_col, words, VIEWS if similarity is not None else 0))
+    # nulls last: a null id stands for a fingerprint only if there is no other
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "views"))
+    nodes = common.written(found.groupBy("fp").agg(first.alias("x")).select("fp", F.col("x.id").alias("least"), "x.views"))
     edges = links(nodes)
     if similarity is not None:
         edges = edges.unionByName(near_links(docs, nodes, id_col, text_col, similarity=similarity)).distinct()
@@ -239,9 +249,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, similarity: float | None = SIMILARITY) -> DataFrame:
-    """The row of least id of each component, with all its columns; of repeated ids one row stays, and one null id's row."""
-    kept = classes(docs, id_col, text_col, words, similarity).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates([id_col])
+    """The row of least id of each component, with all its columns; of repeated ids one row stays, and one null id's row.
+
+    Texts are not shuffled unless ids repeat or those that go are many: the ids that go are taken from the documents.
+    """
+    rows = classes(docs, id_col, text_col, words, similarity)
+    per = common.written(rows.groupBy(F.col(id_col).alias("_gone")).agg(F.count("*").alias("n"), F.bool_or(F.col(id_col).eqNullSafe(F.col("component_id"))).alias("stays")))
+    gone, repeated = per.agg(F.count_if(~F.col("stays")), F.coalesce(F.max("n"), F.lit(0)) > 1).first()
+    left = docs.join(_held(per.where(~F.col("stays")).select("_gone"), gone), docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+    return left.dropDuplicates([id_col]) if repeated else left
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

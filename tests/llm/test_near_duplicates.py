@@ -86,7 +86,7 @@ def test_components_by_brute_force(spark, few, monkeypatch):
                 fp ^= 1 << int(random.integers(0, 64))
     fps += [int(x) for x in random.integers(0, 1 << 62, 60)]
     held = {i: f for i, f in enumerate(fps)}
-    monkeypatch.setattr(near_duplicates, "fingerprints", lambda docs, *a: docs)
+    monkeypatch.setattr(near_duplicates, "fingerprints", lambda docs, *a: docs.selectExpr("*", "array(0L) as views"))
     signed = lambda f: f - (1 << 64) if f >> 63 else f
     docs = spark.createDataFrame([(i, signed(f)) for i, f in held.items()], "doc_id long, fp long")
     found = {r.doc_id: r.component_id for r in near_duplicates.classes(docs).collect()}
