@@ -152,7 +152,9 @@ def pairs(names: list[str]) -> list[tuple[str, str]]:
 
 def _correlations(names: list[str], pair: Column | None = None) -> list[Column]:
     both = lambda a, b, c: F.when(F.col(a).isNotNull() & F.col(b).isNotNull() & ~F.isnan(a) & ~F.isnan(b), F.col(c))
-    return [F.corr(both(a, b, a), both(a, b, b)).alias(f"{a}|{b}") for a, b in pairs(names) if a != b]
+    # not corr, which is an error where a column is constant
+    pearson = lambda x, y: physics.ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    return [pearson(both(a, b, a), both(a, b, b)).alias(f"{a}|{b}") for a, b in pairs(names) if a != b]
 
 
 def _as_matrix(row: DataFrame, names: list[str], keys: list[str]) -> DataFrame:

@@ -64,13 +64,13 @@ def acars(df: DataFrame) -> DataFrame:
 
 
 def read_amdar_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """Reports of the text archive: columns by position, one header line, Windows encoding, datetime from its six parts.
+    """Reports of the text archive: columns by position, one header line, Latin-1 (which the engine reads, and which the archive's Windows text keeps to but for typographic marks), datetime from its six parts.
 
     A missing second is 0; rows without a turbulence degree are left out.
     """
     names = columns or AMDAR_CSV_COLUMNS
     schema = T.StructType([T.StructField(n, T.StringType() if n in AMDAR_CSV_TEXT else T.DoubleType()) for n in names])
-    df = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("nullValue", AMDAR_CSV_MISSING).option("encoding", "windows-1252").csv(path)
+    df = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("nullValue", AMDAR_CSV_MISSING).option("encoding", "iso-8859-1").csv(path)
     return amdar_times(df)
 
 
