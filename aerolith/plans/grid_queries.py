@@ -10,7 +10,7 @@ from aerolith.operators import calibrate, diagnostics, filters, metrics, observe
 from aerolith.operators.filters import Domain, Thresholds
 from aerolith.plans import launch
 from aerolith.plans.registry import AXES, CORIOLIS, DIAGNOSTIC_SQL, DIRECTION, KEYS, MERIDIONAL, NORTHING, PARALLEL, angle_p, apart, d, diagnosed, dz, grid_query, gx, gy, hour, keyed, q, r, register, scaled, scaled_column, tables
-from aerolith.schema import CELL, LAT, LEVEL, LON, TIME, Coordinate, Limits, Severity, ThresholdMode
+from aerolith.schema import CELL, LAT, LEVEL, LON, TIME, Coordinate, Limits, Severity
 from aerolith.sources import readers
 from aerolith.sources.lattice import lattice
 
