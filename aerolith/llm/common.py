@@ -16,7 +16,15 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 1 << 20
 
 
+#: Rows of an Arrow batch for these operators; texts are long, and a batch is held whole on both sides of the pipe.
+BATCH_ROWS = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of sf_dir. The session's Arrow batches are made smaller, unless someone has set their size."""
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
