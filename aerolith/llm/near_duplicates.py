@@ -17,8 +17,8 @@ nodes, not with its square. Components come from rounds of star contraction on w
 Two bits of 64 find copies that are all but equal. For near copies in the usual sense, whose shingle sets are similar to
 SIMILARITY or more, a text also has VIEWS fingerprints of its words, weighted by the root of their counts: a changed word
 moves fewer bits of those than of shingle fingerprints. Each view gives the keys in which A or B is taken as it is and the
-other by near codewords. Texts with a common key are candidates, each key's linked to its first text and to the one
-before, and the similarity of their whole shingle sets decides.
+other by near codewords. Texts with a common key are candidates, each of a key's with the first of them, and the
+similarity of their whole shingle sets decides.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ SHINGLE, SEED, BITS, MOST_BITS = 3, 42, 64, 2
 FEW = 12
 #: For near copies: words of a shingle, least Jaccard similarity of the shingle sets, and fingerprints of the words.
 WORDS, SIMILARITY, VIEWS = 5, 0.8, 12
+#: Bits of all views together by which candidates differ at most: texts of similarity 0.8 differ in about 48 of 768.
+FAR = 72
 #: Ids up to which a set of them is broadcast.
 BROADCAST_ROWS = 1 << 20
 _EACH_BIT = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -54,10 +56,13 @@ def fingerprint(text: bytes, words: int = SHINGLE) -> int:
     begins = np.concatenate([[0], ends[:-1] + 1])
     joined, digest = b" ".join(found), xxhash.xxh64_digest
     span = min(words, len(found))
-    hashes = b"".join([digest(joined[a:b], SEED) for a, b in zip(begins[: len(found) - span + 1].tolist(), ends[span - 1 :].tolist(), strict=True)])
-    lanes = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
-    counts = np.bincount((lanes + np.arange(0, 2048, 256)).ravel(), minlength=2048).reshape(8, 256) @ _EACH_BIT
-    return int.from_bytes(np.packbits(counts[:, ::-1] * 2 > len(lanes)).tobytes(), "big")
+    shingles, counts = len(found) - span + 1, np.zeros(2048, np.int64)
+    for lo in range(0, shingles, 1 << 16):
+        hi = min(lo + (1 << 16), shingles)
+        hashes = b"".join([digest(joined[a:b], SEED) for a, b in zip(begins[lo:hi].tolist(), ends[lo + span - 1 : hi + span - 1].tolist(), strict=True)])
+        lanes = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
+        counts += np.bincount((lanes + np.arange(0, 2048, 256)).ravel(), minlength=2048)
+    return int.from_bytes(np.packbits((counts.reshape(8, 256) @ _EACH_BIT)[:, ::-1] * 2 > shingles).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, views: int = 0) -> DataFrame:
@@ -103,7 +108,9 @@ def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
     if not found:
         return np.zeros(0, np.int64)
     span = min(words, len(found))
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(found[i : i + span]), SEED) for i in range(len(found) - span + 1)], np.uint64).view(np.int64))
+    digest, shingles = xxhash.xxh64_digest, len(found) - span + 1
+    parts = [np.frombuffer(b"".join([digest(b" ".join(found[i : i + span]), SEED) for i in range(lo, min(lo + (1 << 16), shingles))]), ">i8").astype(np.int64) for lo in range(0, shingles, 1 << 16)]
+    return np.unique(np.concatenate(parts))
 
 
 def view_keys(views: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,10 +197,14 @@ def _held(df: DataFrame, count: int) -> DataFrame:
     return F.broadcast(df) if count <= BROADCAST_ROWS else df
 
 
-def near_links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b), a < b, of fingerprints whose texts are similar. nodes: fp, the least id of its rows and that row's views.
+def near_links(docs: DataFrame, nodes: DataFrame, edges: DataFrame, id_col: str, text_col: str, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """edges, and (a, b), a < b, of fingerprints whose texts are similar, enough of them to connect all candidates that are.
 
-    A node stands for the text of its least id; nodes without an id are not compared.
+    nodes: fp, the least id of its rows and that row's views. A node stands for the text of its least id; nodes without
+    an id are not compared. Candidates whose views differ in more than FAR bits together are let go: similar texts differ
+    in fewer. The others are compared with a text in order of those bits, in two rounds: the best, then the rest. The
+    second leaves out pairs that are connected by then, so a large group of near copies costs about one comparison of
+    whole sets a text.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -207,8 +218,12 @@ def near_links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, wo
     firsts = nodes.where("least is not null").select(F.col("least").alias("id"), "fp", "views")
     keyed = firsts.select("id", "views").mapInArrow(viewed, f"key long, id {kind}")
     by_key = Window.partitionBy("key").orderBy("id")
-    chained = keyed.select(F.first("id").over(by_key).alias("first"), F.lag("id").over(by_key).alias("before"), F.col("id").alias("b")).where("before is not null")
-    pairs = common.written(chained.select(F.explode(F.array("first", "before")).alias("a"), "b").where("a < b").distinct())
+    pairs = keyed.select(F.first("id").over(by_key).alias("a"), F.col("id").alias("b")).where("a < b").distinct()
+    seen = firsts.select("id", "fp", "views")
+    apart = F.aggregate(F.zip_with("va", "vb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n)
+    near = pairs.join(seen.toDF("a", "fa", "va"), "a").join(seen.toDF("b", "fb", "vb"), "b").select("a", "b", "fa", "fb", apart.alias("apart")).where(F.col("apart") <= FAR)
+    order = F.row_number().over(Window.partitionBy("b").orderBy("apart", "a"))
+    pairs = common.written(near.withColumn("turn", order))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,11 +234,18 @@ def near_links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, wo
     wanted = common.written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     texts = docs.select(F.col(id_col).alias("id"), common.as_bytes(text_col).alias("data")).join(_held(wanted, wanted.count()), "id", "left_semi")
     sets = common.written(texts.mapInArrow(shingled, f"id {kind}, s array<long>").groupBy("id").agg(F.max("s").alias("s")))
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    alike = both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
-    named = alike.join(firsts.select("id", "fp").toDF("a", "fa"), "a").join(firsts.select("id", "fp").toDF("b", "fb"), "b")
-    return named.select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b")).where("a < b").distinct()
+    edges = common.written(edges)
+    for turns in ("turn = 1", "turn > 1"):
+        some = pairs.where(turns)
+        if turns != "turn = 1":
+            root = common.written(components(edges))
+            some = some.join(root.toDF("fa", "ra"), "fa", "left").join(root.toDF("fb", "rb"), "fb", "left").where("coalesce(ra, fa) != coalesce(rb, fb)")
+        both = some.select("a", "b", "fa", "fb").join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+        shared = F.size(F.array_intersect("sa", "sb"))
+        alike = both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared))
+        found = alike.select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b")).where("a < b")
+        edges = common.written(edges.unionByName(found).distinct())
+    return edges
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, similarity: float | None = None) -> DataFrame:
@@ -240,7 +262,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     nodes = common.written(found.groupBy("fp").agg(first.alias("x")).select("fp", F.col("x.id").alias("least"), "x.views"))
     edges = links(nodes)
     if similarity is not None:
-        edges = edges.unionByName(near_links(docs, nodes, id_col, text_col, similarity=similarity)).distinct()
+        edges = near_links(docs, nodes, edges, id_col, text_col, similarity=similarity)
     roots = components(edges)
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
