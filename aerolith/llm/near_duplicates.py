@@ -15,15 +15,16 @@ within two bits of each other, so linking each to the least of them loses no com
 nodes, not with its square. Components come from rounds of star contraction on written tables.
 
 Two bits of 64 find copies that are all but equal. For near copies in the usual sense, whose shingle sets are similar to
-SIMILARITY or more, a text also has VIEWS fingerprints of its words, weighted by the root of their counts: a changed word
-moves fewer bits of those than of shingle fingerprints. Each view gives the keys in which A or B is taken as it is and the
-other by near codewords. Texts with a common key are candidates, each of a key's with the first of them, and the
-similarity of their whole shingle sets decides.
+SIMILARITY t or more, a text's shingles are put in one order that holds for all texts, common ones last. Two sets of
+similarity t share t / (1 + t) of their sizes' sum at least, so the first of n - ceil(t * n) + 1 shingles of each have one
+in common. Those shingles are the keys. At the first shingle that two sets share, their places say how many they can share
+at most; pairs that cannot reach t are no candidates, and the whole shingle sets decide for all others. So no pair is
+lost, whatever the order is; the order, from a sample, only keeps the keys small.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,10 +37,12 @@ from aerolith.llm import common, golay
 SHINGLE, SEED, BITS, MOST_BITS = 3, 42, 64, 2
 #: Nodes of a key up to which candidates are compared pair by pair.
 FEW = 12
-#: For near copies: words of a shingle, least Jaccard similarity of the shingle sets, and fingerprints of the words.
-WORDS, SIMILARITY, VIEWS = 5, 0.8, 12
-#: Bits of all views together by which candidates differ at most: texts of similarity 0.8 differ in about 48 of 768.
-FAR = 72
+#: For near copies: words of a shingle, and least Jaccard similarity of the shingle sets.
+WORDS, SIMILARITY = 5, 0.8
+#: Rows about which common shingles are counted in, and how many shingles, met OFTEN times there, go last in the order.
+SAMPLE, LAST, OFTEN = 1 << 14, 1 << 17, 3
+#: Pairs of places that a worker makes at once.
+AT_ONCE = 1 << 21
 #: Ids up to which a set of them is broadcast.
 BROADCAST_ROWS = 1 << 20
 _EACH_BIT = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -65,39 +68,26 @@ def fingerprint(text: bytes, words: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits((counts.reshape(8, 256) @ _EACH_BIT)[:, ::-1] * 2 > shingles).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, views: int = 0) -> DataFrame:
-    """(id, fp, views) for every row; fp is the fingerprint as a signed long, views are word_views. A null text is empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, near: tuple | None = None) -> DataFrame:
+    """(id, fp) for every row; fp is the fingerprint as a signed long. A null text is empty.
+
+    With near, a broadcast of common_shingles and a similarity: also size, of the shingle set, and prefix, its keys.
+    """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in common.blocks(batch.column(1)):
                 texts = batch.column(1)[lo:hi].to_pylist()
                 found = np.array([fingerprint(x, words) for x in texts], np.uint64).view(np.int64)
-                seen = pa.array([word_views(x, views) for x in texts] if views else [[]] * len(texts), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(found), seen], ["id", "fp", "views"])
+                columns = {"id": batch.column(0)[lo:hi], "fp": pa.array(found)}
+                if near is not None:
+                    sets = [shingle_set(x) for x in texts]
+                    columns |= {"size": pa.array([len(x) for x in sets], pa.int32()), "prefix": pa.array([prefix(x, near[0].value, near[1]) for x in sets], pa.list_(pa.int64()))}
+                yield pa.RecordBatch.from_pydict(columns)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), common.as_bytes(text_col).alias("data")).mapInArrow(made, f"id {kind}, fp long, views array<long>").withColumnRenamed("id", id_col)
-
-
-def word_views(text: bytes, views: int = VIEWS) -> np.ndarray:
-    """So many 64-bit fingerprints of the words, each weighted by the square root of its count; 0 without words."""
-    import xxhash
-
-    counts = Counter(text.lower().split())
-    if not counts:
-        return np.zeros(views, np.int64)
-    weight = np.sqrt(np.fromiter(counts.values(), np.float32, len(counts)))
-    total, half = np.zeros((views, 64), np.float32), weight.sum() / 2
-    words = np.frombuffer(b"".join([xxhash.xxh64_digest(w, SEED) for w in counts]), ">u8").astype(np.uint64)
-    turns = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) & (1 << 64) - 1 for k in range(views)], np.uint64)
-    for lo in range(0, len(words), 4096):
-        z = words[lo : lo + 4096, None] * turns
-        for shift, factor in ((29, 0xBF58476D1CE4E5B9), (32, 0x94D049BB133111EB)):
-            z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
-        bits = np.unpackbits((z ^ (z >> np.uint64(31))).view(np.uint8).reshape(len(z), -1), axis=1)
-        total += (weight[lo : lo + 4096] @ bits.astype(np.float32)).reshape(views, 64)
-    return np.packbits(total > half, axis=1).view(np.int64).ravel()
+    more = ", size int, prefix array<long>" if near is not None else ""
+    return docs.select(F.col(id_col).alias("id"), common.as_bytes(text_col).alias("data")).mapInArrow(made, f"id {kind}, fp long{more}").withColumnRenamed("id", id_col)
 
 
 def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
@@ -107,21 +97,50 @@ def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
     found = text.lower().split()
     if not found:
         return np.zeros(0, np.int64)
+    ends = np.cumsum([len(w) + 1 for w in found]) - 1
+    begins = np.concatenate([[0], ends[:-1] + 1])
     span = min(words, len(found))
-    digest, shingles = xxhash.xxh64_digest, len(found) - span + 1
-    parts = [np.frombuffer(b"".join([digest(b" ".join(found[i : i + span]), SEED) for i in range(lo, min(lo + (1 << 16), shingles))]), ">i8").astype(np.int64) for lo in range(0, shingles, 1 << 16)]
+    joined, digest, shingles = b" ".join(found), xxhash.xxh64_digest, len(found) - span + 1
+    parts = [np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(begins[lo : min(lo + (1 << 16), shingles)].tolist(), ends[lo + span - 1 : lo + span - 1 + (1 << 16)].tolist(), strict=True)]), ">i8").astype(np.int64) for lo in range(0, shingles, 1 << 16)]
     return np.unique(np.concatenate(parts))
 
 
-def view_keys(views: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, which text) of every view of every text: A and an index near B, or B and an index near A."""
-    n, k = views.shape
-    fps = views.view(np.uint64)
-    a, b = ((fps >> np.uint64(s) & np.uint64(0x7FFFFF)).astype(np.int64).ravel() for s in (41, 18))
-    (near_a, n_a), (near_b, n_b) = golay.near(a), golay.near(b)
-    view, which, six = np.tile(np.arange(k), n) << 44, np.repeat(np.arange(n), k), np.arange(6)
-    parts = [((1 << 60 | view | a << 12)[:, None] | near_b, six < n_b[:, None]), ((2 << 60 | view | b << 12)[:, None] | near_a, six < n_a[:, None])]
-    return np.concatenate([key[m] for key, m in parts]), np.concatenate([np.broadcast_to(which[:, None], m.shape)[m] for _, m in parts])
+def common_shingles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle, rank): the commonest shingles of a sample of rows, rising, and a rank that rises with their counts."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in common.blocks(batch.column(0)):
+                sets = [shingle_set(x, words) for x in batch.column(0)[lo:hi].to_pylist()]
+                shingle, n = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(shingle), pa.array(n)], ["shingle", "n"])
+
+    share = min(1.0, SAMPLE / max(docs.count(), 1))
+    some = docs.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < int(share * (1 << 20)))
+    counts = some.select(common.as_bytes(text_col).alias("data")).mapInArrow(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    last = counts.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "shingle").limit(LAST).toArrow()
+    shingle, n = last.column("shingle").to_numpy(), last.column("n").to_numpy()
+    order = np.argsort(shingle)
+    return shingle[order], (2 * np.log2(n[order])).astype(np.int64) + 1
+
+
+def prefix(shingles: np.ndarray, last: tuple[np.ndarray, np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
+    """The first shingles of a set in the order of all texts: those not in last by value, then last by rank.
+
+    Of two sets with the similarity, the prefixes share a shingle: the first, in this order, that the sets share.
+    """
+    if not len(shingles):
+        return shingles
+    rank = np.zeros(len(shingles), np.int64)
+    if len(last[0]):
+        at = np.minimum(np.searchsorted(last[0], shingles), len(last[0]) - 1)
+        rank = np.where(last[0][at] == shingles, last[1][at], 0)
+    return shingles[np.lexsort((shingles, rank))[: len(shingles) - math.ceil(similarity * len(shingles) - 1e-6) + 1]]
+
+
+def can_be_similar(size_a: np.ndarray, at_a: np.ndarray, size_b: np.ndarray, at_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of such sizes can have the similarity if the first shingle that they share is at these places."""
+    return np.minimum(size_a - at_a, size_b - at_b) >= similarity / (1 + similarity) * (size_a + size_b) - 1e-6
 
 
 def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,69 +216,70 @@ def _held(df: DataFrame, count: int) -> DataFrame:
     return F.broadcast(df) if count <= BROADCAST_ROWS else df
 
 
-def near_links(docs: DataFrame, nodes: DataFrame, edges: DataFrame, id_col: str, text_col: str, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """edges, and (a, b), a < b, of fingerprints whose texts are similar, enough of them to connect all candidates that are.
-
-    nodes: fp, the least id of its rows and that row's views. A node stands for the text of its least id; nodes without
-    an id are not compared. Candidates whose views differ in more than FAR bits together are let go: similar texts differ
-    in fewer. The others are compared with a text in order of those bits, in two rounds: the best, then the rest. The
-    second leaves out pairs that are connected by then, so a large group of near copies costs about one comparison of
-    whole sets a text.
-    """
-    kind = docs.schema[id_col].dataType.simpleString()
+def _stars(groups: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: candidates of the groups' first members with the others."""
 
-    def viewed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                part = batch.slice(lo, 2048)
-                key, which = view_keys(part.column(1).flatten().to_numpy().reshape(part.num_rows, -1))
-                yield pa.RecordBatch.from_arrays([pa.array(key), part.column(0).take(pa.array(which))], ["key", "id"])
-
-    firsts = nodes.where("least is not null").select(F.col("least").alias("id"), "fp", "views")
-    keyed = firsts.select("id", "views").mapInArrow(viewed, f"key long, id {kind}")
-    by_key = Window.partitionBy("key").orderBy("id")
-    pairs = keyed.select(F.first("id").over(by_key).alias("a"), F.col("id").alias("b")).where("a < b").distinct()
-    seen = firsts.select("id", "fp", "views")
-    apart = F.aggregate(F.zip_with("va", "vb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n)
-    near = pairs.join(seen.toDF("a", "fa", "va"), "a").join(seen.toDF("b", "fb", "vb"), "b").select("a", "b", "fa", "fb", apart.alias("apart")).where(F.col("apart") <= FAR)
-    order = F.row_number().over(Window.partitionBy("b").orderBy("apart", "a"))
-    pairs = common.written(near.withColumn("turn", order))
+            ends = np.cumsum(batch.column(0).value_lengths().to_numpy())
+            size, at, fp = (x.to_numpy() for x in batch.column(0).flatten().flatten())
+            own = np.repeat(np.concatenate([[0], ends[:-1]]), np.diff(ends, prepend=0))
+            yield _candidates(fp, size, at, own, np.arange(len(fp)), similarity)
+
+    return groups.select("g").mapInArrow(made, "a long, b long").distinct()
+
+
+def _candidates(fp: np.ndarray, size: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> pa.RecordBatch:
+    keep = (left != right) & can_be_similar(size[left], at[left], size[right], at[right], similarity)
+    x, y = fp[left[keep]], fp[right[keep]]
+    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
+def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text_col: str, similarity: float, words: int = WORDS) -> DataFrame:
+    """The pairs whose whole shingle sets have the similarity."""
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in common.blocks(batch.column(1)):
                 sets = [shingle_set(x, words) for x in batch.column(1)[lo:hi].to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
-
-    wanted = common.written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    texts = docs.select(F.col(id_col).alias("id"), common.as_bytes(text_col).alias("data")).join(_held(wanted, wanted.count()), "id", "left_semi")
-    sets = common.written(texts.mapInArrow(shingled, f"id {kind}, s array<long>").groupBy("id").agg(F.max("s").alias("s")))
-    edges = common.written(edges)
-    for turns in ("turn = 1", "turn > 1"):
-        some = pairs.where(turns)
-        if turns != "turn = 1":
-            root = common.written(components(edges))
-            some = some.join(root.toDF("fa", "ra"), "fa", "left").join(root.toDF("fb", "rb"), "fb", "left").where("coalesce(ra, fa) != coalesce(rb, fb)")
-        both = some.select("a", "b", "fa", "fb").join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-        shared = F.size(F.array_intersect("sa", "sb"))
-        alike = both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared))
-        found = alike.select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b")).where("a < b")
-        edges = common.written(edges.unionByName(found).distinct())
-    return edges
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(sets, pa.list_(pa.int64()))], ["fp", "s"])
+
+    wanted = common.written(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.select("fp", F.col("least").alias("id")), "fp"))
+    texts = docs.select(F.col(id_col).alias("id"), common.as_bytes(text_col).alias("data")).join(_held(wanted, wanted.count()), "id").select("fp", "data")
+    sets = common.written(texts.mapInArrow(shingled, "fp long, s array<long>").groupBy("fp").agg(F.max("s").alias("s")))
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+
+
+def near_links(docs: DataFrame, nodes: DataFrame, edges: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
+    """edges, and (a, b), a < b, of fingerprints whose texts are similar.
+
+    nodes: fp, the least id of its rows, and that row's size and prefix. A node stands for the text of its least id; nodes
+    without an id are not compared. Candidates are each of a key's nodes with the first of them.
+    """
+    keyed = nodes.where("least is not null").select("fp", "size", F.posexplode("prefix").alias("at", "key"))
+    shared = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    groups = common.written(shared.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("size", "at", "fp"))).alias("g")))
+    pairs = common.written(_stars(groups, similarity))
+    return common.written(edges.unionByName(similar(docs, nodes, pairs, id_col, text_col, similarity)).distinct())
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """(id, fp, component_id) for every row of docs; component_id is the least id of the row's component.
 
     Rows of equal fingerprints, or fingerprints that differ in two bits or fewer, are linked. With a similarity, texts
-    whose sets of WORDS-word shingles reach it are linked too, as far as their word fingerprints bring them together.
+    whose sets of WORDS-word shingles reach it are linked too.
     Null and empty texts, and texts of white space alone, have fingerprint 0 and are linked like any other. A null id
     is no component's name unless it has no other. Repeated rows each give a row. Other columns are not read.
     """
-    found = common.written(fingerprints(docs, id_col, text_col, words, VIEWS if similarity is not None else 0))
+    near = None if similarity is None else (docs.sparkSession.sparkContext.broadcast(common_shingles(docs, id_col, text_col)), similarity)
+    found = common.written(fingerprints(docs, id_col, text_col, words, near))
     # nulls last: a null id stands for a fingerprint only if there is no other
-    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "views"))
-    nodes = common.written(found.groupBy("fp").agg(first.alias("x")).select("fp", F.col("x.id").alias("least"), "x.views"))
+    more = [] if near is None else ["size", "prefix"]
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), *more))
+    nodes = common.written(found.groupBy("fp").agg(first.alias("x")).select("fp", F.col("x.id").alias("least"), *(f"x.{c}" for c in more)))
     edges = links(nodes)
     if similarity is not None:
         edges = near_links(docs, nodes, edges, id_col, text_col, similarity=similarity)

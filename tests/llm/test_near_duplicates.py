@@ -140,3 +140,39 @@ def test_shingle_sets():
     assert len(near_duplicates.shingle_set(b"a b c d e f")) == 2
     assert len(near_duplicates.shingle_set(b"a b")) == 1
     assert len(near_duplicates.shingle_set(b" ")) == 0
+
+
+def linked(spark, rows):
+    """Of the pairs of similarity 0.8 or more, by brute force: how many, and the share that has one component."""
+    shingles = {i: set(near_duplicates.shingle_set(t.encode()).tolist()) for i, t in rows}
+    found = {r.doc_id: r.component_id for r in near_duplicates.classes(spark.createDataFrame(rows, "doc_id long, text string"), similarity=0.8).collect()}
+    pairs = [(a, b) for a in shingles for b in shingles if a < b and len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])]
+    return len(pairs), np.mean([found[a] == found[b] for a, b in pairs])
+
+
+def test_copies_with_a_block_cut_off_or_put_in_are_linked(spark):
+    random = np.random.default_rng(9)
+    rows = []
+    for share in (0.82, 0.85, 0.9):
+        for _ in range(15):
+            words = list(random.choice([f"w{i}" for i in range(4000)], int(random.integers(100, 400))))
+            block = list(random.choice([f"v{i}" for i in range(4000)], int(len(words) * (1 / share - 1)) - 6))
+            for text in (words, words[: int(len(words) * share) + 2], words[:50] + block + words[50:]):
+                rows.append((len(rows), " ".join(text)))
+    pairs, share = linked(spark, rows)
+    assert pairs >= 85 and share == 1
+
+
+def test_prefixes_of_similar_sets_share_their_first_common_shingle():
+    random = np.random.default_rng(10)
+    none, some = (np.zeros(0, np.int64),) * 2, (np.arange(0, 1000, 3), np.arange(334) % 5 + 1)
+    for last in (none, some):
+        for _ in range(300):
+            both = random.choice(1000, int(random.integers(1, 60)), replace=False)
+            extra = random.integers(0, len(both) // 4 + 1)
+            cut = random.integers(0, extra + 1)
+            more = np.arange(1000, 1000 + extra)
+            a, b = np.unique(np.append(both, more[:cut])), np.unique(np.append(both, more[cut:]))
+            p, q = near_duplicates.prefix(a, last).tolist(), near_duplicates.prefix(b, last).tolist()
+            shared = next(x for x in p if x in q)
+            assert near_duplicates.can_be_similar(len(a), p.index(shared), len(b), q.index(shared), 0.8)
