@@ -229,6 +229,30 @@ def _stars(groups: DataFrame, similarity: float) -> DataFrame:
     return groups.select("g").mapInArrow(made, "a long, b long").distinct()
 
 
+def _across(groups: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: candidates of all pairs of a group's members with different roots. Members are in order of their root."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = batch.column(0).value_lengths().to_numpy()
+            root, size, at, fp = (x.to_numpy() for x in batch.column(0).flatten().flatten())
+            group = np.repeat(np.arange(len(lengths)), lengths)
+            runs = np.flatnonzero(np.append((np.diff(root) != 0) | (np.diff(group) != 0), True)) + 1
+            # each member's partners: from the end of its root's members to the end of its group
+            begin = runs[np.searchsorted(runs, np.arange(len(fp)), side="right")]
+            times = np.cumsum(lengths)[group] - begin
+            upto, lo = np.cumsum(times), 0
+            while lo < len(fp):
+                hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + AT_ONCE, side="right")))
+                some = times[lo:hi]
+                left = np.repeat(np.arange(lo, hi), some)
+                right = np.repeat(begin[lo:hi] - np.cumsum(some) + some, some) + np.arange(len(left))
+                yield _candidates(fp, size, at, left, right, similarity)
+                lo = hi
+
+    return groups.select("g").mapInArrow(made, "a long, b long").distinct()
+
+
 def _candidates(fp: np.ndarray, size: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> pa.RecordBatch:
     keep = (left != right) & can_be_similar(size[left], at[left], size[right], at[right], similarity)
     x, y = fp[left[keep]], fp[right[keep]]
@@ -257,13 +281,20 @@ def near_links(docs: DataFrame, nodes: DataFrame, edges: DataFrame, id_col: str,
     """edges, and (a, b), a < b, of fingerprints whose texts are similar.
 
     nodes: fp, the least id of its rows, and that row's size and prefix. A node stands for the text of its least id; nodes
-    without an id are not compared. Candidates are each of a key's nodes with the first of them.
+    without an id are not compared. There are two rounds: each of a key's nodes with the first of them, then all pairs of
+    a key that are not connected by then. So a large group of near copies costs about one comparison a text, and texts
+    are compared with each other also where the first one is like neither.
     """
     keyed = nodes.where("least is not null").select("fp", "size", F.posexplode("prefix").alias("at", "key"))
     shared = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
     groups = common.written(shared.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("size", "at", "fp"))).alias("g")))
     pairs = common.written(_stars(groups, similarity))
-    return common.written(edges.unionByName(similar(docs, nodes, pairs, id_col, text_col, similarity)).distinct())
+    edges = common.written(edges.unionByName(similar(docs, nodes, pairs, id_col, text_col, similarity)).distinct())
+    members = groups.where(F.size("g") > 2).select("key", F.inline("g")).join(components(edges).toDF("fp", "root"), "fp", "left")
+    rooted = F.struct(F.coalesce("root", "fp").alias("root"), "size", "at", "fp")
+    parted = members.groupBy("key").agg(F.sort_array(F.collect_list(rooted)).alias("g")).where(F.element_at("g", 1).root != F.element_at("g", -1).root)
+    others = common.written(_across(parted, similarity).join(pairs, ["a", "b"], "left_anti"))
+    return common.written(edges.unionByName(similar(docs, nodes, others, id_col, text_col, similarity)).distinct())
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, similarity: float | None = None) -> DataFrame:

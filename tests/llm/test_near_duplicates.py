@@ -176,3 +176,22 @@ def test_prefixes_of_similar_sets_share_their_first_common_shingle():
             p, q = near_duplicates.prefix(a, last).tolist(), near_duplicates.prefix(b, last).tolist()
             shared = next(x for x in p if x in q)
             assert near_duplicates.can_be_similar(len(a), p.index(shared), len(b), q.index(shared), 0.8)
+
+
+def test_copies_in_a_family_of_relatives_are_linked(spark, monkeypatch):
+    """Without a sample of common shingles, the texts of a family share most keys, and the first of a key is a mere relative."""
+    monkeypatch.setattr(near_duplicates, "OFTEN", 1 << 40, raising=False)
+    monkeypatch.setattr(near_duplicates, "AT_ONCE", 500, raising=False)
+    random = np.random.default_rng(11)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    template, rows = list(random.choice(vocabulary, 300)), []
+    for _ in range(150):
+        variant = list(template)
+        for k in random.choice(300, 10, replace=False):
+            variant[k] = str(random.choice(vocabulary))
+        copy = list(variant)
+        for k in random.choice(300, 5, replace=False):
+            copy[k] = str(random.choice(vocabulary))
+        rows += [(len(rows), " ".join(variant)), (len(rows) + 1, " ".join(copy))]
+    pairs, share = linked(spark, rows)
+    assert pairs >= 140 and share == 1
