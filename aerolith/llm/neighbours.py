@@ -1,7 +1,8 @@
 """Operator 9, approximate nearest neighbours: inverted lists scanned with an adaptive number of dimensions.
 
 A bounded sample gives the lists' centroids (k-means in numpy); every vector is put in the list of its nearest centroid.
-A query scans the lists of its nearest centroids. Within a list vectors are turned by one random rotation and read in
+A query scans the lists of its nearest centroids, as many as hold RECALL of the true nearest of a sample of the queries,
+whose distances to all vectors are measured. Within a list vectors are turned by one random rotation and read in
 blocks of columns. After t of D columns the distance so far, scaled by D / t, estimates the whole; a candidate is given
 up where a test says that its distance exceeds the query's bound: sqrt(D / t) * partial > (1 + EPSILON / sqrt(t)) * bound,
 the bound being the distance of the last of the nearest among the candidates that looked best after the first block.
@@ -26,8 +27,10 @@ from aerolith.llm import common
 NEAREST = 10
 #: Bound of the sample that the centroids are fitted on, lowest hash of the id first.
 SAMPLE = 16_384
-#: Vectors a list is meant to hold, bound of the number of lists, lists that a query scans.
+#: Vectors a list is meant to hold, bound of the number of lists, least number of lists that a query scans.
 PER_LIST, MOST_LISTS, PROBES = 512, 4096, 16
+#: Queries that are compared with all vectors, and the share of their nearest that the scanned lists must hold.
+TRIALS, RECALL = 128, 0.95
 #: Vectors, and queries, of a list that one task takes.
 LIST_BLOCK, QUERY_BLOCK = 20_000, 2_000
 COLUMNS, EPSILON, ROUNDS, SEED = 16, 2.1, 8, 7
@@ -98,6 +101,34 @@ def _distances(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
+def measured_probes(listed: DataFrame, asked: DataFrame, centre: np.ndarray, k: int) -> int:
+    """How many lists nearest to a query hold RECALL of the k nearest vectors, from TRIALS queries against all of listed."""
+    trials = asked.orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(TRIALS).toArrow().combine_chunks()
+    if not len(trials):
+        return 1
+    own, queries = trials.column("id").to_numpy(), _matrix(trials.column("v").combine_chunks(), centre.shape[1])
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        far, ids, lists = np.zeros((len(own), 0)), np.zeros((len(own), 0), np.int64), np.zeros((len(own), 0), np.int64)
+        for batch in batches:
+            rows = _matrix(batch.column(1), queries.shape[1])
+            step = (queries * queries).sum(axis=1)[:, None] + (rows * rows).sum(axis=1) - 2 * queries @ rows.T
+            i, at = (np.broadcast_to(batch.column(c).to_numpy(), step.shape) for c in (0, 2))
+            far, ids, lists = np.hstack([far, np.where(i == own[:, None], np.inf, step)]), np.hstack([ids, i]), np.hstack([lists, at])
+            best = np.argsort(far, axis=1, kind="stable")[:, :k]
+            far, ids, lists = (np.take_along_axis(x, best, 1) for x in (far, ids, lists))
+        q, place = np.nonzero(np.isfinite(far))
+        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(far[q, place]), pa.array(ids[q, place]), pa.array(lists[q, place])], ["q", "far", "id", "list"])
+
+    found = listed.select("id", "v", "list").mapInArrow(nearest, "q long, far double, id long, list long")
+    true = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("far", "id"))).where(F.col("n") <= k).toArrow()
+    if not len(true):
+        return 1
+    place = np.argsort(_closest(queries, centre, len(centre)), axis=1)
+    needed = np.sort(place[true.column("q").to_numpy(), true.column("list").to_numpy()] + 1)
+    return int(needed[int(np.ceil(RECALL * len(needed))) - 1])
+
+
 def _matrix(column: pa.Array, dimensions: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dimensions)
 
@@ -107,7 +138,7 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
 
     Null, zero and non-finite vectors, and vectors with null components, take no part, nor do null ids; repeated rows
     count once. Vectors of another length than the commonest in the sample take no part. At least k candidates are
-    scanned where there are so many. An empty table gives no rows. Other columns are not read.
+    scanned where there are so many, and probes lists or as many as measured_probes says. An empty table gives no rows. Other columns are not read.
     """
     spark = vectors.sparkSession
     base, asked = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col)
@@ -134,6 +165,8 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
     for r in listed.groupBy("list").count().collect():
         held[r["list"]] = r["count"]
 
+    probes = max(probes, measured_probes(listed, asked, centre, k))
+
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):

@@ -73,3 +73,13 @@ def test_scan_without_pruning_error():
         hits += len(set(found) & set(want))
         assert np.array_equal(far, np.sort(far))
     assert hits / 220 >= 0.97
+
+
+def test_recall_without_clusters_and_with_many_lists(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PER_LIST", 50)
+    random = np.random.default_rng(4)
+    vectors = random.normal(size=(8000, 32)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    rows = neighbours.search(df, df.where("vec_id % 100 = 0")).collect()
+    ids, wide = np.arange(8000), vectors.astype(float)
+    assert recall(rows, ids, wide, [(q, wide[q]) for q in range(0, 8000, 100)]) >= 0.9
