@@ -22,28 +22,77 @@ _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of sf_dir. The session's Arrow batches are made smaller, unless someone has set their size."""
-    if spark.conf.get(_ROWS) == "10000":
+    """A table of sf_dir. The session's Arrow batches are made smaller, unless its user has set their size at all."""
+    if not spark.conf._jconf.contains(_ROWS):
         spark.conf.set(_ROWS, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset it is a folder of the default file system; a temporary one of this machine only if everything
+    runs in one process. A cluster whose default file system is this machine's must set spark.checkpoint.dir.
+    """
+    at = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(spark.sparkContext.applicationId)
     if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='aerolith-')}"
-        spark.conf.set("spark.checkpoint.dir", at) if spark.conf.isModifiable("spark.checkpoint.dir") else None
+        default = spark._jvm.org.apache.hadoop.fs.FileSystem.get(spark._jsc.hadoopConfiguration())
+        if default.getScheme() != "file":
+            at = f"{default.getHomeDirectory()}/aerolith-{uuid.uuid4().hex}"
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            at = f"file://{tempfile.mkdtemp(prefix='aerolith-')}"
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        _OWN[spark.sparkContext.applicationId] = at
     return at.rstrip("/")
 
 
+_OWN: dict[str, str] = {}
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, read again: lineage is cut and nothing is computed twice."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/aerolith-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that written() returned and that nothing reads any more."""
+    for df in tables:
+        _drop(df.sparkSession, df._written_at)
+
+
+def broadcast(spark: SparkSession, value):
+    """A broadcast that release() destroys."""
+    out = spark.sparkContext.broadcast(value)
+    _LIVE.append(out)
+    return out
+
+
+_LIVE: list = []
+
+
+def release(since: int = 0) -> None:
+    """Destroy the broadcasts made since len(live()) was that number: for when what reads them is written."""
+    while len(_LIVE) > since:
+        _LIVE.pop().destroy()
+
+
+def live() -> int:
+    return len(_LIVE)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or one like it that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def _drop(spark: SparkSession, path: str) -> None:
