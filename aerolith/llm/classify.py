@@ -22,11 +22,17 @@ def labelled_ids(labels: DataFrame, label: str, id_col: str, most: int) -> DataF
     return each.orderBy(F.xxhash64(id_col), id_col).limit(most)
 
 
+def chosen_texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, label, data) of the documents with these ids, a bounded number. Of repeated ids one row is taken, that of the least text."""
+    wanted = ids.toDF("id", "label")
+    few = docs.select(F.col(id_col).alias("id"), common.as_bytes(text_col).alias("data")).join(F.broadcast(wanted), "id")
+    return few.groupBy("id").agg(F.first("label").alias("label"), F.min("data").alias("data"))
+
+
 def bagged(docs: DataFrame, ids: DataFrame, spec: features.Spec, id_col: str, text_col: str) -> DataFrame:
-    """(id, label, size, ids, share, count) of the documents with these ids; ids holds as many rows as the caller's bound lets it.
+    """(id, label, size, ids, share, count) of the documents with these (id, label); ids has as many rows as the caller's bound lets it.
 
-    size is in bytes; the arrays are the document's bag of features. Of repeated ids one row is taken, that of the
-    smallest text.
+    size is in bytes; the arrays are the document's bag of features.
     """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -37,10 +43,9 @@ def bagged(docs: DataFrame, ids: DataFrame, spec: features.Spec, id_col: str, te
                 parts = [pa.array([b[k] for b in bags], pa.list_(t)) for k, t in enumerate((pa.int32(), pa.float32(), pa.int32()))]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array([len(x) for x in texts], pa.int64()), *parts], ["id", "label", "size", "ids", "share", "count"])
 
-    few = docs.select(F.col(id_col).alias("id"), common.as_bytes(text_col).alias("data")).join(F.broadcast(ids.withColumnRenamed(id_col, "id")), "id")
-    few = few.groupBy("id").agg(F.first("label").alias("label"), F.min("data").alias("data"))
     kind = docs.schema[id_col].dataType.simpleString()
-    return few.select("id", "label", "data").mapInArrow(made, f"id {kind}, label int, size long, ids array<int>, share array<float>, count array<int>")
+    few = chosen_texts(docs, ids, id_col, text_col).select("id", "label", "data")
+    return few.mapInArrow(made, f"id {kind}, label int, size long, ids array<int>, share array<float>, count array<int>")
 
 
 def restricted(bags: DataFrame, chosen: np.ndarray) -> DataFrame:
@@ -68,8 +73,13 @@ def collected(bags: DataFrame, value: str) -> list[tuple[int, int, np.ndarray, n
 
 
 def scored(docs: DataFrame, weights: np.ndarray, logit: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], spec: features.Spec, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, *keep, score) for every row. logit takes sums of weights and counts by group, and sizes in bytes."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+    """(id, *keep, score) for every row. logit takes sums of weights and counts by group, and sizes in bytes.
+
+    A text of any length is read in pieces. Kept columns may have any name but that of the id; the last column is the score.
+    """
+    shared = common.broadcast(docs.sparkSession, weights.astype(np.float32))
+    rest = [id_col, *keep]
+    names = [f"c{i}" for i in range(len(rest))]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,9 +90,8 @@ def scored(docs: DataFrame, weights: np.ndarray, logit: Callable[[np.ndarray, np
                 total, count = features.totals(texts, shared.value, spec)
                 found.append(logit(total, count, np.array([len(x) for x in texts])))
             score = 1 / (1 + np.exp(-np.clip(np.concatenate(found), -500, 500)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score)], [*batch.schema.names[1:], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score)], [*names, "score"])
 
-    rest = [id_col, *keep]
-    data = docs.select(common.as_bytes(text_col).alias("_data"), *rest)
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
-    return data.mapInArrow(made, f"{schema}, score double")
+    data = docs.select(common.as_bytes(text_col).alias("data"), *(F.col(f"`{c}`").alias(n) for c, n in zip(rest, names, strict=True)))
+    schema = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(rest, names, strict=True))
+    return data.mapInArrow(made, f"{schema}, score double").toDF(*rest, "score")
