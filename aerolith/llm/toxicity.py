@@ -22,6 +22,8 @@ from aerolith.llm import classify, common, features
 SPEC = features.Spec(orders=(4, 6, 8), bits=18, lower=True)
 #: Bounds of the training sample: so many confirmed and so many unlabelled documents at most, lowest hash of the id first.
 POSITIVE_ROWS, UNLABELLED_ROWS = 1536, 3072
+#: Features of the model: so many buckets at most, those of the strongest evidence; each in so many confirmed documents
+#: at least, and so many times as often as in the sample.
 FEATURES, SUPPORT, RATIO = 2048, 4, 3.0
 STEPS, RATE, MOMENTUM, DECAY = 400, 1.0, 0.9, 5e-4
 UNIT_BYTES = 600.0
@@ -43,11 +45,11 @@ def _scale(size: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(1.0, np.asarray(size) / UNIT_BYTES))
 
 
-def strongest(rate_p: np.ndarray, rate_u: np.ndarray, m: int, u: int) -> np.ndarray:
-    """Buckets, rising, that m confirmed documents hold most significantly more often than u unlabelled ones."""
+def strongest(rate_p: np.ndarray, rate_u: np.ndarray, m: int, u: int, most: int = FEATURES) -> np.ndarray:
+    """Buckets, rising, that m confirmed documents hold most significantly more often than u unlabelled ones; `most` at most."""
     strength = (rate_p - rate_u) / np.sqrt((rate_u + 1 / u) * (1 / m + 1 / u))
     strength[(rate_p * m < SUPPORT) | (rate_p < RATIO * rate_u)] = 0
-    return np.sort(np.argsort(-strength, kind="stable")[: min(FEATURES, int((strength > 0).sum()))])
+    return np.sort(np.argsort(-strength, kind="stable")[: min(most, int((strength > 0).sum()))])
 
 
 def train(positive: list[tuple[np.ndarray, np.ndarray, int]], unlabelled: list[tuple[np.ndarray, np.ndarray, int]], chosen: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
@@ -80,8 +82,13 @@ def class_prior(labels: DataFrame, label: str, id_col: str) -> float:
     return float(np.clip(PRIOR if found is None else found, *PRIOR_RANGE))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Learns from confirmed documents (label 1) and unlabelled ones, both outside fold 0, within the documented bounds."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most_features: int = FEATURES) -> Model:
+    """Learns from confirmed documents (label 1) and unlabelled ones, both outside fold 0.
+
+    Bounds: POSITIVE_ROWS confirmed documents and UNLABELLED_ROWS of all documents, lowest hash of the id first; and the
+    size of the model, most_features buckets. Bags are made on executors; the driver gets counts by bucket, and of the
+    bags the chosen buckets. Without confirmed or without unlabelled documents the score is the class prior.
+    """
     confirmed = classify.labelled_ids(labels.where(F.col(label) == 1), label, id_col, POSITIVE_ROWS)
     pool = docs.where(F.col(id_col).isNotNull() & (common.fold(id_col) != 0)).select(id_col)
     drawn = pool.distinct().orderBy(F.xxhash64(id_col), id_col).limit(UNLABELLED_ROWS)
@@ -98,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     rates = bags.select("label", F.explode("ids").alias("bucket")).groupBy("bucket").agg(bit(2), bit(1)).toArrow()
     held = np.zeros((2, 1 << SPEC.bits))
     held[:, rates.column("bucket").to_numpy()] = [rates.column("n2").to_numpy() / m, rates.column("n1").to_numpy() / u]
-    chosen = strongest(held[0], held[1], m, u)
+    chosen = strongest(held[0], held[1], m, u, most_features)
     rows = classify.collected(classify.restricted(bags, chosen), "count")
     take = lambda k: [(x, c, n) for y, n, x, c in rows if y & k]
     weights[chosen], bias = train(take(2), take(1), chosen, prior)
@@ -108,12 +115,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, *keep, score) for every row of docs: the model's probability that the text is toxic.
 
-    A null text is empty; a text without words gets the score of the bias alone. Null ids and repeated rows are kept.
+    A null text is empty; a text without words gets the score of the bias alone; a long text is scored whole. Null ids and
+    repeated rows are kept, each with its score; equal texts have equal scores. An empty table gives no rows. Columns that
+    are neither id, text nor kept are not read, and those kept may have any name.
     """
     return classify.scored(docs, model.weights, model.logit, SPEC, id_col, text_col, keep)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document; held_out is the fold that training never sees."""
     docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
     found = score(docs, fit(docs, labels))
     return found.select("doc_id", common.is_fold("doc_id", 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
