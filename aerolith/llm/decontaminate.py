@@ -1,11 +1,13 @@
 """Operator 6, benchmark decontamination: q-gram lemma filtering with banded verification.
 
-Texts are compared as bytes, A-Z folded and each run of ASCII white space one space. A benchmark item is looked for as a
-whole, or, if it is long, as overlapping segments. A segment of m bytes occurs in a document if some substring is within
-k = RATE * m edits of it. By the q-gram lemma such an occurrence shares m - q + 1 - k * q q-grams with the segment at
-least, and all of them lie on diagonals that are no more than k apart. So shared q-grams are counted in bands of
-diagonals, twice as wide as that and overlapping by half; bands below the bound cannot hold an occurrence, and the rest
-are verified by alignment within the band.
+Texts are compared as bytes, A-Z folded and each run of ASCII white space one space. A benchmark item is looked for by its
+windows: the whole of an item up to WINDOW bytes, else WINDOW bytes from every STRIDE-th on and at its end. A window of m
+bytes occurs in a document if some substring is within k = RATE * m edits of it; one with no edits to spend (under 13
+bytes) must also stand between white space or the text's ends. By the q-gram lemma an occurrence shares m - q + 1 - k * q
+q-grams with the window at least, and all of them lie on diagonals that are no more than k apart. q is chosen by window,
+Q or the largest for which that bound is positive, so no occurrence is lost whatever the length. Shared q-grams are
+counted in bands of diagonals, twice as wide as that and overlapping by half; bands below the bound cannot hold an
+occurrence, and the rest are verified by alignment within the band.
 """
 
 from __future__ import annotations
@@ -18,16 +20,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from aerolith.llm import common
 
+#: Longest q-grams.
 Q = 10
-#: Edits allowed, as a share of a segment's bytes.
+#: Edits allowed, as a share of a window's bytes.
 RATE = 0.08
-#: Items over 3/2 SEGMENT bytes are cut into segments of SEGMENT bytes, one every STRIDE bytes and one at the end.
-SEGMENT, STRIDE = 160, 80
-#: Items under so many bytes are no evidence and match nothing.
-LEAST = 24
+WINDOW, STRIDE = 160, 80
 #: Bytes of benchmark that are indexed and broadcast at once; a larger benchmark is taken in several passes.
 INDEX_BYTES = 4 << 20
 _BITS = 22
@@ -39,24 +40,45 @@ def normalised(text: bytes) -> bytes:
     return b" ".join(text.lower().split())
 
 
-def _grams(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the Q bytes from each place on."""
-    n = len(data) - Q + 1
+def windows(text: bytes) -> list[bytes]:
+    """Of a normalised item."""
+    if len(text) <= WINDOW:
+        return [text] if text else []
+    return [text[a : a + WINDOW] for a in [*range(0, len(text) - WINDOW, STRIDE), len(text) - WINDOW]]
+
+
+def budget_of(size: int) -> int:
+    return int(RATE * size)
+
+
+def gram_size(size: int) -> int:
+    """q of a window: m - q + 1 - k * q is 1 at least."""
+    return min(Q, size // (budget_of(size) + 1))
+
+
+def _grams(data: np.ndarray, q: int) -> np.ndarray:
+    """A 64-bit hash of the q bytes from each place on; q is 10 at most."""
+    n = len(data) - q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    data = np.ascontiguousarray(data)
+    data = np.concatenate([data, np.zeros(10, np.uint8)])
     low = np.ndarray((n,), "<u8", data, strides=(1,))
-    high = np.ndarray((n,), "<u2", data, offset=8, strides=(1,))
-    mixed = low * _A + high.astype(np.uint64) * _B
+    if q < 8:
+        low = low & np.uint64((1 << 8 * q) - 1)
+    mixed = low * _A
+    if q > 8:
+        high = np.ndarray((n,), "<u2", data, offset=8, strides=(1,)) & np.uint16((1 << 8 * (q - 8)) - 1)
+        mixed = mixed + high.astype(np.uint64) * _B
     return mixed ^ (mixed >> np.uint64(31))
 
 
 @dataclass
 class Index:
-    """Segments with their item, edit budget and least number of shared q-grams, and where each q-gram occurs in them."""
+    """Windows of one q with their item, edit budget and least number of shared q-grams, and where each q-gram occurs in them."""
 
+    q: int
     segments: list[bytes]
-    items: np.ndarray
+    items: list
     budget: np.ndarray
     least: np.ndarray
     keys: np.ndarray
@@ -66,44 +88,52 @@ class Index:
     held: np.ndarray
 
     @classmethod
-    def of(cls, items: list[tuple[int, bytes]]) -> Index:
-        segments, owners = [], []
+    def of(cls, items: list[tuple]) -> list[Index]:
+        """One for each q among the windows of the items, (id, text)."""
+        by_q: dict[int, list[tuple]] = {}
         for item, text in items:
-            text = normalised(text)
-            if len(text) < LEAST:
-                continue
-            cuts = [(0, len(text))] if len(text) <= SEGMENT * 3 // 2 else [(a, a + SEGMENT) for a in [*range(0, len(text) - SEGMENT, STRIDE), len(text) - SEGMENT]]
-            segments += [text[a:b] for a, b in cuts]
-            owners += [item] * len(cuts)
+            for window in windows(normalised(text)):
+                by_q.setdefault(gram_size(len(window)), []).append((item, window))
+        return [cls._of(q, found) for q, found in sorted(by_q.items())]
+
+    @classmethod
+    def _of(cls, q: int, found: list[tuple]) -> Index:
+        segments = [x for _, x in found]
         sizes = np.array([len(x) for x in segments], np.int64)
-        budget = (RATE * sizes).astype(np.int64)
-        least = sizes - Q + 1 - budget * Q
-        grams = [_grams(np.frombuffer(x, np.uint8)) for x in segments]
-        flat = np.concatenate([*grams, np.zeros(0, np.uint64)])
-        owner = np.repeat(np.arange(len(segments)), [len(x) for x in grams])
-        place = np.concatenate([*(np.arange(len(x)) for x in grams), np.zeros(0, np.int64)]).astype(np.int64)
+        budget = np.array([budget_of(len(x)) for x in segments], np.int64)
+        grams = [_grams(np.frombuffer(x, np.uint8), q) for x in segments]
+        flat = np.concatenate(grams)
+        owner = np.repeat(np.arange(len(segments), dtype=np.int32), [len(x) for x in grams])
+        place = np.concatenate([np.arange(len(x), dtype=np.int32) for x in grams])
         order = np.argsort(flat, kind="stable")
         keys, first = np.unique(flat[order], return_index=True)
         held = np.zeros(1 << _BITS, bool)
         held[(keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-        return cls(segments, np.array(owners, np.int64), budget, least, keys, np.append(first, len(flat)), owner[order].astype(np.int64), place[order], held)
+        return cls(q, segments, [x for x, _ in found], budget, sizes - q + 1 - budget * q, keys, np.append(first, len(flat)), owner[order], place[order], held)
 
     @property
     def band(self) -> int:
         return int(self.budget.max(initial=0)) + 1
 
 
+def found_in(indexes: list[Index], texts: list[bytes]) -> Iterator[tuple[int, object, int, int, int]]:
+    """(text, item, begin, end, edits) of every window that occurs, by matches()."""
+    texts = [normalised(x) for x in texts]
+    for index in indexes:
+        for text, segment, begin, end, edits in matches(index, texts):
+            yield text, index.items[segment], begin, end, edits
+
+
 def matches(index: Index, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
-    """(text, segment, begin, end, edits) of every segment that occurs, its best occurrence in each text: fewest edits, then first.
+    """(text, segment, begin, end, edits) of every window that occurs, its best occurrence in each normalised text: fewest edits, then first.
 
     begin and end are places in the normalised text.
     """
-    texts = [normalised(x) for x in texts]
     if not index.segments or not texts:
         return []
     data = np.frombuffer(_NONE.join(texts) + _NONE, np.uint8)
     starts = np.cumsum([0, *(len(x) + 1 for x in texts)])
-    grams = _grams(data)
+    grams = _grams(data, index.q)
     at = np.flatnonzero(index.held[(grams >> np.uint64(64 - _BITS)).astype(np.int64)])
     slot = np.searchsorted(index.keys, grams[at])
     same = index.keys[np.minimum(slot, len(index.keys) - 1)] == grams[at]
@@ -116,9 +146,9 @@ def matches(index: Index, texts: list[bytes]) -> list[tuple[int, int, int, int,
     # one row for each place of a shared q-gram in a segment
     times = index.first[slot + 1] - index.first[slot]
     which = np.repeat(index.first[slot] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(int(times.sum()))
-    text, place, segment = np.repeat(text, times), np.repeat(at, times), index.segment[which]
+    text, place, segment = np.repeat(text, times), np.repeat(at, times), index.segment[which].astype(np.int64)
     longest = max(map(len, index.segments))
-    diagonal = place - starts[text] - index.place[which] + longest
+    diagonal = place - starts[text] - index.place[which].astype(np.int64) + longest
     width = index.band
     bins = (int(np.diff(starts).max()) + longest) // width + 2
     key, count = np.unique((text * len(index.segments) + segment) * bins + diagonal // width, return_counts=True)
@@ -138,12 +168,17 @@ def _verified(index: Index, texts: list[bytes], text: list[int], segment: list[i
         some = order[lo : lo + at_once]
         ends = _aligned([index.segments[segment[i]] for i in some], [texts[text[i]] for i in some], [diagonal[i] for i in some], [int(index.budget[segment[i]]) for i in some], wide)
         for i, (edits, begin, end) in zip(some, ends, strict=True):
-            if edits <= index.budget[segment[i]]:
+            whole = index.budget[segment[i]] > 0 or (edits == 0 and _stands_alone(texts[text[i]], begin, end))
+            if edits <= index.budget[segment[i]] and whole:
                 pair = text[i], segment[i]
                 best[pair] = min(best.get(pair, (edits, begin, end)), (edits, begin, end))
     return [(t, s, begin, end, edits) for (t, s), (edits, begin, end) in sorted(best.items())]
 
 
+def _stands_alone(text: bytes, begin: int, end: int) -> bool:
+    return (not begin or text[begin - 1] == 32) and (end == len(text) or text[end] == 32)
+
+
 def _aligned(patterns: list[bytes], texts: list[bytes], diagonals: list[int], budgets: list[int], wide: int) -> list[tuple[int, int, int]]:
     """Edits, begin and end of the best alignment of each whole pattern within its band of the text.
 
@@ -185,9 +220,9 @@ def _source(text: bytes) -> np.ndarray:
     return np.flatnonzero(~space | ~np.concatenate([[True], space[:-1]])) if len(data) else np.zeros(0, np.int64)
 
 
-def _indexes(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Index]:
+def _indexes(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[Index]]:
     """The benchmark in blocks of about INDEX_BYTES; null ids and texts are left out."""
-    rows = benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), common.as_bytes(text_col).alias("data"))
+    rows = benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(item_col).alias("item"), common.as_bytes(text_col).alias("data"))
     size = rows.agg(F.sum(F.octet_length("data")).alias("n")).first().n or 0
     parts = max(1, math.ceil(size / INDEX_BYTES))
     for k in range(parts):
@@ -198,34 +233,36 @@ def _indexes(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Ind
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, item_id, begin, end, edits, segments): a row for each document and each item that it holds.
 
-    begin and end are bytes of the original text, of the item's segment with the fewest edits, then the first; edits is
-    that segment's; segments says how many of the item's segments occur. A null or empty text holds nothing. Null ids
-    and repeated rows are kept, items of equal text are each found. An empty benchmark gives no rows.
+    begin and end are bytes of the original text, of the item's window with the fewest edits, then the first; edits is
+    that window's; segments says how many of the item's windows occur. A null or empty text holds nothing, nor is a null
+    or empty item found; texts are read whole, several short ones or one long one at a time. Null ids and repeated rows
+    are kept, items of equal text are each found. Ids keep their types. An empty benchmark or an empty table gives no
+    rows. Other columns are not read.
     """
-    context = docs.sparkSession.sparkContext
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     rows = docs.select(F.col(id_col).alias("id"), common.as_bytes(text_col).alias("data"))
     found = []
-    for index in _indexes(benchmark, item_col, item_text_col):
-        shared = context.broadcast(index)
+    for indexes in _indexes(benchmark, item_col, item_text_col):
+        shared = common.broadcast(docs.sparkSession, indexes)
 
         def searched(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 out: list[tuple] = []
                 for lo, hi in common.blocks(batch.column(1)):
                     texts = batch.column(1)[lo:hi].to_pylist()
-                    per: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-                    for text, segment, begin, end, edits in matches(shared.value, texts):
-                        per.setdefault((text, int(shared.value.items[segment])), []).append((edits, begin, end))
+                    per: dict[tuple, list[tuple[int, int, int]]] = {}
+                    for text, item, begin, end, edits in found_in(shared.value, texts):
+                        per.setdefault((text, item), []).append((edits, begin, end))
                     for (text, item), hits in per.items():
                         edits, begin, end = min(hits)
                         source = _source(texts[text])
                         out.append((batch.column(0)[lo + text].as_py(), item, int(source[begin]), int(source[end - 1]) + 1, edits, len(hits)))
                 columns = list(zip(*out, strict=True)) if out else [()] * 6
-                types = [batch.schema.field(0).type, *[pa.int64()] * 3, pa.int32(), pa.int32()]
+                types = [batch.schema.field(0).type, item_type, *[pa.int64()] * 2, pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["id", "item_id", "begin", "end", "edits", "segments"])
 
-        found.append(rows.mapInArrow(searched, f"id {kind}, item_id long, begin long, end long, edits int, segments int"))
+        found.append(rows.mapInArrow(searched, f"id {kind}, item_id {item_kind}, begin long, end long, edits int, segments int"))
     out = found[0]
     for other in found[1:]:
         out = out.unionByName(other)
@@ -233,17 +270,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """docs without the rows whose text holds a benchmark item; all columns stay. One narrow pass for each block of items."""
-    context, at = docs.sparkSession.sparkContext, docs.columns.index(text_col)
-    for index in _indexes(benchmark, item_col, item_text_col):
-        shared = context.broadcast(index)
+    """docs without the rows whose text holds a benchmark item, by the rules of contaminated(); all columns stay.
+
+    One narrow pass for each block of items.
+    """
+    at = docs.columns.index(text_col)
+    for indexes in _indexes(benchmark, item_col, item_text_col):
+        shared = common.broadcast(docs.sparkSession, indexes)
 
         def kept(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 column = batch.column(at).cast(pa.binary()).fill_null(b"")
                 for lo, hi in common.blocks(column):
-                    for text, *_ in matches(shared.value, column[lo:hi].to_pylist()):
+                    for text, *_ in found_in(shared.value, column[lo:hi].to_pylist()):
                         keep[lo + text] = False
                 yield batch.filter(pa.array(keep))
 
@@ -252,4 +292,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item that it holds."""
     return contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))

@@ -25,7 +25,7 @@ def words(n, rng):
 def test_by_brute_force():
     rng = random.Random(4)
     items = [(i, words(rng.randint(6, 60), rng).encode()) for i in range(12)]
-    index = decontaminate.Index.of(items)
+    (index,) = decontaminate.Index.of(items)
     texts = []
     for _ in range(25):
         segment = bytearray(index.segments[rng.randrange(len(index.segments))])
@@ -45,6 +45,54 @@ def test_by_brute_force():
             assert found.get((t, s)) == (edits if edits <= index.budget[s] else None)
 
 
+def edited(item, edits, rng):
+    """So many edits at different places, with letters that the item does not have."""
+    out = bytearray(item)
+    for k in sorted(rng.sample(range(len(item)), edits), reverse=True):
+        kind = rng.random()
+        if kind < 0.5:
+            out[k] = rng.choice(b"xyz")
+        elif kind < 0.75:
+            del out[k]
+        else:
+            out.insert(k, rng.choice(b"xyz"))
+    return bytes(out)
+
+
+def spread(item, edits):
+    """Substitutions at even distances, which leave the fewest shared q-grams."""
+    out = bytearray(item)
+    for k in range(edits):
+        out[(2 * k + 1) * len(item) // (2 * edits)] = ord("z")
+    return bytes(out)
+
+
+def test_every_length_with_all_its_edits_is_found():
+    rng = random.Random(5)
+    for size in range(1, 241):
+        item = bytes(rng.choice(b"abcdefghij") for _ in range(size))
+        indexes = decontaminate.Index.of([(7, item)])
+        assert all((index.least >= 1).all() for index in indexes)
+        budget = decontaminate.budget_of(min(size, decontaminate.WINDOW))
+        for text in (item, spread(item, budget), edited(item, budget, rng)):
+            text = decontaminate.normalised(words(8, rng).encode() + b" " + text + b" " + words(8, rng).encode())
+            found = list(decontaminate.found_in(indexes, [b"", text]))
+            least = [slow(window, text) for window in decontaminate.windows(item)]
+            assert {(t, i) for t, i, *_ in found} == {(1, 7)} and min(e for *_, e in found) == min(least), size
+
+
+def test_items_without_edits_are_whole_words():
+    indexes = decontaminate.Index.of([("a", b"cat"), ("b", b"a b")])
+    found = {(t, i, x, y) for t, i, x, y, _ in decontaminate.found_in(indexes, [b"concat cats", b"cats cat", b"aa b a b", b"Cat", b"a  b"])}
+    assert found == {(1, "a", 5, 8), (2, "b", 5, 8), (3, "a", 0, 3), (4, "b", 0, 3)}
+
+
+def test_ids_keep_their_types(spark):
+    docs = spark.createDataFrame([("x", "some text that says a thing")], "doc_id string, text string")
+    bench = spark.createDataFrame([("item-1", "text that says a thing"), ("item-2", None), ("item-3", " ")], "item_id string, text string")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()] == [("x", "item-1")]
+
+
 def test_rows_and_spans(spark):
     item = "The quick brown fox jumps over the lazy dog while nobody at all is looking at it"
     rows = [(1, f"start {item} end"), (2, item.upper().replace(" ", "\n  ")), (3, "nothing of the kind here " * 20), (4, None), (5, ""), (None, item), (1, f"start {item} end"), (6, item.replace("quick", "quack"))]
