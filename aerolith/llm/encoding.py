@@ -25,7 +25,9 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
 
     ids: all pieces, without begin or end ids. begins, ends: each piece's span of bytes of the original text. decoded:
     the library's decoding of the ids. covered_bytes: original bytes within the pieces' spans. A null text counts as
-    empty: no ids, an empty decoding. A null id is kept; repeated rows each give a row; other columns are not read.
+    empty: no ids, an empty decoding. Bytes that are not UTF-8 are read as U+FFFD, as `str.decode` replaces them, and spans
+    point to the bytes replaced. Texts are encoded whole, several short ones or one long one at a time. A null id is kept;
+    repeated rows each give a row, of equal texts an equal one; an empty table gives no rows; other columns are not read.
     """
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -33,9 +35,10 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
         for batch in batches:
             for lo, hi in common.blocks(batch.column(1)):
                 texts = batch.column(1)[lo:hi].to_pylist()
-                found = library.encode([x.decode("utf-8", "replace") for x in texts], num_threads=1)
+                read = [x.decode("utf-8", "replace") for x in texts]
+                found = library.encode(read, num_threads=1)
                 ids = [np.array(x, np.int32) for x in found]
-                spans = [model.spans(i, x) for i, x in zip(ids, texts, strict=True)]
+                spans = [_spans(model, library, i, x, y) for i, x, y in zip(ids, texts, read, strict=True)]
                 made = {
                     "ids": lambda: _lists(ids),
                     "begins": lambda: _lists([x.astype(np.int32) for x, _ in spans]),
@@ -51,6 +54,27 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     return out.select(F.col("id").alias(id_col), *outputs)
 
 
+def _spans(model: pieces.Pieces, library, ids: np.ndarray, raw: bytes, read: str) -> tuple[np.ndarray, np.ndarray]:
+    shown = library.encode(read, out_type=str) if (ids == model.unknown).any() else None
+    if "\ufffd" not in read or raw == (seen := read.encode()):
+        return model.spans(ids, raw, shown)
+    source = _replaced(raw)
+    return tuple(source[x] for x in model.spans(ids, seen, shown))
+
+
+def _replaced(raw: bytes) -> np.ndarray:
+    """For each byte of the text with bad bytes replaced the place it comes from, and the end."""
+    parts, at = [], 0
+    while True:
+        try:
+            raw[at:].decode()
+            break
+        except UnicodeDecodeError as bad:
+            parts += [np.arange(at, at + bad.start), np.full(len("\ufffd".encode()), at + bad.start)]
+            at += bad.end
+    return np.concatenate([*parts, np.arange(at, len(raw) + 1)])
+
+
 def _lists(rows: list[np.ndarray]) -> pa.Array:
     ends = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.zeros(0, np.int32)])))
@@ -76,6 +100,7 @@ def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digest of every document's ids, digest of their decoding, and the bytes that the pieces' spans cover."""
     import public_tokenizers
 
     docs = common.table(spark, sf_dir, "documents")

@@ -102,6 +102,8 @@ class Pieces:
     squeeze: bool
     bpe: bool
     byte_fallback: bool
+    unknown: int
+    user: tuple[bytes, ...] = ()
 
     @property
     def splits_safely(self) -> bool:
@@ -111,15 +113,24 @@ class Pieces:
     def normalise(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """The normalised UTF-8 bytes, without the prefix mark, and for each the start of what it came from (and one end more).
 
-        At each character the longest key of the compiled map is replaced; any other character is kept. Runs of plain
-        bytes are copied whole: only bytes that can begin a key are walked through the trie.
+        At each character the longest user-defined piece is kept, else the longest key of the compiled map is replaced;
+        any other character is kept. Runs of plain bytes are copied whole: only bytes that can begin a key are walked
+        through the trie.
         """
         data = np.frombuffer(text, np.uint8)
-        if self.map.first:
+        firsts = self.map.first | {x[0] for x in self.user}
+        if firsts:
             out, source, at = [], [], 0
-            begins = np.isin(data, np.fromiter(self.map.first, np.uint8, len(self.map.first))).nonzero()[0]
+            begins = np.isin(data, np.fromiter(firsts, np.uint8, len(firsts))).nonzero()[0]
             for start in begins.tolist():
-                if start < at or (hit := self.map.longest(text, start)) is None:
+                if start < at or data[start] & 0xC0 == 0x80:
+                    continue
+                if (own := next((x for x in self.user if text.startswith(x, start)), None)) is not None:
+                    out.append(data[at : start + len(own)])
+                    source.append(np.arange(at, start + len(own)))
+                    at = start + len(own)
+                    continue
+                if not self.map.first or (hit := self.map.longest(text, start)) is None:
                     continue
                 out += [data[at:start], np.frombuffer(hit[1], np.uint8)]
                 source += [np.arange(at, start), np.full(len(hit[1]), start)]
@@ -143,17 +154,21 @@ class Pieces:
             wide[starts[space] + k] = b
         return wide, np.concatenate([np.repeat(source, width), [len(text)]])
 
-    def spans(self, ids: np.ndarray, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Begin and end byte of every id in the original text.
+    def spans(self, ids: np.ndarray, text: bytes, shown: list[str] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and end byte of every id in the original text, which is valid UTF-8.
 
-        Piece widths run along the normalised bytes, whose alignment gives the place in the source. The prefix mark has
+        shown: the library's pieces as strings, which only texts with unknown pieces need, as those have no width of their
+        own; it shows the characters that such a piece stands for. Piece widths run along the normalised bytes, whose alignment gives the place in the source. The prefix mark has
         no source: it has a span of no width. The bytes of one character that falls back to bytes, and pieces of one
         replacement, each span what they came from.
         """
         if not len(ids):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         wide, source = self.normalise(text)
-        ends = np.cumsum(self.widths[ids])
+        widths = self.widths[ids]
+        if shown is not None:
+            widths = np.where(ids == self.unknown, [len(x.encode()) for x in shown], widths)
+        ends = np.cumsum(widths)
         lead = len(SPACE_MARK.encode()) if self.dummy_prefix else 0
         if int(ends[-1]) != len(wide) + lead:
             raise ValueError(f"pieces cover {int(ends[-1])} of {len(wide) + lead} normalised bytes")
@@ -193,7 +208,8 @@ def read(path: str) -> Pieces:
             joins.update(piece[k : k + 2] for k in range(len(piece) - 1))
     return Pieces(
         model, pieces, kinds_, widths, chars, frozenset(joins), CharacterMap.of(normaliser.get(2, b"")),
-        bool(normaliser.get(3, 1)), bool(normaliser.get(4, 1)), trainer.get(3, 1) == BPE, bool(trainer.get(35, 0)),
+        bool(normaliser.get(3, 1)), bool(normaliser.get(4, 1)), trainer.get(3, 1) == BPE, bool(trainer.get(35, 0)), kinds.index(UNKNOWN),
+        tuple(sorted((x.encode() for x, k in zip(pieces, kinds, strict=True) if k == USER_DEFINED), key=len, reverse=True)),
     )
 
 

@@ -74,7 +74,8 @@ def count_tokens(
     """(id, n_bytes, n_tokens, over_limit) for every row of docs.
 
     tokenizer: path of a SentencePiece model, the same on every node. A null text counts as empty: no bytes, no tokens.
-    A null id is kept. Repeated rows each give a row. Other columns of docs are not read.
+    Bytes that are not UTF-8 are read as U+FFFD. Texts over chunk_chars are encoded in chunks, one text at a time. A null id
+    is kept. Repeated rows each give a row. An empty table gives no rows. Other columns of docs are not read.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,6 +95,7 @@ def count_tokens(
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document, and whether the tokens are more than 4096."""
     import public_tokenizers
 
     return count_tokens(common.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

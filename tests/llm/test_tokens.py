@@ -118,6 +118,56 @@ def test_longest_prefix_normalisation():
     assert source.tolist() == [0, 0, 3, 3, 3, 4, 6, 6, 6, 7, 8, 9]
 
 
+def _message(*fields):
+    """A protocol buffer of (number, value): bytes, an integer, or a float."""
+    import struct
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    out = b""
+    for number, value in fields:
+        if isinstance(value, float):
+            out += varint(number << 3 | 5) + struct.pack("<f", value)
+        elif isinstance(value, int):
+            out += varint(number << 3) + varint(value)
+        else:
+            out += varint(number << 3 | 2) + varint(len(value)) + value
+    return out
+
+
+@pytest.fixture(scope="module")
+def small_model(tmp_path_factory):
+    """Written by hand: no byte fallback, a compiled map, user-defined pieces, squeezed white space."""
+    held = [("<unk>", 2), ("<s>", 3), ("</s>", 3), ("ab", 4), ("<a>", 4), ("▁", 1), ("a", 1), ("b", 1), ("A", 1), ("fi", 1), ("f", 1), ("i", 1), ("▁a", 1), ("bb", 1)]
+    parts = [(1, _message((1, x.encode()), (2, -float(i)), (3, kind))) for i, (x, kind) in enumerate(held)]
+    table = _compiled({"ﬁ".encode(): b"fi", "Ａ".encode(): b"A", "ª".encode(): b"a", b"\t": b" "})
+    model = _message(*parts, (2, _message((3, 2))), (3, _message((1, b"own"), (2, table), (3, 1), (4, 1), (5, 1))))
+    path = tmp_path_factory.mktemp("model") / "small.model"
+    path.write_bytes(model)
+    return str(path)
+
+
+@pytest.mark.parametrize("raw", [b"", b"a b", "ab <a>ab ﬁ Ａbb".encode(), "  x ªb  \t yz漢字a🙂 ".encode(), "ab漢ab".encode(), b"a\xffb", b"\xe6\xbc \xf0\x9f\x99", b"\x80" * 5, "a\ufffdb".encode() + b"\xc3"])
+def test_unknown_pieces_user_pieces_and_bad_bytes(spark, small_model, raw):
+    for path in (small_model, PATH):
+        library = sentencepiece.SentencePieceProcessor(model_file=path)
+        (row,) = encoding.encode_documents(spark.createDataFrame([(1, bytearray(raw))], "doc_id long, text binary"), path).collect()
+        read = raw.decode("utf-8", "replace")
+        assert row.ids == library.encode(read) and row.decoded == library.decode(row.ids)
+        # the library's own places, in bytes of what it read, brought back to bytes of the raw text
+        source = encoding._replaced(raw)
+        for begin, end, piece in zip(row.begins, row.ends, library.encode(read, return_type="proto").pieces, strict=True):
+            if not library.is_byte(piece.id) and piece.surface.strip():
+                shown = raw[source[piece.begin] : source[piece.end]]
+                assert raw[begin:end].strip() == shown.strip()
+        (count,) = token_counts.count_tokens(spark.createDataFrame([(1, bytearray(raw))], "doc_id long, text binary"), path, chunk_chars=3, overlap_chars=1).collect()
+        assert (count.n_bytes, count.n_tokens) == (len(raw), len(row.ids))
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert token_counts.count_tokens(empty, PATH).count() == 0
