@@ -9,17 +9,17 @@ compared through codeword indices near them, of which two words at two errors or
   one bit differ in parity, so an even word gives its own index alone and only an odd word gives those of its neighbours.
 
 Equal fingerprints are one node from the start. Nodes with a common key are candidates, verified by the number of
-differing bits. A key of more than FEW nodes is not compared pair by pair: its nodes are flipped in each bit and grouped
-by the result. Two nodes within two bits have such a midpoint in common, and all nodes of a midpoint (65 at most) are
-within two bits of each other, so linking each to the least of them loses no component; the work grows with the number of
-nodes, not with its square. Components come from rounds of star contraction on written tables.
+differing bits. A key of the first two kinds with more than FEW nodes is split by the codeword indices near C, which two
+nodes with two errors at most have in common too. In each part all nodes are compared with the least, then all pairs that
+are in different components by then. Components come from rounds of star contraction on written tables.
 
 Two bits of 64 find copies that are all but equal. For near copies in the usual sense, whose shingle sets are similar to
 SIMILARITY t or more, a text's shingles are put in one order that holds for all texts, common ones last. Two sets of
 similarity t share t / (1 + t) of their sizes' sum at least, so the first of n - ceil(t * n) + 1 shingles of each have one
 in common. Those shingles are the keys. At the first shingle that two sets share, their places say how many they can share
-at most; pairs that cannot reach t are no candidates, and the whole shingle sets decide for all others. So no pair is
-lost, whatever the order is; the order, from a sample, only keeps the keys small.
+at most, and so do the counts of their values by remainder (sketches); pairs that cannot reach t are no candidates, and
+the whole shingle sets decide for all others. So no pair is lost, whatever the order is; the order, from a sample, only
+keeps the keys small.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from aerolith.llm import common, golay
@@ -41,8 +41,8 @@ FEW = 12
 WORDS, SIMILARITY = 5, 0.8
 #: Rows about which common shingles are counted in, and how many shingles, met OFTEN times there, go last in the order.
 SAMPLE, LAST, OFTEN = 1 << 14, 1 << 17, 3
-#: Pairs of places that a worker makes at once.
-AT_ONCE = 1 << 21
+#: Least and most remainders that a sketch of a shingle set counts, powers of two.
+LANES = 64, 4096
 #: Ids up to which a set of them is broadcast.
 BROADCAST_ROWS = 1 << 20
 _EACH_BIT = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -71,7 +71,7 @@ def fingerprint(text: bytes, words: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, near: tuple | None = None) -> DataFrame:
     """(id, fp) for every row; fp is the fingerprint as a signed long. A null text is empty.
 
-    With near, a broadcast of common_shingles and a similarity: also size, of the shingle set, and prefix, its keys.
+    With near, a broadcast of common_shingles and a similarity: also size, of the shingle set, prefix, its keys, and sketch.
     """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,11 +82,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 columns = {"id": batch.column(0)[lo:hi], "fp": pa.array(found)}
                 if near is not None:
                     sets = [shingle_set(x) for x in texts]
-                    columns |= {"size": pa.array([len(x) for x in sets], pa.int32()), "prefix": pa.array([prefix(x, near[0].value, near[1]) for x in sets], pa.list_(pa.int64()))}
+                    columns |= {"size": pa.array([len(x) for x in sets], pa.int32()), "prefix": pa.array([prefix(x, near[0].value, near[1]) for x in sets], pa.list_(pa.int64())), "sketch": pa.array([sketch(x) for x in sets], pa.binary())}
                 yield pa.RecordBatch.from_pydict(columns)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    more = ", size int, prefix array<long>" if near is not None else ""
+    more = ", size int, prefix array<long>, sketch binary" if near is not None else ""
     return docs.select(F.col(id_col).alias("id"), common.as_bytes(text_col).alias("data")).mapInArrow(made, f"id {kind}, fp long{more}").withColumnRenamed("id", id_col)
 
 
@@ -138,11 +138,6 @@ def prefix(shingles: np.ndarray, last: tuple[np.ndarray, np.ndarray], similarity
     return shingles[np.lexsort((shingles, rank))[: len(shingles) - math.ceil(similarity * len(shingles) - 1e-6) + 1]]
 
 
-def can_be_similar(size_a: np.ndarray, at_a: np.ndarray, size_b: np.ndarray, at_b: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether sets of such sizes can have the similarity if the first shingle that they share is at these places."""
-    return np.minimum(size_a - at_a, size_b - at_b) >= similarity / (1 + similarity) * (size_a + size_b) - 1e-6
-
-
 def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(key, which fingerprint), all keys of all fingerprints."""
     fps = fps.view(np.uint64)
@@ -169,20 +164,48 @@ def _keyed(nodes: DataFrame) -> DataFrame:
     return nodes.select("fp").mapInArrow(made, "key long, fp long")
 
 
+def _close(x: Column, y: Column) -> Column:
+    return F.bit_count(x.bitwiseXOR(y)) <= MOST_BITS
+
+
+def _split(rows: DataFrame) -> DataFrame:
+    """(key, fp): keys of the first two kinds once for each codeword index near segment C, which links keep in common too."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, fps = (batch.column(k).to_numpy() for k in (0, 1))
+            near_c, n = golay.near(fps & 0x3FFFF)
+            held = np.where((key >> 60 > 0)[:, None], np.arange(6) < n[:, None], np.arange(6) < 1)
+            finer = np.where((key >> 60 > 0)[:, None], key[:, None] | near_c << 35, key[:, None])
+            yield pa.RecordBatch.from_arrays([pa.array(finer[held]), pa.array(np.broadcast_to(fps[:, None], held.shape)[held])], ["key", "fp"])
+
+    return rows.select("key", "fp").mapInArrow(made, "key long, fp long")
+
+
 def links(nodes: DataFrame) -> DataFrame:
-    """(a, b), a < b: links between distinct fingerprints, enough of them that every pair within two bits is connected."""
-    close = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= MOST_BITS
+    """(a, b), a < b: links between distinct fingerprints, enough of them that every pair within two bits is connected.
+
+    A key's fingerprints are compared pair by pair up to FEW. A larger key is split by segment C, and of each part all are
+    compared with the least, then all pairs that are not connected by then.
+    """
     sizes = common.written(_keyed(nodes).groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
-    twos = sizes.where((F.col("n") == 2) & close(F.col("a"), F.col("b"))).select("a", "b")
+    twos = sizes.where((F.col("n") == 2) & _close(F.col("a"), F.col("b"))).select("a", "b")
     more = common.written(_keyed(nodes).join(sizes.where("n > 2").select("key", "n"), "key"))
     few = more.where(F.col("n") <= FEW).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("g"))
-    pairs = F.flatten(F.transform("g", lambda x, i: F.transform(F.filter(F.slice("g", i + 2, F.lit(FEW)), lambda y: close(x, y)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    pairs = F.flatten(F.transform("g", lambda x, i: F.transform(F.filter(F.slice("g", i + 2, F.lit(FEW)), lambda y: _close(x, y)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     fews = few.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
-    many = more.where(F.col("n") > FEW).select("fp").distinct()
-    flips = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
-    stars = many.select("fp", F.explode(flips).alias("mid")).groupBy("mid").agg(F.sort_array(F.collect_list("fp")).alias("g")).where(F.size("g") > 1)
-    spokes = stars.select(F.element_at("g", 1).alias("a"), F.explode(F.slice("g", 2, BITS)).alias("b"))
-    return twos.unionByName(fews).unionByName(spokes).distinct()
+    edges = common.written(twos.unionByName(fews).distinct())
+    of_key = Window.partitionBy("key")
+    many = _split(more.where(F.col("n") > FEW)).select("key", "fp", F.min("fp").over(of_key).alias("least"), F.max("fp").over(of_key).alias("most")).where("least < most")
+    many = common.written(many.select("key", "fp", "least"))
+    stars = many.where((F.col("fp") > F.col("least")) & _close(F.col("fp"), F.col("least"))).select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    edges = common.written(edges.unionByName(stars).distinct())
+    rooted = many.join(components(edges).toDF("fp", "root"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+    parted = rooted.select("*", F.min("root").over(of_key).alias("lo"), F.max("root").over(of_key).alias("hi")).where("lo < hi").select("key", "fp", "root")
+    parted = common.written(parted)
+    close = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & _close(F.col("x.fp"), F.col("y.fp"))
+    across = parted.alias("x").join(parted.alias("y"), close).select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b"))
+    return edges.unionByName(across).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -200,7 +223,8 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.groupBy(F.col("b").alias("a")).agg(F.min("m").alias("least"))
         small = large.select(F.col("b").alias("a"), F.col("m").alias("c")).join(down, "a")
         spread = small.select(F.explode(F.array(F.struct(F.col("least").alias("a"), F.col("c").alias("b")), F.struct(F.col("least").alias("a"), F.col("a").alias("b")))).alias("p"))
-        edges = common.written(spread.select("p.a", "p.b").where("a < b").distinct())
+        before, edges = edges, common.written(spread.select("p.a", "p.b").where("a < b").distinct())
+        common.dropped(before)
         if (now := _state(edges)) == state:
             break
         state = now
@@ -216,52 +240,48 @@ def _held(df: DataFrame, count: int) -> DataFrame:
     return F.broadcast(df) if count <= BROADCAST_ROWS else df
 
 
-def _stars(groups: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), a < b: candidates of the groups' first members with the others."""
+def _can_be_similar(similarity: float) -> Column:
+    """Whether sets x and y can have the similarity if the first shingle that they share is at these places."""
+    left, right = (F.col(f"{k}.size") - F.col(f"{k}.at") for k in "xy")
+    return F.least(left, right) >= similarity / (1 + similarity) * (F.col("x.size") + F.col("y.size")) - 1e-6
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ends = np.cumsum(batch.column(0).value_lengths().to_numpy())
-            size, at, fp = (x.to_numpy() for x in batch.column(0).flatten().flatten())
-            own = np.repeat(np.concatenate([[0], ends[:-1]]), np.diff(ends, prepend=0))
-            yield _candidates(fp, size, at, own, np.arange(len(fp)), similarity)
 
-    return groups.select("g").mapInArrow(made, "a long, b long").distinct()
+def sketch(shingles: np.ndarray) -> bytes:
+    """How many of the set's values have each remainder by its lanes, a power of two about a quarter of its size; 255 or more: 255."""
+    lanes = min(max(1 << max(len(shingles) // 4, 1).bit_length(), LANES[0]), LANES[1])
+    return np.minimum(np.bincount(shingles & (lanes - 1), minlength=lanes), 255).astype(np.uint8).tobytes()
 
 
-def _across(groups: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), a < b: candidates of all pairs of a group's members with different roots. Members are in order of their root."""
+def most_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Upper bounds of how many values two sets share, from rows of their sketches; the longer are folded to the shorter."""
+    lanes = min(x.shape[1], y.shape[1])
+    full = (x == 255).any(axis=1) | (y == 255).any(axis=1)
+    x, y = (v.reshape(len(v), -1, lanes).sum(axis=1, dtype=np.int64) for v in (x, y))
+    return np.where(full, np.iinfo(np.int64).max, np.minimum(x, y).sum(axis=1))
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def plausible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that can have the similarity by their sketches: all that have it, and few others."""
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths = batch.column(0).value_lengths().to_numpy()
-            root, size, at, fp = (x.to_numpy() for x in batch.column(0).flatten().flatten())
-            group = np.repeat(np.arange(len(lengths)), lengths)
-            runs = np.flatnonzero(np.append((np.diff(root) != 0) | (np.diff(group) != 0), True)) + 1
-            # each member's partners: from the end of its root's members to the end of its group
-            begin = runs[np.searchsorted(runs, np.arange(len(fp)), side="right")]
-            times = np.cumsum(lengths)[group] - begin
-            upto, lo = np.cumsum(times), 0
-            while lo < len(fp):
-                hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + AT_ONCE, side="right")))
-                some = times[lo:hi]
-                left = np.repeat(np.arange(lo, hi), some)
-                right = np.repeat(begin[lo:hi] - np.cumsum(some) + some, some) + np.arange(len(left))
-                yield _candidates(fp, size, at, left, right, similarity)
-                lo = hi
-
-    return groups.select("g").mapInArrow(made, "a long, b long").distinct()
-
-
-def _candidates(fp: np.ndarray, size: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> pa.RecordBatch:
-    keep = (left != right) & can_be_similar(size[left], at[left], size[right], at[right], similarity)
-    x, y = fp[left[keep]], fp[right[keep]]
-    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-
-def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text_col: str, similarity: float, words: int = WORDS) -> DataFrame:
-    """The pairs whose whole shingle sets have the similarity."""
+            keep = np.zeros(batch.num_rows, bool)
+            (x, at_x), (y, at_y) = (common.raw(batch.column(k)) for k in (2, 3))
+            kinds = np.diff(at_x) << 32 | np.diff(at_y)
+            for kind in np.unique(kinds).tolist():
+                rows = np.flatnonzero(kinds == kind)
+                left, right = x[at_x[rows][:, None] + np.arange(kind >> 32)], y[at_y[rows][:, None] + np.arange(kind & 0xFFFFFFFF)]
+                sizes = left.sum(axis=1, dtype=np.int64) + right.sum(axis=1, dtype=np.int64)
+                keep[rows] = most_shared(left, right) >= similarity / (1 + similarity) * sizes - 1e-6
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    held = nodes.select("fp", "sketch")
+    both = pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return both.mapInArrow(kept, "a long, b long")
+
+
+def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text_col: str, similarity: float, repeated: bool, words: int = WORDS) -> DataFrame:
+    """The pairs whose whole shingle sets have the similarity. repeated: whether ids of docs repeat."""
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,32 +289,44 @@ def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, te
                 sets = [shingle_set(x, words) for x in batch.column(1)[lo:hi].to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(sets, pa.list_(pa.int64()))], ["fp", "s"])
 
+    pairs = common.written(plausible(pairs, nodes, similarity))
     wanted = common.written(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.select("fp", F.col("least").alias("id")), "fp"))
     texts = docs.select(F.col(id_col).alias("id"), common.as_bytes(text_col).alias("data")).join(_held(wanted, wanted.count()), "id").select("fp", "data")
-    sets = common.written(texts.mapInArrow(shingled, "fp long, s array<long>").groupBy("fp").agg(F.max("s").alias("s")))
+    sets = texts.mapInArrow(shingled, "fp long, s array<long>")
+    sets = common.written(sets.dropDuplicates(["fp"]) if repeated else sets)
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    out = common.written(both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b"))
+    common.dropped(pairs, wanted, sets)
+    return out
 
 
-def near_links(docs: DataFrame, nodes: DataFrame, edges: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
+def near_links(docs: DataFrame, nodes: DataFrame, edges: DataFrame, id_col: str, text_col: str, repeated: bool, similarity: float = SIMILARITY) -> DataFrame:
     """edges, and (a, b), a < b, of fingerprints whose texts are similar.
 
-    nodes: fp, the least id of its rows, and that row's size and prefix. A node stands for the text of its least id; nodes
-    without an id are not compared. There are two rounds: each of a key's nodes with the first of them, then all pairs of
-    a key that are not connected by then. So a large group of near copies costs about one comparison a text, and texts
-    are compared with each other also where the first one is like neither.
+    nodes: fp, the least id of its rows, and that row's size, prefix and sketch. A node stands for the text of its least
+    id; nodes without an id are not compared. There are two rounds: each of a key's nodes with its centre, the one with the
+    fewest shingles before the key, as copies with the fewest changes have; then all pairs of a key that are not connected
+    by then. So a large group of near copies costs about one comparison a text, and
+    texts are compared with each other also where the centre is like neither. No key's nodes are gathered: the first round
+    is a window that spills, the second an equi-join.
     """
     keyed = nodes.where("least is not null").select("fp", "size", F.posexplode("prefix").alias("at", "key"))
-    shared = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    groups = common.written(shared.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("size", "at", "fp"))).alias("g")))
-    pairs = common.written(_stars(groups, similarity))
-    edges = common.written(edges.unionByName(similar(docs, nodes, pairs, id_col, text_col, similarity)).distinct())
-    members = groups.where(F.size("g") > 2).select("key", F.inline("g")).join(components(edges).toDF("fp", "root"), "fp", "left")
-    rooted = F.struct(F.coalesce("root", "fp").alias("root"), "size", "at", "fp")
-    parted = members.groupBy("key").agg(F.sort_array(F.collect_list(rooted)).alias("g")).where(F.element_at("g", 1).root != F.element_at("g", -1).root)
-    others = common.written(_across(parted, similarity).join(pairs, ["a", "b"], "left_anti"))
-    return common.written(edges.unionByName(similar(docs, nodes, others, id_col, text_col, similarity)).distinct())
+    of_key = Window.partitionBy("key")
+    foremost = keyed.select("*", F.count("*").over(of_key).alias("n"), F.min("at").over(of_key).alias("least_at")).where("n > 1")
+    shared = foremost.withColumn("centre", F.min(F.when(F.col("at") == F.col("least_at"), F.col("fp"))).over(of_key)).drop("least_at")
+    shared = common.written(shared)
+    stars = shared.where("fp != centre").select(F.least("centre", "fp").alias("a"), F.greatest("centre", "fp").alias("b")).distinct()
+    stars = common.written(stars)
+    edges = common.written(edges.unionByName(similar(docs, nodes, stars, id_col, text_col, similarity, repeated)).distinct())
+    rooted = shared.where("n > 2").drop("n", "centre").join(components(edges).toDF("fp", "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    parted = rooted.select("*", F.min("root").over(of_key).alias("lo"), F.max("root").over(of_key).alias("hi")).where("lo < hi").drop("lo", "hi")
+    parted = common.written(parted)
+    across = parted.alias("x").join(parted.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & _can_be_similar(similarity))
+    others = across.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    others = common.written(others)
+    common.dropped(shared, parted)
+    return common.written(edges.unionByName(similar(docs, nodes, others, id_col, text_col, similarity, repeated)).distinct())
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, similarity: float | None = None) -> DataFrame:
@@ -305,15 +337,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     Null and empty texts, and texts of white space alone, have fingerprint 0 and are linked like any other. A null id
     is no component's name unless it has no other. Repeated rows each give a row. Other columns are not read.
     """
-    near = None if similarity is None else (docs.sparkSession.sparkContext.broadcast(common_shingles(docs, id_col, text_col)), similarity)
+    mark = common.live()
+    near = None if similarity is None else (common.broadcast(docs.sparkSession, common_shingles(docs, id_col, text_col)), similarity)
     found = common.written(fingerprints(docs, id_col, text_col, words, near))
+    common.release(mark)
     # nulls last: a null id stands for a fingerprint only if there is no other
-    more = [] if near is None else ["size", "prefix"]
+    more = [] if near is None else ["size", "prefix", "sketch"]
     first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), *more))
     nodes = common.written(found.groupBy("fp").agg(first.alias("x")).select("fp", F.col("x.id").alias("least"), *(f"x.{c}" for c in more)))
     edges = links(nodes)
     if similarity is not None:
-        edges = near_links(docs, nodes, edges, id_col, text_col, similarity=similarity)
+        repeated = not found.groupBy(id_col).count().where("count > 1").isEmpty()
+        edges = near_links(docs, nodes, edges, id_col, text_col, repeated, similarity)
     roots = components(edges)
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -327,9 +362,10 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts are not shuffled unless ids repeat or those that go are many: the ids that go are taken from the documents.
     """
     rows = classes(docs, id_col, text_col, words, similarity)
-    per = common.written(rows.groupBy(F.col(id_col).alias("_gone")).agg(F.count("*").alias("n"), F.bool_or(F.col(id_col).eqNullSafe(F.col("component_id"))).alias("stays")))
+    name = common.unused(docs, "gone")
+    per = common.written(rows.groupBy(F.col(id_col).alias(name)).agg(F.count("*").alias("n"), F.bool_or(F.col(id_col).eqNullSafe(F.col("component_id"))).alias("stays")))
     gone, repeated = per.agg(F.count_if(~F.col("stays")), F.coalesce(F.max("n"), F.lit(0)) > 1).first()
-    left = docs.join(_held(per.where(~F.col("stays")).select("_gone"), gone), docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+    left = docs.join(_held(per.where(~F.col("stays")).select(name), gone), docs[id_col].eqNullSafe(F.col(name)), "left_anti")
     return left.dropDuplicates([id_col]) if repeated else left
 
 

@@ -95,7 +95,7 @@ def test_components_by_brute_force(spark, few, monkeypatch):
 
 def test_odd_documents(spark):
     rows = [(5, None, 1), (3, "", 1), (9, "  \n", 1), (None, "only one of its kind here", 1), (4, "a few words of text", 1), (4, "a few words of text", 1), (2, "A FEW words of text", 1), (8, "x" * 100_000, 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, fp int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone int")
     found = [(r.doc_id, r.component_id) for r in near_duplicates.classes(docs).collect()]
     assert sorted(found, key=str) == sorted([(5, 3), (3, 3), (9, 3), (None, None), (4, 2), (4, 2), (2, 2), (8, 8)], key=str)
     kept = near_duplicates.representatives(docs)
@@ -175,13 +175,14 @@ def test_prefixes_of_similar_sets_share_their_first_common_shingle():
             a, b = np.unique(np.append(both, more[:cut])), np.unique(np.append(both, more[cut:]))
             p, q = near_duplicates.prefix(a, last).tolist(), near_duplicates.prefix(b, last).tolist()
             shared = next(x for x in p if x in q)
-            assert near_duplicates.can_be_similar(len(a), p.index(shared), len(b), q.index(shared), 0.8)
+            assert min(len(a) - p.index(shared), len(b) - q.index(shared)) >= 0.8 / 1.8 * (len(a) + len(b)) - 1e-6
+            x, y = (np.frombuffer(near_duplicates.sketch(s), np.uint8)[None] for s in (a, b))
+            assert near_duplicates.most_shared(x, y)[0] >= len(both)
 
 
 def test_copies_in_a_family_of_relatives_are_linked(spark, monkeypatch):
     """Without a sample of common shingles, the texts of a family share most keys, and the first of a key is a mere relative."""
     monkeypatch.setattr(near_duplicates, "OFTEN", 1 << 40, raising=False)
-    monkeypatch.setattr(near_duplicates, "AT_ONCE", 500, raising=False)
     random = np.random.default_rng(11)
     vocabulary = [f"w{i}" for i in range(4000)]
     template, rows = list(random.choice(vocabulary, 300)), []
@@ -195,3 +196,24 @@ def test_copies_in_a_family_of_relatives_are_linked(spark, monkeypatch):
         rows += [(len(rows), " ".join(variant)), (len(rows) + 1, " ".join(copy))]
     pairs, share = linked(spark, rows)
     assert pairs >= 140 and share == 1
+
+
+def test_texts_that_repeat_a_line_are_linked(spark):
+    """The same set but for one line, met 60 times in one of the two: the fingerprints are far apart."""
+    random, rows = np.random.default_rng(12), []
+    for _ in range(20):
+        words = list(random.choice([f"w{i}" for i in range(4000)], 300))
+        line = list(random.choice([f"v{i}" for i in range(4000)], 12))
+        rows += [(len(rows), " ".join(words + line)), (len(rows) + 1, " ".join(words + line * 60))]
+    pairs, share = linked(spark, rows)
+    assert pairs == 20 and share == 1
+
+
+def test_sketches_bound_what_sets_share():
+    random = np.random.default_rng(13)
+    for size in (0, 1, 3, 300, 3000, 40_000):
+        both, more = random.integers(-(1 << 62), 1 << 62, size), random.integers(0, 1 << 62, size // 5)
+        x, y = (np.frombuffer(near_duplicates.sketch(np.unique(s)), np.uint8)[None] for s in (both, np.append(both, more)))
+        assert size <= near_duplicates.most_shared(x, y)[0] <= size + len(more)
+    full = np.full((1, 64), 255, np.uint8)
+    assert near_duplicates.most_shared(full, full)[0] > 1 << 40
