@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from aerolith.llm import common
 
 NEAREST = 10
-#: Bound of the sample that the centroids are fitted on, lowest hash of the id first.
-SAMPLE = 16_384
+#: Bounds of the sample that the centroids are fitted on, lowest hash of the id first: so many vectors at least (if there
+#: are), and so many for each list.
+SAMPLE, SAMPLE_PER_LIST = 16_384, 32
 #: Vectors a list is meant to hold, bound of the number of lists, least number of lists that a query scans.
 PER_LIST, MOST_LISTS, PROBES = 512, 4096, 16
 #: Queries that are compared with all vectors, and the share of their nearest that the scanned lists must hold.
@@ -71,12 +72,16 @@ def rotation(dimensions: int, seed: int = SEED) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def scan(ids: np.ndarray, rows: np.ndarray, queries: np.ndarray, k: int, turn: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each query the ids and distances of the k nearest rows that the tests left, nearest first, ties to smaller ids."""
+def scan(ids: np.ndarray, rows: np.ndarray, queries: np.ndarray, k: int, turn: np.ndarray, epsilon: float = EPSILON) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each query the ids and distances of the k nearest rows that the tests left, nearest first, ties to smaller ids.
+
+    The candidates whose distances gave the bound are never given up, so k rows are left where there are so many.
+    """
     d = rows.shape[1]
     turned, asked = rows @ turn, queries @ turn
     for query, q in zip(queries, asked, strict=True):
         left, partial, bound, t = np.arange(len(rows)), np.zeros(len(rows)), np.inf, 0
+        measured = np.zeros(len(rows), bool)
         while t < d:
             upto = min(t + COLUMNS, d)
             step = turned[left, t:upto] - q[t:upto]
@@ -86,7 +91,8 @@ def scan(ids: np.ndarray, rows: np.ndarray, queries: np.ndarray, k: int, turn: n
                 if bound == np.inf:
                     best = left[np.argpartition(partial, 4 * k)[: 4 * k]]
                     bound = np.partition(_distances(rows[best], query), k - 1)[k - 1]
-                keep = np.sqrt(partial * (d / t)) <= (1 + EPSILON / np.sqrt(t)) * bound
+                    measured[best] = True
+                keep = measured[left] | (np.sqrt(partial * (d / t)) <= (1 + epsilon / np.sqrt(t)) * bound)
                 left, partial = left[keep], partial[keep]
         far = _distances(rows[left], query)
         order = np.lexsort((ids[left], far))[:k]
@@ -133,16 +139,19 @@ def _matrix(column: pa.Array, dimensions: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dimensions)
 
 
-def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEAREST, probes: int = PROBES) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEAREST, probes: int = PROBES, exact: bool = False) -> DataFrame:
     """(query_id, rank, id, score): for each query its k nearest vectors found, but those of its own id.
 
     Null, zero and non-finite vectors, and vectors with null components, take no part, nor do null ids; repeated rows
-    count once. Vectors of another length than the commonest in the sample take no part. At least k candidates are
-    scanned where there are so many, and probes lists or as many as measured_probes says. An empty table gives no rows. Other columns are not read.
+    count once; ids are cast to long. Vectors of another length than the commonest in the sample take no part. At least k
+    candidates are scanned where there are so many, and probes lists or as many as measured_probes says; exact: all lists,
+    without tests, for results that are those of brute force. Ties go to the smaller id. An empty table gives no rows.
+    Other columns are not read.
     """
     spark = vectors.sparkSession
     base, asked = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col)
-    sample = base.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
+    about = int(np.clip(base.count() // PER_LIST, 1, MOST_LISTS))
+    sample = base.orderBy(F.xxhash64("id"), "id").limit(max(SAMPLE, SAMPLE_PER_LIST * about)).select("v").toArrow().column("v").combine_chunks()
     sizes = np.bincount(sample.value_lengths().to_numpy()) if len(sample) else np.ones(1)
     d = int(sizes.argmax()) or 1
     sample = sample.filter(pa.compute.equal(sample.value_lengths(), d)) if len(sample) else sample
@@ -152,7 +161,7 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
     base = common.written(base)
     lists = int(np.clip(base.count() // PER_LIST, 1, MOST_LISTS))
     centre = centroids(_matrix(sample, d), lists) if len(sample) else np.zeros((1, d))
-    shared = spark.sparkContext.broadcast((centre, rotation(d)))
+    shared = common.broadcast(spark, (centre, rotation(d)))
 
     def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,7 +174,8 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
     for r in listed.groupBy("list").count().collect():
         held[r["list"]] = r["count"]
 
-    probes = max(probes, measured_probes(listed, asked, centre, k))
+    probes = len(centre) if exact else max(probes, measured_probes(listed, asked, centre, k))
+    epsilon = np.inf if exact else EPSILON
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,7 +199,7 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
         out: list[tuple] = []
         if len(rows) and len(queries):
             ids, at = rows.column("id").to_numpy(), queries.column("id").to_numpy()
-            found = scan(ids, _matrix(rows.column("v").combine_chunks(), d), _matrix(queries.column("v").combine_chunks(), d), k + 1, shared.value[1])
+            found = scan(ids, _matrix(rows.column("v").combine_chunks(), d), _matrix(queries.column("v").combine_chunks(), d), k + 1, shared.value[1], epsilon)
             out = [(np.full(len(i), q), i, far) for q, (i, far) in zip(at, found, strict=True)]
         q, i, far = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"q": q, "id": i, "far": far})
@@ -205,5 +215,6 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
 
 
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors found of every vector whose id is divisible by 100."""
     vectors = common.table(spark, sf_dir, "embeddings")
     return search(vectors, vectors.where(F.col("vec_id") % 100 == 0))

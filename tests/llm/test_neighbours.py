@@ -83,3 +83,33 @@ def test_recall_without_clusters_and_with_many_lists(spark, monkeypatch):
     rows = neighbours.search(df, df.where("vec_id % 100 = 0")).collect()
     ids, wide = np.arange(8000), vectors.astype(float)
     assert recall(rows, ids, wide, [(q, wide[q]) for q in range(0, 8000, 100)]) >= 0.9
+
+
+def test_exact_search_in_several_blocks_is_brute_force(spark, monkeypatch):
+    for name, value in (("PER_LIST", 300), ("LIST_BLOCK", 90), ("QUERY_BLOCK", 5)):
+        monkeypatch.setattr(neighbours, name, value)
+    random = np.random.default_rng(5)
+    vectors = np.round(random.normal(size=(2000, 20)), 1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found = neighbours.search(df, df.where("vec_id % 50 = 0"), exact=True).collect()
+    for q in range(0, 2000, 50):
+        got = [(r.vec_id, r.score) for r in sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)]
+        assert got == brute(np.arange(2000), vectors, q, vectors[q])
+
+
+def test_recall_at_500_lists(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PER_LIST", 16)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 20)
+    random = np.random.default_rng(6)
+    vectors = random.normal(size=(8000, 24)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    rows = neighbours.search(df, df.where("vec_id % 100 = 0")).collect()
+    wide = vectors.astype(float)
+    assert recall(rows, np.arange(8000), wide, [(q, wide[q]) for q in range(0, 8000, 100)]) >= 0.9
+
+
+def test_tests_never_leave_fewer_than_wanted():
+    random = np.random.default_rng(7)
+    rows, queries = random.normal(size=(500, 32)), random.normal(size=(5, 32))
+    for found, _ in neighbours.scan(np.arange(500), rows, queries, 11, neighbours.rotation(32), epsilon=-20.0):
+        assert len(found) == 11
