@@ -95,9 +95,60 @@ def test_words_are_runs_of_letters():
 
 
 def test_backoff_uses_longest_known_gram():
-    model = language.Model(["a", "b"], {"known": 0}, np.array([[-1.0, -9.0]]), {"<": 0, "xy": 1, "x": 2}, np.array([[0.0, 0.0], [-1.0, -2.0], [-7.0, -7.0]]), np.zeros(2))
-    assert model.rows[model.row("known")].tolist() == [-1.0, -9.0]
-    assert model.backed_off("xyq").tolist() == [language.GRAM_WEIGHT * 2 * -1.0, language.GRAM_WEIGHT * 2 * -2.0]
+    grams = {"<": np.zeros(2), "xy": np.array([-1.0, -2.0]), "x": np.array([-7.0, -7.0])}
+    assert language.backed_off("xyq", grams, 2).tolist() == [language.GRAM_WEIGHT * 2 * -1.0, language.GRAM_WEIGHT * 2 * -2.0]
+
+
+def slow_language(training, texts):
+    """Prediction by plain dictionaries."""
+    from collections import Counter
+    from math import exp, log
+
+    words, grams = {}, {}
+    for lang, text in training:
+        for w in language.words_of(text):
+            words.setdefault(w, Counter())[lang] += 1
+            marked = f"<{w}>"
+            for g in (marked[i : i + n] for n in range(1, 5) for i in range(len(marked) - n + 1)):
+                grams.setdefault(g, Counter())[lang] += 1
+    langs = sorted({x for x, _ in training})
+    size = {t: {x: sum(c[x] for c in table.values()) + 0.5 * len(table) for x in langs} for t, table in (("w", words), ("g", grams))}
+    everything = {x: sum(c[x] for c in words.values()) for x in langs}
+
+    def word(w, x):
+        if w in words:
+            return log((words[w][x] + 0.5) / size["w"][x])
+        marked, at, total = f"<{w}>", 0, 0.0
+        while at < len(marked):
+            n = next((n for n in range(min(4, len(marked) - at), 0, -1) if marked[at : at + n] in grams), 0)
+            total += 0.25 * n * log((grams[marked[at : at + n]][x] + 0.5) / size["g"][x]) if n else 0
+            at += n or 1
+        return total
+
+    for text in texts:
+        found = language.words_of(text or "")
+        totals = [sum(word(w, x) for w in found) + log(everything[x] / sum(everything.values())) for x in langs]
+        best = max(totals)
+        yield (langs[totals.index(best)], 1 / sum(exp(t - best) for t in totals)) if found else ("und", 0.0)
+
+
+@pytest.mark.parametrize("top_words,top_grams", [(60_000, 250_000), (20, 250_000), (20, 0), (0, 0)])
+def test_language_by_brute_force(spark, sf_dir, top_words, top_grams):
+    """The bounds of what is sent out change nothing."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()
+    training, asked = [r for r in rows if fold(r.doc_id)], rows
+    docs = spark.createDataFrame([(r.doc_id, r.text, r.lang, "x") for r in rows], "doc_id long, text string, lang string, sums string")
+    model = language.fit(docs.where("crc32(cast(cast(doc_id as string) as binary)) % 5 != 0"), top_words=top_words, top_grams=top_grams)
+    assert (model.top_grams is None) == (top_grams == 0)
+    found = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(docs, model).collect()}
+    expected = slow_language([(r.lang, r.text) for r in training if r.lang and r.text], [r.text for r in asked])
+    for r, (lang, score) in zip(asked, expected, strict=True):
+        assert found[r.doc_id] == (lang, pytest.approx(score, rel=1e-6))
+
+
+def test_ties_go_to_the_first_language(spark):
+    docs = spark.createDataFrame([(1, "same words", "b"), (2, "same words", "a")], "doc_id long, text string, lang string")
+    assert {(r.lang_pred, round(r.score, 9)) for r in language.predict(docs, language.fit(docs)).collect()} == {("a", 0.5)}
 
 
 def test_sample_is_bounded_and_leaves_out_fold_0(spark):
