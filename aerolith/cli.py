@@ -20,10 +20,13 @@ from aerolith.plans import config, launch
 from aerolith.schema import DistributionParameters
 from aerolith.sources import readers, writers
 
-#: Quality flags and error codes of the raw archive.
-FLAGS = ["altitudeDD", "latitudeDD", "longitudeDD", "timeObsDD", "maxEDRDD", "medEDRDD", "turbIndexDD", "vertAccelDD", "vertGustDD"]
-ERRORS = ["dataDescriptor", "errorType"]
-NEEDED = ["maxEDR", "medEDR", "turbIndex"]
+#: Fixed values of the raw archive: columns of quality flags, of error codes, and of turbulence, which must not be missing.
+FLAGS = [
+    "altitudeDD", "windSpeedDD", "timeObsDD", "latitudeDD", "longitudeDD", "maxEDRDD", "medEDRDD", "temperatureDD", "trueAirSpeedDD",
+    "turbIndexDD", "windDirDD",
+]
+ERRORS = ["bounceError", "speedError", "turbulenceError"]
+NEEDED = ["maxEDR", "medEDR", "turbIndex", "medTurbulence", "maxTurbulence"]
 
 
 def execute(spark: SparkSession, run: config.Run) -> dict[str, DataFrame]:
@@ -81,7 +84,8 @@ def execute(spark: SparkSession, run: config.Run) -> dict[str, DataFrame]:
         read = readers.read_acars if rep.source == "acars" else readers.read_amdar_csv
         reports = read(spark, f"{rep.data.rstrip('/')}/{rep.pattern}")
         reports = reports if "datetime" in reports.columns else reports.withColumnRenamed("timeObs", "datetime")
-        reports = filters.clip_time(reports, str(rep.start), str(rep.end), "datetime").withColumn("report", F.monotonically_increasing_id())
+        reports = filters.clip_time(reports, str(rep.start), str(rep.end), "datetime").dropDuplicates()
+        reports = reports.withColumn("report", F.xxhash64(*reports.columns))  # distinct rows; the same id in every attempt of a task
         held = launch.harmonise(grid, reports, names, run.domain, rep.grid_size or 1.0)
         writers.write_harmonised(held, f"{run.output}/{run.name}_harmonised", rep.save)
         out["harmonised"] = held
@@ -110,6 +114,8 @@ def parser() -> argparse.ArgumentParser:
     rep.add_argument("-d", "--directory", required=True)
     rep.add_argument("-o", "--output", required=True)
     rep.add_argument("-n", "--parts", type=int, required=True)
+    rep.add_argument("-p", "--glob-pattern", default="*.parquet")
+    rep.add_argument("-r", "--nested", action="store_true", help="each folder in the directory by itself")
     return p
 
 
@@ -125,11 +131,12 @@ def main(args: Sequence[str] | None = None, spark: SparkSession | None = None) -
         if a.source != "acars":
             raise NotImplementedError(f"reports of {a.source} need no preprocessing")
         raw = readers.read_grid(spark, config.folder(a.input), a.glob_pattern)
-        writers.write_reports(writers.preprocess_reports(raw, FLAGS, ERRORS, NEEDED), a.output, "timeObs")
+        kept = [x for x in raw.columns if x not in FLAGS and x not in ERRORS]
+        writers.write_reports(writers.preprocess_reports(raw, FLAGS, ERRORS, NEEDED, kept), a.output, "timeObs")
     elif a.area == "plan":
         readers.date_combinations(spark, a.years, a.months, a.days).orderBy("year", "month", "day").show(1000)
     else:
-        writers.repartition_files(spark, config.folder(a.directory), a.output, a.parts)
+        writers.repartition_files(spark, config.folder(a.directory), a.output, a.parts, a.glob_pattern, a.nested)
 
 
 if __name__ == "__main__":

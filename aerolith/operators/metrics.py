@@ -91,8 +91,9 @@ def odds_ratio(log: bool = True) -> Column:
     return F.when(r > 0, F.ln(r)) if log else r
 
 
-def relative_risk(log: bool = True) -> Column:
-    n11, n10, n01, n00 = _d("n11", "n10", "n01", "n00")
+def relative_risk(log: bool = True, inverse: bool = False) -> Column:
+    """inverse: with the two features in each other's place."""
+    n11, n10, n01, n00 = _d("n11", "n01", "n10", "n00") if inverse else _d("n11", "n10", "n01", "n00")
     r = ratio(n11, n01) * ratio(n01 + n00, n11 + n10)
     return F.when(r > 0, F.ln(r)) if log else r
 
@@ -104,7 +105,7 @@ def _share(a: str, b: str) -> Callable[[], Column]:
 #: The conditional shares are named as their users know them; n11 / (n11 + n10) is a share of the first feature's cells.
 RELATIONSHIPS: dict[Relationship, Callable[[], Column]] = {
     Relationship.MATTHEWS: matthews_table, Relationship.ODDS_RATIO: odds_ratio, Relationship.RELATIVE_RISK: relative_risk,
-    Relationship.JACCARD: jaccard, Relationship.CRITICAL_SUCCESS: jaccard,
+    Relationship.INVERSE_RELATIVE_RISK: lambda: relative_risk(inverse=True), Relationship.JACCARD: jaccard,
     Relationship.THIS_GIVEN_OTHER: _share("n11", "n10"), Relationship.OTHER_GIVEN_THIS: _share("n11", "n01"),
     Relationship.THIS_GIVEN_NOT_OTHER: _share("n01", "n00"), Relationship.OTHER_GIVEN_NOT_THIS: _share("n10", "n00"),
 }
@@ -152,8 +153,7 @@ def curve(df: DataFrame, truth: str, score: str, keys: list[str] | None = None,
         w = Window.partitionBy(*keys).orderBy(F.desc("score"))
         made = counts.select(*keys, c("score").alias("threshold"), F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp"))
     else:
-        edges = counts.agg(F.percentile_approx("score", [i / RANGES for i in range(1, RANGES)])).first()[0] or []
-        held = counts.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, edges)).cast("array<double>"), lambda e: e > c("score"))) if edges else F.lit(0))
+        held = _ranged(counts, "score")
         w = Window.partitionBy("_range").orderBy(F.desc("score"))
         sums = held.groupBy("_range").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))  # RANGES rows at most
         above = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -162,27 +162,47 @@ def curve(df: DataFrame, truth: str, score: str, keys: list[str] | None = None,
         made = inside.join(F.broadcast(before), "_range").select(c("score").alias("threshold"), (c("p") + c("_p")).alias("tp"), (c("n") + c("_n")).alias("fp"))
     if intervals == -1:
         return made
-    whole = Window.partitionBy(*keys)
-    step = (F.max("threshold").over(whole) - F.min("threshold").over(whole)) / intervals
-    after = F.lead("threshold").over(Window.partitionBy(*keys).orderBy(F.desc("threshold")))
-    return made.withColumns({"_step": step, "_after": after}).where(c("_after").isNull() | (c("threshold") - c("_after") > c("_step"))).drop("_step", "_after")
+    steps = made.groupBy(*keys).agg(((F.max("threshold") - F.min("threshold")) / intervals).alias("_step"))
+    wide = _beside(made, keys, "threshold", ["threshold"], after=True)
+    wide = wide.join(steps, keys) if keys else wide.crossJoin(F.broadcast(steps))  # without keys one row
+    return wide.where(c("_beside").isNull() | (c("threshold") - c("_beside.threshold") > c("_step"))).select(*made.columns)
+
+
+def _ranged(df: DataFrame, column: str) -> DataFrame:
+    """df with `_range`: 0 for the largest values of the column, RANGES - 1 at most."""
+    edges = df.agg(F.percentile_approx(column, [i / RANGES for i in range(1, RANGES)])).first()[0] or []
+    return df.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, edges)).cast("array<double>"), lambda e: e > c(column))) if edges else F.lit(0))
+
+
+def _beside(df: DataFrame, keys: list[str], column: str, fields: list[str], after: bool = False) -> DataFrame:
+    """df with `_beside`: the fields of the row before in falling order of the column, or of the row after; null where there is none.
+
+    Without keys, rows are put side by side within ranges of the column, whose ends are looked up among the ranges.
+    """
+    one, move = F.struct(*fields), F.lead if after else F.lag
+    if keys:
+        return df.withColumn("_beside", move(one).over(Window.partitionBy(*keys).orderBy(F.desc(column))))
+    held = _ranged(df, column)
+    ends = held.groupBy("_range").agg((F.max_by if after else F.min_by)(one, c(column)).alias("_end"))
+    ends = ends.select("_range", move("_end").over(Window.orderBy("_range")).alias("_next"))  # RANGES rows at most
+    inside = held.withColumn("_here", move(one).over(Window.partitionBy("_range").orderBy(F.desc(column))))
+    return inside.join(F.broadcast(ends), "_range").withColumn("_beside", F.coalesce("_here", "_next")).drop("_range", "_here", "_next")
 
 
 def roc(points: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys, threshold, fpr, tpr) from curve's rows, with a start of (0, 0) at infinity; a rate over nothing is null."""
     keys = keys or []
     ends = points.groupBy(*keys).agg(F.max("tp").alias("_tp"), F.max("fp").alias("_fp"))
-    rated = (points.join(F.broadcast(ends), keys) if keys else points.crossJoin(F.broadcast(ends))).select(*keys, "threshold", ratio(c("fp").cast("double"), c("_fp").cast("double")).alias("fpr"), ratio(c("tp").cast("double"), c("_tp").cast("double")).alias("tpr"))
+    rated = (points.join(ends, keys) if keys else points.crossJoin(F.broadcast(ends))).select(*keys, "threshold", ratio(c("fp").cast("double"), c("_fp").cast("double")).alias("fpr"), ratio(c("tp").cast("double"), c("_tp").cast("double")).alias("tpr"))
     return rated.unionByName(ends.where("_tp is not null").select(*keys, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")))
 
 
 def area(rates: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """(keys, auc): trapezoids under roc's rows in order of falling threshold; null with fewer than two points."""
+    """(keys, auc, points): trapezoids under roc's rows in order of falling threshold, and how many rows; auc is null with fewer than two."""
     keys = keys or []
-    w = Window.partitionBy(*keys).orderBy(F.desc("threshold"))
-    part = (c("fpr") - F.lag("fpr").over(w)) * (c("tpr") + F.lag("tpr").over(w)) / 2
-    held = rates.withColumn("_part", part)
-    return held.groupBy(*keys).agg(F.sum("_part").alias("auc"))
+    part = (c("fpr") - c("_beside.fpr")) * (c("tpr") + c("_beside.tpr")) / 2
+    held = _beside(rates, keys, "threshold", ["fpr", "tpr"]).withColumn("_part", part)
+    return held.groupBy(*keys).agg(F.sum("_part").alias("auc"), F.count("*").alias("points"))
 
 
 def area_of_points(df: DataFrame, x: str, y: str) -> DataFrame:

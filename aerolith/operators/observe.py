@@ -7,7 +7,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolith.operators import metrics
@@ -81,9 +81,17 @@ def spatial_join(points: DataFrame, domain: Domain, step: float) -> DataFrame:
 
 
 def join_boxes(points: DataFrame, grid: DataFrame) -> DataFrame:
-    """points with the index_right of each of a bounded number of given boxes that holds them (a table of boxes, as of a polygon)."""
+    """points with the index_right of each of the given boxes that holds them (a table of boxes, as of a polygon), however many.
+
+    Boxes are listed under the cells that they touch, of the size of the largest box, so at most four; a point is in one.
+    """
+    sizes = grid.agg(F.max(c("max_x") - c("min_x")), F.max(c("max_y") - c("min_y"))).first()
+    wx, wy = (float(s) if s else 1.0 for s in sizes)
+    cells = lambda low, high, w: F.explode(F.sequence(F.floor(c(low) / w), F.floor(c(high) / w)))
+    listed = grid.withColumn("_x", cells("min_x", "max_x", wx)).withColumn("_y", cells("min_y", "max_y", wy))
+    placed = points.withColumns({"_x": F.floor(c(LON) / wx), "_y": F.floor(c(LAT) / wy)})
     held = (c(LON) >= c("min_x")) & (c(LON) <= c("max_x")) & (c(LAT) >= c("min_y")) & (c(LAT) <= c("max_y"))
-    return points.join(F.broadcast(grid), held).select(*points.columns, "index_right")
+    return placed.join(listed, ["_x", "_y"]).where(held).select(*points.columns, "index_right")
 
 
 def nearest_index(value: Column, axis: Iterable[float]) -> Column:
@@ -298,8 +306,3 @@ def same_axes(a: DataFrame, b: DataFrame) -> None:
         x, y = a.select(k).distinct(), b.select(k).distinct()
         if not x.exceptAll(y).isEmpty() or not y.exceptAll(x).isEmpty():
             raise ValueError(f"{k} differs")
-
-
-def latest(df: DataFrame, by: str = TIME) -> DataFrame:
-    """Rows of the last time."""
-    return df.withColumn("_last", F.max(by).over(Window.partitionBy())).where(c(by) == c("_last")).drop("_last")

@@ -39,7 +39,8 @@ def local_maximum_jet(grid: DataFrame, threshold: float = JET_SPEED) -> DataFram
     return marked.withColumn("jet", c("peak") & (c("eastward_wind") >= 0)).drop("_s", "peak")
 
 
-JET_ALGORITHMS: dict[str, Callable[[DataFrame], DataFrame]] = {"alpha_vel": alpha_velocity_jet, "schiemann": local_maximum_jet}
+#: Names as configurations hold them: fixed values.
+JET_ALGORITHMS: dict[str, Callable[[DataFrame], DataFrame]] = {"alpha_vel_koch": alpha_velocity_jet, "wind_speed_schiemann": local_maximum_jet}
 
 
 def masked(df: DataFrame, column: str, mask: str) -> DataFrame:

@@ -149,7 +149,7 @@ def shift_and_combine(df: DataFrame, column: str, partition: list[str], order: s
 
 
 def column_trapezoid(f: Column, axis: Axis = P) -> Column:
-    """Trapezoid integral over the whole axis, the same in each of its rows."""
+    """The trapezoid from each row to the next on the axis, null in the last; their sum is the integral."""
     x, w = axis.coordinate(), axis.window
     each = (f + F.lead(f).over(w)) / 2 * (F.lead(x).over(w) - x)
     return each

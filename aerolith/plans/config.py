@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from datetime import datetime
-from pathlib import Path
 from typing import Any
 
 from aerolith.operators.diagnostics import DIAGNOSTICS
 from aerolith.operators.filters import Domain, Thresholds
 from aerolith.schema import GroupBy, GroupMetric, Limits, Severity, ThresholdMode, ValidationCondition
+from aerolith.sources import files
 
 CALIBRATION_PHASES = ("thresholds", "histogram")
 EVALUATION_PHASES = ("probabilities", "edr", "turbulent_regions", "correlation_between_probabilities", "correlation_between_edr", "regional_correlation_between_probabilities", "regional_correlation_between_edr", "matthews_correlation_on_edr")
@@ -36,16 +36,15 @@ def _known(values: Iterable[str], allowed: Iterable[str], what: str) -> list[str
 
 
 def folder(path: str, must_exist: bool = True) -> str:
-    at = Path(path)
-    if at.exists() and not at.is_dir():
+    if files.is_file(path):
         raise ConfigError(f"{path} is not a folder")
-    if must_exist and not at.exists():
+    if must_exist and not files.exists(path):
         raise ConfigError(f"no folder {path}")
     return path
 
 
 def file(path: str) -> str:
-    if not Path(path).is_file():
+    if not files.is_file(path):
         raise ConfigError(f"no file {path}")
     return path
 
@@ -170,8 +169,7 @@ def from_mapping(held: dict[str, Any]) -> Run:
 def from_yaml(path: str) -> Run:
     import yaml
 
-    with open(file(path)) as f:
-        held = yaml.safe_load(f)
+    held = yaml.safe_load(files.read_text(file(path)))
     if not isinstance(held, dict):
         raise ConfigError("the file is empty or no mapping")
     return from_mapping(held)

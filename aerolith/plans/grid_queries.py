@@ -204,7 +204,10 @@ def _peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed(stencil.local_maxima(held, "s", [TIME, LON], LAT, LEVEL, 30.0), "peak")
 
 
-@register("win17_regular_spacing", "SELECT 'latitude' AS axis, 12.0::DOUBLE AS spacing UNION ALL SELECT 'longitude', 10.0 UNION ALL SELECT 'pressure_level', NULL")
+_STEPS = " UNION ALL ".join(f"SELECT '{k}' AS axis, lead({k}) OVER (ORDER BY {k}) - {k} AS h FROM (SELECT DISTINCT {k} FROM grid)" for k in (LAT, LON, LEVEL))
+
+
+@register("win17_regular_spacing", tables(f"SELECT axis, CASE WHEN max(h) - min(h) <= 1e-9 * greatest(abs(min(h)), 1) THEN min(h) END AS spacing FROM ({_STEPS}) GROUP BY axis"))
 def _spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = lattice(spark, sf_dir)
     return spark.createDataFrame([(k, stencil.regular_spacing(grid, k)) for k in (LAT, LON, LEVEL)], "axis string, spacing double")
@@ -388,10 +391,10 @@ def _contingency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TABLE = "tab AS (SELECT diagnostic, pressure_level, count_if(jet AND t)::DOUBLE AS n11, count_if(jet AND NOT t)::DOUBLE AS n10, count_if(NOT jet AND t)::DOUBLE AS n01, count_if(NOT jet AND NOT t)::DOUBLE AS n00 FROM (SELECT 'wind_speed' AS diagnostic, pressure_level, eastward_wind > 30 AS jet, speed >= 40 AS t FROM w1 UNION ALL SELECT 'northward_wind', pressure_level, eastward_wind > 30, northward_wind >= 8 FROM w1) GROUP BY ALL)"
-_REL_SQL = """SELECT diagnostic, pressure_level, round(((n11 + n10 + n01 + n00) * n11 - (n11 + n10) * (n11 + n01)) / nullif(sqrt(n11 + n10) * sqrt(n01 + n00) * sqrt(n11 + n01) * sqrt(n10 + n00), 0), 6) AS matthews_corr,
-  round(CASE WHEN n00 * n11 > 0 AND n01 * n10 > 0 THEN ln(n00 * n11 / (n01 * n10)) END, 6) AS odds_ratio, round(CASE WHEN n11 > 0 AND n01 > 0 AND n01 + n00 > 0 THEN ln(n11 / n01 * ((n01 + n00) / (n11 + n10))) END, 6) AS relative_risk,
+_REL_SQL = """SELECT diagnostic, pressure_level, round(((n11 + n10 + n01 + n00) * n11 - (n11 + n10) * (n11 + n01)) / nullif(sqrt(n11 + n10) * sqrt(n01 + n00) * sqrt(n11 + n01) * sqrt(n10 + n00), 0), 6) AS matthews_correlation,
+  round(CASE WHEN n00 * n11 > 0 AND n01 * n10 > 0 THEN ln(n00 * n11 / (n01 * n10)) END, 6) AS sample_odds_ratio, round(CASE WHEN n11 > 0 AND n01 > 0 AND n01 + n00 > 0 THEN ln(n11 / n01 * ((n01 + n00) / (n11 + n10))) END, 6) AS relative_risk,
   round(n11 / nullif(n11 + n10 + n01, 0), 6) AS jaccard_index, round(n11 / nullif(n11 + n10, 0), 6) AS this_given_other, round(n11 / nullif(n11 + n01, 0), 6) AS other_given_this, round(n01 / nullif(n01 + n00, 0), 6) AS this_given_not_other,
-  round(n10 / nullif(n10 + n00, 0), 6) AS other_given_not_this, round(n11 / nullif(n11 + n10 + n01, 0), 6) AS critical_success_index FROM tab"""
+  round(n10 / nullif(n10 + n00, 0), 6) AS other_given_not_this, round(CASE WHEN n11 > 0 AND n10 > 0 AND n10 + n00 > 0 THEN ln(n11 / n10 * ((n10 + n00) / (n11 + n01))) END, 6) AS invs_relative_risk FROM tab"""
 
 
 @register("met17_19_relationships", tables(_REL_SQL, more=[*W1, _TABLE]))
@@ -408,12 +411,12 @@ _JET = f"jets AS (SELECT *, sum(part) OVER (PARTITION BY hour, latitude, longitu
 
 @register("reg1_alpha_velocity_jet", tables(f"SELECT {_key}, jet FROM jets", more=[*W1, _JET]))
 def _alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyed(regions.JET_ALGORITHMS["alpha_vel"](lattice(spark, sf_dir)), "jet")
+    return keyed(regions.JET_ALGORITHMS["alpha_vel_koch"](lattice(spark, sf_dir)), "jet")
 
 
 @register("reg2_local_maximum_jet", tables(f"SELECT {_key}, peak AND eastward_wind >= 0 AS jet FROM ({_PEAK}) JOIN grid USING ({_key})", more=[_S]))
 def _schiemann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyed(regions.JET_ALGORITHMS["schiemann"](lattice(spark, sf_dir)), "jet")
+    return keyed(regions.JET_ALGORITHMS["wind_speed_schiemann"](lattice(spark, sf_dir)), "jet")
 
 
 @register("met20_jet_relationship", tables("""SELECT round(n11 / nullif(n11 + n10 + n01, 0), 6) AS jaccard_index, round(n11 / nullif(n11 + n10, 0), 6) AS this_given_other FROM (SELECT count_if(jet AND northward_wind >= 8)::DOUBLE AS n11, count_if(jet AND NOT northward_wind >= 8)::DOUBLE AS n10, count_if(NOT jet AND northward_wind >= 8)::DOUBLE AS n01 FROM jets)""", more=[*W1, _JET]))

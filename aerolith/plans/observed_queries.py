@@ -111,7 +111,11 @@ def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observe.boxes(spark, DOMAIN, STEP).select("index_right", *(r(c(x), 6).alias(x) for x in ("min_x", "min_y", "max_x", "max_y")))
 
 
-@register("jon3_polygon_boxes")
+#: A triangle that narrows upwards meets a box if it does so at the box's lower side.
+_TRIANGLE = "polygon AS (SELECT (row_number() OVER (ORDER BY i, j) - 1)::INT AS index_right, 2.5 * i AS min_x, 2.5 * j AS min_y, 2.5 * (i + 1) AS max_x, 2.5 * (j + 1) AS max_y FROM range(8) a(i), range(8) b(j) WHERE 2.5 * (i + 1) >= 2.5 * j / 2 AND 2.5 * i <= 20 - 2.5 * j / 2)"
+
+
+@register("jon3_polygon_boxes", _O("SELECT index_right, count(*) AS reports FROM obs JOIN polygon ON longitude BETWEEN min_x AND max_x AND latitude BETWEEN min_y AND max_y GROUP BY index_right", [_TRIANGLE]))
 def _polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = observe.polygon_boxes(spark, [(0.0, 0.0), (20.0, 0.0), (10.0, 20.0)], 2.5)
     return observe.join_boxes(observed(spark, sf_dir), grid).groupBy("index_right").agg(F.count("*").alias("reports"))
@@ -362,12 +366,13 @@ roc AS (SELECT diagnostic, s, tp / max(tp) OVER (PARTITION BY diagnostic) AS tpr
 def _nearest_roc(spark: SparkSession, sf_dir: str) -> DataFrame:
     curve = observe.nearest_value_roc(_harmonised(spark, sf_dir), [CONDITION], NAMES)
     keys = ["column", "diagnostic"]
-    return metrics.area(curve, keys).join(curve.groupBy(*keys).agg(F.count("*").alias("points")), keys).select(*keys, "points", r(c("auc"), 4).alias("auc"))
+    return metrics.area(curve, keys).select(*keys, "points", r(c("auc"), 4).alias("auc"))
 
 
 # sinks: written, read again ------------------------------------------------------------------------------------------
 def _folder(spark: SparkSession) -> str:
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/aerolith').rstrip('/')}/sink-{uuid.uuid4().hex}"
+    """A folder in the shared one; the session's warehouse serves where spark.checkpoint.dir is unset."""
+    return f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/sink-{uuid.uuid4().hex}"
 
 
 @register("snk1_reports_round_trip", _O("SELECT report, flag, error FROM obs WHERE flag IN ('Z', 'C', 'S', 'V', 'G') AND error IN (112, 45) AND \"turbIndex\" <= 20"))
@@ -400,7 +405,7 @@ def _repartition_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark)
     observed(spark, sf_dir).select("report").write.parquet(path)
     writers.repartition_files(spark, path, f"{path}-parts", 3)
-    return spark.read.parquet(f"{path}-parts")
+    return spark.read.parquet(f"{path}-parts/{path.rsplit('/', 1)[-1]}")
 
 
 @register("snk7_harmonised_round_trip", _O("SELECT report, index_right, level_index FROM gat", _GATHER, True))

@@ -59,15 +59,17 @@ class Region(StrEnum):
 
 
 class Relationship(StrEnum):
-    MATTHEWS = "matthews_corr"
-    ODDS_RATIO = "odds_ratio"
-    RELATIVE_RISK = "relative_risk"
+    """Names as configurations hold them: fixed values."""
+
     JACCARD = "jaccard_index"
     THIS_GIVEN_OTHER = "this_given_other"
     OTHER_GIVEN_THIS = "other_given_this"
+    MATTHEWS = "matthews_correlation"
     THIS_GIVEN_NOT_OTHER = "this_given_not_other"
     OTHER_GIVEN_NOT_THIS = "other_given_not_this"
-    CRITICAL_SUCCESS = "critical_success_index"
+    ODDS_RATIO = "sample_odds_ratio"
+    RELATIVE_RISK = "relative_risk"
+    INVERSE_RELATIVE_RISK = "invs_relative_risk"
 
 
 class GroupBy(StrEnum):

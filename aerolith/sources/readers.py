@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,11 +12,18 @@ from aerolith.functions import physics
 from aerolith.operators import filters
 from aerolith.operators.filters import Domain, Thresholds
 from aerolith.schema import CELL, GRID_VARIABLES, LAT, LEVEL, LON, SHORT_NAMES, TIME, DistributionParameters, require
+from aerolith.sources import files
 
-#: Columns of the aircraft archive that any query reads.
+#: Fixed values of the aircraft archive: columns that any query reads.
 ACARS_COLUMNS = ["altitude", "latitude", "longitude", "timeObs", "phaseFlight", "maxEDR", "medEDR", "maxTurbulence", "medTurbulence", "turbIndex", "vertAccel", "vertGust"]
 ACARS_VALIDATION = ["maxEDR", "medEDR", "maxTurbulence", "medTurbulence", "turbIndex", "vertAccel"]
-#: Columns of the other archive's text files, by position, and what stands for a missing number.
+#: Fixed values of the text archive: its columns and their places in a line, all that are of use and the fewest, the columns
+#: of text, and what stands for a missing number.
+AMDAR_CSV_ALL = {
+    "year": 0, "month": 1, "day": 2, "hour": 3, "minute": 4, "second": 5, "registration_number": 11, "call_sign": 12, "latitude": 13,
+    "longitude": 14, "altitude": 15, "roll_angle": 20, "pressure": 21, "flight_phase": 22, "wind_direction": 24, "wind_speed": 25,
+    "vert_gust_velocity": 26, "vert_gust_acceleration": 27, "turbulence_degree": 28, "air_temperature": 30, "relative_humidity": 32,
+}
 AMDAR_CSV_COLUMNS = [
     "year", "month", "day", "hour", "minute", "second", "latitude", "longitude", "altitude", "roll_angle",
     "flight_phase", "vert_gust_velocity", "vert_gust_acceleration", "turbulence_degree",
@@ -64,14 +71,23 @@ def acars(df: DataFrame) -> DataFrame:
 
 
 def read_amdar_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """Reports of the text archive: columns by position, one header line, Latin-1 (which the engine reads, and which the archive's Windows text keeps to but for typographic marks), datetime from its six parts.
+    """Reports of the text archive: columns by their places in a line (names of AMDAR_CSV_ALL), datetime from its six parts.
 
-    A missing second is 0; rows without a turbulence degree are left out.
+    A file begins with two lines that are no reports: the first is skipped as a header, the second has no number for a
+    year. The text is Windows'. A missing second is 0; rows without a turbulence degree are left out.
     """
-    names = columns or AMDAR_CSV_COLUMNS
-    schema = T.StructType([T.StructField(n, T.StringType() if n in AMDAR_CSV_TEXT else T.DoubleType()) for n in names])
-    df = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("nullValue", AMDAR_CSV_MISSING).option("encoding", "iso-8859-1").csv(path)
-    return amdar_times(df)
+    names = {AMDAR_CSV_ALL[n]: n for n in columns or AMDAR_CSV_COLUMNS}
+    kind = lambda n: T.StringType() if n in AMDAR_CSV_TEXT else T.DoubleType()
+    schema = T.StructType([T.StructField(names.get(i, f"unused_{i}"), kind(names.get(i, "call_sign"))) for i in range(max(AMDAR_CSV_ALL.values()) + 1)])
+    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("nullValue", AMDAR_CSV_MISSING).option("encoding", "iso-8859-1").csv(path)
+    df = raw.select(*(_windows(F.col(n)).alias(n) if n in AMDAR_CSV_TEXT else F.col(n) for n in names.values()))
+    return amdar_times(df.where("year is not null"))
+
+
+def _windows(text: Column) -> Column:
+    """Windows text that was read as Latin-1, from which it differs in 27 places."""
+    latin = "".join(chr(b) for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore"))
+    return F.translate(text, latin, latin.encode("latin-1").decode("cp1252"))
 
 
 def amdar_times(df: DataFrame) -> DataFrame:
@@ -96,10 +112,8 @@ def date_combinations(spark: SparkSession, years: list[int], months: list[int],
 
 
 def read_thresholds(path: str) -> dict[str, Thresholds]:
-    with open(path) as f:
-        return {k: Thresholds(**v) for k, v in json.load(f).items()}
+    return {k: Thresholds(**v) for k, v in json.loads(files.read_text(path)).items()}
 
 
 def read_distribution_parameters(path: str) -> dict[str, DistributionParameters]:
-    with open(path) as f:
-        return {k: DistributionParameters(**v) for k, v in json.load(f).items()}
+    return {k: DistributionParameters(**v) for k, v in json.loads(files.read_text(path)).items()}

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Iterable
 from dataclasses import asdict
 
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from aerolith.operators import filters
 from aerolith.operators.filters import Thresholds
 from aerolith.schema import LEVEL, TIME, DistributionParameters
+from aerolith.sources import files
 
 
 def write_diagnostics(wide: DataFrame, path: str) -> None:
@@ -40,11 +40,7 @@ def write_harmonised(harmonised: DataFrame, path: str, wanted: bool = True) -> N
 
 
 def _json(folder: str, name: str, held: dict) -> str:
-    os.makedirs(folder, exist_ok=True)
-    path = os.path.join(folder, name)
-    with open(path, "w") as f:
-        json.dump(held, f, indent=2)
-    return path
+    return files.write_text(f"{folder.rstrip('/')}/{name}", json.dumps(held, indent=2))
 
 
 def write_thresholds(thresholds: dict[str, Thresholds], folder: str, start: str) -> str:
@@ -55,8 +51,11 @@ def write_distribution_parameters(parameters: dict[str, DistributionParameters],
     return _json(folder, f"distribution_params_{start}.json", {k: asdict(v) for k, v in parameters.items()})
 
 
-def repartition_files(spark: SparkSession, source: str, target: str, parts: int) -> None:
-    """The parquet of a folder as so many files."""
+def repartition_files(spark: SparkSession, source: str, target: str, parts: int, pattern: str = "*.parquet", nested: bool = False) -> None:
+    """The matching parquet of a folder, or of each folder in it (nested), as so many files in a folder of its name in target."""
     if parts < 1:
         raise ValueError("at least one file")
-    spark.read.parquet(source).repartition(parts).write.mode("overwrite").parquet(target)
+    for path in files.folders(source) if nested else [source]:
+        name = path.rstrip("/").rsplit("/", 1)[-1]
+        held = spark.read.option("pathGlobFilter", pattern).parquet(path)
+        held.repartition(parts).write.mode("overwrite").parquet(f"{target.rstrip('/')}/{name}")

@@ -49,11 +49,20 @@ def test_json_round_trip(tmp_path):
 
 
 def test_csv_reports(spark, tmp_path):
+    """Lines of 35 columns, as the archive has them, after two lines that are no reports."""
     path = tmp_path / "r.csv"
-    head = ",".join(readers.AMDAR_CSV_COLUMNS)
-    path.write_bytes("\n".join([head, "2024,1,2,3,4,-9999999,50,0,9000,1,5,0,0,3", "2024,1,2,3,4,7,50,0,9000,1,5,0,0,-9999999", "2024,1,2,3,4,7.5,50,0,9000,1,5,0,0,2"]).encode("cp1252"))
+
+    def line(**held):
+        at = {readers.AMDAR_CSV_ALL[k]: v for k, v in (dict(year=2024, month=1, day=2, hour=3, minute=4, latitude=50, longitude=-3, altitude=9000, call_sign="\u20acAB\u2019") | held).items()}
+        return ",".join(str(at.get(i, f"x{i}" if i > 5 else "")) if i not in (20, 21, 22, 24, 25, 26, 27, 30, 32) else str(at.get(i, i)) for i in range(35))
+
+    head = ",".join(f"name{i}" for i in range(35))
+    path.write_bytes("\n".join(["some title,of the archive", head, line(second=-9999999, turbulence_degree=3), line(second=7, turbulence_degree=-9999999), line(second=7.5, turbulence_degree=2)]).encode("cp1252"))
     rows = readers.read_amdar_csv(spark, str(path)).orderBy("datetime").collect()
     assert [str(r.datetime) for r in rows] == ["2024-01-02 03:04:00", "2024-01-02 03:04:07.500000"]
+    assert [(r.latitude, r.longitude, r.altitude, r.turbulence_degree) for r in rows] == [(50, -3, 9000, 3), (50, -3, 9000, 2)]
+    wide = readers.read_amdar_csv(spark, str(path), list(readers.AMDAR_CSV_ALL)).orderBy("datetime").first()
+    assert wide.call_sign == "\u20acAB\u2019" and wide.registration_number == "x11" and wide.relative_humidity == 32
 
 
 def test_store_errors(spark, tmp_path):
@@ -111,14 +120,19 @@ def test_run(spark, sf_dir, tmp_path):
 
 def test_utilities(spark, sf_dir, tmp_path, capsys):
     raw, out = str(tmp_path / "raw"), str(tmp_path / "out")
-    observations(spark, sf_dir).withColumnRenamed("datetime", "timeObs").withColumn("errorType", F.col("error")).withColumn("maxEDRDD", F.col("flag")).write.parquet(raw)
+    observations(spark, sf_dir).withColumnRenamed("datetime", "timeObs").withColumn("turbulenceError", F.col("error")).withColumn("windSpeedDD", F.col("flag")).withColumn("medTurbulence", F.when(F.col("report") % 7 > 0, 1.0)).write.parquet(raw)
     cli.main(["data", "amdar", "preprocess", "-s", "acars", "-i", raw, "-o", out], spark)
     kept = spark.read.parquet(out)
-    assert 0 < kept.count() < spark.read.parquet(raw).count() and kept.where("flag in ('B', 'X') or error = 102").count() == 0
+    assert 0 < kept.count() < spark.read.parquet(raw).count() and kept.where("flag in ('B', 'X') or error = 102 or medTurbulence is null").count() == 0
+    assert not {"turbulenceError", "windSpeedDD"} & set(kept.columns)
     with pytest.raises(NotImplementedError):
         cli.main(["data", "amdar", "preprocess", "-s", "amdar_csv", "-i", raw, "-o", out], spark)
     cli.main(["data", "utils", "repartition", "-d", raw, "-o", str(tmp_path / "p"), "-n", "3"], spark)
-    assert len(list((tmp_path / "p").glob("part-*"))) == 3
+    assert len(list((tmp_path / "p" / "raw").glob("part-*"))) == 3
+    spark.range(10).write.parquet(str(tmp_path / "tree" / "one"))
+    spark.range(20).write.parquet(str(tmp_path / "tree" / "two"))
+    cli.main(["data", "utils", "repartition", "-d", str(tmp_path / "tree"), "-o", str(tmp_path / "q"), "-n", "2", "-r"], spark)
+    assert [spark.read.parquet(str(tmp_path / "q" / x)).count() for x in ("one", "two")] == [10, 20]
     cli.main(["data", "plan", "-y", "2020", "-m", "2", "-d", "-1"], spark)
     assert "29" in capsys.readouterr().out
 
