@@ -155,3 +155,90 @@ def test_sample_is_bounded_and_leaves_out_fold_0(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(500)] + [(None, 1), (7, None)], "doc_id long, quality int")
     rows = classify.labelled_ids(labels, "quality", "doc_id", 100).collect()
     assert len(rows) == 100 and all(fold(r.doc_id) for r in rows)
+
+
+def slow_sgd(bags, labels, dimensions, epochs, rate, seed):
+    """quality.train in plain numbers, one feature at a time."""
+    from math import exp
+
+    random = np.random.default_rng(seed)
+    first = [float(x) for x in random.normal(1, 0.3, dimensions).astype(np.float32)]
+    output, bias, vectors = [[-x for x in first], list(first)], [0.0, 0.0], {}
+    steps, done = epochs * len(bags), 0
+    for _ in range(epochs):
+        for i in random.permutation(len(bags)):
+            step, done = rate * (1 - done / steps), done + 1
+            hidden = [sum(s * vectors.get(f, [0.0] * dimensions)[d] for f, s in bags[i]) for d in range(dimensions)]
+            z = [sum(o * h for o, h in zip(output[k], hidden, strict=True)) + bias[k] for k in (0, 1)]
+            p = [exp(x - max(z)) for x in z]
+            error = [x / sum(p) - (labels[i] == k) for k, x in enumerate(p)]
+            back = [sum(output[k][d] * error[k] for k in (0, 1)) for d in range(dimensions)]
+            for k in (0, 1):
+                output[k] = [o - 0.1 * step * error[k] * h for o, h in zip(output[k], hidden, strict=True)]
+                bias[k] -= 0.1 * step * error[k]
+            for f, s in bags[i]:
+                vectors[f] = [v - step * s * b for v, b in zip(vectors.get(f, [0.0] * dimensions), back, strict=True)]
+    return {f: sum(v[d] * (output[1][d] - output[0][d]) for d in range(dimensions)) for f, v in vectors.items()}, bias[1] - bias[0]
+
+
+def test_quality_training_against_plain_numbers():
+    random, spec = np.random.default_rng(3), features.Spec(bits=8)
+    bags = [(np.unique(random.integers(0, 256, 20)), None) for _ in range(12)]
+    bags = [(ids, random.random(len(ids)).astype(np.float32)) for ids, _ in bags]
+    labels = [int(x) for x in random.integers(0, 2, 12)]
+    model = quality.train(bags, labels, spec, 3, 4, 2.0, 9)
+    weights, bias = slow_sgd([list(zip(i.tolist(), s.tolist(), strict=True)) for i, s in bags], labels, 3, 4, 2.0, 9)
+    assert model.bias == pytest.approx(bias, abs=1e-3)
+    assert all(model.weights[f] == pytest.approx(w, abs=1e-3) for f, w in weights.items())
+    assert not model.weights[[f for f in range(256) if f not in weights]].any()
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_scores_are_those_of_each_text_by_itself(spark, sf_dir, module):
+    """Whole tables at once give what the features of one text after the other give."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = module.fit(docs, labels)
+    found = {r.doc_id: r.score for r in module.score(docs.select("doc_id", "text"), model).collect()}
+    for row in docs.select("doc_id", "text").collect():
+        text = (row.text or "").encode()
+        ((ids, share, count),) = features.bags([text], module.SPEC)
+        if module is quality:
+            z = float(share.astype(float) @ model.weights[ids].astype(float)) + model.bias
+        else:
+            z = float(count @ model.weights[ids].astype(float)) / max(1.0, len(text) / toxicity.UNIT_BYTES) ** 0.5 + model.bias
+        assert found[row.doc_id] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
+
+
+def test_risk_training_against_its_definition(monkeypatch):
+    """Steps along the numerical slope of the corrected risk; where its second term is negative, the other way along that term."""
+    for name, value in (("STEPS", 12), ("MOMENTUM", 0.0), ("DECAY", 0.0), ("RATE", 2.0)):
+        monkeypatch.setattr(toxicity, name, value)
+    random, prior, chosen = np.random.default_rng(4), 0.5, np.array([3, 8])
+    docs = [(np.array([3, 8]), random.random(2) * 4, 100) for _ in range(5)], [(np.array([3, 8]), random.random(2), 5000) for _ in range(9)]
+    positive, unlabelled = ([c / toxicity._scale(np.array([n]))[0] for _, c, n in part] for part in docs)
+    loss = lambda z: float(np.logaddexp(0, z))
+
+    def second(v):
+        return np.mean([loss(x @ v[:2] + v[2]) for x in unlabelled]) - prior * np.mean([loss(x @ v[:2] + v[2]) for x in positive])
+
+    def objective(v, sign):
+        return prior * np.mean([loss(-(x @ v[:2] + v[2])) for x in positive]) + second(v) if sign else -second(v)
+
+    v, seen = np.array([0.0, 0.0, np.log(prior / (1 - prior))]), set()
+    for _ in range(12):
+        sign = bool(second(v) >= 0)
+        seen.add(sign)
+        slope = [(objective(v + d, sign) - objective(v - d, sign)) / 2e-5 for d in np.eye(3) * 1e-5]
+        v = v - 2.0 * np.array(slope)
+    weights, bias = toxicity.train(*docs, chosen, prior)
+    assert seen == {True, False}
+    assert weights == pytest.approx(v[:2], abs=1e-3) and bias == pytest.approx(v[2], abs=1e-3)
+
+
+def test_quality_training_is_bounded_by_bytes(spark):
+    """Documents that do not fit what is left of the bound are passed over, in order of their hash."""
+    docs = spark.createDataFrame([(i, "good text " * 5 if i % 2 else "bad words " * 5) for i in range(40)] + [(99, "x" * 100_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(99, 1)], "doc_id long, quality int")
+    some = quality.fit(docs, labels, most_bytes=1000)
+    none = quality.fit(docs, labels, most_bytes=0)
+    assert some.weights.any() and not none.weights.any() and none.bias == 0
