@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from aerolith.functions import physics
 from aerolith.operators import stencil
-from aerolith.schema import CELL, GRID_VARIABLES, LAT, LEVEL, require
+from aerolith.schema import CELL, GRID_VARIABLES, LAT, LEVEL, TIME, require
 
 _u, _v = lambda: F.col("eastward_wind"), lambda: F.col("northward_wind")
 _phi = lambda: F.col("geopotential")
@@ -130,9 +130,9 @@ def _closure(names: Iterable[str]) -> set[str]:
     return found
 
 
-def derived(grid: DataFrame, names: Iterable[str], uniform_levels: bool = False) -> DataFrame:
+def derived(grid: DataFrame, names: Iterable[str], uniform_levels: bool = False, deal: tuple[str, ...] = (TIME,)) -> DataFrame:
     """grid with these shared columns and all that they need."""
-    grid = stencil.by_time(grid)
+    grid = stencil.by_time(grid, deal)
     wanted = _closure(names)
     for depth in range(1, max(map(_depth, wanted), default=0) + 1):
         layer = {n: SHARED[n][1]() for n in sorted(wanted) if _depth(n) == depth}
@@ -142,16 +142,17 @@ def derived(grid: DataFrame, names: Iterable[str], uniform_levels: bool = False)
     return grid
 
 
-def diagnose(grid: DataFrame, names: Iterable[str] | None = None, uniform_levels: bool = False, keep: Iterable[str] = ()) -> DataFrame:
+def diagnose(grid: DataFrame, names: Iterable[str] | None = None, uniform_levels: bool = False, keep: Iterable[str] = (), deal: tuple[str, ...] = (TIME,)) -> DataFrame:
     """Cell keys, kept columns, and a column for each named diagnostic (all by default). colson_panofsky is null in each first level.
 
     uniform_levels: whether the levels are evenly spaced (stencil.regular_spacing says); it decides how angles are
-    differenced along them.
+    differenced along them. deal: what the grid is dealt out by; (time, pressure_level) spreads few time steps wider, for
+    one exchange more where diagnostics need the level axis.
     """
     names = list(DIAGNOSTICS) if names is None else list(names)
     if unknown := sorted(set(names) - set(DIAGNOSTICS)):
         raise ValueError(f"no diagnostics {unknown}; there are {sorted(DIAGNOSTICS)}")
-    wide = derived(require(grid, [*CELL, "altitude", *GRID_VARIABLES], "grid"), {n for d in names for n in DIAGNOSTICS[d][0]}, uniform_levels)
+    wide = derived(require(grid, [*CELL, "altitude", *GRID_VARIABLES], "grid"), {n for d in names for n in DIAGNOSTICS[d][0]}, uniform_levels, deal)
     return wide.select(*CELL, *keep, *(DIAGNOSTICS[n][1]().alias(n) for n in names))
 
 

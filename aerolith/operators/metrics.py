@@ -140,53 +140,59 @@ def score_counts(df: DataFrame, truth: str, score: str, keys: list[str], positiv
     return held.groupBy(*keys, c(score).alias("score")).agg(F.count_if(c(truth)).alias("p"), F.count_if(~c(truth)).alias("n"))
 
 
-def curve(df: DataFrame, truth: str, score: str, keys: list[str] | None = None, intervals: int = -1, positive: object | None = None) -> DataFrame:
+def curve(df: DataFrame, truth: str, score: str, keys: list[str] | None = None, intervals: int = -1, positive: object | None = None, spread: bool = False) -> DataFrame:
     """(keys, threshold, tp, fp): counts of labels at or over each distinct score.
 
     intervals: leave out thresholds that are followed by a step no larger than the range over so many; -1 for none.
-    Without keys the running counts are made within ranges of scores, and the totals of the ranges above are added, so
-    that no one task holds all scores.
+    Without keys, and with spread for each of a few keys with many scores, the running counts are made within ranges of
+    scores, and the totals of the ranges above are added, so that no one task holds all scores of a key.
     """
     keys = keys or []
     counts = score_counts(df, truth, score, keys, positive)
-    if keys:
+    if keys and not spread:
         w = Window.partitionBy(*keys).orderBy(F.desc("score"))
         made = counts.select(*keys, c("score").alias("threshold"), F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp"))
     else:
-        held = _ranged(counts, "score")
-        w = Window.partitionBy("_range").orderBy(F.desc("score"))
-        sums = held.groupBy("_range").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))  # RANGES rows at most
-        above = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-        before = sums.select("_range", F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_p"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_n"))
-        inside = held.select("_range", "score", F.sum("p").over(w).alias("p"), F.sum("n").over(w).alias("n"))
-        made = inside.join(F.broadcast(before), "_range").select(c("score").alias("threshold"), (c("p") + c("_p")).alias("tp"), (c("n") + c("_n")).alias("fp"))
+        held = _ranged(counts, "score", keys)
+        w = Window.partitionBy(*keys, "_range").orderBy(F.desc("score"))
+        sums = held.groupBy(*keys, "_range").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))  # RANGES rows a key at most
+        above = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        before = sums.select(*keys, "_range", F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_p"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_n"))
+        inside = held.select(*keys, "_range", "score", F.sum("p").over(w).alias("p"), F.sum("n").over(w).alias("n"))
+        made = inside.join(before if keys else F.broadcast(before), [*keys, "_range"]).select(*keys, c("score").alias("threshold"), (c("p") + c("_p")).alias("tp"), (c("n") + c("_n")).alias("fp"))
     if intervals == -1:
         return made
     steps = made.groupBy(*keys).agg(((F.max("threshold") - F.min("threshold")) / intervals).alias("_step"))
-    wide = _beside(made, keys, "threshold", ["threshold"], after=True)
+    wide = _beside(made, keys, "threshold", ["threshold"], after=True, spread=spread)
     wide = wide.join(steps, keys) if keys else wide.crossJoin(F.broadcast(steps))  # without keys one row
     return wide.where(c("_beside").isNull() | (c("threshold") - c("_beside.threshold") > c("_step"))).select(*made.columns)
 
 
-def _ranged(df: DataFrame, column: str) -> DataFrame:
-    """df with `_range`: 0 for the largest values of the column, RANGES - 1 at most."""
-    edges = df.agg(F.percentile_approx(column, [i / RANGES for i in range(1, RANGES)])).first()[0] or []
-    return df.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, edges)).cast("array<double>"), lambda e: e > c(column))) if edges else F.lit(0))
+def _ranged(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """df with `_range`, within each key: 0 for the largest values of the column, RANGES - 1 at most. Keys are not null."""
+    edges = F.percentile_approx(column, [i / RANGES for i in range(1, RANGES)]).cast("array<double>")
+    above = lambda all_: F.size(F.filter(all_, lambda e: e > c(column)))
+    if keys:
+        return df.join(df.groupBy(*keys).agg(edges.alias("_edges")), keys).withColumn("_range", above(c("_edges"))).drop("_edges")
+    held = df.agg(edges).first()[0] or []
+    return df.withColumn("_range", above(F.array(*map(F.lit, held)).cast("array<double>")) if held else F.lit(0))
 
 
-def _beside(df: DataFrame, keys: list[str], column: str, fields: list[str], after: bool = False) -> DataFrame:
+def _beside(df: DataFrame, keys: list[str], column: str, fields: list[str], after: bool = False, spread: bool = False) -> DataFrame:
     """df with `_beside`: the fields of the row before in falling order of the column, or of the row after; null where there is none.
 
-    Without keys, rows are put side by side within ranges of the column, whose ends are looked up among the ranges.
+    Without keys, or with spread, rows are put side by side within ranges of the column, whose ends are looked up among
+    the ranges.
     """
     one, move = F.struct(*fields), F.lead if after else F.lag
-    if keys:
+    if keys and not spread:
         return df.withColumn("_beside", move(one).over(Window.partitionBy(*keys).orderBy(F.desc(column))))
-    held = _ranged(df, column)
-    ends = held.groupBy("_range").agg((F.max_by if after else F.min_by)(one, c(column)).alias("_end"))
-    ends = ends.select("_range", move("_end").over(Window.orderBy("_range")).alias("_next"))  # RANGES rows at most
-    inside = held.withColumn("_here", move(one).over(Window.partitionBy("_range").orderBy(F.desc(column))))
-    return inside.join(F.broadcast(ends), "_range").withColumn("_beside", F.coalesce("_here", "_next")).drop("_range", "_here", "_next")
+    held = _ranged(df, column, keys)
+    ends = held.groupBy(*keys, "_range").agg((F.max_by if after else F.min_by)(one, c(column)).alias("_end"))
+    ends = ends.select(*keys, "_range", move("_end").over(Window.partitionBy(*keys).orderBy("_range")).alias("_next"))  # RANGES rows a key at most
+    inside = held.withColumn("_here", move(one).over(Window.partitionBy(*keys, "_range").orderBy(F.desc(column))))
+    joined = inside.join(ends if keys else F.broadcast(ends), [*keys, "_range"])
+    return joined.withColumn("_beside", F.coalesce("_here", "_next")).drop("_range", "_here", "_next")
 
 
 def roc(points: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -197,11 +203,11 @@ def roc(points: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return rated.unionByName(ends.where("_tp is not null").select(*keys, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")))
 
 
-def area(rates: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def area(rates: DataFrame, keys: list[str] | None = None, spread: bool = False) -> DataFrame:
     """(keys, auc, points): trapezoids under roc's rows in order of falling threshold, and how many rows; auc is null with fewer than two."""
     keys = keys or []
     part = (c("fpr") - c("_beside.fpr")) * (c("tpr") + c("_beside.tpr")) / 2
-    held = _beside(rates, keys, "threshold", ["fpr", "tpr"]).withColumn("_part", part)
+    held = _beside(rates, keys, "threshold", ["fpr", "tpr"], spread=spread).withColumn("_part", part)
     return held.groupBy(*keys).agg(F.sum("_part").alias("auc"), F.count("*").alias("points"))
 
 

@@ -101,6 +101,16 @@ def nearest_index(value: Column, axis: Iterable[float]) -> Column:
     return F.when(value.isNotNull(), F.array_min(apart)["i"])
 
 
+def nearest_of(value: Column, axis: Iterable[float]) -> Column:
+    """nearest_index, by arithmetic where the axis rises evenly, as long axes do; values beyond its ends have the end's."""
+    axis = [float(x) for x in axis]
+    steps = np.diff(axis)
+    if len(axis) < 3 or steps[0] <= 0 or not np.allclose(steps, steps[0], rtol=0, atol=1e-9):
+        return nearest_index(value, axis)
+    # of two at the same distance the first
+    return F.least(F.greatest(F.ceil((value - axis[0]) / float(steps[0]) - 0.5), F.lit(0)), F.lit(len(axis) - 1)).cast("int")
+
+
 def nearest_level(altitude: Column, levels: list[float], level_altitudes: list[float]) -> Column:
     """The pressure level whose altitude is nearest."""
     return F.element_at(F.array(*(F.lit(float(x)) for x in levels)), nearest_index(altitude, level_altitudes) + 1)
@@ -124,8 +134,16 @@ def value_at(index: Column, axis: list) -> Column:
     return F.when(index.isNull(), None).when((index >= 0) & (index < len(axis)), F.element_at(F.array(*map(F.lit, axis)), index + 1)).otherwise(bad)
 
 
+def _axis_value(index: Column, axis: list[int]) -> Column:
+    """The axis' value at an index that it has; by arithmetic where it is even."""
+    steps = np.diff(axis)
+    if len(axis) > 2 and (steps == steps[0]).all():
+        return F.lit(axis[0]) + index * int(steps[0])
+    return F.element_at(F.array(*map(F.lit, axis)), index + 1)
+
+
 class Axes:
-    """The grid's four axes, read once; each is a short list on the driver."""
+    """The grid's four axes, read once; each is a short list on the driver. Indices on even axes are arithmetic."""
 
     def __init__(self, grid: DataFrame) -> None:
         row = grid.agg(*(F.sort_array(F.collect_set(k)).alias(k) for k in (TIME, LEVEL, LAT, LON))).first()
@@ -145,8 +163,8 @@ class Axes:
         (lat0, dlat), (lon0, dlon) = self._regular(self.lat), self._regular(self.lon)
         seconds = [int((t - self.time[0]).total_seconds()) for t in self.time]
         second = F.unix_seconds(c("datetime").cast("timestamp")) - F.unix_seconds(F.lit(self.time[0]).cast("timestamp"))
-        near = nearest_index(second.cast("double"), map(float, seconds))
-        apart = F.abs(second - F.element_at(F.array(*map(F.lit, seconds)), near + 1))
+        near = nearest_of(second.cast("double"), seconds)
+        apart = F.abs(second - _axis_value(near, seconds))
         return observations.withColumns({
             "level_index": nearest_index(c("level"), self.level), "lat_index": regular_index(c(LAT), lat0, dlat, len(self.lat)),
             "lon_index": regular_index(c(LON), lon0, dlon, len(self.lon)), "time_index": F.when(apart <= int(tolerance_hours * 3600), near),
@@ -154,12 +172,12 @@ class Axes:
 
     def number(self, grid: DataFrame) -> DataFrame:
         """grid with its own index columns."""
-        place = lambda k, axis: nearest_index(c(k), axis)
+        place = lambda k, axis: nearest_of(c(k), axis)
         first = F.unix_seconds(F.lit(self.time[0]).cast("timestamp"))
         seconds = [float((t - self.time[0]).total_seconds()) for t in self.time]
         return grid.withColumns({
             "level_index": place(LEVEL, self.level), "lat_index": place(LAT, self.lat), "lon_index": place(LON, self.lon),
-            "time_index": nearest_index((F.unix_seconds(c(TIME).cast("timestamp")) - first).cast("double"), seconds),
+            "time_index": nearest_of((F.unix_seconds(c(TIME).cast("timestamp")) - first).cast("double"), seconds),
         })
 
     def flat(self) -> Column:
@@ -227,7 +245,7 @@ def nearest_value_roc(gathered: DataFrame, conditions: list[ValidationCondition]
     tagged = F.array(*(F.struct(F.lit(x.column).alias("column"), c(f"_t{i}").alias("truth")) for i, x in enumerate(conditions)))
     long = cells.select(F.explode(tagged).alias("x"), *names).select("x.column", "x.truth", *names).unpivot(["column", "truth"], names, "diagnostic", "score")
     keys = ["column", "diagnostic"]
-    return metrics.roc(metrics.curve(long, "truth", "score", keys), keys)
+    return metrics.roc(metrics.curve(long, "truth", "score", keys, spread=True), keys)
 
 
 def bilinear(df: DataFrame, x: Column, y: Column, corners: dict[str, Column], x0: Column, x1: Column, y0: Column, y1: Column) -> DataFrame:

@@ -66,6 +66,8 @@ class Calibration:
     percentiles: Thresholds | None = None
     thresholds_file: str | None = None
     parameters_file: str | None = None
+    #: Percentiles by a sketch of bounded size instead of all distinct values.
+    approximate: bool = False
 
     def __post_init__(self) -> None:
         _known(self.phases, CALIBRATION_PHASES, "calibration phases")

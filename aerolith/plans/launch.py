@@ -55,4 +55,4 @@ def verification(gathered: DataFrame, names: list[str], conditions: list[Validat
     """ROC curves, their areas, and a map of grouped skill for each condition."""
     roc = observe.nearest_value_roc(gathered, conditions, names)
     maps = {f"skill_{x.column}": metrics.skill_map(gathered, x.column, x.greater_than, names, strategy.keys, least, metric, tie=["report"]) for x in conditions}
-    return {"roc": roc, "auc": metrics.area(roc, ["column", "diagnostic"])} | maps
+    return {"roc": roc, "auc": metrics.area(roc, ["column", "diagnostic"], spread=True)} | maps

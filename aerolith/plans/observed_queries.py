@@ -289,7 +289,7 @@ def _curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("met1_curve_by_group", _L(_CURVE_G))
 def _curve_g(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.curve(_lines(spark, sf_dir), "t", "s", ["g"])
+    return metrics.curve(_lines(spark, sf_dir), "t", "s", ["g"], spread=True)
 
 
 @register("met1_win16_curve_steps", _L("SELECT threshold, tp, fp FROM (SELECT *, lead(threshold) OVER (ORDER BY threshold DESC) AS after, (max(threshold) OVER () - min(threshold) OVER ()) / 20 AS step FROM cur) WHERE after IS NULL OR threshold - after > step", [f"cur AS ({_CURVE_ALL})"]))
@@ -366,7 +366,7 @@ roc AS (SELECT diagnostic, s, tp / max(tp) OVER (PARTITION BY diagnostic) AS tpr
 def _nearest_roc(spark: SparkSession, sf_dir: str) -> DataFrame:
     curve = observe.nearest_value_roc(_harmonised(spark, sf_dir), [CONDITION], NAMES)
     keys = ["column", "diagnostic"]
-    return metrics.area(curve, keys).select(*keys, "points", r(c("auc"), 4).alias("auc"))
+    return metrics.area(curve, keys, spread=True).select(*keys, "points", r(c("auc"), 4).alias("auc"))
 
 
 # sinks: written, read again ------------------------------------------------------------------------------------------

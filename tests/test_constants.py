@@ -187,3 +187,38 @@ def test_quality_filters(spark):
     df = spark.createDataFrame([("Z", 112, 5.0), ("X", 45, 5.0), ("S", 102, 5.0), ("G", 45, None)], "flag string, error int, v double")
     assert filters.good_errors(filters.good_flags(df, ["flag", "none"]), ["error"]).count() == 2
     assert filters.complete(df, ["v", "absent"], ["flag", "gone"]).columns == ["flag"]
+
+
+def test_nearest_on_even_axes(spark):
+    """Arithmetic gives what comparing all values gives, ties included."""
+    even, uneven = [float(x) for x in range(-10, 30, 4)], [0.0, 1.0, 5.0]
+    df = spark.range(-150, 350).select((F.col("id") / 10).alias("v"))
+    for axis in (even, uneven):
+        assert df.select(observe.nearest_of(F.col("v"), axis).alias("a"), observe.nearest_index(F.col("v"), axis).alias("b")).where("a != b").count() == 0
+
+
+def test_boxes_of_a_table(spark):
+    """Points on edges are in all boxes that they touch, whatever the boxes' sizes."""
+    held = [(0, 0.0, 0.0, 2.0, 2.0), (1, 2.0, 0.0, 7.0, 3.0), (2, -3.0, -1.0, 0.0, 5.0), (3, 6.5, 2.5, 6.75, 9.0)]
+    grid = spark.createDataFrame(held, "index_right int, min_x double, min_y double, max_x double, max_y double")
+    points = [(float(x) / 2, float(y) / 2) for x in range(-8, 16) for y in range(-4, 20)]
+    found = observe.join_boxes(spark.createDataFrame(points, "longitude double, latitude double"), grid).collect()
+    assert sorted((r.longitude, r.latitude, r.index_right) for r in found) == sorted((x, y, k) for x, y in points for k, a, b, c, d in held if a <= x <= c and b <= y <= d)
+
+
+@pytest.mark.parametrize("keys", [[], ["g"]])
+def test_curves_in_ranges_are_whole_curves(spark, keys):
+    from pyspark.sql import Window
+
+    df = spark.range(3000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 2503 / 10).alias("s"), (F.col("id") * 31 % 7 < 3).alias("t"))
+    found = metrics.curve(df, "t", "s", keys, spread=True)
+    w = Window.partitionBy(*keys).orderBy(F.desc("score"))
+    counts = metrics.score_counts(df, "t", "s", keys)
+    whole = counts.select(*keys, F.col("score").alias("threshold"), F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp"))
+    assert sorted(found.collect()) == sorted(whole.collect())
+    roc = metrics.roc(found, keys)
+    v = Window.partitionBy(*keys).orderBy(F.desc("threshold"))
+    parts = roc.withColumn("a", (F.col("fpr") - F.lag("fpr").over(v)) * (F.col("tpr") + F.lag("tpr").over(v)) / 2)
+    wanted = {tuple(r[k] for k in keys): (r.a, r.n) for r in parts.groupBy(*keys).agg(F.sum("a").alias("a"), F.count("*").alias("n")).collect()}
+    for r in metrics.area(roc, keys, spread=True).collect():
+        assert (r.auc, r.points) == (pytest.approx(wanted[tuple(r[k] for k in keys)][0]), wanted[tuple(r[k] for k in keys)][1])
