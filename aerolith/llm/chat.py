@@ -97,6 +97,7 @@ def digests(examples: DataFrame) -> DataFrame:
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation as read back from its examples; a conversation's turns come together in one row, as its result is one."""
     turns = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = f"{END}{OPEN} ok {CLOSE}"
     extra = spark.range(1, 3).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 1, "user").otherwise(ASSISTANT).alias("role"), F.lit(said).alias("text"))

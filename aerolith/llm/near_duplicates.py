@@ -335,7 +335,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     Rows of equal fingerprints, or fingerprints that differ in two bits or fewer, are linked. With a similarity, texts
     whose sets of WORDS-word shingles reach it are linked too.
     Null and empty texts, and texts of white space alone, have fingerprint 0 and are linked like any other. A null id
-    is no component's name unless it has no other. Repeated rows each give a row. Other columns are not read.
+    is no component's name unless it has no other. Texts are read whole however long. Repeated rows each give a row. An
+    empty table gives no rows. Other columns are not read, whatever their names.
     """
     mark = common.live()
     near = None if similarity is None else (common.broadcast(docs.sparkSession, common_shingles(docs, id_col, text_col)), similarity)
@@ -370,5 +371,6 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document, by two bits of difference."""
     found = classes(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
