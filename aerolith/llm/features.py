@@ -16,7 +16,7 @@ _M32 = np.uint32(0x9E3779B1)
 _P64 = 0x9E3779B97F4A7C15 | 1
 _M64 = np.uint64(0xD6E8FEB86659FD93)
 _SPACES = bytes.maketrans(b"\t\n\v\f\r", b"     ")
-_SIZE = 1 << 20
+_SIZE = 1 << 19
 
 
 @dataclass(frozen=True)
