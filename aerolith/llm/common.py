@@ -50,9 +50,13 @@ def shared_dir(spark: SparkSession) -> str:
 _OWN: dict[str, str] = {}
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, read again: lineage is cut and nothing is computed twice."""
+def written(df: DataFrame, narrow: bool = False) -> DataFrame:
+    """df as a table in the shared folder, read again: lineage is cut and nothing is computed twice.
+
+    narrow: rows of a few numbers, which are written as one file for each core of the cluster at most.
+    """
     spark = df.sparkSession
+    df = df.coalesce(max(2, spark.sparkContext.defaultParallelism)) if narrow else df
     path = f"{shared_dir(spark)}/aerolith-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_drop, spark, path)

@@ -188,21 +188,21 @@ def links(nodes: DataFrame) -> DataFrame:
     A key's fingerprints are compared pair by pair up to FEW. A larger key is split by segment C, and of each part all are
     compared with the least, then all pairs that are not connected by then.
     """
-    sizes = common.written(_keyed(nodes).groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
+    sizes = common.written(_keyed(nodes).groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), True)
     twos = sizes.where((F.col("n") == 2) & _close(F.col("a"), F.col("b"))).select("a", "b")
-    more = common.written(_keyed(nodes).join(sizes.where("n > 2").select("key", "n"), "key"))
+    more = common.written(_keyed(nodes).join(sizes.where("n > 2").select("key", "n"), "key"), True)
     few = more.where(F.col("n") <= FEW).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("g"))
     pairs = F.flatten(F.transform("g", lambda x, i: F.transform(F.filter(F.slice("g", i + 2, F.lit(FEW)), lambda y: _close(x, y)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     fews = few.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
-    edges = common.written(twos.unionByName(fews).distinct())
+    edges = common.written(twos.unionByName(fews).distinct(), True)
     of_key = Window.partitionBy("key")
     many = _split(more.where(F.col("n") > FEW)).select("key", "fp", F.min("fp").over(of_key).alias("least"), F.max("fp").over(of_key).alias("most")).where("least < most")
-    many = common.written(many.select("key", "fp", "least"))
+    many = common.written(many.select("key", "fp", "least"), True)
     stars = many.where((F.col("fp") > F.col("least")) & _close(F.col("fp"), F.col("least"))).select(F.col("least").alias("a"), F.col("fp").alias("b"))
-    edges = common.written(edges.unionByName(stars).distinct())
+    edges = common.written(edges.unionByName(stars).distinct(), True)
     rooted = many.join(components(edges).toDF("fp", "root"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
     parted = rooted.select("*", F.min("root").over(of_key).alias("lo"), F.max("root").over(of_key).alias("hi")).where("lo < hi").select("key", "fp", "root")
-    parted = common.written(parted)
+    parted = common.written(parted, True)
     close = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & _close(F.col("x.fp"), F.col("y.fp"))
     across = parted.alias("x").join(parted.alias("y"), close).select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b"))
     return edges.unionByName(across).distinct()
@@ -214,7 +214,7 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star rounds: each links a node's larger neighbours, then its smaller ones, to the least node
     among them and itself. A round never parts or joins components; when none changes an edge, all edges are stars.
     """
-    edges = common.written(edges.select("a", "b"))
+    edges = common.written(edges.select("a", "b"), True)
     state = _state(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -223,7 +223,7 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.groupBy(F.col("b").alias("a")).agg(F.min("m").alias("least"))
         small = large.select(F.col("b").alias("a"), F.col("m").alias("c")).join(down, "a")
         spread = small.select(F.explode(F.array(F.struct(F.col("least").alias("a"), F.col("c").alias("b")), F.struct(F.col("least").alias("a"), F.col("a").alias("b")))).alias("p"))
-        before, edges = edges, common.written(spread.select("p.a", "p.b").where("a < b").distinct())
+        before, edges = edges, common.written(spread.select("p.a", "p.b").where("a < b").distinct(), True)
         common.dropped(before)
         if (now := _state(edges)) == state:
             break
@@ -289,14 +289,14 @@ def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, te
                 sets = [shingle_set(x, words) for x in batch.column(1)[lo:hi].to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(sets, pa.list_(pa.int64()))], ["fp", "s"])
 
-    pairs = common.written(plausible(pairs, nodes, similarity))
-    wanted = common.written(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.select("fp", F.col("least").alias("id")), "fp"))
+    pairs = common.written(plausible(pairs, nodes, similarity), True)
+    wanted = common.written(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.select("fp", F.col("least").alias("id")), "fp"), True)
     texts = docs.select(F.col(id_col).alias("id"), common.as_bytes(text_col).alias("data")).join(_held(wanted, wanted.count()), "id").select("fp", "data")
     sets = texts.mapInArrow(shingled, "fp long, s array<long>")
     sets = common.written(sets.dropDuplicates(["fp"]) if repeated else sets)
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    out = common.written(both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b"))
+    out = common.written(both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), True)
     common.dropped(pairs, wanted, sets)
     return out
 
@@ -317,16 +317,16 @@ def near_links(docs: DataFrame, nodes: DataFrame, edges: DataFrame, id_col: str,
     shared = foremost.withColumn("centre", F.min(F.when(F.col("at") == F.col("least_at"), F.col("fp"))).over(of_key)).drop("least_at")
     shared = common.written(shared)
     stars = shared.where("fp != centre").select(F.least("centre", "fp").alias("a"), F.greatest("centre", "fp").alias("b")).distinct()
-    stars = common.written(stars)
-    edges = common.written(edges.unionByName(similar(docs, nodes, stars, id_col, text_col, similarity, repeated)).distinct())
+    stars = common.written(stars, True)
+    edges = common.written(edges.unionByName(similar(docs, nodes, stars, id_col, text_col, similarity, repeated)).distinct(), True)
     rooted = shared.where("n > 2").drop("n", "centre").join(components(edges).toDF("fp", "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     parted = rooted.select("*", F.min("root").over(of_key).alias("lo"), F.max("root").over(of_key).alias("hi")).where("lo < hi").drop("lo", "hi")
-    parted = common.written(parted)
+    parted = common.written(parted, True)
     across = parted.alias("x").join(parted.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & _can_be_similar(similarity))
     others = across.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    others = common.written(others)
+    others = common.written(others, True)
     common.dropped(shared, parted)
-    return common.written(edges.unionByName(similar(docs, nodes, others, id_col, text_col, similarity, repeated)).distinct())
+    return common.written(edges.unionByName(similar(docs, nodes, others, id_col, text_col, similarity, repeated)).distinct(), True)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, similarity: float | None = None) -> DataFrame:
@@ -364,7 +364,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = classes(docs, id_col, text_col, words, similarity)
     name = common.unused(docs, "gone")
-    per = common.written(rows.groupBy(F.col(id_col).alias(name)).agg(F.count("*").alias("n"), F.bool_or(F.col(id_col).eqNullSafe(F.col("component_id"))).alias("stays")))
+    per = common.written(rows.groupBy(F.col(id_col).alias(name)).agg(F.count("*").alias("n"), F.bool_or(F.col(id_col).eqNullSafe(F.col("component_id"))).alias("stays")), True)
     gone, repeated = per.agg(F.count_if(~F.col("stays")), F.coalesce(F.max("n"), F.lit(0)) > 1).first()
     left = docs.join(_held(per.where(~F.col("stays")).select(name), gone), docs[id_col].eqNullSafe(F.col(name)), "left_anti")
     return left.dropDuplicates([id_col]) if repeated else left
