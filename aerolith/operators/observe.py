@@ -238,14 +238,17 @@ def on_grid(grid: DataFrame, per_box: DataFrame, by: str = "index_right") -> Dat
     return grid.join(per_box, by, "right")
 
 
-def nearest_value_roc(gathered: DataFrame, conditions: list[ValidationCondition], names: list[str]) -> DataFrame:
-    """(column, diagnostic, threshold, fpr, tpr): a cell is positive if any of its observations is, its score the mean value."""
+def nearest_value_roc(gathered: DataFrame, conditions: list[ValidationCondition], names: list[str], spread: bool = False) -> DataFrame:
+    """(column, diagnostic, threshold, fpr, tpr): a cell is positive if any of its observations is, its score the mean value.
+
+    spread: as in metrics.curve; it reads gathered several times, so that should be a written table then.
+    """
     truths = [F.bool_or(c(x.column) > x.greater_than).alias(f"_t{i}") for i, x in enumerate(conditions)]
     cells = gathered.groupBy(*INDICES).agg(*truths, *(F.avg(n).alias(n) for n in names))
     tagged = F.array(*(F.struct(F.lit(x.column).alias("column"), c(f"_t{i}").alias("truth")) for i, x in enumerate(conditions)))
     long = cells.select(F.explode(tagged).alias("x"), *names).select("x.column", "x.truth", *names).unpivot(["column", "truth"], names, "diagnostic", "score")
     keys = ["column", "diagnostic"]
-    return metrics.roc(metrics.curve(long, "truth", "score", keys, spread=True), keys)
+    return metrics.roc(metrics.curve(long, "truth", "score", keys, spread=spread), keys)
 
 
 def bilinear(df: DataFrame, x: Column, y: Column, corners: dict[str, Column], x0: Column, x1: Column, y0: Column, y1: Column) -> DataFrame:
