@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from aerolith.functions.physics import ratio
@@ -221,28 +220,22 @@ def area_of_points(df: DataFrame, x: str, y: str) -> DataFrame:
     return rows.agg(F.when(few, F.raise_error(F.lit("two points at least")).cast("double")).when(bad, F.raise_error(F.lit("x is not monotonic")).cast("double")).otherwise(F.abs(F.sum("_a")) * F.signum(F.sum("_a")) * F.when(F.min("_s") < 0, -1.0).otherwise(1.0)).alias("auc"))
 
 
-def _simpson(y, x) -> float:
-    """Simpson's rule on any spacing, a parabola through each three points; a last odd panel takes the parabola before it."""
-    import numpy as np
-
-    y, x = np.asarray(y, float), np.asarray(x, float)
-    if len(x) < 3:
-        return float(((x[1:] - x[:-1]) * (y[1:] + y[:-1]) / 2).sum())
-    h = np.diff(x)
-    total = 0.0
-    for i in range(0, len(h) - 1, 2):
-        a, b = h[i], h[i + 1]
-        if a == 0 or b == 0:
-            total += a * (y[i] + y[i + 1]) / 2 + b * (y[i + 1] + y[i + 2]) / 2
-        else:
-            total += (a + b) / 6 * ((2 - b / a) * y[i] + (a + b) ** 2 / (a * b) * y[i + 1] + (2 - a / b) * y[i + 2])
-    if len(h) % 2:
-        a, b = h[-2], h[-1]
-        if a == 0 or b == 0:
-            total += b * (y[-1] + y[-2]) / 2
-        else:
-            total += y[-1] * (2 * b * b + 3 * a * b) / (6 * (a + b)) + y[-2] * (b * b + 3 * a * b) / (6 * a) - y[-3] * b**3 / (6 * a * (a + b))
-    return float(total)
+def _simpson_part(x: Column, y: Column, place: Column, n: Column, w: WindowSpec) -> Column:
+    """What a row adds to Simpson's rule on any spacing: a parabola through each three points, from its first point.
+
+    place counts rows from 1 in the window's order. With an odd number of panels the last row adds the last one, by the
+    parabola of the three last points; with two rows it is a trapezoid. A step of nothing makes both panels trapezoids.
+    """
+    after = lambda v, k: F.lead(v, k).over(w)
+    before = lambda v, k: F.lag(v, k).over(w)
+    flat = lambda h, u, v: h * (u + v) / 2
+    a, b = after(x, 1) - x, after(x, 2) - after(x, 1)
+    three = (a + b) / 6 * ((2 - b / a) * y + (a + b) * (a + b) / (a * b) * after(y, 1) + (2 - a / b) * after(y, 2))
+    pair = F.when((a == 0) | (b == 0), flat(a, y, after(y, 1)) + flat(b, after(y, 1), after(y, 2))).otherwise(three)
+    d, e = before(x, 1) - before(x, 2), x - before(x, 1)
+    tail = y * (2 * e * e + 3 * d * e) / (6 * (d + e)) + before(y, 1) * (e * e + 3 * d * e) / (6 * d) - before(y, 2) * e * e * e / (6 * d * (d + e))
+    one = F.when((n == 2) | (d == 0) | (e == 0), flat(e, y, before(y, 1))).otherwise(tail)
+    return F.when((place % 2 == 1) & (place + 2 <= n), pair).when((place == n) & (n % 2 == 0), one)
 
 
 def grouped(df: DataFrame, truth: str, score: str, keys: list[str], metric: GroupMetric, least: int, simpson: bool = False, compat: bool = False, tie: list[str] | None = None) -> DataFrame:
@@ -264,19 +257,10 @@ def grouped(df: DataFrame, truth: str, score: str, keys: list[str], metric: Grou
     rows = rows.withColumns({"_tpr": ratio(c("_tp").cast("double"), c("_p").cast("double")), "_fpr": F.when(c("_n") == c("_p"), F.lit(0.0)).otherwise(ratio((c("_i") - c("_tp")).cast("double"), (c("_n") - c("_p")).cast("double")))})
     if metric is GroupMetric.TSS:
         value = F.max(c("_tpr") + c("_fpr") - 1 if compat else c("_tpr") - c("_fpr"))
-    elif not simpson:
-        rows = rows.withColumn("_part", (c("_fpr") - F.lag("_fpr").over(w)) * (c("_tpr") + F.lag("_tpr").over(w)) / 2)
-        value = F.coalesce(F.sum("_part"), F.lit(0.0))
     else:
-        def simpson_of(group: pd.DataFrame) -> pd.DataFrame:
-            group = group.sort_values("_i")
-            first = group.iloc[:1][[*keys]].copy()
-            first["value"], first["n"], first["_p"] = _simpson(group["_tpr"], group["_fpr"]), len(group), int(group["_p"].iloc[0])
-            return first
-
-        schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-        made = rows.select(*keys, "_i", "_tpr", "_fpr", "_p").groupBy(*keys).applyInPandas(simpson_of, f"{schema}, value double, n long, _p long")
-        return made.select(*keys, F.when(c("n") < least, None).when(c("_p") < 2, -1.0).otherwise(c("value")).alias("value"), "n")
+        trapezoid = (c("_fpr") - F.lag("_fpr").over(w)) * (c("_tpr") + F.lag("_tpr").over(w)) / 2
+        rows = rows.withColumn("_part", _simpson_part(c("_fpr"), c("_tpr"), c("_i"), c("_n"), w) if simpson else trapezoid)
+        value = F.coalesce(F.sum("_part"), F.lit(0.0))
     made = rows.groupBy(*keys).agg(value.alias("value"), F.count("*").alias("n"), F.max("_p").alias("_p"))
     return made.select(*keys, F.when(c("n") < least, None).when(c("_p") < 2, -1.0).otherwise(c("value")).alias("value"), "n")
 

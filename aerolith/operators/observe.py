@@ -6,7 +6,6 @@ import math
 from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -261,9 +260,13 @@ def bilinear(df: DataFrame, x: Column, y: Column, corners: dict[str, Column], x0
 def interpolate(points: DataFrame, grid: DataFrame, column: str, lats: list[float], lons: list[float], method: str = "linear", keys: list[str] | None = None) -> DataFrame:
     """points x (time, level) with the column's value at each point; points beyond the regular axes are an error.
 
-    linear: the four cells around a point, joined by index. nearest: the nearest cell, halves to even. pchip: monotone
-    cubics along longitude and then latitude, a slice at a time in numpy.
+    linear: the four cells around a point. nearest: the nearest cell, halves to even. pchip: monotone cubics along longitude
+    and then latitude, whose slopes need no cells but the sixteen around a point. Cells are joined by index, so points may
+    be as many as they like. A point with a cell absent or null among those that it needs has a null; repeated points each
+    have their rows.
     """
+    if method not in ("linear", "nearest", "pchip"):
+        raise ValueError("method is linear, nearest or pchip")
     keys = keys or [TIME, LEVEL]
     require(points, [LAT, LON])
     bad = ~c(LAT).between(lats[0], lats[-1]) | ~c(LON).between(lons[0], lons[-1])
@@ -274,49 +277,41 @@ def interpolate(points: DataFrame, grid: DataFrame, column: str, lats: list[floa
     if method == "nearest":
         at = points.withColumns({"_i": F.rint(fi).cast("int"), "_j": F.rint(fj).cast("int")})
         return at.join(cells, ["_i", "_j"]).withColumnRenamed("_f", column).drop("_i", "_j")
+    i, j = F.least(F.floor(fi), F.lit(len(lats) - 2)).cast("int"), F.least(F.floor(fj), F.lit(len(lons) - 2)).cast("int")
+    reach = range(2) if method == "linear" else range(-1, 3)
+    around = F.array(*(F.struct((i + a).alias("i"), (j + b).alias("j"), F.lit(a).alias("a"), F.lit(b).alias("b")) for a in reach for b in reach))
+    own = points.groupBy(*points.columns).agg(F.count("*").alias("_times"))
+    near = own.withColumn("_c", F.explode(around)).withColumns({"_i": c("_c.i"), "_j": c("_c.j")})
+    value = {(a, b): F.max(F.when((c("_c.a") == a) & (c("_c.b") == b), c("_f"))) for a in reach for b in reach}
+    held = near.join(cells, ["_i", "_j"]).groupBy(*own.columns, *keys).agg(*(v.alias(f"_{a - reach[0]}{b - reach[0]}") for (a, b), v in value.items()))
+    f = [[c(f"_{a}{b}") for b in range(len(reach))] for a in range(len(reach))]
     if method == "linear":
-        i, j = F.least(F.floor(fi), F.lit(len(lats) - 2)).cast("int"), F.least(F.floor(fj), F.lit(len(lons) - 2)).cast("int")
-        weight = lambda t, up: t if up else 1 - t
-        around = F.array(*(F.struct((i + a).alias("i"), (j + b).alias("j"), (weight(fi - i, a) * weight(fj - j, b)).alias("w")) for a in (0, 1) for b in (0, 1)))
-        four = points.withColumn("_c", F.explode(around)).withColumns({"_i": c("_c.i"), "_j": c("_c.j")})
-        return four.join(cells, ["_i", "_j"]).groupBy(*points.columns, *keys).agg(F.sum(c("_c.w") * c("_f")).alias(column))
-    if method != "pchip":
-        raise ValueError("method is linear, nearest or pchip")
-    wanted = [tuple(r) for r in points.select(*points.columns).collect()]  # the points are a route or a list of stations
-    names = points.columns
-    la, lo = names.index(LAT), names.index(LON)
-
-    def smooth(group: pd.DataFrame) -> pd.DataFrame:
-        field = group.pivot(index=LAT, columns=LON, values=column).sort_index().sort_index(axis=1)
-        x, y, f = field.columns.to_numpy(float), field.index.to_numpy(float), field.to_numpy(float)
-        along = np.stack([_pchip(x, row, np.array([p[lo] for p in wanted])) for row in f])
-        out = pd.DataFrame(wanted, columns=names)
-        out[column] = [float(_pchip(y, along[:, k], np.array([p[la]]))[0]) for k, p in enumerate(wanted)]
-        for k in keys:
-            out[k] = group[k].iloc[0]
-        return out
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema), f"`{column}` double", *(f"`{k}` {grid.schema[k].dataType.simpleString()}" for k in keys)])
-    return grid.select(*keys, LAT, LON, column).groupBy(*keys).applyInPandas(smooth, schema)
-
-
-def _pchip(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Monotone piecewise cubic Hermite interpolation: harmonic-mean slopes inside, one-sided three-point slopes at the ends."""
-    h, d = np.diff(x), np.diff(y) / np.diff(x)
-    m = np.zeros(len(x))
-    if len(x) == 2:
-        m[:] = d[0]
+        made = straight(fi - i, *(straight(fj - j, *row) for row in f))
     else:
-        w1, w2 = 2 * h[1:] + h[:-1], h[1:] + 2 * h[:-1]
-        same = d[:-1] * d[1:] > 0
-        with np.errstate(divide="ignore", invalid="ignore"):
-            m[1:-1] = np.where(same, (w1 + w2) / (w1 / d[:-1] + w2 / d[1:]), 0)
-        for end, (h0, h1, d0, d1) in ((0, (h[0], h[1], d[0], d[1])), (-1, (h[-1], h[-2], d[-1], d[-2]))):
-            slope = ((2 * h0 + h1) * d0 - h0 * d1) / (h0 + h1)
-            m[end] = 0 if np.sign(slope) != np.sign(d0) else 3 * d0 if np.sign(d0) != np.sign(d1) and abs(slope) > 3 * abs(d0) else slope
-    i = np.clip(np.searchsorted(x, at, side="right") - 1, 0, len(x) - 2)
-    t = (at - x[i]) / h[i]
-    return (1 + 2 * t) * (1 - t) ** 2 * y[i] + t * (1 - t) ** 2 * h[i] * m[i] + t * t * (3 - 2 * t) * y[i + 1] + t * t * (t - 1) * h[i] * m[i + 1]
+        made = monotone(fi - i, *(monotone(fj - j, *row, j == 0, j == len(lons) - 2) for row in f), i == 0, i == len(lats) - 2)
+    return held.withColumn(column, made).withColumn("_times", F.explode(F.sequence(F.lit(1), c("_times").cast("int")))).select(*points.columns, *keys, column)
+
+
+def straight(t: Column, f0: Column, f1: Column) -> Column:
+    return f0 * (1 - t) + f1 * t
+
+
+def monotone(t: Column, before: Column, f0: Column, f1: Column, after: Column, first: Column, last: Column) -> Column:
+    """A monotone cubic at t in 0..1 from f0 to f1, with the values before and after them on an even axis.
+
+    Slopes are harmonic means of the steps on both sides, 0 where these differ in sign. first, last: nothing lies before,
+    or after; the slope at that end is a one-sided one of three points that keeps the sign of its step.
+    """
+    left, step, right = f0 - before, f1 - f0, after - f1
+    inner = lambda d, e: F.when(d * e > 0, 2 * d * e / (d + e)).when((d * e).isNotNull(), 0.0)
+
+    def end(d: Column, e: Column) -> Column:
+        slope = (3 * d - e) / 2
+        return F.when(F.signum(slope) != F.signum(d), 0.0).when((F.signum(d) != F.signum(e)) & (F.abs(slope) > 3 * F.abs(d)), 3 * d).otherwise(slope)
+
+    at_0 = F.when(first & last, step).when(first, end(step, right)).otherwise(inner(left, step))
+    at_1 = F.when(first & last, step).when(last, end(step, left)).otherwise(inner(step, right))
+    return (1 + 2 * t) * (1 - t) * (1 - t) * f0 + t * (1 - t) * (1 - t) * at_0 + t * t * (3 - 2 * t) * f1 + t * t * (t - 1) * at_1
 
 
 def same_axes(a: DataFrame, b: DataFrame) -> None:

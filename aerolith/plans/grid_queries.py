@@ -517,7 +517,24 @@ def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("point", LAT, LON, hour(), LEVEL, "temperature")
 
 
-@register("jon17_interpolate_pchip")
+def _cubic(source: str, made: str, keep: str, f: str, line: str, place: str, at: str, last: int) -> list[str]:
+    """Tables up to `made`: the columns of keep and v, the monotone cubic of f along place at the position at, per line."""
+    over = f"OVER (PARTITION BY {line} ORDER BY {place})"
+    end = lambda d, e: f"(CASE WHEN sign(3 * ({d}) - ({e})) <> sign({d}) THEN 0 WHEN sign({d}) <> sign({e}) AND abs((3 * ({d}) - ({e})) / 2) > 3 * abs({d}) THEN 3 * ({d}) ELSE (3 * ({d}) - ({e})) / 2 END)"
+    steps = f"SELECT *, {f} - lag({f}) {over} AS s1, lag({f}) {over} - lag({f}, 2) {over} AS s2, lead({f}) {over} - {f} AS n1, lead({f}, 2) {over} - lead({f}) {over} AS n2 FROM {source}"
+    slopes = f"SELECT *, CASE WHEN s1 IS NULL THEN {end('n1', 'n2')} WHEN n1 IS NULL THEN {end('s1', 's2')} WHEN s1 * n1 > 0 THEN 2 * s1 * n1 / (s1 + n1) ELSE 0 END AS m FROM ({steps})"
+    beside = f"SELECT *, lead({f}) {over} AS f1, lead(m) {over} AS m1, {at} - {place} AS t FROM ({slopes})"
+    return [f"{made} AS (SELECT {keep}, (1 + 2 * t) * (1 - t) * (1 - t) * {f} + t * (1 - t) * (1 - t) * m + t * t * (3 - 2 * t) * f1 + t * t * (t - 1) * m1 AS v FROM ({beside}) WHERE {place} = least(floor({at}), {last}))"]
+
+
+_EACH = "at_row AS (SELECT g.hour, g.pressure_level, g.i, g.j, g.temperature AS f, p.point, p.lat, p.lon, p.fi, p.fj FROM gi g CROSS JOIN pts p)"
+_PCHIP = [
+    _PTS, _EACH, *_cubic("at_row", "along", "hour, pressure_level, i, point, lat, lon, fi", "f", "point, hour, pressure_level, i", "j", "fj", 16),
+    *_cubic("along", "cubic", "hour, pressure_level, point, lat, lon", "v", "point, hour, pressure_level", "i", "fi", 10),
+]
+
+
+@register("jon17_interpolate_pchip", tables(f"SELECT point, lat AS latitude, lon AS longitude, hour, pressure_level, {q('v', 6)} AS temperature FROM cubic", more=_PCHIP))
 def _smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = observe.interpolate(_points(spark), lattice(spark, sf_dir), "temperature", _LATS, _LONS, "pchip")
     return made.select("point", LAT, LON, hour(), LEVEL, r(temp(), 6).alias("temperature"))

@@ -214,6 +214,12 @@ _ROWS = """pts AS (SELECT index_right, level_index, ti1, report, "maxEDR" > 0.3
   FROM gat WINDOW w AS (PARTITION BY index_right, level_index ORDER BY ti1 DESC, report ROWS UNBOUNDED PRECEDING), g AS (PARTITION BY index_right, level_index)),
 rates AS (SELECT *, tp / nullif(p, 0)::DOUBLE AS tpr, CASE WHEN n = p THEN 0.0 ELSE (i - tp) / (n - p)::DOUBLE END AS fpr FROM pts)"""
 _AUC_PARTS = "parts AS (SELECT *, (fpr - lag(fpr) OVER w) * (tpr + lag(tpr) OVER w) / 2 AS a FROM rates WINDOW w AS (PARTITION BY index_right, level_index ORDER BY i))"
+_STEPS_SQL = "steps AS (SELECT *, fpr - lag(fpr, 1) OVER w AS e, lag(fpr, 1) OVER w - lag(fpr, 2) OVER w AS d, lag(tpr, 1) OVER w AS y1, lag(tpr, 2) OVER w AS y2 FROM rates WINDOW w AS (PARTITION BY index_right, level_index ORDER BY i))"
+#: d and e are the last two steps up to a row, so a parabola is added by its third point here.
+_SIMPSON_PARTS = """simp AS (SELECT *, CASE
+    WHEN i % 2 = 1 AND i > 2 THEN CASE WHEN d = 0 OR e = 0 THEN d * (y2 + y1) / 2 + e * (y1 + tpr) / 2 ELSE (d + e) / 6 * ((2 - e / d) * y2 + (d + e) * (d + e) / (d * e) * y1 + (2 - d / e) * tpr) END
+    WHEN i = n AND n % 2 = 0 THEN CASE WHEN n = 2 OR d = 0 OR e = 0 THEN e * (y1 + tpr) / 2 ELSE tpr * (2 * e * e + 3 * d * e) / (6 * (d + e)) + y1 * (e * e + 3 * d * e) / (6 * d) - y2 * e * e * e / (6 * d * (d + e)) END
+  END AS a FROM steps)"""
 _GROUPED = "SELECT index_right, level_index, round(CASE WHEN count(*) < 5 THEN NULL WHEN max(p) < 2 THEN -1 ELSE {value} END, 6) AS value, count(*) AS n FROM {source} GROUP BY ALL"
 
 
@@ -243,7 +249,7 @@ def _area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grouped(spark, sf_dir, GroupMetric.AUC)
 
 
-@register("agg26_area_simpson")
+@register("agg26_area_simpson", _O(_GROUPED.format(value="coalesce(sum(a), 0)", source="simp"), [*_GATHER, _ROWS, _STEPS_SQL, _SIMPSON_PARTS], True))
 def _simpson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grouped(spark, sf_dir, GroupMetric.AUC, simpson=True)
 

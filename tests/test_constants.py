@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from aerolith.functions import geodesy, physics
@@ -98,11 +99,35 @@ def test_odds(spark):
     assert row.o == pytest.approx(1.83, abs=0.005) and row.r == pytest.approx(1.82, abs=0.005)
 
 
-def test_simpson():
-    x = np.array([0.0, 0.1, 0.4, 0.7, 1.0])
-    assert metrics._simpson(x**2, x) == pytest.approx(1 / 3)
-    assert metrics._simpson((x**2)[:4], x[:4]) == pytest.approx(0.7**3 / 3)
-    assert metrics._simpson(np.array([0, 1]), np.array([0, 1])) == 0.5
+def _simpson(y, x):
+    """Each pair of panels by the parabola through its points, a last odd one by the last three points'."""
+    if len(x) < 3:
+        return float(np.trapezoid(y, x))
+    total, last = 0.0, len(x) - 1 - (len(x) - 1) % 2
+    for i in [*range(0, last, 2), *([len(x) - 3] if len(x) % 2 == 0 else [])]:
+        low = i + i % 2
+        held = slice(i, i + 3)
+        if 0 in np.diff(x[held]):
+            total += np.trapezoid(y[low : i + 3], x[low : i + 3])
+        else:
+            whole = np.polyint(np.polyfit(x[held], y[held], 2))
+            total += np.polyval(whole, x[i + 2]) - np.polyval(whole, x[low])
+    return float(total)
+
+
+def test_simpson(spark):
+    rng = np.random.default_rng(4)
+    sets = {"five": [0.0, 0.1, 0.4, 0.7, 1.0], "four": [0.0, 0.1, 0.4, 0.7], "two": [0.0, 1.0], "one": [0.5], "ties": [0.0, 0.0, 0.5, 0.5, 0.5, 1.0]}
+    sets |= {f"any{n}": np.sort(rng.random(n)).tolist() for n in range(3, 12)}
+    rows = [(g, i + 1, len(xs), x, x * x if g in ("five", "four") else float(rng.random())) for g, xs in sets.items() for i, x in enumerate(xs)]
+    df = spark.createDataFrame(rows, "g string, place int, n int, x double, y double")
+    w = Window.partitionBy("g").orderBy("place")
+    parts = df.withColumn("part", metrics._simpson_part(F.col("x"), F.col("y"), F.col("place"), F.col("n"), w))
+    found = {r.g: r.area for r in parts.groupBy("g").agg(F.coalesce(F.sum("part"), F.lit(0.0)).alias("area")).collect()}
+    assert found["five"] == pytest.approx(1 / 3) and found["four"] == pytest.approx(0.7**3 / 3)
+    for g, xs in sets.items():
+        ys = np.array([r[4] for r in rows if r[0] == g])
+        assert found[g] == pytest.approx(_simpson(ys, np.array(xs)), abs=1e-9), g
 
 
 def test_grouped_skill(spark):
@@ -132,12 +157,26 @@ def test_components_and_distances():
             assert true[np.ravel_multi_index(cells.T, shape) == which[at]][0] == pytest.approx(true.min())
 
 
-def test_pchip_keeps_monotone_data_monotone():
-    x, y = np.array([0.0, 1, 2, 4, 5]), np.array([0.0, 1, 1, 3, 10])
-    at = np.linspace(0, 5, 101)
-    found = observe._pchip(x, y, at)
-    assert (np.diff(found) >= -1e-12).all() and np.allclose(observe._pchip(x, y, x), y)
-    assert np.allclose(observe._pchip(x, 2 * x + 1, at), 2 * at + 1)
+def test_monotone_interpolation(spark):
+    """Nodes keep their values, monotone lines stay monotone, straight ones straight; repeated points have their rows."""
+    lats, lons = [0.0, 1.0, 2.0], [0.0, 2.0, 4.0, 6.0, 8.0]
+    along = [0.0, 1.0, 1.0, 3.0, 10.0]
+    cells = [(k, lat, lon, along[j] if k == "bent" else 3 * lat + lon if k == "even" else None if (lat, lon) == (0.0, 8.0) else 1.0) for k in ("bent", "even", "holed") for lat in lats for j, lon in enumerate(lons)]
+    grid = spark.createDataFrame(cells, "k string, latitude double, longitude double, f double")
+    places = [(float(y), float(x)) for y in (0.0, 0.3, 1.0, 1.9, 2.0) for x in np.linspace(0, 8, 33)]
+    points = spark.createDataFrame([*places, places[0]], "latitude double, longitude double")
+    for method in ("pchip", "linear"):
+        found = observe.interpolate(points, grid, "f", lats, lons, method, ["k"]).collect()
+        assert len(found) == 3 * len(places) + 3
+        at = {(r.k, r.latitude, r.longitude): r.f for r in found}
+        for y in (0.0, 0.3, 1.0, 1.9, 2.0):
+            bent = [at["bent", y, x] for x in np.linspace(0, 8, 33)]
+            assert (np.diff(bent) >= -1e-12).all() and bent[::8] == pytest.approx(along)
+        assert all(at["even", y, x] == pytest.approx(3 * y + x) for y, x in places)
+        assert at["holed", 0.0, 8.0] is None and at["holed", 0.3, 0.25] == pytest.approx(1.0)
+    ends = spark.createDataFrame([("k", y, x, 5 * y + x) for y in (0.0, 1.0) for x in (0.0, 2.0)], "k string, latitude double, longitude double, f double")
+    half = spark.createDataFrame([(0.5, 1.0)], "latitude double, longitude double")
+    assert observe.interpolate(half, ends, "f", [0.0, 1.0], [0.0, 2.0], "pchip", ["k"]).first().f == pytest.approx(3.5)
 
 
 def test_boxes_and_joins(spark):
