@@ -38,7 +38,7 @@ def execute(spark: SparkSession, run: config.Run) -> dict[str, DataFrame]:
     thresholds = parameters = None
     if cal.data is not None:
         grid = filters.select_domain(readers.canonical(readers.read_grid(spark, config.folder(cal.data))), run.domain)
-        found, held = launch.calibration(grid, names, cal.percentiles or filters.Thresholds(light=97.0, severe=99.0), cal.approximate)
+        found, held = launch.calibration(grid, names, cal.percentiles or filters.Thresholds(light=97.0, severe=99.0), cal.approximate, cal.spread)
         if "thresholds" in cal.phases and cal.thresholds_file is None:
             thresholds = out["thresholds"] = found
             writers.write_thresholds(launch.as_thresholds(found), run.output, run.name)

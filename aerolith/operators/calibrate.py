@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations_with_replacement
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolith.functions import physics
@@ -52,20 +52,55 @@ def across_columns(df: DataFrame, columns: list[str], method: str, name: str, ap
     return df.select("*", out) if append else df.select(*(c for c in df.columns if c not in columns), out)
 
 
-def percentile_thresholds(wide: DataFrame, names: list[str], percentiles: Thresholds, approximate: bool = False, accuracy: int = 10_000) -> DataFrame:
-    """(diagnostic, light .. severe): values at the percentiles, null where a percentile is; one pass for all names.
+def percentile_thresholds(wide: DataFrame, names: list[str], percentiles: Thresholds, approximate: bool = False, accuracy: int = 10_000, spread: bool = False) -> DataFrame:
+    """(diagnostic, light .. severe): values at the percentiles, null where a percentile is; all names together.
 
-    approximate: by a bounded sketch, for grids whose distinct values are too many for one exact aggregation.
+    approximate: by a bounded sketch. spread: exact as by default, but without a buffer of all distinct values: a sketch
+    says between which values a percentile lies, and a second pass ranks only those. It reads wide twice, so that should
+    be kept or written then.
     """
     held = [(str(s), p / 100) for s, p in zip(Severity, percentiles.values(), strict=True) if p is not None]
     if any(not 0 <= p <= 1 for _, p in held):
         raise ValueError("percentiles lie in 0..100")
+    if spread and not approximate and held:
+        return _ranked(wide, names, held, accuracy)
     points = F.array(*(F.lit(p) for _, p in held))
     of = (lambda c: F.percentile_approx(c, points, accuracy)) if approximate else (lambda c: F.percentile(c, points))
     row = wide.agg(*(of(F.col(n)).alias(n) for n in names))
     long = row.unpivot([], names, "diagnostic", "v")
-    value = {s: F.col("v")[i] for i, (s, _) in enumerate(held)}
-    return long.select("diagnostic", *(value.get(str(s), F.lit(None).cast("double")).alias(str(s)) for s in Severity))
+    return long.select("diagnostic", *_by_severity({s: F.col("v")[i] for i, (s, _) in enumerate(held)}))
+
+
+def _by_severity(value: dict[str, Column]) -> list[Column]:
+    return [value.get(str(s), F.lit(None).cast("double")).alias(str(s)) for s in Severity]
+
+
+def _ranked(wide: DataFrame, names: list[str], held: list[tuple[str, float]], accuracy: int) -> DataFrame:
+    """percentile_thresholds in two passes. Values under a percentile's range are counted as one, values in it by value.
+
+    A sketch's rank errs by a share of 1 / accuracy at most, and ranges reach three times as far.
+    """
+    long = wide.select(*(F.col(n).cast("double").alias(n) for n in names)).unpivot([], names, "diagnostic", "v").where("v is not null")
+    reach = 3 / accuracy
+    low, high = [max(p - reach, 0.0) for _, p in held], [min(p + reach, 1.0) for _, p in held]
+    edges = long.groupBy("diagnostic").agg(F.percentile_approx("v", low + high, accuracy).alias("edges"), F.count("*").alias("all"))  # a row a name
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("k"), F.col("edges")[i].alias("low"), F.col("edges")[i + len(held)].alias("high")) for i in range(len(held)))))
+    near = long.join(F.broadcast(edges), "diagnostic").select("diagnostic", "all", "v", each.alias("x")).where("v <= x.high")
+    counts = near.groupBy("diagnostic", "all", F.col("x.k").alias("k"), F.expr("if(v < x.low, null, v)").alias("v")).agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("diagnostic", "k").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    place = F.element_at(F.array(*(F.lit(p) for _, p in held)), F.col("k") + 1) * (F.col("all") - 1)
+    summed = counts.withColumns({"upto": F.sum("n").over(upto), "place": place})
+    at = lambda rank: F.min(F.when(F.col("v").isNotNull() & (F.col("upto") > rank), F.col("v")))
+    under = F.coalesce(F.max(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0))
+    found = summed.groupBy("diagnostic", "k", "place").agg(at(F.floor("place")).alias("below"), at(F.ceil("place")).alias("above"), under.alias("under"))
+    part = F.col("place") - F.floor("place")
+    between = F.when((part == 0) | (F.col("below") == F.col("above")), F.col("below")).otherwise((F.ceil("place") - F.col("place")) * F.col("below") + part * F.col("above"))
+    sure = (F.col("under") <= F.floor("place")) & F.col("above").isNotNull()
+    value = found.select("diagnostic", "k", F.when(sure, between).otherwise(F.raise_error(F.lit("a sketch erred by more than it may")).cast("double")).alias("v"))
+    all_names = wide.sparkSession.createDataFrame([(n,) for n in names], "diagnostic string")
+    wanted = {s: F.max(F.when(F.col("k") == i, F.col("v"))) for i, (s, _) in enumerate(held)}
+    made = value.groupBy("diagnostic").agg(*(v.alias(s) for s, v in wanted.items()))
+    return all_names.join(made, "diagnostic", "left").select("diagnostic", *_by_severity({s: F.col(s) for s in wanted}))
 
 
 def distribution_parameters(long: DataFrame) -> DataFrame:

@@ -68,6 +68,7 @@ class Calibration:
     parameters_file: str | None = None
     #: Percentiles by a sketch of bounded size instead of all distinct values.
     approximate: bool = False
+    spread: bool = True
 
     def __post_init__(self) -> None:
         _known(self.phases, CALIBRATION_PHASES, "calibration phases")

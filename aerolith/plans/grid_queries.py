@@ -262,12 +262,21 @@ def _across(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed(df, *places, *plain, *(r(c(f"_{m}"), k).alias(m) for m, k in digits.items()), r(F.element_at("_cumsum", 2), 6).alias("cumsum_2"), F.element_at("_cumprod", 2).alias("cumprod_2"))
 
 
-@register("agg2_percentile_thresholds", tables(f"SELECT diagnostic, {_pct(90)} AS light, {_pct(93)} AS light_to_moderate, {_pct(95)} AS moderate, {_pct(None)} AS moderate_to_severe, {_pct(99)} AS severe FROM long GROUP BY diagnostic", more=_LONG))
+_THRESHOLD_ROWS = tables(f"SELECT diagnostic, {_pct(90)} AS light, {_pct(93)} AS light_to_moderate, {_pct(95)} AS moderate, {_pct(None)} AS moderate_to_severe, {_pct(99)} AS severe FROM long GROUP BY diagnostic", more=_LONG)
+
+
+@register("agg2_percentile_thresholds", _THRESHOLD_ROWS)
 def _percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = calibrate.percentile_thresholds(_wide(spark, sf_dir), NAMES, PERCENTILES)
     return made.select("diagnostic", *(r(c(str(s)) * _scale(), 3).alias(str(s)) for s in Severity))
 
 
+@register("agg2_percentile_thresholds_spread", _THRESHOLD_ROWS)
+def _percentiles_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = calibrate.percentile_thresholds(_wide(spark, sf_dir), NAMES, PERCENTILES, spread=True)
+    return made.select("diagnostic", *(r(c(str(s)) * _scale(), 3).alias(str(s)) for s in Severity))
+
+
 _ALL = list(DIAGNOSTIC_SQL)
 _ALL_SCALE = lambda: F.element_at(F.create_map(*(x for n in _ALL for x in (F.lit(n), F.lit(10.0 ** DIAGNOSTIC_SQL[n][1])))), c("diagnostic"))
 

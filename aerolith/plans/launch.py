@@ -11,10 +11,16 @@ from aerolith.operators.filters import Domain, Thresholds
 from aerolith.schema import CELL, LEVEL, GroupBy, GroupMetric, Severity, ThresholdMode, ValidationCondition
 
 
-def calibration(grid: DataFrame, names: list[str], percentiles: Thresholds, approximate: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(thresholds, distribution parameters) of each diagnostic; the wide table is worked out once for both."""
+def calibration(grid: DataFrame, names: list[str], percentiles: Thresholds, approximate: bool = False, spread: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(thresholds, distribution parameters) of each diagnostic, worked out here: one row a name each, kept as small tables.
+
+    The wide table is worked out once for both and let go. approximate, spread: as in calibrate.percentile_thresholds.
+    """
     wide = diagnostics.diagnose(grid, names).persist(StorageLevel.MEMORY_AND_DISK)
-    return calibrate.percentile_thresholds(wide, names, percentiles, approximate), calibrate.distribution_parameters(diagnostics.long_form(wide, names))
+    made = calibrate.percentile_thresholds(wide, names, percentiles, approximate, spread=spread), calibrate.distribution_parameters(diagnostics.long_form(wide, names))
+    kept = tuple(grid.sparkSession.createDataFrame(x.collect(), x.schema) for x in made)
+    wide.unpersist()
+    return kept
 
 
 def as_thresholds(rows: DataFrame) -> dict[str, Thresholds]:

@@ -115,6 +115,19 @@ def _simpson(y, x):
     return float(total)
 
 
+def test_percentiles_in_two_passes(spark):
+    """Equal to the exact aggregation, with ties, a value that half the rows have, nulls and a column of nulls alone."""
+    n = 40_000
+    df = spark.range(n).select(
+        F.rand(3).alias("a"), F.when(F.rand(5) < 0.5, 0.0).otherwise(F.randn(7)).alias("b"), F.floor(F.rand(11) * 7).cast("double").alias("c"),
+        F.when(F.rand(13) < 0.1, F.exp(F.randn(17))).alias("d"), F.lit(None).cast("double").alias("e"), F.when(F.col("id") == 5, 2.5).alias("f"),
+    ).persist()
+    for percentiles in (Thresholds(light=0, light_to_moderate=50, moderate=95, severe=100), Thresholds(light=33.3, severe=99.9)):
+        wanted, found = ({r.diagnostic: tuple(r)[1:] for r in calibrate.percentile_thresholds(df, list("abcdef"), percentiles, accuracy=100, spread=x).collect()} for x in (False, True))
+        assert found == wanted
+    df.unpersist()
+
+
 def test_simpson(spark):
     rng = np.random.default_rng(4)
     sets = {"five": [0.0, 0.1, 0.4, 0.7, 1.0], "four": [0.0, 0.1, 0.4, 0.7], "two": [0.0, 1.0], "one": [0.5], "ties": [0.0, 0.0, 0.5, 0.5, 0.5, 1.0]}
