@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from aerolith.llm import chat, context_tree, decontaminate, encoding, language, near_duplicates, neighbours, quality, token_counts, toxicity
+from aerolith.llm import chat, context_tree, decontaminate, encoding, filter_audit, language, mixing, near_duplicates, neighbours, quality, spelling, token_counts, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_lm_score": context_tree.op8_lm_score,
     "op9_neighbours": neighbours.op9_neighbours,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_mix": mixing.op11_mix,
+    "op12_spelling": spelling.op12_spelling,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
 }
-ORACLES = {"op7_chat_format": chat.ORACLE}
+ORACLES = {"op7_chat_format": chat.ORACLE, "op11_mix": mixing.ORACLE, "op12_spelling": spelling.ORACLE, "op13_filter_audit": filter_audit.ORACLE}
