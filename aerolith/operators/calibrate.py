@@ -159,11 +159,42 @@ def by_severity(long: DataFrame, bounds: DataFrame) -> DataFrame:
     return joined.withColumn("turbulent", F.coalesce((F.col("value") >= F.col("lower")) & (F.col("value") < F.col("upper")), F.lit(False))).drop("lower", "upper")
 
 
-def turbulence_probability(long: DataFrame, bounds: DataFrame, levels: list[float] | None = None) -> DataFrame:
-    """(diagnostic, severity, level, lat, lon, probability): percent of the grid's times at which the cell is turbulent."""
-    long = long if levels is None else long.where(F.col(LEVEL).isin(levels))
-    hits = by_severity(long, bounds).groupBy("diagnostic", "severity", LEVEL, LAT, LON).agg(F.sum(F.col("turbulent").cast("int")).alias("hits"), F.count_distinct(TIME).alias("times"))
-    return hits.select("diagnostic", "severity", LEVEL, LAT, LON, (100.0 * F.col("hits") / F.col("times")).alias("probability"))
+def turbulence_probabilities(wide: DataFrame, bounds: DataFrame, names: list[str], levels: list[float] | None = None) -> DataFrame:
+    """(severity, level, lat, lon, a column for each name): percent of the grid's times at which the cell is turbulent.
+
+    One sum a name and severity on the wide table, so a cell's time is one row to the exchange whatever their number. bounds:
+    rows of severity_bounds, five a name at most; they are looked up at once and become numbers in the sums. A name without
+    bounds for a severity is null there.
+    """
+    wide = wide if levels is None else wide.where(F.col(LEVEL).isin(levels))
+    held = {(x.diagnostic, x.severity): (x.lower, x.upper) for x in bounds.select("diagnostic", "severity", "lower", "upper").collect()}
+    kinds = [str(s) for s in Severity if any((n, str(s)) in held for n in names)]
+    if not kinds:
+        return wide.select(F.lit("").alias("severity"), LEVEL, LAT, LON, *(F.lit(0.0).alias(n) for n in names)).limit(0)
+    inside = lambda n, b: F.coalesce(((F.col(n) >= b[0]) & (F.col(n) < b[1])).cast("int"), F.lit(0))
+    sums = wide.groupBy(LEVEL, LAT, LON).agg(*(F.sum(inside(n, held[n, s])).alias(f"{s}|{n}") for s in kinds for n in names if (n, s) in held))
+    times = wide.agg(F.count_distinct(TIME).alias("_times"))  # one row
+    share = lambda s, n: (100.0 * F.col(f"{s}|{n}") / F.col("_times") if (n, s) in held else F.lit(None).cast("double")).alias(n)
+    rows = F.explode(F.array(*(F.struct(F.lit(s).alias("severity"), *(share(s, n) for n in names)) for s in kinds))).alias("x")
+    return sums.crossJoin(F.broadcast(times)).select(LEVEL, LAT, LON, rows).select("x.severity", LEVEL, LAT, LON, *(f"x.{n}" for n in names))
+
+
+def turbulence_probability(wide: DataFrame, bounds: DataFrame, names: list[str], levels: list[float] | None = None) -> DataFrame:
+    """turbulence_probabilities in long form: (diagnostic, severity, level, lat, lon, probability)."""
+    return probability_rows(turbulence_probabilities(wide, bounds, names, levels), names)
+
+
+def probability_rows(probabilities: DataFrame, names: list[str]) -> DataFrame:
+    keys = ["severity", LEVEL, LAT, LON]
+    return probabilities.unpivot(keys, names, "diagnostic", "probability").where("probability is not null").select("diagnostic", *keys, "probability")
+
+
+def edr_columns(wide: DataFrame, parameters: DataFrame, names: list[str], c1: float = physics.EDR_C1, c2: float = physics.EDR_C2) -> DataFrame:
+    """wide with dissipation rates in place of the named diagnostics; null for a name without parameters (a row a name, looked up at once)."""
+    held = {x.diagnostic: (x["mean"], x.variance) for x in parameters.select("diagnostic", "mean", "variance").collect()}
+    number = lambda x: F.lit(x).cast("double")
+    made = {n: physics.eddy_dissipation(F.col(n), *map(number, held[n]), c1, c2) if n in held else number(None) for n in names}
+    return wide.withColumns(made)
 
 
 def to_edr(long: DataFrame, parameters: DataFrame, c1: float = physics.EDR_C1, c2: float = physics.EDR_C2) -> DataFrame:

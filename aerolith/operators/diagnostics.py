@@ -130,9 +130,9 @@ def _closure(names: Iterable[str]) -> set[str]:
     return found
 
 
-def derived(grid: DataFrame, names: Iterable[str], uniform_levels: bool = False, deal: tuple[str, ...] = (TIME,)) -> DataFrame:
-    """grid with these shared columns and all that they need."""
-    grid = stencil.by_time(grid, deal)
+def derived(grid: DataFrame, names: Iterable[str], uniform_levels: bool = False, deal: tuple[str, ...] | None = (TIME,)) -> DataFrame:
+    """grid with these shared columns and all that they need. deal: None for a grid that is dealt out already."""
+    grid = grid if deal is None else stencil.by_time(grid, deal)
     wanted = _closure(names)
     for depth in range(1, max(map(_depth, wanted), default=0) + 1):
         layer = {n: SHARED[n][1]() for n in sorted(wanted) if _depth(n) == depth}
@@ -142,18 +142,24 @@ def derived(grid: DataFrame, names: Iterable[str], uniform_levels: bool = False,
     return grid
 
 
-def diagnose(grid: DataFrame, names: Iterable[str] | None = None, uniform_levels: bool = False, keep: Iterable[str] = (), deal: tuple[str, ...] = (TIME,)) -> DataFrame:
+def diagnose(grid: DataFrame, names: Iterable[str] | None = None, uniform_levels: bool = False, keep: Iterable[str] = (), deal: tuple[str, ...] = (TIME,), rows: int | None = None) -> DataFrame:
     """Cell keys, kept columns, and a column for each named diagnostic (all by default). colson_panofsky is null in each first level.
 
     uniform_levels: whether the levels are evenly spaced (stencil.regular_spacing says); it decides how angles are
     differenced along them. deal: what the grid is dealt out by; (time, pressure_level) spreads few time steps wider, for
-    one exchange more where diagnostics need the level axis.
+    one exchange more where diagnostics need the level axis. rows: about how many rows of a time a task takes; times of
+    more are dealt out in bands with repeated rows at their borders (stencil.bands), still by one exchange.
     """
     names = list(DIAGNOSTICS) if names is None else list(names)
     if unknown := sorted(set(names) - set(DIAGNOSTICS)):
         raise ValueError(f"no diagnostics {unknown}; there are {sorted(DIAGNOSTICS)}")
-    wide = derived(require(grid, [*CELL, "altitude", *GRID_VARIABLES], "grid"), {n for d in names for n in DIAGNOSTICS[d][0]}, uniform_levels, deal)
-    return wide.select(*CELL, *keep, *(DIAGNOSTICS[n][1]().alias(n) for n in names))
+    held = require(grid, [*CELL, "altitude", *GRID_VARIABLES], "grid")
+    shared = {n for d in names for n in DIAGNOSTICS[d][0]}
+    made = [DIAGNOSTICS[n][1]().alias(n) for n in names]
+    if rows is None:
+        return derived(held, shared, uniform_levels, deal).select(*CELL, *keep, *made)
+    banded = derived(stencil.bands(held, rows), shared, uniform_levels, None)
+    return stencil.own_rows(banded.select(*CELL, "_row_is_own", *keep, *made))
 
 
 def long_form(wide: DataFrame, names: list[str], keys: list[str] | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -221,28 +221,43 @@ def area_of_points(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def _simpson_part(x: Column, y: Column, place: Column, n: Column, w: WindowSpec) -> Column:
-    """What a row adds to Simpson's rule on any spacing: a parabola through each three points, from its first point.
+    """What a row adds to Simpson's rule on any spacing, of rows in the window's order; place counts them from 1."""
+    beside = lambda v, k: F.lead(v, k).over(w) if k > 0 else F.lag(v, -k).over(w)
+    return _simpson_of({k: (beside(x, k), beside(y, k)) if k else (x, y) for k in range(-2, 3)}, place, n)
 
-    place counts rows from 1 in the window's order. With an odd number of panels the last row adds the last one, by the
-    parabola of the three last points; with two rows it is a trapezoid. A step of nothing makes both panels trapezoids.
+
+def _simpson_of(points: dict[int, tuple[Column, Column]], place: Column, n: Column) -> Column:
+    """What a row adds to Simpson's rule: a parabola through each three points, from its first point.
+
+    points: (x, y) of the row (0) and of the two before and after it. With an odd number of panels the last row adds the
+    last one, by the parabola of the three last points; with two rows it is a trapezoid. A step of nothing makes both panels
+    trapezoids.
     """
-    after = lambda v, k: F.lead(v, k).over(w)
-    before = lambda v, k: F.lag(v, k).over(w)
+    (x2, y2), (x1, y1), (x, y), (x3, y3), (x4, y4) = (points[k] for k in range(-2, 3))
     flat = lambda h, u, v: h * (u + v) / 2
-    a, b = after(x, 1) - x, after(x, 2) - after(x, 1)
-    three = (a + b) / 6 * ((2 - b / a) * y + (a + b) * (a + b) / (a * b) * after(y, 1) + (2 - a / b) * after(y, 2))
-    pair = F.when((a == 0) | (b == 0), flat(a, y, after(y, 1)) + flat(b, after(y, 1), after(y, 2))).otherwise(three)
-    d, e = before(x, 1) - before(x, 2), x - before(x, 1)
-    tail = y * (2 * e * e + 3 * d * e) / (6 * (d + e)) + before(y, 1) * (e * e + 3 * d * e) / (6 * d) - before(y, 2) * e * e * e / (6 * d * (d + e))
-    one = F.when((n == 2) | (d == 0) | (e == 0), flat(e, y, before(y, 1))).otherwise(tail)
+    a, b = x3 - x, x4 - x3
+    three = (a + b) / 6 * ((2 - b / a) * y + (a + b) * (a + b) / (a * b) * y3 + (2 - a / b) * y4)
+    pair = F.when((a == 0) | (b == 0), flat(a, y, y3) + flat(b, y3, y4)).otherwise(three)
+    d, e = x1 - x2, x - x1
+    tail = y * (2 * e * e + 3 * d * e) / (6 * (d + e)) + y1 * (e * e + 3 * d * e) / (6 * d) - y2 * e * e * e / (6 * d * (d + e))
+    one = F.when((n == 2) | (d == 0) | (e == 0), flat(e, y, y1)).otherwise(tail)
     return F.when((place % 2 == 1) & (place + 2 <= n), pair).when((place == n) & (n % 2 == 0), one)
 
 
-def grouped(df: DataFrame, truth: str, score: str, keys: list[str], metric: GroupMetric, least: int, simpson: bool = False, compat: bool = False, tie: list[str] | None = None) -> DataFrame:
+#: Rows of a group from which its running counts are made in ranges, where that is asked for.
+HOT_ROWS = 1 << 20
+
+
+def grouped(df: DataFrame, truth: str, score: str, keys: list[str], metric: GroupMetric, least: int, simpson: bool = False, compat: bool = False, tie: list[str] | None = None, hot: int | None = None) -> DataFrame:
     """(keys, value, n): prevalence, true skill or area under the curve of each group, null for groups under `least` rows.
 
     Skill and area are -1 where a group has fewer than two positives. Skill is the largest TPR - FPR; compat gives
-    the largest TPR + FPR - 1. Points are single rows in order of falling score, then of `tie`.
+    the largest TPR + FPR - 1. Points are single rows in order of falling score, then of `tie`. simpson: parabolas in place
+    of trapezoids.
+
+    A group's running counts are made in one task; with hot, those of groups of that many rows or more are made in ranges of
+    scores instead, and a score that many rows share in ranges of the first column of `tie` (a number), with the same
+    results. The groups' sizes are looked up for that at once, so df should be a written table then.
     """
     if least < 1:
         raise ValueError("the least size of a group is positive")
@@ -250,21 +265,79 @@ def grouped(df: DataFrame, truth: str, score: str, keys: list[str], metric: Grou
     if metric is GroupMetric.PREVALENCE:
         made = held.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(c(truth).cast("double")).alias("value"))
         return made.select(*keys, F.when(c("n") >= least, c("value")).alias("value"), "n")
-    w = Window.partitionBy(*keys).orderBy(F.desc(score), *(tie or []))
-    up, whole = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy(*keys)
-    hit = c(truth).cast("int")
-    rows = held.withColumns({"_tp": F.sum(hit).over(up), "_i": F.row_number().over(w), "_p": F.sum(hit).over(whole), "_n": F.count("*").over(whole)})
-    rows = rows.withColumns({"_tpr": ratio(c("_tp").cast("double"), c("_p").cast("double")), "_fpr": F.when(c("_n") == c("_p"), F.lit(0.0)).otherwise(ratio((c("_i") - c("_tp")).cast("double"), (c("_n") - c("_p")).cast("double")))})
+    rows = held.select(*keys, c(score).alias("_score"), *(c(t).alias(f"_tie{i}") for i, t in enumerate(tie or [])), c(truth).cast("int").alias("_hit"))
+    order = [F.desc("_score"), *(f"_tie{i}" for i in range(len(tie or [])))]
+    neighbours = range(-1, 3) if metric is GroupMetric.AUC and simpson else ()
+    placed = _placed(rows, keys, order, neighbours) if hot is None else _placed_in_ranges(rows, keys, order, neighbours, hot)
+
+    def rates(tp: Column, place: Column) -> tuple[Column, Column]:
+        """(FPR, TPR) after so many rows, of which so many are hits."""
+        fpr = F.when(c("_n") == c("_p"), F.lit(0.0)).otherwise(ratio((place - tp).cast("double"), (c("_n") - c("_p")).cast("double")))
+        return fpr, ratio(tp.cast("double"), c("_p").cast("double"))
+
+    here, before = rates(c("_tp"), c("_i")), rates(c("_tp") - c("_hit"), c("_i") - 1)
     if metric is GroupMetric.TSS:
-        value = F.max(c("_tpr") + c("_fpr") - 1 if compat else c("_tpr") - c("_fpr"))
+        value = F.max(here[1] + here[0] - 1 if compat else here[1] - here[0])
+    elif simpson:
+        points = {0: here, -1: before, -2: rates(c("_tp") - c("_hit") - c("_at-1"), c("_i") - 2), 1: rates(c("_tp") + c("_at1"), c("_i") + 1), 2: rates(c("_tp") + c("_at1") + c("_at2"), c("_i") + 2)}
+        value = F.coalesce(F.sum(_simpson_of(points, c("_i"), c("_n"))), F.lit(0.0))
     else:
-        trapezoid = (c("_fpr") - F.lag("_fpr").over(w)) * (c("_tpr") + F.lag("_tpr").over(w)) / 2
-        rows = rows.withColumn("_part", _simpson_part(c("_fpr"), c("_tpr"), c("_i"), c("_n"), w) if simpson else trapezoid)
-        value = F.coalesce(F.sum("_part"), F.lit(0.0))
-    made = rows.groupBy(*keys).agg(value.alias("value"), F.count("*").alias("n"), F.max("_p").alias("_p"))
+        value = F.coalesce(F.sum(F.when(c("_i") > 1, (here[0] - before[0]) * (here[1] + before[1]) / 2)), F.lit(0.0))
+    made = placed.groupBy(*keys).agg(value.alias("value"), F.count("*").alias("n"), F.max("_p").alias("_p"))
     return made.select(*keys, F.when(c("n") < least, None).when(c("_p") < 2, -1.0).otherwise(c("value")).alias("value"), "n")
 
 
+def _placed(rows: DataFrame, keys: list[str], order: list, neighbours: Iterable[int]) -> DataFrame:
+    """rows with _i, the place in the group, _tp, hits up to it, _n and _p, the group's rows and hits, and the neighbours' hits."""
+    w, whole = Window.partitionBy(*keys).orderBy(*order), Window.partitionBy(*keys)
+    up = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    beside = {f"_at{k}": (F.lead("_hit", k) if k > 0 else F.lag("_hit", -k)).over(w) for k in neighbours if k}
+    return rows.withColumns({"_tp": F.sum("_hit").over(up), "_i": F.row_number().over(w), "_p": F.sum("_hit").over(whole), "_n": F.count("*").over(whole)} | beside)
+
+
+def _placed_in_ranges(rows: DataFrame, keys: list[str], order: list, neighbours: Iterable[int], hot: int) -> DataFrame:
+    """_placed, where groups of `hot` rows or more are cut into ranges of about RANGES-th of their rows.
+
+    A score that is an edge between ranges is a range of its own, so one that many rows share can be cut again by the first
+    tie. Ranges are counted by themselves and get the totals of those before them, and the hits across their borders.
+    """
+    rows, keys = rows.withColumn("_k", F.struct(*keys)), ["_k"]  # a struct is joined also where its fields are null
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum("_hit").alias("_p"))
+    large = sizes.where(c("_n") >= hot).select(*keys)
+    count = large.count()  # no more than rows / hot
+    if not count:
+        return _placed(rows, keys, order, neighbours)
+    sent = F.broadcast if count * RANGES <= 1 << 20 else (lambda x: x)
+    shares = [i / RANGES for i in range(1, RANGES)]
+    same = lambda a, b: F.array_contains(a, b)
+    edges = rows.join(sent(large), keys).groupBy(*keys).agg(F.array_distinct(F.percentile_approx("_score", shares)).alias("_edges"))
+    first = rows.join(sent(edges), keys, "left").withColumn("_range", F.coalesce(2 * F.size(F.filter("_edges", lambda e: e > c("_score"))) - F.when(same(c("_edges"), c("_score")), 0).otherwise(1), F.lit(-1))).drop("_edges")
+    if ties := [x for x in rows.columns if x == "_tie0"]:
+        tie = c(ties[0]).try_cast("double")
+        full = first.where("_range >= 0 and _range % 2 = 0").groupBy(*keys, "_range").agg(F.count("*").alias("_m"), F.array_distinct(F.percentile_approx(tie, shares)).alias("_cuts")).where(c("_m") >= hot / RANGES * 2)
+        cut = F.coalesce(F.size(F.filter("_cuts", lambda e: e < tie)), F.lit(0))
+        first = first.join(sent(full.drop("_m")), [*keys, "_range"], "left").withColumn("_cut", F.when(c("_cuts").isNotNull(), cut).otherwise(0)).drop("_cuts")
+    else:
+        first = first.withColumn("_cut", F.lit(0))
+    part = [*keys, "_range", "_cut"]
+    w = Window.partitionBy(*part).orderBy(*order)
+    up, whole = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy(*part)
+    inner = first.withColumns({"_tp": F.sum("_hit").over(up), "_i": F.row_number().over(w), "_m": F.count("*").over(whole)} | {f"_at{k}": (F.lead("_hit", k) if k > 0 else F.lag("_hit", -k)).over(w) for k in neighbours if k})
+    pick = lambda k, place: F.max(F.when(place == k, c("_hit"))).alias(f"_e{k}")
+    sums = inner.groupBy(*part).agg(F.count("*").alias("_c"), F.sum("_hit").alias("_h"), pick(1, c("_i")), pick(2, c("_i")), F.max(F.when(c("_i") == c("_m"), c("_hit"))).alias("_e0"))
+    ranges = Window.partitionBy(*keys).orderBy("_range", "_cut")
+    earlier = ranges.rowsBetween(Window.unboundedPreceding, -1)
+    next_ = lambda x, k=1: F.lead(x, k).over(ranges)
+    ends = sums.select(
+        *part, F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_c0"), F.coalesce(F.sum("_h").over(earlier), F.lit(0)).alias("_h0"),
+        F.sum("_c").over(Window.partitionBy(*keys)).alias("_n"), F.sum("_h").over(Window.partitionBy(*keys)).alias("_p"),
+        F.lag("_e0").over(ranges).alias("_b"), next_("_e1").alias("_a1"), F.coalesce(next_("_e2"), next_("_e1", 2)).alias("_a2"),
+    )
+    out = inner.join(ends, part).withColumns({"_tp": c("_tp") + c("_h0"), "_left": c("_m") - c("_i"), "_first": c("_i") == 1}).withColumn("_i", c("_i") + c("_c0"))
+    across = {"_at-1": F.when(c("_first"), c("_b")).otherwise(c("_at-1")), "_at1": F.when(c("_left") == 0, c("_a1")).otherwise(c("_at1")), "_at2": F.when(c("_left") == 0, c("_a2")).when(c("_left") == 1, c("_a1")).otherwise(c("_at2"))} if neighbours else {}
+    return out.withColumns(across) if across else out
+
+
 def grouped_curve(df: DataFrame, truth: str, score: str, keys: list[str], least_positives: int = 2) -> DataFrame:
     """(keys, threshold, tpr, fpr) at distinct scores for groups of at least so many positives; without negatives FPR is 0."""
     points = curve(df, truth, score, keys)
@@ -273,10 +346,13 @@ def grouped_curve(df: DataFrame, truth: str, score: str, keys: list[str], least_
     return held.select(*keys, "threshold", ratio(c("tp").cast("double"), c("_p").cast("double")).alias("tpr"), F.when(c("_n") == 0, F.lit(0.0)).otherwise(ratio(c("fp").cast("double"), c("_n").cast("double"))).alias("fpr"))
 
 
-def skill_map(scored: DataFrame, column: str, greater_than: float, names: list[str], keys: list[str], least: int, metric: GroupMetric = GroupMetric.AUC, tie: list[str] | None = None) -> DataFrame:
-    """(keys, one column a diagnostic): grouped() of each, in one job; values of -1 become null, groups of nulls alone go."""
+def skill_map(scored: DataFrame, column: str, greater_than: float, names: list[str], keys: list[str], least: int, metric: GroupMetric = GroupMetric.AUC, tie: list[str] | None = None, simpson: bool = False, hot: int | None = None) -> DataFrame:
+    """(keys, one column a diagnostic): grouped() of each, in one job; values of -1 become null, groups of nulls alone go.
+
+    simpson, hot: as in grouped.
+    """
     held = scored.withColumn("_truth", c(column) > greater_than).unpivot([*keys, "_truth", *(tie or [])], names, "diagnostic", "_score")
-    value = grouped(held, "_truth", "_score", [*keys, "diagnostic"], metric, least, tie=tie)
+    value = grouped(held, "_truth", "_score", [*keys, "diagnostic"], metric, least, simpson, tie=tie, hot=hot)
     some = value.where(c("value").isNotNull()).withColumn("value", F.when(c("value") >= 0, c("value")))
     return some.groupBy(*keys).pivot("diagnostic", names).agg(F.first("value"))
 

@@ -6,7 +6,7 @@ import math
 from collections.abc import Iterable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from aerolith.operators import metrics
@@ -14,6 +14,8 @@ from aerolith.operators.filters import Domain
 from aerolith.schema import CELL, INDICES, LAT, LEVEL, LON, TIME, GroupBy, ValidationCondition, require
 
 c = F.col
+#: Values of an uneven axis up to which they are a list in an expression; a longer one is joined, and broadcast up to so many.
+LISTED, BROADCAST_ROWS = 64, 1 << 20
 
 
 def _edges(low: float, high: float, step: float) -> np.ndarray:
@@ -110,6 +112,29 @@ def nearest_of(value: Column, axis: Iterable[float]) -> Column:
     return F.least(F.greatest(F.ceil((value - axis[0]) / float(steps[0]) - 0.5), F.lit(0)), F.lit(len(axis) - 1)).cast("int")
 
 
+def numbered_axis(values: DataFrame) -> DataFrame:
+    """(x, i): the distinct values of the column x in order, numbered from 0. An axis is numbered in one place."""
+    return values.select("x").where("x is not null").distinct().select("x", (F.row_number().over(Window.orderBy("x")) - 1).alias("i"))
+
+
+def nearest_joined(df: DataFrame, value: Column, axis: DataFrame, within: float, name: str) -> DataFrame:
+    """df with `name`: the index of the axis' value that is nearest, the first of equals, null if none is within the distance.
+
+    axis: (x, i), values and their indices, any number of them at any spacing. Each is listed under three buckets as wide as
+    the distance, so that a row meets in its own bucket all that it may be near to and nothing from afar. A bucket is one
+    row of the listed axis, which is broadcast if the axis is short enough, so rows of df are neither multiplied nor grouped.
+    """
+    if within <= 0:
+        raise ValueError("the distance is positive")
+    bucket = lambda x: F.floor(x / F.lit(float(within))).cast("long")
+    under = F.explode(F.sequence(bucket(c("x")) - 1, bucket(c("x")) + 1)).alias("_bucket")
+    near = axis.select(c("x").cast("double").alias("x"), "i").select(under, "x", "i").groupBy("_bucket").agg(F.collect_list(F.struct("x", "i")).alias("_near"))
+    placed = df.withColumn("_value", value.cast("double")).withColumn("_bucket", bucket(c("_value")))
+    joined = placed.join(F.broadcast(near) if axis.count() <= BROADCAST_ROWS else near, "_bucket", "left")
+    best = F.array_min(F.transform("_near", lambda n: F.struct(F.abs(c("_value") - n["x"]).alias("d"), n["i"].alias("i"))))
+    return joined.withColumn("_best", best).withColumn(name, F.when(c("_best.d") <= within, c("_best.i"))).drop("_value", "_bucket", "_near", "_best")
+
+
 def nearest_level(altitude: Column, levels: list[float], level_altitudes: list[float]) -> Column:
     """The pressure level whose altitude is nearest."""
     return F.element_at(F.array(*(F.lit(float(x)) for x in levels)), nearest_index(altitude, level_altitudes) + 1)
@@ -141,12 +166,22 @@ def _axis_value(index: Column, axis: list[int]) -> Column:
     return F.element_at(F.array(*map(F.lit, axis)), index + 1)
 
 
+def _even(axis: list) -> bool:
+    steps = np.diff(axis)
+    return len(axis) >= 3 and steps[0] > 0 and bool(np.allclose(steps, steps[0], rtol=0, atol=1e-9))
+
+
 class Axes:
-    """The grid's four axes, read once; each is a short list on the driver. Indices on even axes are arithmetic."""
+    """The grid's four axes, read once; each is a list on the driver, as long as the axis.
+
+    Indices on even axes are arithmetic. An uneven axis is a list in an expression if it has LISTED values at most, as
+    levels have; longer ones, as times of several winters, are joined.
+    """
 
     def __init__(self, grid: DataFrame) -> None:
         row = grid.agg(*(F.sort_array(F.collect_set(k)).alias(k) for k in (TIME, LEVEL, LAT, LON))).first()
         self.time, self.level, self.lat, self.lon = (row[k] for k in (TIME, LEVEL, LAT, LON))
+        self.kinds = {k: grid.schema[k].dataType.simpleString() for k in (TIME, LEVEL, LAT, LON)}
 
     def _regular(self, values: list[float]) -> tuple[float, float]:
         steps = np.diff(values)
@@ -154,30 +189,44 @@ class Axes:
             raise ValueError("the axis is not regular")
         return values[0], float(steps[0])
 
+    @property
+    def seconds(self) -> list[int]:
+        """Each time's seconds after the first."""
+        return [int((t - self.time[0]).total_seconds()) for t in self.time]
+
     def indices(self, observations: DataFrame, tolerance_hours: float = 3.0) -> DataFrame:
         """observations with level_index (from level), lat_index, lon_index and time_index (from datetime).
 
         Times farther than the tolerance from every time of the grid have a null index.
         """
         (lat0, dlat), (lon0, dlon) = self._regular(self.lat), self._regular(self.lon)
-        seconds = [int((t - self.time[0]).total_seconds()) for t in self.time]
+        seconds, within = self.seconds, int(tolerance_hours * 3600)
         second = F.unix_seconds(c("datetime").cast("timestamp")) - F.unix_seconds(F.lit(self.time[0]).cast("timestamp"))
-        near = nearest_of(second.cast("double"), seconds)
-        apart = F.abs(second - _axis_value(near, seconds))
-        return observations.withColumns({
+        placed = observations.withColumns({
             "level_index": nearest_index(c("level"), self.level), "lat_index": regular_index(c(LAT), lat0, dlat, len(self.lat)),
-            "lon_index": regular_index(c(LON), lon0, dlon, len(self.lon)), "time_index": F.when(apart <= int(tolerance_hours * 3600), near),
+            "lon_index": regular_index(c(LON), lon0, dlon, len(self.lon)),
         })
+        if len(seconds) > LISTED and not _even(seconds):
+            axis = observations.sparkSession.createDataFrame(list(zip(map(float, seconds), range(len(seconds)))), "x double, i int")
+            return nearest_joined(placed, second, axis, within, "time_index")
+        near = nearest_of(second.cast("double"), seconds)
+        return placed.withColumn("time_index", F.when(F.abs(second - _axis_value(near, seconds)) <= within, near))
 
     def number(self, grid: DataFrame) -> DataFrame:
         """grid with its own index columns."""
-        place = lambda k, axis: nearest_of(c(k), axis)
         first = F.unix_seconds(F.lit(self.time[0]).cast("timestamp"))
-        seconds = [float((t - self.time[0]).total_seconds()) for t in self.time]
-        return grid.withColumns({
-            "level_index": place(LEVEL, self.level), "lat_index": place(LAT, self.lat), "lon_index": place(LON, self.lon),
-            "time_index": nearest_of((F.unix_seconds(c(TIME).cast("timestamp")) - first).cast("double"), seconds),
-        })
+        value = {LEVEL: c(LEVEL), LAT: c(LAT), LON: c(LON), TIME: (F.unix_seconds(c(TIME).cast("timestamp")) - first).cast("double")}
+        held = {LEVEL: self.level, LAT: self.lat, LON: self.lon, TIME: self.time}
+        names = {LEVEL: "level_index", LAT: "lat_index", LON: "lon_index", TIME: "time_index"}
+        columns = grid.columns
+        for k, name in names.items():
+            axis = [float(x) for x in (self.seconds if k == TIME else held[k])]
+            if len(axis) > LISTED and not _even(axis):
+                places = grid.sparkSession.createDataFrame(list(zip(held[k], range(len(axis)))), f"`{k}` {self.kinds[k]}, {name} int")
+                grid = grid.join(F.broadcast(places) if len(axis) <= BROADCAST_ROWS else places, k, "left")
+            else:
+                grid = grid.withColumn(name, nearest_of(value[k], axis))
+        return grid.select(*columns, *names.values())
 
     def flat(self) -> Column:
         """Row-major number of a cell in order latitude, longitude, time, level."""

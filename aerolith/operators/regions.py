@@ -1,6 +1,6 @@
 """Regions of the grid: jet streams, connected components, and distances between features.
 
-Slices are independent: components and distances run one slice to a task, in numpy on arrays of the slice's own size.
+Slices are independent. Components and distances run in numpy, on a slice or on tiles of it: see tiles.
 """
 
 from __future__ import annotations
@@ -8,12 +8,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolith.functions import geodesy, physics
-from aerolith.operators import stencil
+from aerolith.operators import stencil, tiles
+from aerolith.operators.tiles import nearest  # noqa: F401  part of this module's interface
 from aerolith.schema import LAT, LEVEL, LON, TIME, require_boolean
 
 c = F.col
@@ -48,25 +48,6 @@ def masked(df: DataFrame, column: str, mask: str) -> DataFrame:
     return df.withColumn(column, F.when(c(mask), c(column)))
 
 
-def _schema(df: DataFrame, names: list[str], *more: str) -> str:
-    return ", ".join([*(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names), *more])
-
-
-def _dense(group: pd.DataFrame, core: list[str], *columns: str) -> tuple[list[np.ndarray], tuple[np.ndarray, ...], tuple[int, ...]]:
-    """Each column on the slice's full array (0 where a cell is absent), each row's place, and the array's shape."""
-    places, shape = [], []
-    for k in core:
-        axis, at = np.unique(group[k].to_numpy(), return_inverse=True)
-        places.append(at)
-        shape.append(len(axis))
-    made = []
-    for name in columns:
-        array = np.zeros(shape, bool)
-        array[tuple(places)] = group[name].fillna(False).to_numpy(bool)
-        made.append(array)
-    return made, tuple(places), tuple(shape)
-
-
 def components(mask: np.ndarray, connectivity: int | None = None) -> np.ndarray:
     """Labels from 1 in scan order of the components of a mask, 0 outside.
 
@@ -109,17 +90,14 @@ def _core(dims: int, core: list[str] | None) -> list[str]:
     return core
 
 
-def label_regions(df: DataFrame, mask: str, dims: int = 3, core: list[str] | None = None, connectivity: int | None = None, keys: tuple[str, ...] = (TIME, LEVEL, LAT, LON)) -> DataFrame:
-    """(keys, label): connected regions of each slice of the other keys, numbered from 1 in scan order; 0 outside."""
-    core, keys_ = _core(dims, core), list(keys)
-    require_boolean(df, mask)
-    rest = [k for k in keys_ if k not in core]
+def label_regions(df: DataFrame, mask: str, dims: int = 3, core: list[str] | None = None, connectivity: int | None = None, keys: tuple[str, ...] = (TIME, LEVEL, LAT, LON), cells: int = tiles.CELLS) -> DataFrame:
+    """(keys, label): connected regions of each slice of the other keys, numbered from 1 in scan order; 0 outside.
 
-    def labelled(group: pd.DataFrame) -> pd.DataFrame:
-        (array,), at, _ = _dense(group, core, mask)
-        return group[keys_].assign(label=components(array, connectivity)[at])
-
-    return df.select(*keys_, mask).groupBy(*rest).applyInPandas(labelled, _schema(df, keys_, "label int"))
+    Cells are neighbours on the axes of the whole table: one that a slice lacks is a gap. cells: as in tiles.label.
+    """
+    core = _core(dims, core)
+    require_boolean(df, mask)
+    return tiles.label(df, mask, core, list(keys), connectivity or dims, components, cells)
 
 
 def parent_regions(labelled: DataFrame, intersection: str, slices: list[str]) -> DataFrame:
@@ -128,67 +106,29 @@ def parent_regions(labelled: DataFrame, intersection: str, slices: list[str]) ->
     return labelled.join(hit, [*slices, "label"], "left").withColumn("parent", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
-def nearest(mask: np.ndarray, sampling: tuple[float, ...], chebyshev: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Distance from every cell to the nearest true one, and that cell's flat number; the first in scan order of equals.
+def distance(df: DataFrame, a: str, b: str, core: list[str] | None = None, sampling: tuple[float, ...] | None = None, measure: str = "euclidean", keys: tuple[str, ...] = (TIME, LEVEL, LAT, LON), cells: int = tiles.CELLS) -> DataFrame:
+    """(keys, distance): from each cell of a to the nearest of b in its slice, in cells or by sampling; null outside of a and where b is empty.
 
-    One axis at a time: along each, a cell takes the best of its line, given each line cell's best so far. Exact for
-    both measures, as squares add and maxima nest.
+    Steps are those of the whole table's axes, so a cell that a slice lacks counts as one. cells: as in tiles.nearest_cells.
     """
-    big = np.inf
-    best = np.where(mask, 0.0, big)
-    which = np.where(mask, np.arange(mask.size).reshape(mask.shape), mask.size)
-    for axis in range(mask.ndim - 1, -1, -1):
-        f, w = np.moveaxis(best, axis, 0), np.moveaxis(which, axis, 0)
-        n = len(f)
-        new, at = np.full_like(f, big), np.full_like(w, mask.size)
-        for k in range(n):
-            apart = (np.arange(n) - k) * sampling[axis]
-            cost = np.abs(apart) if chebyshev else apart * apart
-            cost = cost.reshape(-1, *[1] * (f.ndim - 1))
-            there = np.maximum(f[k][None], cost) if chebyshev else f[k][None] + cost
-            better = (there < new) | ((there == new) & (w[k][None] < at))
-            new, at = np.where(better, there, new), np.where(better, w[k][None], at)
-        best, which = np.moveaxis(new, 0, axis), np.moveaxis(at, 0, axis)
-    return (best if chebyshev else np.sqrt(best)), which
-
-
-def distance(df: DataFrame, a: str, b: str, core: list[str] | None = None, sampling: tuple[float, ...] | None = None, measure: str = "euclidean", keys: tuple[str, ...] = (TIME, LEVEL, LAT, LON)) -> DataFrame:
-    """(keys, distance): from each cell of a to the nearest of b in its slice, in cells or by sampling; null outside of a and where b is empty."""
-    core, keys_ = core or [LON, LAT], list(keys)
+    core = core or [LON, LAT]
     require_boolean(df, a, b)
     if measure not in ("euclidean", "chebyshev"):
         raise ValueError("measure is euclidean or chebyshev")
     if sampling and measure == "chebyshev":
         raise ValueError("only euclidean distances are sampled")
-    rest, steps = [k for k in keys_ if k not in core], sampling or (1.0,) * len(core)
-
-    def measured(group: pd.DataFrame) -> pd.DataFrame:
-        (inside, target), at, _ = _dense(group, core, a, b)
-        far = nearest(target, steps, measure == "chebyshev")[0][at]
-        return group[keys_].assign(distance=pd.Series(np.where(inside[at] & np.isfinite(far), far, np.nan), index=group.index).astype(object).where(inside[at] & np.isfinite(far), None))
+    found, _ = tiles.nearest_cells(df, a, b, core, list(keys), sampling or (1.0,) * len(core), measure == "chebyshev", cells)
+    return found.select(*keys, c("far").alias("distance"))
 
-    return df.select(*keys_, a, b).groupBy(*rest).applyInPandas(measured, _schema(df, keys_, "distance double"))
 
-
-def haversine_distance(df: DataFrame, a: str, b: str, keys: tuple[str, ...] = (TIME, LEVEL, LAT, LON)) -> DataFrame:
+def haversine_distance(df: DataFrame, a: str, b: str, keys: tuple[str, ...] = (TIME, LEVEL, LAT, LON), cells: int = tiles.CELLS) -> DataFrame:
     """(keys, distance): metres from each cell of a to that cell of b which is nearest in index space; null as in distance."""
-    core, keys_ = [LAT, LON], list(keys)
     require_boolean(df, a, b)
-    rest = [k for k in keys_ if k not in core]
-
-    def found(group: pd.DataFrame) -> pd.DataFrame:
-        (inside, target), at, shape = _dense(group, core, a, b)
-        which = nearest(target, (1.0, 1.0))[1][at]
-        fit = inside[at] & (which < target.size)
-        lats, lons = (np.unique(group[k].to_numpy()) for k in core)
-        row, column = np.unravel_index(np.where(fit, which, 0), shape)
-        out = group[keys_].copy()
-        out["to_lat"] = pd.Series(lats[row], index=group.index).astype(object).where(fit, None)
-        out["to_lon"] = pd.Series(lons[column], index=group.index).astype(object).where(fit, None)
-        return out
-
-    pairs = df.select(*keys_, a, b).groupBy(*rest).applyInPandas(found, _schema(df, keys_, "to_lat double", "to_lon double"))
-    return pairs.select(*keys_, geodesy.haversine(c(LON), c(LAT), c("to_lon"), c("to_lat")).alias("distance"))
+    found, (lats, lons) = tiles.nearest_cells(df, a, b, [LAT, LON], list(keys), (1.0, 1.0), cells=cells)
+    for name, axis, place in (("to_lat", lats, F.floor(c("which") / len(lons))), ("to_lon", lons, c("which") % len(lons))):
+        values = df.sparkSession.createDataFrame(list(enumerate(map(float, axis))), f"_at int, {name} double")  # as long as an axis
+        found = found.withColumn("_at", place.cast("int")).join(F.broadcast(values) if len(axis) <= tiles.BROADCAST_ROWS else values, "_at", "left").drop("_at")
+    return found.select(*keys, geodesy.haversine(c(LON), c(LAT), c("to_lon"), c("to_lat")).alias("distance"))
 
 
 def vertical_distance(df: DataFrame, flag: str, absolute: bool = False, partition: tuple[str, ...] = (TIME, LAT, LON), level: str = LEVEL, output: str = "distance") -> DataFrame:
@@ -207,9 +147,21 @@ def vertical_distance_between(df: DataFrame, a: str, b: str, absolute: bool = Fa
     return vertical_distance(df.withColumn("_both", c(a) & c(b)), "_both", absolute).drop("_both")
 
 
-def complete_linkage_order(matrix: np.ndarray) -> tuple[list[int], list[int]]:
-    """Order and cluster numbers of a small correlation matrix: complete linkage on 1 - |r|, cut at half the largest distance."""
-    far = 1 - np.abs(np.nan_to_num(matrix))
+CLUSTER_MEASURES = ("rows", "correlation")
+
+
+def complete_linkage_order(matrix: np.ndarray, measure: str = "rows") -> tuple[list[int], list[int]]:
+    """Order and cluster numbers of a small correlation matrix: complete linkage, cut at half the largest distance between two.
+
+    Clusters are numbered as the tree's leaves come, the earlier branch first; the order is by cluster, then by place.
+
+    measure: rows takes the matrix's rows as points and their Euclidean distances; correlation takes 1 - |r|. Missing
+    correlations count as 0. Of equally near clusters those that hold the earlier names join first.
+    """
+    if measure not in CLUSTER_MEASURES:
+        raise ValueError(f"the measure is one of {CLUSTER_MEASURES}")
+    held = np.nan_to_num(matrix)
+    far = np.sqrt(((held[:, None, :] - held[None, :, :]) ** 2).sum(axis=2)) if measure == "rows" else 1 - np.abs(held)
     clusters: list[list[int]] = [[i] for i in range(len(far))]
     merges: list[tuple[float, list[int]]] = []
     while len(clusters) > 1:
@@ -217,12 +169,13 @@ def complete_linkage_order(matrix: np.ndarray) -> tuple[list[int], list[int]]:
         joined = clusters[i] + clusters[j]
         merges.append((d, joined))
         clusters = [x for k, x in enumerate(clusters) if k not in (i, j)] + [joined]
-    order = clusters[0] if clusters else []
-    cut = merges[-1][0] / 2 if merges else 0.0
+    leaves = clusters[0] if clusters else []
+    cut = far.max() / 2 if merges else 0.0
     number = list(range(len(far)))
     for d, members in merges:
         if d <= cut:
             least = min(number[m] for m in members)
             number = [least if k in members else n for k, n in enumerate(number)]
-    place = {n: i + 1 for i, n in enumerate(dict.fromkeys(number[i] for i in order))}
-    return order, [place[n] for n in number]
+    place = {n: i + 1 for i, n in enumerate(dict.fromkeys(number[i] for i in leaves))}
+    cluster = [place[n] for n in number]
+    return sorted(range(len(cluster)), key=lambda i: (cluster[i], i)), cluster

@@ -1,7 +1,7 @@
 """Stencils of the grid as window functions.
 
 All three axes are windows over one row on either side. A grid that is hash-partitioned on `time` satisfies every one of
-them, so `by_time` costs one exchange where three windows would cost three.
+them, so `by_time` costs one exchange where three windows would cost three. `bands` does the same for parts of a time.
 """
 
 from __future__ import annotations
@@ -22,6 +22,32 @@ def by_time(grid: DataFrame, keys: tuple[str, ...] = (TIME,)) -> DataFrame:
     return grid.repartition(*keys)
 
 
+#: Rows on each side of a band of latitudes that are repeated in it: as many as derivatives along latitude are nested, at most.
+HALO = 2
+
+
+def bands(grid: DataFrame, rows: int, halo: int = HALO) -> DataFrame:
+    """grid with `time` as a struct of time and band: bands of latitudes, dealt out by one exchange, of about so many rows each.
+
+    Rows within `halo` latitudes of a band are repeated in it, so every stencil that partitions by `time` works within a
+    band, and is right on the band's own rows: see own_rows. A band has halo latitudes at least, so a row is in three bands
+    at most. Latitudes are numbered by a small table of the axis.
+    """
+    lats, across = grid.agg(F.sort_array(F.collect_set(LAT)), F.count_distinct(LEVEL) * F.count_distinct(LON)).first()
+    height = max(halo, 1, rows // max(across, 1) - 2 * halo)
+    own = [(lat, i // height, sorted({k // height for k in (i - halo, i, i + halo) if 0 <= k < len(lats)})) for i, lat in enumerate(lats)]
+    kind = grid.schema[LAT].dataType.simpleString()
+    places = grid.sparkSession.createDataFrame(own, f"`{LAT}` {kind}, _own int, _in array<int>")  # as long as the axis
+    held = grid.join(F.broadcast(places), LAT).withColumn("_band", F.explode("_in"))
+    key = F.struct(F.col(TIME).alias("at"), F.col("_band").alias("band"))
+    return held.withColumn("_row_is_own", F.col("_band") == F.col("_own")).withColumn(TIME, key).drop("_own", "_in", "_band").repartition(TIME)
+
+
+def own_rows(banded: DataFrame) -> DataFrame:
+    """Each row once, in its own band, with its time again."""
+    return banded.where("_row_is_own").withColumn(TIME, F.col(TIME)["at"]).drop("_row_is_own")
+
+
 @dataclass(frozen=True)
 class Axis:
     """An axis of the grid: the keys of its lines, its column, and the coordinate that derivatives are taken along."""

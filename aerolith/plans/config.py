@@ -9,6 +9,7 @@ from typing import Any
 
 from aerolith.operators.diagnostics import DIAGNOSTICS
 from aerolith.operators.filters import Domain, Thresholds
+from aerolith.operators.metrics import HOT_ROWS
 from aerolith.schema import GroupBy, GroupMetric, Limits, Severity, ThresholdMode, ValidationCondition
 from aerolith.sources import files
 
@@ -109,6 +110,10 @@ class Reports:
     metrics: list[GroupMetric] = field(default_factory=list)
     least_group: int = 2
     save: bool = False
+    #: Curves in ranges of scores; areas of groups by Simpson's rule; rows of a group from which its counts are made in ranges.
+    spread: bool = True
+    simpson: bool = False
+    hot_rows: int | None = HOT_ROWS
 
     def __post_init__(self) -> None:
         _known([self.source], SOURCES, "report sources")
@@ -134,11 +139,15 @@ class Run:
     calibration: Calibration | None = None
     evaluation: Evaluation | None = None
     reports: Reports | None = None
+    #: About how many rows of a time a task takes; times of more are dealt out in bands of latitudes. None: a time a task.
+    rows_per_task: int | None = None
 
     def __post_init__(self) -> None:
         _known(self.diagnostics, DIAGNOSTICS, "diagnostics")
         if not self.name:
             raise ConfigError("the run needs a name")
+        if self.rows_per_task is not None and self.rows_per_task < 1:
+            raise ConfigError("a task takes a row at least")
         if self.evaluation is not None and self.calibration is None:
             raise ConfigError("an evaluation needs a calibration")
         if self.reports is not None and self.evaluation is None:
@@ -162,7 +171,7 @@ def from_mapping(held: dict[str, Any]) -> Run:
             reports["conditions"] = [ValidationCondition(**x) for x in reports.get("conditions", [])]
             reports |= {k: [f(x) for x in reports[k]] for k, f in (("strategies", GroupBy), ("metrics", GroupMetric)) if k in reports}
             reports |= {k: datetime.fromisoformat(str(reports[k])) for k in ("start", "end")}
-        return Run(held["name"], held["output"], domain(held["domain"]), held["diagnostics"], Calibration(**calibration) if calibration else None, Evaluation(**evaluation) if evaluation else None, Reports(**reports) if reports else None)
+        return Run(held["name"], held["output"], domain(held["domain"]), held["diagnostics"], Calibration(**calibration) if calibration else None, Evaluation(**evaluation) if evaluation else None, Reports(**reports) if reports else None, held.get("rows_per_task"))
     except ConfigError:
         raise
     except (KeyError, TypeError, ValueError) as e:

@@ -11,12 +11,13 @@ from aerolith.operators.filters import Domain, Thresholds
 from aerolith.schema import CELL, LEVEL, GroupBy, GroupMetric, Severity, ThresholdMode, ValidationCondition
 
 
-def calibration(grid: DataFrame, names: list[str], percentiles: Thresholds, approximate: bool = False, spread: bool = False) -> tuple[DataFrame, DataFrame]:
+def calibration(grid: DataFrame, names: list[str], percentiles: Thresholds, approximate: bool = False, spread: bool = False, rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(thresholds, distribution parameters) of each diagnostic, worked out here: one row a name each, kept as small tables.
 
     The wide table is worked out once for both and let go. approximate, spread: as in calibrate.percentile_thresholds.
+    rows: as in diagnostics.diagnose.
     """
-    wide = diagnostics.diagnose(grid, names).persist(StorageLevel.MEMORY_AND_DISK)
+    wide = diagnostics.diagnose(grid, names, rows=rows).persist(StorageLevel.MEMORY_AND_DISK)
     made = calibrate.percentile_thresholds(wide, names, percentiles, approximate, spread=spread), calibrate.distribution_parameters(diagnostics.long_form(wide, names))
     kept = tuple(grid.sparkSession.createDataFrame(x.collect(), x.schema) for x in made)
     wide.unpersist()
@@ -30,8 +31,7 @@ def as_thresholds(rows: DataFrame) -> dict[str, Thresholds]:
 
 def probabilities(grid: DataFrame, names: list[str], thresholds: DataFrame, mode: ThresholdMode = ThresholdMode.GEQ, levels: list[float] | None = None) -> DataFrame:
     """Percent of times at which each cell is turbulent, for each diagnostic and severity."""
-    long = diagnostics.long_form(diagnostics.diagnose(grid, names), names)
-    return calibrate.turbulence_probability(long, calibrate.severity_bounds(thresholds, mode), levels)
+    return calibrate.turbulence_probability(diagnostics.diagnose(grid, names), calibrate.severity_bounds(thresholds, mode), names, levels)
 
 
 def dissipation_rates(grid: DataFrame, names: list[str], parameters: DataFrame) -> DataFrame:
@@ -44,8 +44,8 @@ def turbulence_percentage(grid: DataFrame, name: str = "ti1", percentiles: Thres
     return probabilities(grid, [name], thresholds)
 
 
-def harmonise(grid: DataFrame, reports: DataFrame, names: list[str], domain: Domain, step: float, level_altitudes: list[float] | None = None) -> DataFrame:
-    """Reports at cruise altitude with level, box, grid indices and the diagnostics of their cell."""
+def harmonise(grid: DataFrame, reports: DataFrame, names: list[str], domain: Domain, step: float, level_altitudes: list[float] | None = None, wide: DataFrame | None = None) -> DataFrame:
+    """Reports at cruise altitude with level, box, grid indices and the diagnostics of their cell. wide: the diagnostics, if they are there."""
     axes = observe.Axes(grid)
     levels = axes.level
     if level_altitudes is None:
@@ -53,12 +53,16 @@ def harmonise(grid: DataFrame, reports: DataFrame, names: list[str], domain: Dom
     held = reports.withColumn("level", observe.nearest_level(F.col("altitude"), levels, level_altitudes))
     held = filters.quality_control(observe.spatial_join(held, domain, step))
     indexed = axes.indices(held).where("time_index is not null")
-    wide = axes.number(diagnostics.diagnose(grid, names)).drop(*CELL)
+    wide = axes.number(diagnostics.diagnose(grid, names) if wide is None else wide).drop(*CELL)
     return observe.gather(indexed, wide, names)
 
 
-def verification(gathered: DataFrame, names: list[str], conditions: list[ValidationCondition], strategy: GroupBy = GroupBy.GRID_BOX, least: int = 2, metric: GroupMetric = GroupMetric.AUC) -> dict[str, DataFrame]:
-    """ROC curves, their areas, and a map of grouped skill for each condition."""
-    roc = observe.nearest_value_roc(gathered, conditions, names)
-    maps = {f"skill_{x.column}": metrics.skill_map(gathered, x.column, x.greater_than, names, strategy.keys, least, metric, tie=["report"]) for x in conditions}
-    return {"roc": roc, "auc": metrics.area(roc, ["column", "diagnostic"])} | maps
+def verification(gathered: DataFrame, names: list[str], conditions: list[ValidationCondition], spread: bool = False) -> dict[str, DataFrame]:
+    """ROC curves and their areas. spread: as in metrics.curve; gathered should be a written table then."""
+    roc = observe.nearest_value_roc(gathered, conditions, names, spread)
+    return {"roc": roc, "auc": metrics.area(roc, ["column", "diagnostic"], spread)}
+
+
+def skill_maps(gathered: DataFrame, names: list[str], conditions: list[ValidationCondition], strategy: GroupBy = GroupBy.GRID_BOX, least: int = 2, metric: GroupMetric = GroupMetric.AUC, simpson: bool = False, hot: int | None = None) -> dict[str, DataFrame]:
+    """A map of grouped skill for each condition. simpson, hot: as in metrics.grouped."""
+    return {f"skill_{x.column}": metrics.skill_map(gathered, x.column, x.greater_than, names, strategy.keys, least, metric, ["report"], simpson, hot) for x in conditions}

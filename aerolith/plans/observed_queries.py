@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +10,8 @@ from aerolith.operators import calibrate, filters, metrics, observe
 from aerolith.operators.filters import Domain
 from aerolith.plans import launch
 from aerolith.plans.registry import KEYS, diagnosed, keyed, observed, q, r, register, tables
-from aerolith.schema import LAT, LEVEL, LON, GroupBy, GroupMetric, Limits, ValidationCondition
-from aerolith.sources import readers, writers
+from aerolith.schema import CELL, LAT, LEVEL, LON, GroupBy, GroupMetric, Limits, ValidationCondition
+from aerolith.sources import files, netcdf, readers, writers, zarr
 from aerolith.sources.lattice import lattice
 
 c = F.col
@@ -376,14 +375,9 @@ def _nearest_roc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # sinks: written, read again ------------------------------------------------------------------------------------------
-def _folder(spark: SparkSession) -> str:
-    """A folder in the shared one; the session's warehouse serves where spark.checkpoint.dir is unset."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/sink-{uuid.uuid4().hex}"
-
-
 @register("snk1_reports_round_trip", _O("SELECT report, flag, error FROM obs WHERE flag IN ('Z', 'C', 'S', 'V', 'G') AND error IN (112, 45) AND \"turbIndex\" <= 20"))
 def _reports_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark)
+    path = files.scratch(spark)
     raw = observed(spark, sf_dir).withColumn("turbIndex", filters.sentinel_to_null(c("turbIndex")))
     writers.write_reports(writers.preprocess_reports(raw, ["flag"], ["error"], ["turbIndex"]), path)
     return spark.read.parquet(path).select("report", "flag", "error")
@@ -393,14 +387,14 @@ def _reports_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _diagnostics_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aerolith.operators import diagnostics
 
-    path = _folder(spark)
+    path = files.scratch(spark)
     writers.write_diagnostics(diagnostics.diagnose(lattice(spark, sf_dir), ["wind_speed", "brown1"]), path)
     return keyed(readers.read_diagnostics(spark, path, ["wind_speed"]), r(c("wind_speed"), 6).alias("wind_speed"))
 
 
 @register("snk5_correlation_round_trip", tables("SELECT pressure_level, a.n AS diagnostic1, b.n AS diagnostic2, round(CASE WHEN a.n = b.n THEN 1.0 ELSE m END, 6) AS corr FROM (SELECT pressure_level, corr((eastward_wind > 30)::INT, (northward_wind > 8)::INT) AS m FROM grid GROUP BY 1), (VALUES ('x'), ('y')) a(n), (VALUES ('x'), ('y')) b(n)"))
 def _correlation_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark)
+    path = files.scratch(spark)
     masks = lattice(spark, sf_dir).select(LEVEL, (c("eastward_wind") > 30).alias("x"), (c("northward_wind") > 8).alias("y"))
     writers.write_correlation(calibrate.matthews_correlation(masks, ["x", "y"], [LEVEL]), path, by_level=True)
     return spark.read.parquet(path).select(c(LEVEL).cast("double").alias(LEVEL), "diagnostic1", "diagnostic2", r(c("corr"), 6).alias("corr"))
@@ -408,7 +402,7 @@ def _correlation_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("snk6_repartition", _O("SELECT report FROM obs"))
 def _repartition_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark)
+    path = files.scratch(spark)
     observed(spark, sf_dir).select("report").write.parquet(path)
     writers.repartition_files(spark, path, f"{path}-parts", 3)
     return spark.read.parquet(f"{path}-parts/{path.rsplit('/', 1)[-1]}")
@@ -416,15 +410,61 @@ def _repartition_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("snk7_harmonised_round_trip", _O("SELECT report, index_right, level_index FROM gat", _GATHER, True))
 def _harmonised_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark)
+    path = files.scratch(spark)
     writers.write_harmonised(_harmonised(spark, sf_dir), path)
     return spark.read.parquet(path).select("report", "index_right", "level_index")
 
 
 @register("src1_grid_scan", tables(f"SELECT {_key}, temperature FROM grid"))
 def _grid_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark)
+    path = files.scratch(spark)
     lattice(spark, sf_dir).withColumn("date", F.to_date("time")).write.partitionBy("date").parquet(path)
     return keyed(readers.read_grid(spark, path, columns=["time", LEVEL, LAT, LON, "temperature"]), "temperature")
 
 
+@register("src1_netcdf_scan", tables(f"SELECT {_key}, altitude, temperature, vorticity FROM grid WHERE pressure_level <= 250"))
+def _netcdf_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = files.scratch(spark)
+    grid = lattice(spark, sf_dir).withColumn("day", F.date_format("time", "yyyy-MM-dd-HH"))
+    netcdf.write_netcdf(grid, path, CELL, ["altitude", "temperature", "vorticity"], "day")
+    read = netcdf.read_netcdf(spark, path, ["altitude", "temperature", "vorticity"], rows=1000)
+    return keyed(read.where(c(LEVEL) <= 250), "altitude", "temperature", "vorticity")
+
+
+@register("snk2_src5_zarr_round_trip", tables(f"SELECT {_key}, round(wind_speed, 6) AS wind_speed FROM diag", more=diagnosed("wind_speed")))
+def _zarr_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aerolith.operators import diagnostics
+
+    path = files.scratch(spark)
+    zarr.write_zarr(diagnostics.diagnose(lattice(spark, sf_dir), ["wind_speed", "brown1"]), path, ["wind_speed", "brown1"], {LEVEL: 4, LON: 7})
+    return keyed(zarr.read_zarr(spark, path, ["wind_speed"]), r(c("wind_speed"), 6).alias("wind_speed"))
+
+
+_UNEVEN = """axis AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS i FROM (SELECT DISTINCT second + report % 7 * 60 AS x FROM obs WHERE report % 41 = 0)),
+near AS (SELECT o.report, a.i, row_number() OVER (PARTITION BY o.report ORDER BY abs(o.second - a.x), a.i) AS k FROM obs o JOIN axis a ON abs(o.second - a.x) <= 900)"""
+
+
+@register("jon13_uneven_times", _O("SELECT o.report, CAST(coalesce(n.i, -1) AS INT) AS time_index FROM obs o LEFT JOIN near n ON n.report = o.report AND n.k = 1", [_UNEVEN]))
+def _uneven_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports at the nearest, within a quarter of an hour, of uneven times that grow with the reports; -1 for none."""
+    reports = observed(spark, sf_dir).withColumn("second", F.unix_seconds(c("datetime").cast("timestamp")))
+    axis = reports.where("report % 41 = 0").select((c("second") + c("report") % 7 * 60).alias("x")).distinct()
+    axis = observe.numbered_axis(axis)
+    return observe.nearest_joined(reports, c("second"), axis, 900, "time_index").select("report", F.coalesce("time_index", F.lit(-1)).alias("time_index"))
+
+
+def _hot(spark: SparkSession, sf_dir: str, metric: GroupMetric, **more) -> DataFrame:
+    """_grouped in ranges of scores for groups of 20 reports or more, from a written table."""
+    held = files.written(_harmonised(spark, sf_dir).withColumn("t", c("maxEDR") > 0.3).select("index_right", "level_index", "report", "t", "ti1"))
+    made = metrics.grouped(held, "t", "ti1", ["index_right", "level_index"], metric, 5, tie=["report"], hot=20, **more)
+    return made.withColumn("value", r(c("value"), 6))
+
+
+@register("agg25_skill_hot_groups", _O(_GROUPED.format(value="max(tpr - fpr)", source="rates"), [*_GATHER, _ROWS], True))
+def _skill_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hot(spark, sf_dir, GroupMetric.TSS)
+
+
+@register("agg26_simpson_hot_groups", _O(_GROUPED.format(value="coalesce(sum(a), 0)", source="simp"), [*_GATHER, _ROWS, _STEPS_SQL, _SIMPSON_PARTS], True))
+def _simpson_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hot(spark, sf_dir, GroupMetric.AUC, simpson=True)

@@ -12,7 +12,7 @@ from aerolith.functions import physics
 from aerolith.operators import filters
 from aerolith.operators.filters import Domain, Thresholds
 from aerolith.schema import CELL, GRID_VARIABLES, LAT, LEVEL, LON, SHORT_NAMES, TIME, DistributionParameters, require
-from aerolith.sources import files
+from aerolith.sources import files, netcdf, zarr
 
 #: Fixed values of the aircraft archive: columns that any query reads.
 ACARS_COLUMNS = ["altitude", "latitude", "longitude", "timeObs", "phaseFlight", "maxEDR", "medEDR", "maxTurbulence", "medTurbulence", "turbIndex", "vertAccel", "vertGust"]
@@ -59,6 +59,19 @@ def canonical(df: DataFrame) -> DataFrame:
     return require(df, [*CELL, "altitude", *GRID_VARIABLES], "grid")
 
 
+def open_grid(spark: SparkSession, folder: str) -> DataFrame:
+    """The canonical grid of a folder: a Zarr store, netCDF classic files as the reanalysis archive or this library names
+    their variables, or parquet. Of arrays only those of the grid are read."""
+    if files.exists(f"{folder.rstrip('/')}/.zgroup"):
+        return canonical(zarr.read_zarr(spark, folder, ["altitude", *GRID_VARIABLES]))
+    if files.names(folder, ".nc"):
+        df = netcdf.read_netcdf(spark, folder)
+        if set(SHORT_NAMES) <= set(df.columns):
+            return canonical(reanalysis_grid(netcdf.read_netcdf(spark, folder, SHORT_NAMES).withColumnsRenamed({TIME: "valid_time"})))
+        return canonical(netcdf.read_netcdf(spark, folder, ["altitude", *GRID_VARIABLES]))
+    return canonical(read_grid(spark, folder))
+
+
 def read_acars(spark: SparkSession, path: str) -> DataFrame:
     """Aircraft reports of the parquet archive; only used columns are read, turbulence indices over 20 are missing."""
     df = spark.read.parquet(path)

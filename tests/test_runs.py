@@ -110,7 +110,7 @@ def test_run(spark, sf_dir, tmp_path):
     path.write_text(yaml.safe_dump(held))
     cli.main(["run", str(path)], spark)
     assert spark.read.parquet(f"{out}/run/probabilities").count() == 2 * 2 * 6 * 12 * 18
-    assert spark.read.parquet(f"{out}/run/auc_grid_box_auc").count() == 2
+    assert spark.read.parquet(f"{out}/run/auc").count() == 2
     assert spark.read.parquet(f"{out}/run_harmonised").count() > 0
     assert set(json.load(open(f"{out}/thresholds_run.json"))) == {"ti1", "wind_speed"}
     again = held | {"calibration": {"phases": ["thresholds", "histogram"], "thresholds_file": f"{out}/thresholds_run.json", "parameters_file": f"{out}/distribution_params_run.json"}, "reports": None}
@@ -121,7 +121,7 @@ def test_run(spark, sf_dir, tmp_path):
 def test_utilities(spark, sf_dir, tmp_path, capsys):
     raw, out = str(tmp_path / "raw"), str(tmp_path / "out")
     observations(spark, sf_dir).withColumnRenamed("datetime", "timeObs").withColumn("turbulenceError", F.col("error")).withColumn("windSpeedDD", F.col("flag")).withColumn("medTurbulence", F.when(F.col("report") % 7 > 0, 1.0)).write.parquet(raw)
-    cli.main(["data", "amdar", "preprocess", "-s", "acars", "-i", raw, "-o", out], spark)
+    cli.main(["data", "amdar", "preprocess", "-s", "acars", "-i", raw, "-o", out, "--glob-pattern", "*.parquet", "--all-columns"], spark)
     kept = spark.read.parquet(out)
     assert 0 < kept.count() < spark.read.parquet(raw).count() and kept.where("flag in ('B', 'X') or error = 102 or medTurbulence is null").count() == 0
     assert not {"turbulenceError", "windSpeedDD"} & set(kept.columns)
