@@ -7,7 +7,9 @@ bytes) must also stand between white space or the text's ends. By the q-gram lem
 q-grams with the window at least, and all of them lie on diagonals that are no more than k apart. q is chosen by window,
 Q or the largest for which that bound is positive, so no occurrence is lost whatever the length. Shared q-grams are
 counted in bands of diagonals, twice as wide as that and overlapping by half; bands below the bound cannot hold an
-occurrence, and the rest are verified by alignment within the band.
+occurrence, and the rest are verified by alignment within the band. Windows without edits are an index of their own, in
+which each place of the first q-gram is compared byte by byte, as any of them may be the one that stands alone. A text that
+repeats itself shares its q-grams with a window in very many places: it is taken in pieces that overlap by an occurrence.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ RATE = 0.08
 WINDOW, STRIDE = 160, 80
 #: Bytes of benchmark that are indexed and broadcast at once; a larger benchmark is taken in several passes.
 INDEX_BYTES = 4 << 20
+#: Places of shared q-grams in windows that are counted at once.
+PLACES = 1 << 20
 _BITS = 22
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _NONE = b"\xff"
@@ -89,12 +93,12 @@ class Index:
 
     @classmethod
     def of(cls, items: list[tuple]) -> list[Index]:
-        """One for each q among the windows of the items, (id, text)."""
-        by_q: dict[int, list[tuple]] = {}
+        """One for each q among the windows of the items, (id, text), those without edits by themselves."""
+        by_q: dict[tuple[bool, int], list[tuple]] = {}
         for item, text in items:
             for window in windows(normalised(text)):
-                by_q.setdefault(gram_size(len(window)), []).append((item, window))
-        return [cls._of(q, found) for q, found in sorted(by_q.items())]
+                by_q.setdefault((budget_of(len(window)) > 0, gram_size(len(window))), []).append((item, window))
+        return [cls._of(q, found) for (_, q), found in sorted(by_q.items())]
 
     @classmethod
     def _of(cls, q: int, found: list[tuple]) -> Index:
@@ -115,6 +119,10 @@ class Index:
     def band(self) -> int:
         return int(self.budget.max(initial=0)) + 1
 
+    @property
+    def exact(self) -> bool:
+        return not self.budget.any()
+
 
 def found_in(indexes: list[Index], texts: list[bytes]) -> Iterator[tuple[int, object, int, int, int]]:
     """(text, item, begin, end, edits) of every window that occurs, by matches()."""
@@ -143,22 +151,58 @@ def matches(index: Index, texts: list[bytes]) -> list[tuple[int, int, int, int,
     at, slot, text = at[enough], slot[enough], text[enough]
     if not len(at):
         return []
-    # one row for each place of a shared q-gram in a segment
+    if index.exact:
+        return _in_place(index, data, starts, at, slot, text)
+    longest = max(map(len, index.segments))
+    bins = (int(np.diff(starts).max()) + longest) // index.band + 2
+    keys = [_bands(index, at[lo:hi], slot[lo:hi], text[lo:hi], starts, longest, bins) for lo, hi in _pieces(index, at, slot, longest + index.band)]
+    key = np.unique(np.concatenate(keys))
+    segment = (key // bins % len(index.segments)).tolist()
+    return _verified(index, texts, (key // bins // len(index.segments)).tolist(), segment, ((key % bins) * index.band - longest).tolist(), 2 * index.band)
+
+
+def _pieces(index: Index, at: np.ndarray, slot: np.ndarray, reach: int) -> Iterator[tuple[int, int]]:
+    """Ranges of hits with about PLACES places in windows each; two that follow overlap by `reach` bytes, more than an occurrence has."""
+    upto = np.cumsum(index.first[slot + 1] - index.first[slot])
+    lo, n = 0, len(at)
+    while True:
+        hi = int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PLACES, side="right"))
+        hi = max(hi, int(np.searchsorted(at, at[lo] + 2 * reach, side="right")))
+        yield lo, min(hi, n)
+        if hi >= n:
+            return
+        lo = int(np.searchsorted(at, at[hi] - reach, side="left"))
+
+
+def _bands(index: Index, at: np.ndarray, slot: np.ndarray, text: np.ndarray, starts: np.ndarray, longest: int, bins: int) -> np.ndarray:
+    """Bands, as numbers of text, window and bin, that share enough q-grams; a row for each place of a shared one in a window."""
     times = index.first[slot + 1] - index.first[slot]
     which = np.repeat(index.first[slot] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(int(times.sum()))
     text, place, segment = np.repeat(text, times), np.repeat(at, times), index.segment[which].astype(np.int64)
-    longest = max(map(len, index.segments))
     diagonal = place - starts[text] - index.place[which].astype(np.int64) + longest
-    width = index.band
-    bins = (int(np.diff(starts).max()) + longest) // width + 2
-    key, count = np.unique((text * len(index.segments) + segment) * bins + diagonal // width, return_counts=True)
+    key, count = np.unique((text * len(index.segments) + segment) * bins + diagonal // index.band, return_counts=True)
     follows = np.append(np.diff(key) == 1, False)
     both = count + np.where(follows, np.append(count[1:], 0), 0)
     # a band also begins one bin before the first of a run, but what it adds is in the band that begins there
-    segment = key // bins % len(index.segments)
-    keep = both >= index.least[segment]
-    key, segment = key[keep], segment[keep]
-    return _verified(index, texts, (key // bins // len(index.segments)).tolist(), segment.tolist(), ((key % bins) * width - longest).tolist(), 2 * width)
+    return key[both >= index.least[key // bins % len(index.segments)]]
+
+
+def _in_place(index: Index, data: np.ndarray, starts: np.ndarray, at: np.ndarray, slot: np.ndarray, text: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """Windows without edits: the first place in each text where one stands between white space or the text's ends."""
+    begins = (at == starts[text]) | (data[at - 1] == 32)
+    at, slot, text = at[begins], slot[begins], text[begins]
+    found: dict[tuple[int, int], int] = {}
+    firsts: dict[int, list[int]] = {}
+    for place, k, t in zip(at.tolist(), slot.tolist(), text.tolist(), strict=True):
+        if k not in firsts:
+            held = slice(int(index.first[k]), int(index.first[k + 1]))
+            firsts[k] = index.segment[held][index.place[held] == 0].tolist()
+        for segment in firsts[k]:
+            if (t, segment) not in found:
+                end = place + len(index.segments[segment])
+                if end < starts[t + 1] and data[end] in (32, _NONE[0]) and data[place:end].tobytes() == index.segments[segment]:
+                    found[t, segment] = place - int(starts[t])
+    return [(t, s, begin, begin + len(index.segments[s]), 0) for (t, s), begin in sorted(found.items())]
 
 
 def _verified(index: Index, texts: list[bytes], text: list[int], segment: list[int], diagonal: list[int], wide: int, at_once: int = 256) -> list[tuple[int, int, int, int, int]]:
@@ -168,17 +212,12 @@ def _verified(index: Index, texts: list[bytes], text: list[int], segment: list[i
         some = order[lo : lo + at_once]
         ends = _aligned([index.segments[segment[i]] for i in some], [texts[text[i]] for i in some], [diagonal[i] for i in some], [int(index.budget[segment[i]]) for i in some], wide)
         for i, (edits, begin, end) in zip(some, ends, strict=True):
-            whole = index.budget[segment[i]] > 0 or (edits == 0 and _stands_alone(texts[text[i]], begin, end))
-            if edits <= index.budget[segment[i]] and whole:
+            if edits <= index.budget[segment[i]]:
                 pair = text[i], segment[i]
                 best[pair] = min(best.get(pair, (edits, begin, end)), (edits, begin, end))
     return [(t, s, begin, end, edits) for (t, s), (edits, begin, end) in sorted(best.items())]
 
 
-def _stands_alone(text: bytes, begin: int, end: int) -> bool:
-    return (not begin or text[begin - 1] == 32) and (end == len(text) or text[end] == 32)
-
-
 def _aligned(patterns: list[bytes], texts: list[bytes], diagonals: list[int], budgets: list[int], wide: int) -> list[tuple[int, int, int]]:
     """Edits, begin and end of the best alignment of each whole pattern within its band of the text.
 

@@ -8,6 +8,7 @@ form exactly is an error, not a guess.
 
 from __future__ import annotations
 
+import codecs
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -27,7 +28,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     the library's decoding of the ids. covered_bytes: original bytes within the pieces' spans. A null text counts as
     empty: no ids, an empty decoding. Bytes that are not UTF-8 are read as U+FFFD, as `str.decode` replaces them, and spans
     point to the bytes replaced. Texts are encoded whole, several short ones or one long one at a time. A null id is kept;
-    repeated rows each give a row, of equal texts an equal one; an empty table gives no rows; other columns are not read.
+    repeated rows each give a row, of equal texts an equal one, so there are no ties; an empty table gives no rows; other columns are not read.
     """
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,16 +63,25 @@ def _spans(model: pieces.Pieces, library, ids: np.ndarray, raw: bytes, read: str
     return tuple(source[x] for x in model.spans(ids, seen, shown))
 
 
+_BAD: list[tuple[int, int]] = []
+
+
+def _note(error: UnicodeError) -> tuple[str, int]:
+    _BAD.append((error.start, error.end))
+    return "\ufffd", error.end
+
+
+codecs.register_error("aerolith_note", _note)
+
+
 def _replaced(raw: bytes) -> np.ndarray:
-    """For each byte of the text with bad bytes replaced the place it comes from, and the end."""
+    """For each byte of the text with bad bytes replaced the place it comes from, and the end; one pass."""
+    _BAD.clear()
+    raw.decode("utf-8", "aerolith_note")
     parts, at = [], 0
-    while True:
-        try:
-            raw[at:].decode()
-            break
-        except UnicodeDecodeError as bad:
-            parts += [np.arange(at, at + bad.start), np.full(len("\ufffd".encode()), at + bad.start)]
-            at += bad.end
+    for begin, end in _BAD:
+        parts += [np.arange(at, begin), np.full(len("\ufffd".encode()), begin)]
+        at = end
     return np.concatenate([*parts, np.arange(at, len(raw) + 1)])
 
 

@@ -18,7 +18,7 @@ SIMILARITY t or more, a text's shingles are put in one order that holds for all
 similarity t share t / (1 + t) of their sizes' sum at least, so the first of n - ceil(t * n) + 1 shingles of each have one
 in common. Those shingles are the keys. At the first shingle that two sets share, their places say how many they can share
 at most, and so do the counts of their values by remainder (sketches); pairs that cannot reach t are no candidates, and
-the whole shingle sets decide for all others. So no pair is lost, whatever the order is; the order, from a sample, only
+the whole shingle sets decide for all others. Equal sets are one node. So no pair is lost (but for equal 64-bit hashes), whatever the order is; the order, from a sample, only
 keeps the keys small.
 """
 
@@ -71,7 +71,8 @@ def fingerprint(text: bytes, words: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, near: tuple | None = None) -> DataFrame:
     """(id, fp) for every row; fp is the fingerprint as a signed long. A null text is empty.
 
-    With near, a broadcast of common_shingles and a similarity: also size, of the shingle set, prefix, its keys, and sketch.
+    With near, a broadcast of common_shingles and a similarity: also shingles, a hash of the shingle set, its size, prefix,
+    its keys, and sketch.
     """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,13 +82,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 found = np.array([fingerprint(x, words) for x in texts], np.uint64).view(np.int64)
                 columns = {"id": batch.column(0)[lo:hi], "fp": pa.array(found)}
                 if near is not None:
+                    columns["text"] = batch.column(2)[lo:hi]
                     sets = [shingle_set(x) for x in texts]
-                    columns |= {"size": pa.array([len(x) for x in sets], pa.int32()), "prefix": pa.array([prefix(x, near[0].value, near[1]) for x in sets], pa.list_(pa.int64())), "sketch": pa.array([sketch(x) for x in sets], pa.binary())}
+                    columns |= {"shingles": pa.array(np.array([set_hash(x) for x in sets], np.int64)), "size": pa.array([len(x) for x in sets], pa.int32()), "prefix": pa.array([prefix(x, near[0].value, near[1]) for x in sets], pa.list_(pa.int64())), "sketch": pa.array([sketch(x) for x in sets], pa.binary())}
                 yield pa.RecordBatch.from_pydict(columns)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    more = ", size int, prefix array<long>, sketch binary" if near is not None else ""
-    return docs.select(F.col(id_col).alias("id"), common.as_bytes(text_col).alias("data")).mapInArrow(made, f"id {kind}, fp long{more}").withColumnRenamed("id", id_col)
+    text = [] if near is None else [_text_hash(text_col).alias("text")]
+    more = ", shingles long, size int, prefix array<long>, sketch binary" if near is not None else ""
+    read = docs.select(F.col(id_col).alias("id"), common.as_bytes(text_col).alias("data"), *text)
+    return read.mapInArrow(made, f"id {kind}, fp long{', text long' * len(text)}{more}").withColumnRenamed("id", id_col)
 
 
 def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
@@ -105,6 +109,13 @@ def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(np.concatenate(parts))
 
 
+def set_hash(shingles: np.ndarray) -> int:
+    """One number for equal sets."""
+    import xxhash
+
+    return int.from_bytes(xxhash.xxh64_digest(shingles.astype("<i8").tobytes(), SEED), "big", signed=True)
+
+
 def common_shingles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(shingle, rank): the commonest shingles of a sample of rows, rising, and a rank that rises with their counts."""
 
@@ -280,8 +291,15 @@ def plausible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
     return both.mapInArrow(kept, "a long, b long")
 
 
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(common.as_bytes(text_col))
+
+
 def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text_col: str, similarity: float, repeated: bool, words: int = WORDS) -> DataFrame:
-    """The pairs whose whole shingle sets have the similarity. repeated: whether ids of docs repeat."""
+    """The pairs whose whole shingle sets have the similarity. repeated: whether rows of docs have an id and a text in common.
+
+    A node's text is that of the row with its id, which may be null, and its text's hash.
+    """
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,8 +308,9 @@ def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, te
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(sets, pa.list_(pa.int64()))], ["fp", "s"])
 
     pairs = common.written(plausible(pairs, nodes, similarity), True)
-    wanted = common.written(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.select("fp", F.col("least").alias("id")), "fp"), True)
-    texts = docs.select(F.col(id_col).alias("id"), common.as_bytes(text_col).alias("data")).join(_held(wanted, wanted.count()), "id").select("fp", "data")
+    wanted = common.written(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.select("fp", F.col("least").alias("_id"), F.col("text").alias("_text")), "fp"), True)
+    held = docs.select(F.col(id_col).alias("id"), _text_hash(text_col).alias("text"), common.as_bytes(text_col).alias("data"))
+    texts = held.join(_held(wanted, wanted.count()), F.col("id").eqNullSafe(F.col("_id")) & (F.col("text") == F.col("_text"))).select("fp", "data")
     sets = texts.mapInArrow(shingled, "fp long, s array<long>")
     sets = common.written(sets.dropDuplicates(["fp"]) if repeated else sets)
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
@@ -302,16 +321,16 @@ def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, te
 
 
 def near_links(docs: DataFrame, nodes: DataFrame, edges: DataFrame, id_col: str, text_col: str, repeated: bool, similarity: float = SIMILARITY) -> DataFrame:
-    """edges, and (a, b), a < b, of fingerprints whose texts are similar.
+    """edges, and (a, b), a < b, of nodes whose texts are similar.
 
-    nodes: fp, the least id of its rows, and that row's size, prefix and sketch. A node stands for the text of its least
-    id; nodes without an id are not compared. There are two rounds: each of a key's nodes with its centre, the one with the
-    fewest shingles before the key, as copies with the fewest changes have; then all pairs of a key that are not connected
-    by then. So a large group of near copies costs about one comparison a text, and
+    nodes: fp, here the hash of a shingle set, so that equal sets are one node; the least id that has it, that row's text
+    (a hash), and the set's size, prefix and sketch. There are two rounds: each of a key's nodes with its centre, the one
+    with the fewest shingles before the key, as copies with the fewest changes have; then all pairs of a key that are not
+    connected by then. So a large group of near copies costs about one comparison a text, and
     texts are compared with each other also where the centre is like neither. No key's nodes are gathered: the first round
     is a window that spills, the second an equi-join.
     """
-    keyed = nodes.where("least is not null").select("fp", "size", F.posexplode("prefix").alias("at", "key"))
+    keyed = nodes.select("fp", "size", F.posexplode("prefix").alias("at", "key"))
     of_key = Window.partitionBy("key")
     foremost = keyed.select("*", F.count("*").over(of_key).alias("n"), F.min("at").over(of_key).alias("least_at")).where("n > 1")
     shared = foremost.withColumn("centre", F.min(F.when(F.col("at") == F.col("least_at"), F.col("fp"))).over(of_key)).drop("least_at")
@@ -332,29 +351,50 @@ def near_links(docs: DataFrame, nodes: DataFrame, edges: DataFrame, id_col: str,
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """(id, fp, component_id) for every row of docs; component_id is the least id of the row's component.
 
-    Rows of equal fingerprints, or fingerprints that differ in two bits or fewer, are linked. With a similarity, texts
-    whose sets of WORDS-word shingles reach it are linked too.
-    Null and empty texts, and texts of white space alone, have fingerprint 0 and are linked like any other. A null id
-    is no component's name unless it has no other. Texts are read whole however long. Repeated rows each give a row. An
-    empty table gives no rows. Other columns are not read, whatever their names.
+    Rows of equal fingerprints, or fingerprints that differ in two bits or fewer, are linked. With a similarity, rows are
+    linked if their sets of WORDS-word shingles reach it instead, and only then: links between fingerprints are what is
+    compared first, and sets decide.
+    Null and empty texts, and texts of white space alone, have fingerprint 0, or no shingles, and are linked like any other. A
+    null id is no component's name unless it has no other. Texts are read whole however long. Repeated rows each give a row.
+    An empty table gives no rows. Other columns are not read, whatever their names.
     """
     mark = common.live()
     near = None if similarity is None else (common.broadcast(docs.sparkSession, common_shingles(docs, id_col, text_col)), similarity)
-    found = common.written(fingerprints(docs, id_col, text_col, words, near))
+    made = fingerprints(docs, id_col, text_col, words, near)
+    found = common.written(made)
     common.release(mark)
-    # nulls last: a null id stands for a fingerprint only if there is no other
-    more = [] if near is None else ["size", "prefix", "sketch"]
-    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), *more))
-    nodes = common.written(found.groupBy("fp").agg(first.alias("x")).select("fp", F.col("x.id").alias("least"), *(f"x.{c}" for c in more)))
-    edges = links(nodes)
-    if similarity is not None:
-        repeated = not found.groupBy(id_col).count().where("count > 1").isEmpty()
+    node = "fp" if near is None else "shingles"
+    # nulls last: a null id stands for a node only if there is no other
+    of_text = [] if near is None else ["text", "size", "prefix", "sketch"]
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), *of_text))
+    nodes = found.groupBy(node).agg(first.alias("x")).select(F.col(node).alias("fp"), F.col("x.id").alias("least"), *(f"x.{c}" for c in of_text))
+    nodes = common.written(nodes)
+    if near is None:
+        edges = links(nodes)
+    else:
+        repeated = not found.groupBy(id_col, "text").count().where("count > 1").isEmpty()
+        candidates = common.written(_fingerprint_pairs(found), True)
+        edges = similar(docs, nodes, candidates, id_col, text_col, similarity, repeated)
         edges = near_links(docs, nodes, edges, id_col, text_col, repeated, similarity)
     roots = components(edges)
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(named, "root").select("fp", "component_id")
-    return found.join(by_fp, "fp").select(id_col, "fp", "component_id")
+    by_node = rooted.join(named, "root").select(F.col("fp").alias("_node"), "component_id")
+    return found.join(by_node, F.col(node) == F.col("_node")).select(id_col, "fp", "component_id")
+
+
+def _fingerprint_pairs(found: DataFrame) -> DataFrame:
+    """(a, b), a < b: nodes, by the hashes of their sets, that their fingerprints make candidates.
+
+    Of the nodes of one fingerprint each goes with the least, and so do the least ones of two linked fingerprints. It is
+    where most copies are found; what it leaves out is found by keys of shingles.
+    """
+    has = common.written(found.select("fp", F.col("shingles").alias("node")).distinct(), True)
+    least = common.written(has.groupBy("fp").agg(F.min("node").alias("least")), True)
+    own = has.join(least, "fp").where("node > least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    first, second = least.toDF("fa", "a"), least.toDF("fb", "b")
+    linked = links(least.select("fp")).toDF("fa", "fb").join(first, "fa").join(second, "fb").where("a != b")
+    return own.unionByName(linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, similarity: float | None = SIMILARITY) -> DataFrame:

@@ -126,3 +126,32 @@ def test_source_places(text):
     shown = decontaminate.normalised(text)
     source = decontaminate._source(text)
     assert [bytes([shown[i]]) for i in range(len(shown))] == [text[source[i] : source[i] + 1].lower().replace(b"\n", b" ").replace(b"\t", b" ") for i in range(len(shown))]
+
+
+def test_any_place_of_an_item_without_edits_counts():
+    """A place that does not stand alone hides no other, whatever longer items are looked for too."""
+    rng = random.Random(7)
+    long = bytes(rng.choice(b"klmnop") for _ in range(160))
+    indexes = decontaminate.Index.of([(1, b"cat sat on"), (2, long), (3, b"cat sat on it")])
+    for before in ("abcdefgh ", "abcdefghi ", "", "x" * 40 + " "):
+        for text in (f"{before}xcat sat on cat sat on", f"{before}xcat sat on " * 30 + "cat sat on", f"cat sat onx {before}cat sat on"):
+            found = list(decontaminate.found_in(indexes, [text.encode(), b"cat sat only", long]))
+            assert (0, 1, text.rfind("cat sat on"), len(text), 0) in found and {(t, i) for t, i, *_ in found} == {(0, 1), (2, 2)}
+
+
+def test_texts_that_repeat_a_window_are_taken_in_pieces(monkeypatch):
+    import tracemalloc
+
+    item = b"ab" * 80
+    (index,) = decontaminate.Index.of([(1, item)])
+    some = [b"ab" * 3000, b"xy " * 500 + b"ab" * 79 + b" xy" * 500, b"ab" * 300 + b"cd" * 300 + b"ab" * 76 + b"c"]
+    want = decontaminate.matches(index, some)
+    assert {t for t, *_ in want} == {0, 1, 2}
+    for places in (1, 5000, 100_000):
+        monkeypatch.setattr(decontaminate, "PLACES", places)
+        assert decontaminate.matches(index, some) == want
+    monkeypatch.undo()
+    tracemalloc.start()
+    assert len(decontaminate.matches(index, [b"ab" * 500_000])) == 1
+    assert tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()

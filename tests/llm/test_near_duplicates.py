@@ -217,3 +217,37 @@ def test_sketches_bound_what_sets_share():
         assert size <= near_duplicates.most_shared(x, y)[0] <= size + len(more)
     full = np.full((1, 64), 255, np.uint8)
     assert near_duplicates.most_shared(full, full)[0] > 1 << 40
+
+
+def test_texts_of_one_fingerprint_are_all_compared(spark):
+    """Repeated words decide a fingerprint; texts that share it, but no set, hide no copy behind the one of least id."""
+    random = np.random.default_rng(14)
+    one, other, third = (" ".join(random.choice([f"w{i}" for i in range(4000)], 60)) for _ in range(3))
+    rows = [(1, "spam " * 400 + one), (2, "spam " * 400 + other), (3, "spam " * 5 + other), (None, "spam " * 5 + one), (None, "spam " * 300 + third), (4, "spam " * 400 + third)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fps = {near_duplicates.fingerprint(t.encode()) for i, t in rows if i in (1, 2, 4)}
+    assert len(fps) == 1
+    plain = {r.doc_id: r.component_id for r in near_duplicates.classes(docs).collect()}
+    assert plain[1] == plain[2] == plain[4] == 1
+    found = sorted(((r.doc_id, r.component_id) for r in near_duplicates.classes(docs, similarity=0.8).collect()), key=str)
+    assert found == sorted([(1, 1), (2, 2), (3, 2), (None, 1), (None, 4), (4, 4)], key=str)
+    assert sorted(r.doc_id for r in near_duplicates.representatives(docs).collect()) == [1, 2, 4]
+
+
+def test_all_pairs_of_texts(spark, sf_dir):
+    """On the given documents, components are exactly those of all pairs of texts of similarity 0.8 or more."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    shingles = {r.doc_id: set(near_duplicates.shingle_set((r.text or "").encode()).tolist()) for r in docs.collect()}
+    root = {i: i for i in shingles}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sorted(shingles):
+        for b in sorted(shingles):
+            if a < b and len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    assert {r.doc_id: r.component_id for r in near_duplicates.classes(docs, similarity=0.8).collect()} == {i: find(i) for i in shingles}

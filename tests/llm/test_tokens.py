@@ -178,3 +178,25 @@ def test_queries_cover_their_table(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert queries.QUERIES["op1_token_counts"](spark, sf_dir).count() == n
     assert queries.QUERIES["op3_sentencepiece"](spark, sf_dir).count() == n
+
+
+def test_places_of_replaced_bytes():
+    import time
+
+    from aerolith.llm import encoding
+
+    rng = np.random.default_rng(1)
+    for raw in [b"", b"ok", b"\xff", b"a\xffb", b"\xe2\x82", b"\xe2\x82a\xf0\x9f\x98", "ü�".encode() + b"\x80", *(rng.integers(0, 256, 40).astype(np.uint8).tobytes() for _ in range(50))]:
+        want, at = [], 0
+        while at < len(raw):
+            try:
+                raw[at:].decode()
+                good, bad = len(raw) - at, None
+            except UnicodeDecodeError as error:
+                good, bad = error.start, error.end
+            want += [*range(at, at + good), *([at + good] * 3 if bad else [])]
+            at += bad or good
+        assert encoding._replaced(raw).tolist() == [*want, len(raw)]
+    began = time.perf_counter()
+    assert len(encoding._replaced(b"\xff" * 1_000_000)) == 3_000_001
+    assert time.perf_counter() - began < 20
