@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from itertools import combinations_with_replacement
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolith.functions import physics
-from aerolith.operators import filters
+from aerolith.operators import filters, moments
 from aerolith.operators.filters import Thresholds
 from aerolith.schema import LAT, LEVEL, LON, TIME, Severity, ThresholdMode, require
 
@@ -76,17 +78,16 @@ def _by_severity(value: dict[str, Column]) -> list[Column]:
 
 
 def _ranked(wide: DataFrame, names: list[str], held: list[tuple[str, float]], accuracy: int) -> DataFrame:
-    """percentile_thresholds in two passes. Values under a percentile's range are counted as one, values in it by value.
+    """percentile_thresholds in two scans of the wide table, no row of which is multiplied.
 
-    A sketch's rank errs by a share of 1 / accuracy at most, and ranges reach three times as far.
+    The first makes a sketch of each column, which says between which values a percentile lies. The second counts: values
+    under a percentile's range as one, values in it by value, column by column of each batch.
     """
-    long = wide.select(*(F.col(n).cast("double").alias(n) for n in names)).unpivot([], names, "diagnostic", "v").where("v is not null")
-    reach = 3 / accuracy
-    low, high = [max(p - reach, 0.0) for _, p in held], [min(p + reach, 1.0) for _, p in held]
-    edges = long.groupBy("diagnostic").agg(F.percentile_approx("v", low + high, accuracy).alias("edges"), F.count("*").alias("all"))  # a row a name
-    each = F.explode(F.array(*(F.struct(F.lit(i).alias("k"), F.col("edges")[i].alias("low"), F.col("edges")[i + len(held)].alias("high")) for i in range(len(held)))))
-    near = long.join(F.broadcast(edges), "diagnostic").select("diagnostic", "all", "v", each.alias("x")).where("v <= x.high")
-    counts = near.groupBy("diagnostic", "all", F.col("x.k").alias("k"), F.expr("if(v < x.low, null, v)").alias("v")).agg(F.count("*").alias("n"))
+    wide = wide.select(*(F.col(n).cast("double").alias(n) for n in names))
+    edges, total = _brackets(wide, names, [p for _, p in held], accuracy)
+    counts = wide.mapInArrow(_bracketed(names, edges), "diagnostic string, k int, v double, n long").groupBy("diagnostic", "k", "v").agg(F.sum("n").alias("n"))
+    sizes = wide.sparkSession.createDataFrame(list(total.items()), "diagnostic string, `all` long")  # a row a name
+    counts = counts.join(F.broadcast(sizes), "diagnostic")
     upto = Window.partitionBy("diagnostic", "k").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     place = F.element_at(F.array(*(F.lit(p) for _, p in held)), F.col("k") + 1) * (F.col("all") - 1)
     summed = counts.withColumns({"upto": F.sum("n").over(upto), "place": place})
@@ -103,6 +104,69 @@ def _ranked(wide: DataFrame, names: list[str], held: list[tuple[str, float]], ac
     return all_names.join(made, "diagnostic", "left").select("diagnostic", *_by_severity({s: F.col(s) for s in wanted}))
 
 
+#: Values in a percentile's range that are ranked in one task; a wider range is narrowed first.
+RANKED = 1 << 23
+
+
+def _brackets(wide: DataFrame, names: list[str], shares: list[float], accuracy: int) -> tuple[dict[str, list[tuple[float, float]]], dict[str, int]]:
+    """For each name (lowest, highest) value of each percentile's range, and how many values it has.
+
+    A sketch's rank errs by a share of 1 / accuracy at most, and ranges reach three times as far. A range that holds more
+    than RANKED values is sketched itself, in one more scan for all such ranges, until none is too wide or they no longer
+    shrink, as where one value is met that often.
+    """
+    reach = 3 / accuracy
+    points = [max(p - reach, 0.0) for p in shares] + [min(p + reach, 1.0) for p in shares]
+    row = wide.agg(*(F.percentile_approx(n, points, accuracy).alias(f"e{i}") for i, n in enumerate(names)), *(F.count(n).alias(f"n{i}") for i, n in enumerate(names))).first()
+    total = {n: row[f"n{i}"] for i, n in enumerate(names) if row[f"n{i}"]}
+    edges = {n: list(zip(row[f"e{i}"][: len(shares)], row[f"e{i}"][len(shares) :])) for i, n in enumerate(names) if n in total}
+    todo = {(n, k) for n, x in total.items() for k in range(len(shares)) if 2 * reach * x > RANKED}
+    while todo:
+        listed = sorted(todo)
+        inside = lambda n, k: F.when(F.col(n).between(*edges[n][k]), F.col(n))
+        counts = wide.agg(*(x for i, (n, k) in enumerate(listed) for x in (F.count(F.when(F.col(n) < edges[n][k][0], 1)).alias(f"u{i}"), F.count(inside(n, k)).alias(f"i{i}")))).first()
+        asked = {}
+        for i, (n, k) in enumerate(listed):
+            rank, under, held = shares[k] * (total[n] - 1), counts[f"u{i}"], counts[f"i{i}"]
+            if held > RANKED:
+                asked[n, k] = [min(max((rank - under) / held + d, 0.0), 1.0) for d in (-reach, reach)]
+        if not asked:
+            break
+        found = wide.agg(*(F.percentile_approx(inside(n, k), p, accuracy).alias(f"e{i}") for i, ((n, k), p) in enumerate(asked.items()))).first()
+        todo = set()
+        for i, (n, k) in enumerate(asked):
+            new = tuple(found[f"e{i}"])
+            if new != edges[n][k]:
+                todo.add((n, k))
+            edges[n][k] = new
+    return edges, total
+
+
+def _bracketed(names: list[str], edges: dict[str, list[tuple[float, float]]]):
+    """Counts of a partition's values: (name, percentile, value, n), the value null for those under the range."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        under: dict[tuple[str, int], int] = {}
+        for batch in batches:
+            out: list[tuple[str, int, np.ndarray, np.ndarray]] = []
+            for i, n in enumerate(names):
+                x = batch.column(i).drop_null().to_numpy(zero_copy_only=False) if n in edges else np.zeros(0)
+                for k, (low, high) in enumerate(edges.get(n, [])):
+                    under[n, k] = under.get((n, k), 0) + int((x < low).sum())
+                    values, times = np.unique(x[(x >= low) & (x <= high)], return_counts=True)
+                    out.append((n, k, values, times))
+            yield _counts(out)
+        yield _counts([(n, k, np.array([np.nan]), np.array([x])) for (n, k), x in under.items()])
+
+    def _counts(rows: list[tuple[str, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        sizes = np.array([len(v) for _, _, v, _ in rows], np.int64)
+        values = np.concatenate([*(v for _, _, v, _ in rows), np.zeros(0)])
+        columns = [pa.array(np.repeat(np.array([n for n, *_ in rows], object), sizes).tolist(), pa.string()), pa.array(np.repeat(np.array([k for _, k, *_ in rows], np.int32), sizes), pa.int32())]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(values, pa.float64(), mask=np.isnan(values)), pa.array(np.concatenate([*(t for *_, t in rows), np.zeros(0, np.int64)]).astype(np.int64))], ["diagnostic", "k", "v", "n"])
+
+    return counted
+
+
 def distribution_parameters(long: DataFrame) -> DataFrame:
     """(diagnostic, mean, variance) of ln of the positive values; population variance."""
     ln = physics.log_of_positive(F.col("value"))
@@ -212,30 +276,9 @@ def frequency(df: DataFrame, column: str, greater_than: float) -> DataFrame:
     return df.agg(F.count(column).alias("n"), F.count_if(F.col(column) > greater_than).alias("turbulent")).withColumn("share", physics.ratio(F.col("turbulent").cast("double"), F.col("n").cast("double")))
 
 
-def pairs(names: list[str]) -> list[tuple[str, str]]:
-    return list(combinations_with_replacement(sorted(names), 2))
-
-
-def _correlations(names: list[str], pair: Column | None = None) -> list[Column]:
-    both = lambda a, b, c: F.when(F.col(a).isNotNull() & F.col(b).isNotNull() & ~F.isnan(a) & ~F.isnan(b), F.col(c))
-    # not corr, which is an error where a column is constant
-    pearson = lambda x, y: physics.ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-    return [pearson(both(a, b, a), both(a, b, b)).alias(f"{a}|{b}") for a, b in pairs(names) if a != b]
-
-
-def _as_matrix(row: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
-    held = [f"{a}|{b}" for a, b in pairs(names) if a != b]
-    long = row.select(*keys, *(F.lit(1.0).alias(f"{n}|{n}") for n in names), *(f"`{h}`" for h in held)).unpivot(keys, [f"`{n}|{n}`" for n in names] + [f"`{h}`" for h in held], "pair", "corr")
-    both = long.select(*keys, F.split("pair", r"\|").alias("p"), "corr")
-    flip = both.where("p[0] != p[1]").select(*keys, F.col("p")[1].alias("diagnostic1"), F.col("p")[0].alias("diagnostic2"), "corr")
-    return both.select(*keys, F.col("p")[0].alias("diagnostic1"), F.col("p")[1].alias("diagnostic2"), "corr").unionByName(flip)
-
-
 def correlation(wide: DataFrame, names: list[str], keys: list[str] | None = None) -> DataFrame:
-    """(keys, diagnostic1, diagnostic2, corr): Pearson over rows where both are present; all pairs in one aggregation."""
-    keys = keys or []
-    row = wide.groupBy(*keys).agg(*_correlations(names)) if keys else wide.agg(*_correlations(names))
-    return _as_matrix(row, names, keys)
+    """(keys, diagnostic1, diagnostic2, corr): Pearson over rows where both are present; all pairs in one pass, by merged moments."""
+    return moments.correlations(wide, names, keys or [])
 
 
 def regional_correlation(wide: DataFrame, names: list[str]) -> DataFrame:
@@ -243,7 +286,8 @@ def regional_correlation(wide: DataFrame, names: list[str]) -> DataFrame:
     low, high = wide.agg(F.min(LAT), F.max(LAT)).first()
     if low is None or low > -filters.TROPICS or high < filters.POLEWARD:
         raise ValueError("the grid does not reach over the regions")
-    return correlation(filters.by_region(wide), names, ["hemisphere", "region"])
+    tagged = wide.select(filters.region_tags(F.col(LAT)).alias("_tags"), *names)
+    return moments.correlations(tagged, names, [], "_tags")
 
 
 def matthews_correlation(masks: DataFrame, names: list[str], keys: list[str] | None = None) -> DataFrame:

@@ -211,10 +211,9 @@ def area(rates: DataFrame, keys: list[str] | None = None, spread: bool = False)
 
 
 def area_of_points(df: DataFrame, x: str, y: str) -> DataFrame:
-    """(auc) under points in order of x, which must be monotonic in `order`; the sign follows a falling x."""
-    w = Window.orderBy("order")
-    step = c(x) - F.lag(x).over(w)
-    rows = df.withColumns({"_s": step, "_a": step * (c(y) + F.lag(y).over(w)) / 2})
+    """(auc) under points in order of x, which must be monotonic in `order`; the sign follows a falling x. In ranges of the order."""
+    step = c("_beside")[x] - c(x)  # to the next in the order
+    rows = _beside(df, [], "order", [x, y]).withColumns({"_s": step, "_a": step * (c(y) + c("_beside")[y]) / 2})
     bad = (F.min("_s") < 0) & (F.max("_s") > 0)
     few = F.count("*") < 2
     return rows.agg(F.when(few, F.raise_error(F.lit("two points at least")).cast("double")).when(bad, F.raise_error(F.lit("x is not monotonic")).cast("double")).otherwise(F.abs(F.sum("_a")) * F.signum(F.sum("_a")) * F.when(F.min("_s") < 0, -1.0).otherwise(1.0)).alias("auc"))

@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,35 +34,75 @@ def boxes(spark: SparkSession, domain: Domain, step: float) -> DataFrame:
     return spark.range(nx * ny).select(c("id").cast("int").alias("index_right"), (ax.lower + x * wx).alias("min_x"), (ay.lower + y * wy).alias("min_y"), (ax.lower + (x + 1) * wx).alias("max_x"), (ay.lower + (y + 1) * wy).alias("max_y"))
 
 
-def _meets(polygon: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> bool:
-    """Whether a simple polygon and a rectangle have a point in common."""
-
-    def inside(px: float, py: float) -> bool:
-        hit, j = False, len(polygon) - 1
-        for i in range(len(polygon)):
-            (ax, ay), (bx, by) = polygon[i], polygon[j]
-            if (ay > py) != (by > py) and px < (bx - ax) * (py - ay) / (by - ay) + ax:
-                hit = not hit
-            j = i
-        return hit
-
-    def crosses(p, q, r, s) -> bool:
-        side = lambda a, b, d: (b[0] - a[0]) * (d[1] - a[1]) - (b[1] - a[1]) * (d[0] - a[0])
-        return side(p, q, r) * side(p, q, s) <= 0 and side(r, s, p) * side(r, s, q) <= 0 and max(min(p[0], q[0]), min(r[0], s[0])) <= min(max(p[0], q[0]), max(r[0], s[0])) and max(min(p[1], q[1]), min(r[1], s[1])) <= min(max(p[1], q[1]), max(r[1], s[1]))
-
-    corners = [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
-    if any(inside(*p) for p in corners) or any(x0 <= px <= x1 and y0 <= py <= y1 for px, py in polygon):
-        return True
-    return any(crosses(polygon[i - 1], polygon[i], corners[k - 1], corners[k]) for i in range(len(polygon)) for k in range(4))
-
-
-def polygon_boxes(spark: SparkSession, polygon: list[tuple[float, float]], step: float) -> DataFrame:
-    """Boxes over a polygon's bounding rectangle that meet the polygon, numbered anew."""
+#: Boxes on a side of the tiles in which a polygon's boxes are found, one to a task's row; comparisons made at once.
+TILE, AT_ONCE = 256, 1 << 21
+
+
+def meeting(polygon: np.ndarray, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(meets, within) of rectangles and a simple polygon: whether they have a point in common, and whether it holds them whole."""
+    rows = max(1, AT_ONCE // (16 * len(polygon)))
+    if len(x0) > rows:
+        parts = [meeting(polygon, *(v[k : k + rows] for v in (x0, y0, x1, y1))) for k in range(0, len(x0), rows)]
+        return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+    ax, ay = polygon.T[:, None, None, :]
+    bx, by = np.roll(polygon, 1, axis=0).T[:, None, None, :]
+    px, py = np.stack([x0, x1, x1, x0], 1)[:, :, None], np.stack([y0, y0, y1, y1], 1)[:, :, None]  # corners, in turn
+    with np.errstate(divide="ignore", invalid="ignore"):
+        right = ((ay > py) != (by > py)) & (px < (bx - ax) * (py - ay) / (by - ay) + ax)
+    corners = right.sum(axis=2) % 2 == 1
+    vertex = ((x0[:, None] <= polygon[:, 0]) & (polygon[:, 0] <= x1[:, None]) & (y0[:, None] <= polygon[:, 1]) & (polygon[:, 1] <= y1[:, None])).any(axis=1)
+    qx, qy = np.roll(px, 1, axis=1), np.roll(py, 1, axis=1)  # a side goes from the corner before
+    side = lambda ax, ay, bx, by, px, py: (bx - ax) * (py - ay) - (by - ay) * (px - ax)
+    crossed = (side(bx, by, ax, ay, qx, qy) * side(bx, by, ax, ay, px, py) <= 0) & (side(qx, qy, px, py, bx, by) * side(qx, qy, px, py, ax, ay) <= 0)
+    crossed &= (np.maximum(np.minimum(ax, bx), np.minimum(px, qx)) <= np.minimum(np.maximum(ax, bx), np.maximum(px, qx))) & (np.maximum(np.minimum(ay, by), np.minimum(py, qy)) <= np.minimum(np.maximum(ay, by), np.maximum(py, qy)))
+    edge = vertex | crossed.any(axis=(1, 2))
+    return edge | corners.any(axis=1), ~edge & corners.all(axis=1)
+
+
+def _refined(polygon: np.ndarray, xs: np.ndarray, ys: np.ndarray, i0: int, j0: int, i1: int, j1: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the boxes i0 to i1, j0 to j1 that meet the polygon: quarters that it holds or misses are not looked into."""
+    todo, found = np.array([[i0, j0, i1, j1]]), []
+    while len(todo):
+        a, b, c_, d = todo.T
+        meets, within = meeting(polygon, xs[a], ys[b], xs[c_], ys[d])
+        single = (c_ - a == 1) & (d - b == 1)
+        for k in np.flatnonzero(meets & (within | single)).tolist():
+            i, j = np.meshgrid(np.arange(a[k], c_[k]), np.arange(b[k], d[k]), indexing="ij")
+            found.append(np.stack([i.ravel(), j.ravel()]))
+        a, b, c_, d = todo[meets & ~within & ~single].T
+        m, n = (a + c_ + 1) // 2, (b + d + 1) // 2
+        todo = np.concatenate([np.stack(q, 1) for q in ((a, b, m, n), (m, b, c_, n), (a, n, m, d), (m, n, c_, d))])
+        todo = todo[(todo[:, 0] < todo[:, 2]) & (todo[:, 1] < todo[:, 3])]
+    return tuple(np.concatenate([*found, np.zeros((2, 0), int)], axis=1))
+
+
+def polygon_boxes(spark: SparkSession, polygon: list[tuple[float, float]], step: float, tile: int = TILE) -> DataFrame:
+    """(index_right, min_x, min_y, max_x, max_y): boxes over a polygon's bounding rectangle that meet the polygon, numbered anew, down each column.
+
+    Tiles of boxes are refined in tasks: a quarter that the polygon misses goes, one that it holds stays whole, others are
+    cut again down to single boxes. Boxes of a column are numbered together after those of the columns before.
+    """
+    if step <= 0:
+        raise ValueError("the step is positive")
     shape = np.array(polygon, float)
     (x0, y0), (x1, y1) = shape.min(axis=0), shape.max(axis=0)
     xs, ys = _edges(x0, x1, step), _edges(y0, y1, step)
-    held = [(xs[i], ys[j], xs[i + 1], ys[j + 1]) for i in range(len(xs) - 1) for j in range(len(ys) - 1) if _meets(shape, xs[i], ys[j], xs[i + 1], ys[j + 1])]
-    return spark.createDataFrame([(k, *map(float, b)) for k, b in enumerate(held)], "index_right int, min_x double, min_y double, max_x double, max_y double")
+    nx, ny = len(xs) - 1, len(ys) - 1
+    across, down = -(-nx // tile), -(-ny // tile)
+
+    def made(batches):
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                i0, j0 = k // down * tile, k % down * tile
+                i, j = _refined(shape, xs, ys, i0, j0, min(i0 + tile, nx), min(j0 + tile, ny))
+                columns = [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *(pa.array(v) for v in (xs[i], ys[j], xs[i + 1], ys[j + 1]))]
+                yield pa.RecordBatch.from_arrays(columns, ["i", "j", "min_x", "min_y", "max_x", "max_y"])
+
+    found = spark.range(0, across * down, 1, min(across * down, 1 << 12)).mapInArrow(made, "i int, j int, min_x double, min_y double, max_x double, max_y double")
+    earlier = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)  # a row a column of boxes
+    before = found.groupBy("i").agg(F.count("*").alias("_n")).select("i", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    number = F.row_number().over(Window.partitionBy("i").orderBy("j")) - 1 + c("_before")
+    return found.join(before, "i").select(number.cast("int").alias("index_right"), "min_x", "min_y", "max_x", "max_y")
 
 
 def spatial_join(points: DataFrame, domain: Domain, step: float) -> DataFrame:

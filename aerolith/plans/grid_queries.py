@@ -10,7 +10,7 @@ from aerolith.operators import calibrate, diagnostics, filters, metrics, observe
 from aerolith.operators.filters import Domain, Thresholds
 from aerolith.plans import launch
 from aerolith.plans.registry import AXES, CORIOLIS, DIAGNOSTIC_SQL, DIRECTION, KEYS, MERIDIONAL, NORTHING, PARALLEL, angle_p, apart, d, diagnosed, dz, grid_query, gx, gy, hour, keyed, q, r, register, scaled, scaled_column, tables
-from aerolith.schema import CELL, LAT, LEVEL, LON, TIME, Coordinate, Limits, Severity
+from aerolith.schema import CELL, LAT, LEVEL, LON, TIME, Limits, Severity
 from aerolith.sources import readers
 from aerolith.sources.lattice import lattice
 
@@ -64,20 +64,6 @@ def _midpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed(lattice(spark, sf_dir), ((lat() + 48.5) / 2).alias("lat"), ((lon() - 3.25) / 2).alias("lon"))
 
 
-_LHR, _JFK = Coordinate(51.47, -0.45), Coordinate(40.64, -73.78)
-_N_WAY = geodesy.waypoint_count(_LHR, _JFK, 50_000)
-_OMEGA = geodesy._distance(_LHR, _JFK) / geodesy.RADIUS
-_wp = lambda f1, f2: f"(sin((1 - t) * {_OMEGA!r}::DOUBLE) / sin({_OMEGA!r}::DOUBLE) * {f1} + sin(t * {_OMEGA!r}::DOUBLE) / sin({_OMEGA!r}::DOUBLE) * {f2})"
-_WX = _wp("cos(radians(51.47)) * cos(radians(-0.45))", "cos(radians(40.64)) * cos(radians(-73.78))")
-_WY = _wp("cos(radians(51.47)) * sin(radians(-0.45))", "cos(radians(40.64)) * sin(radians(-73.78))")
-_WZ = _wp("sin(radians(51.47))", "sin(radians(40.64))")
-
-
-@register("sca29_waypoints", f"SELECT i, {q(f'degrees(atan2({_WZ}, sqrt({_WX} * {_WX} + {_WY} * {_WY})))', 6)} AS latitude, {q(f'degrees(atan2({_WY}, {_WX}))', 6)} AS longitude FROM (SELECT i, i / {float(_N_WAY - 1)}::DOUBLE AS t FROM range({_N_WAY}) w(i))")
-def _waypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geodesy.waypoints(spark, _LHR, _JFK, _N_WAY).select("i", r(c("latitude"), 6).alias("latitude"), r(c("longitude"), 6).alias("longitude"))
-
-
 @register("sca30_names", tables("SELECT DISTINCT 'ti1_at_' || CAST(CAST(pressure_level AS INT) AS VARCHAR) AS name FROM grid"))
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice(spark, sf_dir).select(F.concat_ws("_", F.lit("ti1"), F.lit("at"), lev().cast("int").cast("string")).alias("name")).distinct()
@@ -146,9 +132,15 @@ def _archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed(readers.reanalysis_grid(raw, DOMAIN), r(alt(), 4).alias("altitude"), "eastward_wind", "temperature")
 
 
-@register("src10_date_combinations", "SELECT year(x)::INT AS year, month(x)::INT AS month, day(x)::INT AS day FROM (SELECT unnest(range(DATE '2020-01-01', DATE '2022-01-01', INTERVAL 1 DAY)) AS x) WHERE month(x) IN (2, 12)")
+@register("src10_date_combinations", """WITH y AS (SELECT DISTINCT year(o_orderdate) AS year FROM orders), days AS (SELECT unnest(range(make_date(year, 1, 1)::TIMESTAMP, make_date(year + 1, 1, 1)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS x FROM y)
+  SELECT year(x)::INT AS year, month(x)::INT AS month, day(x)::INT AS day, count(o_orderkey) AS orders FROM days LEFT JOIN orders ON o_orderdate::DATE = x WHERE month(x) IN (2, 12) GROUP BY ALL""")
 def _dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.date_combinations(spark, [2020, 2021], [2, 12], [-1])
+    """All days of two months of the years that have orders, with their orders."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    years = sorted(x[0] for x in orders.select(F.year("o_orderdate")).distinct().collect())  # a few
+    dates = readers.date_combinations(spark, years, [2, 12], [-1])
+    per = orders.groupBy(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"), F.day("o_orderdate").alias("day")).agg(F.count("*").alias("orders"))
+    return dates.join(per, ["year", "month", "day"], "left").fillna({"orders": 0})
 
 
 # stencils ------------------------------------------------------------------------------------------------------------
@@ -495,11 +487,29 @@ def _vertical_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed(regions.vertical_distance_between(_features(spark, sf_dir), "a", "b"), "distance")
 
 
-@register("reg11_correlation_clusters")
+_FIVE = NAMES + ["deformation", "ngm1"]
+_CORRELATED = ", ".join("[" + ", ".join("1.0::DOUBLE" if a == b else f"corr({a}::DOUBLE, {b}::DOUBLE)" for b in _FIVE) + "]" for a in _FIVE)
+#: Complete linkage: each round joins the two clusters whose farthest members are nearest; h is how far they are.
+_LINKAGE = f"""matrix AS (SELECT [{_CORRELATED}] AS r FROM diag),
+apart AS (SELECT list_transform(range(25), lambda k: sqrt(list_sum(list_transform(range(1, 6), lambda t: pow(r[k // 5 + 1][t] - r[k % 5 + 1][t], 2))))) AS d FROM matrix),
+tree(step, cl, h, d) AS (
+  SELECT 0, [[1], [2], [3], [4], [5]]::BIGINT[][], 0.0::DOUBLE, d FROM apart
+  UNION ALL
+  SELECT step + 1, list_concat(list_filter(cl, lambda x, k: k <> b.i AND k <> b.j), [list_concat(cl[b.i], cl[b.j])]), b.h, d FROM (
+    SELECT step, cl, d, list_sort(list_filter(list_transform(range(len(cl) * len(cl)), lambda p: {{'h': list_max(flatten(list_transform(cl[p // len(cl) + 1], lambda x: list_transform(cl[p % len(cl) + 1], lambda y: d[(x - 1) * 5 + y])))), 'i': p // len(cl) + 1, 'j': p % len(cl) + 1}}), lambda s: s.i < s.j))[1] AS b
+    FROM tree WHERE len(cl) > 1)
+),
+flat AS (SELECT cl FROM tree WHERE h <= list_max(d) / 2 ORDER BY step DESC LIMIT 1),
+leaves AS (SELECT cl[1] AS l FROM tree WHERE len(cl) = 1),
+owned AS (SELECT i, list_min(list_transform(list_filter(cl, lambda x: list_contains(x, i))[1], lambda m: list_position(l, m))) AS first_leaf FROM flat, leaves, range(1, 6) t(i)),
+ranked AS (SELECT i, dense_rank() OVER (ORDER BY first_leaf) AS cluster FROM owned)"""
+
+
+@register("reg11_correlation_clusters", tables(f"SELECT CAST(row_number() OVER (ORDER BY cluster, i) - 1 AS INT) AS place, {_FIVE!r}[i] AS diagnostic, CAST(cluster AS INT) AS cluster FROM ranked", more=[*diagnosed(*_FIVE), _LINKAGE]))
 def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     import numpy as np
 
-    names = NAMES + ["deformation", "ngm1"]
+    names = _FIVE
     held = {(x.diagnostic1, x.diagnostic2): x["corr"] for x in calibrate.correlation(_wide(spark, sf_dir, names), names).collect()}
     order, cluster = regions.complete_linkage_order(np.array([[held[a, b] for b in names] for a in names], float))
     return spark.createDataFrame([(i, names[k], cluster[k]) for i, k in enumerate(order)], "place int, diagnostic string, cluster int")

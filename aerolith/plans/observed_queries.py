@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aerolith.functions import geodesy
 from aerolith.operators import calibrate, filters, metrics, observe
 from aerolith.operators.filters import Domain
 from aerolith.plans import launch
@@ -105,9 +106,28 @@ def _spatial(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observe.spatial_join(observed(spark, sf_dir), DOMAIN, STEP).select("report", "index_right")
 
 
-@register("jon2_boxes", f"WITH {_BOXES} SELECT index_right, {q('min_x', 6)} AS min_x, {q('min_y', 6)} AS min_y, {q('max_x', 6)} AS max_x, {q('max_y', 6)} AS max_y FROM boxes")
+@register("jon2_boxes", _O(f"""SELECT (x * ny + y)::INT AS index_right, {q('x0 + x * (x1 - x0) / nx', 6)} AS min_x, {q('y0 + y * (y1 - y0) / ny', 6)} AS min_y, {q('x0 + (x + 1) * (x1 - x0) / nx', 6)} AS max_x, {q('y0 + (y + 1) * (y1 - y0) / ny', 6)} AS max_y FROM (
+  SELECT *, unnest(range(nx)) AS x FROM (SELECT *, ceil((x1 - x0) / 7.5)::BIGINT AS nx, ceil((y1 - y0) / 7.5)::BIGINT AS ny FROM (
+  SELECT floor(min(longitude))::DOUBLE AS x0, ceil(max(longitude))::DOUBLE AS x1, floor(min(latitude))::DOUBLE AS y0, ceil(max(latitude))::DOUBLE AS y1 FROM obs))), LATERAL (SELECT unnest(range(ny)) AS y)"""))
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return observe.boxes(spark, DOMAIN, STEP).select("index_right", *(r(c(x), 6).alias(x) for x in ("min_x", "min_y", "max_x", "max_y")))
+    """Boxes over all that the reports reach."""
+    x0, x1, y0, y1 = observed(spark, sf_dir).agg(F.floor(F.min("longitude")), F.ceil(F.max("longitude")), F.floor(F.min("latitude")), F.ceil(F.max("latitude"))).first()
+    domain = Domain(Limits(float(x0), float(x1)), Limits(float(y0), float(y1)))
+    return observe.boxes(spark, domain, 7.5).select("index_right", *(r(c(x), 6).alias(x) for x in ("min_x", "min_y", "max_x", "max_y")))
+
+
+_H = "pow(sin(radians(40.64::DOUBLE - latitude) / 2), 2) + cos(radians(latitude)) * cos(radians(40.64::DOUBLE)) * pow(sin(radians(-73.78::DOUBLE - longitude) / 2), 2)"
+_WAY = f"""way AS (SELECT report, i, sin((1 - t) * w) / sin(w) AS wa, sin(t * w) / sin(w) AS wb, radians(latitude) AS a, radians(longitude) AS b, radians(40.64::DOUBLE) AS d, radians(-73.78::DOUBLE) AS e
+  FROM (SELECT report, latitude, longitude, 2 * asin(sqrt({_H})) AS w FROM obs) CROSS JOIN (SELECT i::INT AS i, i / 4.0::DOUBLE AS t FROM range(5) s(i))),
+xyz AS (SELECT report, i, wa * cos(a) * cos(b) + wb * cos(d) * cos(e) AS x, wa * cos(a) * sin(b) + wb * cos(d) * sin(e) AS y, wa * sin(a) + wb * sin(d) AS z FROM way)"""
+
+
+@register("sca29_waypoints", _O(f"SELECT report, i, {q('degrees(atan2(z, sqrt(x * x + y * y)))', 6)} AS latitude, {q('degrees(atan2(y, x))', 6)} AS longitude FROM xyz", [_WAY]))
+def _waypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five points on the way from every report to one place."""
+    routes = observed(spark, sf_dir).select("report", "latitude", "longitude", F.lit(40.64).alias("to_latitude"), F.lit(-73.78).alias("to_longitude"))
+    made = geodesy.route_waypoints(routes, "latitude", "longitude", "to_latitude", "to_longitude", 5)
+    return made.select("report", "i", r(c("way_latitude"), 6).alias("latitude"), r(c("way_longitude"), 6).alias("longitude"))
 
 
 #: A triangle that narrows upwards meets a box if it does so at the box's lower side.
@@ -153,7 +173,7 @@ def _indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("report", "index_right", "level_index", "lat_index", "lon_index", "time_index")
 
 
-@register("jon9_flat_index", tables(f"SELECT {_key}, ((((latitude + 66) / 12 * 18 + (longitude + 90) / 10) * 4 + (hour - 473352) // 6) * 6 + dense_rank() OVER (ORDER BY pressure_level) - 1)::INT AS flat FROM grid"))
+@register("jon9_flat_index", tables(f"SELECT {_key}, ((((latitude + 66) / 12 * 18 + (longitude + 90) / 10) * (SELECT count(DISTINCT hour) FROM grid) + (hour - 473352) // 6) * 6 + dense_rank() OVER (ORDER BY pressure_level) - 1)::INT AS flat FROM grid"))
 def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = lattice(spark, sf_dir)
     axes = observe.Axes(grid)
@@ -440,17 +460,18 @@ def _zarr_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed(zarr.read_zarr(spark, path, ["wind_speed"]), r(c("wind_speed"), 6).alias("wind_speed"))
 
 
-_UNEVEN = """axis AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS i FROM (SELECT DISTINCT second + report % 7 * 60 AS x FROM obs WHERE report % 41 = 0)),
-near AS (SELECT o.report, a.i, row_number() OVER (PARTITION BY o.report ORDER BY abs(o.second - a.x), a.i) AS k FROM obs o JOIN axis a ON abs(o.second - a.x) <= 900)"""
+_UNEVEN = """axis AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS i FROM (SELECT DISTINCT second // 60 * 60 + second // 60 % 5 * 7 AS x FROM obs)),
+near AS (SELECT o.report, a.i, row_number() OVER (PARTITION BY o.report ORDER BY abs(o.second - a.x), a.i) AS k FROM obs o JOIN axis a ON a.x BETWEEN o.second - 25 AND o.second + 25)"""
 
 
 @register("jon13_uneven_times", _O("SELECT o.report, CAST(coalesce(n.i, -1) AS INT) AS time_index FROM obs o LEFT JOIN near n ON n.report = o.report AND n.k = 1", [_UNEVEN]))
 def _uneven_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports at the nearest, within a quarter of an hour, of uneven times that grow with the reports; -1 for none."""
+    """Reports at the nearest, within 25 seconds, of the uneven times that their minutes give; -1 for none."""
     reports = observed(spark, sf_dir).withColumn("second", F.unix_seconds(c("datetime").cast("timestamp")))
-    axis = reports.where("report % 41 = 0").select((c("second") + c("report") % 7 * 60).alias("x")).distinct()
-    axis = observe.numbered_axis(axis)
-    return observe.nearest_joined(reports, c("second"), axis, 900, "time_index").select("report", F.coalesce("time_index", F.lit(-1)).alias("time_index"))
+    minute = F.floor(c("second") / 60)
+    axis = observe.numbered_axis(reports.select((minute * 60 + minute % 5 * 7).alias("x")))
+    held = observe.nearest_joined(reports, c("second"), axis, 25, "time_index")
+    return held.select("report", F.coalesce("time_index", F.lit(-1)).alias("time_index"))
 
 
 def _hot(spark: SparkSession, sf_dir: str, metric: GroupMetric, **more) -> DataFrame:

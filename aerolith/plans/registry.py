@@ -143,7 +143,7 @@ DIAGNOSTIC_SQL = {
     "endlich": ("speed * abs(direction_z)", 6),
     "ti1": ("shear * def2", 14),
     "ti2": ("shear * (def2 - divergence_of_wind)", 10),
-    "ncsu1": ("sqrt(vo_x * vo_x + vo_y * vo_y) * greatest(eastward_wind * du_dx + northward_wind * dv_dy, 0) / greatest(ri, 0.00001::DOUBLE)", 11),
+    "ncsu1": ("sqrt(vo_x * vo_x + vo_y * vo_y) * greatest(eastward_wind * du_dx + northward_wind * dv_dy, 0) / CASE WHEN ri IS NOT NULL THEN greatest(ri, 0.00001::DOUBLE) END", 11),
     "colson_panofsky": ("(uu * uu + vu * vu) * layer * layer * (1 - ri / 0.5)", 0),
     "ubf": (f"abs(mass + {CORIOLIS} * vorticity + 2 * jac - {CORIOLIS} / 6371008.7714::DOUBLE * eastward_wind)", 5),
     "bunt_vaisala": ("stability", 6),

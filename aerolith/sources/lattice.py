@@ -1,7 +1,8 @@
 """A deterministic weather grid and aircraft reports derived from the order and event tables, and the same in SQL.
 
-Cells: longitude -90 + 10 i (18), latitude -66 + 12 j (12), six levels, four times six hours apart. Fields are plain
-arithmetic of the indices and of whole-number sums over the cell's order lines, so both engines get the same doubles.
+Cells: longitude -90 + 10 i (18), latitude -66 + 12 j (12), six levels, and times six hours apart: one for every LINES order
+lines, four at least, so the grid grows with the table. Fields are plain arithmetic of the indices and of whole-number sums
+over the cell's order lines, so both engines get the same doubles.
 """
 
 from __future__ import annotations
@@ -11,21 +12,23 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Order lines for each time of the grid.
+LINES = 3000
 LEVELS = [175.0, 200.0, 225.0, 250.0, 300.0, 350.0]
 _FIELDS = {
     "altitude": "13500.0 - 1400.0 * p_i + 20.0 * p_i * p_i",
     "temperature": "212.0 + 5.5 * p_i + 0.5 * abs(lat_i - 6) + 0.4 * (lon_i * 5 % 7) + 0.1 * q",
     "geopotential": "130000.0 - 13500.0 * p_i + 190.0 * p_i * p_i + 300.0 * (5 - lat_i) * lat_i + 40.0 * (lon_i * 7 % 18) + 2.0 * q",
     "specific_humidity": "(2.0 + 1.5 * p_i + 3.0 * (lon_i * 5 % 4) + 0.2 * q) / 100000.0",
-    "eastward_wind": "4.0 + 3.0 * (lat_i * 5 % 12) + 1.5 * (lon_i * 7 % 18) - 2.0 * p_i + 0.3 * q + 1.0 * t_i",
-    "northward_wind": "-9.0 + 2.0 * (lon_i * 5 % 9) + 1.25 * (lat_i * 7 % 5) + 1.5 * (p_i * p_i % 4) + 150.0 * d - 0.5 * t_i",
+    "eastward_wind": "4.0 + 3.0 * (lat_i * 5 % 12) + 1.5 * (lon_i * 7 % 18) - 2.0 * p_i + 0.3 * q + 1.0 * (t_i % 4)",
+    "northward_wind": "-9.0 + 2.0 * (lon_i * 5 % 9) + 1.25 * (lat_i * 7 % 5) + 1.5 * (p_i * p_i % 4) + 150.0 * d - 0.5 * (t_i % 4)",
     "potential_vorticity": "(1.0 + 0.3 * p_i + 0.1 * (lon_i * 5 % 11) + 0.2 * (lat_i * 7 % 9) + 20.0 * d) / 1000000.0",
     "vorticity": "(-4.0 + 1.0 * (lon_i * 11 % 9) - 0.7 * (lat_i * 5 % 7) + 0.4 * p_i + 60.0 * x) / 100000.0",
     "divergence_of_wind": "(-3.0 + 0.5 * (lon_i * 7 % 13) - 0.3 * (lat_i * 5 % 8) + 30.0 * x) / 1000000.0",
 }
 _NUMBER = re.compile(r"(\d+\.\d+)")
 _CELL = """
-  SELECT l_suppkey % 4 AS t_i, l_linenumber % 6 AS p_i, l_partkey % 12 AS lat_i, l_orderkey % 18 AS lon_i,
+  SELECT l_suppkey % {times} AS t_i, l_linenumber % 6 AS p_i, l_partkey % 12 AS lat_i, l_orderkey % 18 AS lon_i,
     sum(CAST(round(l_quantity) AS BIGINT)) / CAST(count(*) AS DOUBLE) AS q,
     sum(CAST(round(l_discount * 100) AS BIGINT)) / CAST(count(*) AS DOUBLE) / 100.0 AS d,
     sum(CAST(round(l_tax * 100) AS BIGINT)) / CAST(count(*) AS DOUBLE) / 100.0 AS x
@@ -33,10 +36,12 @@ _CELL = """
 
 
 def lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The canonical grid, 5184 cells."""
-    held = spark.sql(_CELL.format(lineitem="{lines}"), lines=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
-    index = lambda n, name: spark.range(n).select(F.col("id").cast("int").alias(name))  # noqa: E731  dimension tables of fixed size
-    keys = index(4, "t_i").crossJoin(index(6, "p_i")).crossJoin(index(12, "lat_i")).crossJoin(index(18, "lon_i"))
+    """The canonical grid, 1296 cells a time."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    times = max(4, lines.count() // LINES)
+    held = spark.sql(_CELL.format(lineitem="{lines}", times=times), lines=lines)
+    index = lambda n, name: spark.range(n).select(F.col("id").cast("int").alias(name))  # noqa: E731  axes
+    keys = index(times, "t_i").crossJoin(index(6, "p_i")).crossJoin(index(12, "lat_i")).crossJoin(index(18, "lon_i"))
     full = keys.join(held, ["t_i", "p_i", "lat_i", "lon_i"], "left").fillna({"q": 25.0, "d": 0.05, "x": 0.04})
     # decimal literals would make decimals: every constant is read as a double
     fields = [F.expr(_NUMBER.sub(r"\1D", e)).cast("double").alias(c) for c, e in _FIELDS.items()]
@@ -67,14 +72,15 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-GRID_SQL = f"""cell AS ({_CELL.format(lineitem="lineitem")}),
+_TIMES = f"(SELECT greatest(4, count(*) // {LINES}) FROM lineitem)"
+GRID_SQL = f"""cell AS ({_CELL.format(lineitem="lineitem", times=_TIMES)}),
 grid AS (
   SELECT epoch(TIMESTAMP '2024-01-01' + INTERVAL 6 HOUR * k.t_i)::BIGINT // 3600 AS hour, [175.0, 200.0, 225.0, 250.0, 300.0, 350.0][k.p_i + 1]::DOUBLE AS pressure_level,
     (-66.0 + 12 * k.lat_i)::DOUBLE AS latitude, (-90.0 + 10 * k.lon_i)::DOUBLE AS longitude,
     {", ".join(f"({_NUMBER.sub('CAST(\\1 AS DOUBLE)', e)})::DOUBLE AS {c}" for c, e in _FIELDS.items())}
   FROM (
     SELECT t_i::INT AS t_i, p_i::INT AS p_i, lat_i::INT AS lat_i, lon_i::INT AS lon_i, coalesce(q, 25.0)::DOUBLE AS q, coalesce(d, 0.05)::DOUBLE AS d, coalesce(x, 0.04)::DOUBLE AS x
-    FROM range(4) a(t_i) CROSS JOIN range(6) b(p_i) CROSS JOIN range(12) c(lat_i) CROSS JOIN range(18) e(lon_i) LEFT JOIN cell USING (t_i, p_i, lat_i, lon_i)
+    FROM (SELECT unnest(range({_TIMES})) AS t_i) a CROSS JOIN range(6) b(p_i) CROSS JOIN range(12) c(lat_i) CROSS JOIN range(18) e(lon_i) LEFT JOIN cell USING (t_i, p_i, lat_i, lon_i)
   ) k
 )"""
 OBSERVED_SQL = """obs AS (

@@ -274,3 +274,27 @@ def test_curves_in_ranges_are_whole_curves(spark, keys):
     wanted = {tuple(r[k] for k in keys): (r.a, r.n) for r in parts.groupBy(*keys).agg(F.sum("a").alias("a"), F.count("*").alias("n")).collect()}
     for r in metrics.area(roc, keys, spread=True).collect():
         assert (r.auc, r.points) == (pytest.approx(wanted[tuple(r[k] for k in keys)][0]), wanted[tuple(r[k] for k in keys)][1])
+
+
+def test_geodesics_near_antipodes():
+    """Where the iteration on longitude does not settle: published lengths, half a meridian, and both ways round."""
+    at = lambda *x: geodesy.vincenty(*(np.array([v]) for v in x))[0]
+    assert at(0.0, 0.0, 179.5, 0.5) == pytest.approx(19936288.579, abs=1e-3) and at(0.0, 0.0, 179.7, 0.5) == pytest.approx(19944127.421, abs=1e-3)
+    assert at(0.0, 0.0, 180.0, 0.0) == pytest.approx(20003931.4586, abs=1e-3) == at(12.0, 30.0, -168.0, -30.0)
+    assert at(179.7, 0.5, 0.0, 0.0) == pytest.approx(at(0.0, 0.0, 179.7, 0.5), abs=1e-6) and np.isnan(at(0.0, np.nan, 1.0, 2.0))
+    rng = np.random.default_rng(0)
+    a, b, lon = rng.uniform(-85, 85, 300), rng.uniform(-85, 85, 300), rng.uniform(-170, 170, 300)
+    u, v = (np.arctan((1 - geodesy.FLATTENING) * np.tan(np.radians(x))) for x in (a, b))
+    np.testing.assert_allclose(geodesy._by_azimuth(np.abs(np.radians(lon)), u, v), geodesy.vincenty(np.zeros(300), a, lon, b), atol=1e-5)
+
+
+def test_waypoints_of_routes(spark):
+    a, b = Coordinate(51.47, -0.45), Coordinate(40.64, -73.78)
+    one = [(r.latitude, r.longitude) for r in geodesy.waypoints(spark, a, b, 9).orderBy("i").collect()]
+    df = spark.createDataFrame([(1, 51.47, -0.45, 40.64, -73.78), (2, 10.0, 20.0, 10.0, 20.0), (3, None, 0.0, 1.0, 1.0)], "k int, la double, lo double, ta double, to double")
+    rows = geodesy.route_waypoints(df, "la", "lo", "ta", "to", 9).orderBy("k", "i").collect()
+    assert [(pytest.approx(r.way_latitude), pytest.approx(r.way_longitude)) for r in rows if r.k == 1] == one
+    assert all((r.way_latitude, r.way_longitude) == (pytest.approx(10), pytest.approx(20)) for r in rows if r.k == 2)
+    assert [r.way_latitude for r in rows if r.k == 3] == [None] * 9
+    with pytest.raises(ValueError):
+        geodesy.route_waypoints(df, "la", "lo", "ta", "to", 1)
