@@ -146,6 +146,12 @@ def log10_of(keys: np.ndarray, mixture: np.ndarray, shorter: list[Level], order:
     return np.log10(np.where(bit == 1, p, 1 - p)).sum(axis=1)
 
 
+def _own(keys: np.ndarray, mixture: np.ndarray) -> np.ndarray:
+    """Probabilities of a 1 to those of each gram's own bits, or back; a seldom bit's keeps its digits in a short float."""
+    bit = (keys[:, None] & _LOW) >> np.arange(7, -1, -1, dtype=np.uint64) & np.uint64(1)
+    return np.where(bit == 1, mixture, 1 - mixture)
+
+
 def slot_of(keys: np.ndarray, slots: int) -> np.ndarray:
     return (keys * _MIX >> np.uint64(64 - slots)).astype(np.int64)
 
@@ -209,7 +215,7 @@ def gram_scores(rows: DataFrame, order: int = ORDER, slots: int = SLOTS) -> Data
     def run(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         keys, n, m = columns[0].view(np.uint64), *columns[1:]
         mixture, (node, zeros, ones, log) = folded(keys, n, order, near)
-        held = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), len(keys), [None, pa.py_buffer(mixture.astype("<f4").tobytes())]).cast(pa.binary())
+        held = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), len(keys), [None, pa.py_buffer(_own(keys, mixture).astype("<f4").tobytes())]).cast(pa.binary())
         none = lambda k, t: pa.nulls(k, t)
         k = len(keys)
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(m), held, *[none(k, pa.float64())] * 3], _COLUMNS)
@@ -273,7 +279,7 @@ def _mixed(grams_: DataFrame, nodes: DataFrame, shorter: list[Level], order: int
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy().view(np.uint64)
-            mixture = common.raw(batch.column(2))[0].copy().view("<f4").reshape(-1, 8).astype(np.float64)
+            mixture = _own(keys, common.raw(batch.column(2))[0].copy().view("<f4").reshape(-1, 8).astype(np.float64))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(slot_of(keys, slots).astype(np.int32)), pa.array(log10_of(keys, mixture, shared.value, order).astype(np.float32))], ["key", "m", "slot", "log"])
 
     own = F.shiftrightunsigned("key", 8 * (order + 1 - (near - 1)))

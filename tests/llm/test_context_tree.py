@@ -133,3 +133,14 @@ def test_query(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1) for r in rows)
     held = [r for r in rows if r.held_out]
     assert -sum(r.score for r in held) / math.log10(2) / sum(r.n_bytes for r in held) < 2.2
+
+
+def test_a_seldom_bit_keeps_its_probability():
+    """After 2e7 times of one byte in a context, the other's probability is small but not nought, also as it is stored."""
+    keys = np.array([0x6161, 0x6162], np.uint64)  # the context byte a, then a or b
+    mixture, (node, zeros, ones, log) = context_tree.folded(keys, np.array([20_000_000, 0]), 1, 1)
+    stored = context_tree._own(keys, context_tree._own(keys, mixture).astype("<f4").astype(np.float64))
+    level = context_tree.Level.of(node, zeros, ones, log)
+    exact, found = (context_tree.log10_of(keys, m, [level], 1) for m in (mixture, stored))
+    assert np.isfinite(found).all() and found[1] < -6
+    np.testing.assert_allclose(found, exact, atol=1e-6)
