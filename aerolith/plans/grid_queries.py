@@ -162,7 +162,7 @@ stencil_query("win3_first_order_laplacian", [("value", lambda: stencil.first_ord
 stencil_query("win5_pressure_derivative", [("value", lambda: stencil.pressure_derivative(u()) * 1e4, f"{d('eastward_wind', 'p')} * 1e4", 3)])
 stencil_query("win6_altitude_derivative", [("value", lambda: stencil.altitude_derivative(u(), c("geopotential")) * 1e5, f"{dz('eastward_wind')} * 1e5", 3)])
 stencil_query("win7_angle_derivative", [("value", lambda: stencil.angle_derivative(c("direction"), uniform=False) * 1e5, f"{angle_p('direction')} * 1e5", 3), ("uniform", lambda: stencil.angle_derivative(c("direction"), uniform=True) * 1e5, f"{angle_p('direction', True)} * 1e5", 3)], W1, _direction)
-stencil_query("win8_vertical_wind_shear", [("shear", lambda: stencil.vertical_wind_shear(u(), v(), c("geopotential")) * 1e5, f"sqrt(pow({dz('eastward_wind')}, 2) + pow({dz('northward_wind')}, 2)) * 1e5", 3), ("by_pressure", lambda: stencil.vertical_wind_shear(u(), v(), squared=True) * 1e4, f"(pow({d('eastward_wind', 'p')}, 2) + pow({d('northward_wind', 'p')}, 2)) * 1e4", 3)])
+stencil_query("win8_vertical_wind_shear", [("shear", lambda: stencil.vertical_wind_shear(u(), v(), c("geopotential")) * 1e5, f"sqrt(pow({dz('eastward_wind')}, 2) + pow({dz('northward_wind')}, 2)) * 1e5", 3), ("by_pressure", lambda: stencil.vertical_wind_shear(u(), v(), squared=True) * 1e4, f"(pow({d('eastward_wind', 'p')}, 2) + pow({d('northward_wind', 'p')}, 2)) * 1e4", 8)])
 stencil_query("win9_gradient_magnitude", [("value", lambda: stencil.gradient_magnitude(temp()) * 1e8, f"sqrt(pow({gx('temperature')}, 2) + pow({gy('temperature')}, 2)) * 1e8", 3)])
 stencil_query("win10_ertel_potential_vorticity", [("value", lambda: stencil.ertel_potential_vorticity(c("vorticity"), c("theta")) * 1e6, f"-9.80665::DOUBLE * zeta * {d('theta', 'p')} * 1e6", 3)], W1, _theta)
 stencil_query("win11_difference", [("layer", lambda: stencil.difference(alt()), f"altitude - lag(altitude) OVER ({AXES['p'][0]})", 6)])
