@@ -330,10 +330,14 @@ def on_grid(grid: DataFrame, per_box: DataFrame, by: str = "index_right") -> Dat
 def nearest_value_roc(gathered: DataFrame, conditions: list[ValidationCondition], names: list[str], spread: bool = False) -> DataFrame:
     """(column, diagnostic, threshold, fpr, tpr): a cell is positive if any of its observations is, its score the mean value.
 
+    A cell's observations meet before they are summed: sums of parts differ in their last bits by how rows are dealt out,
+    and cells of equal values and counts would have scores apart.
+
     spread: as in metrics.curve; it reads gathered several times, so that should be a written table then.
     """
     truths = [F.bool_or(c(x.column) > x.greater_than).alias(f"_t{i}") for i, x in enumerate(conditions)]
-    cells = gathered.groupBy(*INDICES).agg(*truths, *(F.avg(n).alias(n) for n in names))
+    held = gathered.select(*INDICES, *names, *dict.fromkeys(x.column for x in conditions if x.column not in names))
+    cells = held.repartition(*INDICES).groupBy(*INDICES).agg(*truths, *(F.avg(n).alias(n) for n in names))
     tagged = F.array(*(F.struct(F.lit(x.column).alias("column"), c(f"_t{i}").alias("truth")) for i, x in enumerate(conditions)))
     long = cells.select(F.explode(tagged).alias("x"), *names).select("x.column", "x.truth", *names).unpivot(["column", "truth"], names, "diagnostic", "score")
     keys = ["column", "diagnostic"]

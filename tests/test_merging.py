@@ -1,6 +1,8 @@
 """Statistics that merge: correlations of many columns, percentiles in two scans, boxes of polygons."""
 
+import functools
 import math
+import operator
 
 import numpy as np
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 from aerolith.operators import calibrate, filters, moments, observe
 from aerolith.operators.filters import Thresholds
+from aerolith.schema import ValidationCondition
 
 
 def plain(x, y):
@@ -125,3 +128,12 @@ def test_meeting():
 def test_a_million_boxes(spark):
     boxes = observe.polygon_boxes(spark, [(0.0, 0.0), (100.0, 0.0), (100.0, 100.0), (0.0, 100.0)], 0.1)
     assert boxes.agg(F.count("*"), F.max("index_right"), F.count_distinct("index_right")).first()[:] == (1_000_000, 999_999, 1_000_000)
+
+
+def test_cells_of_equal_values_share_a_score_however_dealt(spark):
+    values = [x / 7 for x in np.random.default_rng(5).random(40).tolist()]
+    rows = [(i, 0, j, 0, 0.1 * (n % 5), v) for i, v in enumerate(values) for j in range(3) for n in range(11)]
+    held = spark.createDataFrame(rows, f"{observe.INDICES[0]} int, {observe.INDICES[1]} int, {observe.INDICES[2]} int, {observe.INDICES[3]} int, edr double, s double")
+    for parts in (1, 3, 7):
+        found = observe.nearest_value_roc(held.repartition(parts), [ValidationCondition("edr", 0.3)], ["s"])
+        assert {r.threshold for r in found.collect()} == {functools.reduce(operator.add, [v] * 11) / 11 for v in values} | {math.inf}
