@@ -142,12 +142,12 @@ def derived(grid: DataFrame, names: Iterable[str], uniform_levels: bool = False,
     return grid
 
 
-def diagnose(grid: DataFrame, names: Iterable[str] | None = None, uniform_levels: bool = False, keep: Iterable[str] = (), deal: tuple[str, ...] = (TIME,), rows: int | None = None) -> DataFrame:
+def diagnose(grid: DataFrame, names: Iterable[str] | None = None, uniform_levels: bool = False, keep: Iterable[str] = (), deal: tuple[str, ...] | None = (TIME,), rows: int | None = None) -> DataFrame:
     """Cell keys, kept columns, and a column for each named diagnostic (all by default). colson_panofsky is null in each first level.
 
     uniform_levels: whether the levels are evenly spaced (stencil.regular_spacing says); it decides how angles are
     differenced along them. deal: what the grid is dealt out by; (time, pressure_level) spreads few time steps wider, for
-    one exchange more where diagnostics need the level axis. rows: about how many rows of a time a task takes; times of
+    one exchange more where diagnostics need the level axis; None: it is dealt out by time already. rows: about how many rows of a time a task takes; times of
     more are dealt out in bands with repeated rows at their borders (stencil.bands), still by one exchange.
     """
     names = list(DIAGNOSTICS) if names is None else list(names)
@@ -164,4 +164,4 @@ def diagnose(grid: DataFrame, names: Iterable[str] | None = None, uniform_levels
 
 def long_form(wide: DataFrame, names: list[str], keys: list[str] | None = None) -> DataFrame:
     """(keys, diagnostic, value)."""
-    return wide.unpivot(keys or CELL, names, "diagnostic", "value")
+    return wide.unpivot(CELL if keys is None else keys, names, "diagnostic", "value")

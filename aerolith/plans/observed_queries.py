@@ -162,7 +162,7 @@ def _value_at(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _harmonised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return launch.harmonise(lattice(spark, sf_dir), observed(spark, sf_dir), NAMES, DOMAIN, STEP, _ALTITUDES)
+    return launch.harmonise(lattice(spark, sf_dir), observed(spark, sf_dir), NAMES, DOMAIN, STEP, _ALTITUDES, deal=None)
 
 
 @register("jon8_13_grid_indices", _O("SELECT report, index_right, level_index, lat_index, lon_index, time_index FROM idx", [_BOXES, _LEVEL, _INDEXED]))
@@ -408,7 +408,7 @@ def _diagnostics_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aerolith.operators import diagnostics
 
     path = files.scratch(spark)
-    writers.write_diagnostics(diagnostics.diagnose(lattice(spark, sf_dir), ["wind_speed", "brown1"]), path)
+    writers.write_diagnostics(diagnostics.diagnose(lattice(spark, sf_dir), ["wind_speed", "brown1"], deal=None), path)
     return keyed(readers.read_diagnostics(spark, path, ["wind_speed"]), r(c("wind_speed"), 6).alias("wind_speed"))
 
 
@@ -456,7 +456,7 @@ def _zarr_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aerolith.operators import diagnostics
 
     path = files.scratch(spark)
-    zarr.write_zarr(diagnostics.diagnose(lattice(spark, sf_dir), ["wind_speed", "brown1"]), path, ["wind_speed", "brown1"], {LEVEL: 4, LON: 7})
+    zarr.write_zarr(diagnostics.diagnose(lattice(spark, sf_dir), ["wind_speed", "brown1"], deal=None), path, ["wind_speed", "brown1"], {LEVEL: 4, LON: 7})
     return keyed(zarr.read_zarr(spark, path, ["wind_speed"]), r(c("wind_speed"), 6).alias("wind_speed"))
 
 
