@@ -11,7 +11,7 @@ from aerolith.operators.filters import Domain, Thresholds
 from aerolith.plans import launch
 from aerolith.plans.registry import AXES, CORIOLIS, DIAGNOSTIC_SQL, DIRECTION, KEYS, MERIDIONAL, NORTHING, PARALLEL, angle_p, apart, d, diagnosed, dz, grid_query, gx, gy, hour, keyed, q, r, register, scaled, scaled_column, tables
 from aerolith.schema import CELL, LAT, LEVEL, LON, TIME, Limits, Severity
-from aerolith.sources import readers
+from aerolith.sources import files, readers
 from aerolith.sources.lattice import lattice
 
 c = F.col
@@ -146,7 +146,7 @@ def _dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 # stencils ------------------------------------------------------------------------------------------------------------
 def stencil_query(name: str, columns: list[tuple[str, object, str, int]], more: list[str] | None = None, before=None) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = stencil.by_time(lattice(spark, sf_dir))
+        df = lattice(spark, sf_dir)
         df = before(df) if before else df
         return keyed(df.withColumns({n: r(make(), k) for n, make, _, k in columns}), *(n for n, *_ in columns))
 
@@ -170,7 +170,7 @@ stencil_query("win11_difference", [("layer", lambda: stencil.difference(alt()),
 
 @register("win4_vector_derivatives", tables(f"SELECT {_key}, {', '.join(q(f'{x} * 1e7', 3) + f' AS {x}' for x in ('du_dx', 'du_dy', 'dv_dx', 'dv_dy'))} FROM w2", more=diagnosed("ti1")[:2]))
 def _vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = stencil.by_time(lattice(spark, sf_dir)).withColumns(stencil.vector_derivatives(u(), v()))
+    made = lattice(spark, sf_dir).withColumns(stencil.vector_derivatives(u(), v()))
     return keyed(made, *(r(c(x) * 1e7, 3).alias(x) for x in ("du_dx", "du_dy", "dv_dx", "dv_dy")))
 
 
@@ -209,14 +209,15 @@ def _spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
 for _i, _name in enumerate(DIAGNOSTIC_SQL, 1):
 
     def _diagnostic(spark: SparkSession, sf_dir: str, name: str = _name) -> DataFrame:
-        return keyed(diagnostics.diagnose(lattice(spark, sf_dir), [name]), scaled_column(name).alias(name))
+        return keyed(diagnostics.diagnose(lattice(spark, sf_dir), [name], deal=None), scaled_column(name).alias(name))
 
     register(f"dg{_i}_{_name}", tables(f"SELECT {_key}, {scaled(_name)} AS {_name} FROM diag", more=diagnosed(_name)))(_diagnostic)
 
 # calibration and evaluation ------------------------------------------------------------------------------------------
 NAMES = ["ti1", "wind_speed", "brown1"]
 PERCENTILES = Thresholds(light=90.0, light_to_moderate=93.0, moderate=95.0, severe=99.0)
-_wide = lambda spark, sf_dir, names=NAMES: diagnostics.diagnose(lattice(spark, sf_dir), names)
+_wide = lambda spark, sf_dir, names=NAMES: diagnostics.diagnose(lattice(spark, sf_dir), names, deal=None)
+_values = lambda spark, sf_dir, names=NAMES: files.written(_wide(spark, sf_dir, names).select(*names))  # noqa: E731  worked out once for what reads it twice
 _DIAG = diagnosed(*NAMES)
 _SCALE = {n: f"1e{DIAGNOSTIC_SQL[n][1]}" for n in NAMES}
 _LONG = [*_DIAG, "long AS (SELECT * FROM (" + " UNION ALL ".join(f"SELECT hour, pressure_level, latitude, longitude, '{n}' AS diagnostic, {n} AS value FROM diag" for n in NAMES) + "))"]
@@ -265,7 +266,7 @@ def _percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("agg2_percentile_thresholds_spread", _THRESHOLD_ROWS)
 def _percentiles_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = calibrate.percentile_thresholds(_wide(spark, sf_dir), NAMES, PERCENTILES, spread=True)
+    made = calibrate.percentile_thresholds(_values(spark, sf_dir), NAMES, PERCENTILES, spread=True)
     return made.select("diagnostic", *(r(c(str(s)) * _scale(), 3).alias(str(s)) for s in Severity))
 
 
@@ -275,7 +276,7 @@ _ALL_SCALE = lambda: F.element_at(F.create_map(*(x for n in _ALL for x in (F.lit
 
 @register("agg3_suite_thresholds", tables(" UNION ALL ".join(f"SELECT '{n}' AS diagnostic, {q(f'quantile_cont({n}, 0.9) * 1e{DIAGNOSTIC_SQL[n][1]}', 3)} AS light, {q(f'quantile_cont({n}, 0.99) * 1e{DIAGNOSTIC_SQL[n][1]}', 3)} AS severe FROM diag" for n in _ALL), more=diagnosed(*_ALL)))
 def _suite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = calibrate.percentile_thresholds(_wide(spark, sf_dir, _ALL), _ALL, Thresholds(light=90.0, severe=99.0))
+    made = calibrate.percentile_thresholds(_values(spark, sf_dir, _ALL), _ALL, Thresholds(light=90.0, severe=99.0), spread=True)
     return made.select("diagnostic", r(c("light") * _ALL_SCALE(), 3).alias("light"), r(c("severe") * _ALL_SCALE(), 3).alias("severe"))
 
 
@@ -285,7 +286,7 @@ _LOGS = [*_LONG, "logs AS (SELECT diagnostic, ln(value) AS ln FROM long WHERE va
 @register("agg4_log_histogram", tables("""SELECT e.diagnostic, b.bin::INT AS bin, round(low + b.bin * w, 5) AS lower, round(low + (b.bin + 1) * w, 5) AS upper, round(coalesce(held, 0) / (n * w), 4) AS density
   FROM ends e CROSS JOIN range(50) b(bin) LEFT JOIN (SELECT l.diagnostic, least(floor((ln - low) / w), 49)::INT AS bin, count(*) AS held FROM logs l JOIN ends USING (diagnostic) GROUP BY ALL) h ON h.diagnostic = e.diagnostic AND h.bin = b.bin""", more=_LOGS))
 def _histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = calibrate.log_histogram(diagnostics.long_form(_wide(spark, sf_dir), NAMES))
+    made = calibrate.log_histogram(diagnostics.long_form(_values(spark, sf_dir), NAMES, []))
     return made.select("diagnostic", "bin", r(c("lower"), 5).alias("lower"), r(c("upper"), 5).alias("upper"), r(c("density"), 4).alias("density"))
 
 
@@ -293,7 +294,7 @@ def _histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("flt15_significant_bins", tables("""SELECT diagnostic, count(*) AS bins FROM (SELECT l.diagnostic, least(floor((ln - low) / w), 49)::INT AS bin, count(*) / (any_value(n) * any_value(w)) AS density FROM logs l JOIN ends USING (diagnostic) GROUP BY ALL) WHERE density >= 0.01 GROUP BY diagnostic""", more=_LOGS))
 def _significant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = calibrate.significant_bins(calibrate.log_histogram(diagnostics.long_form(_wide(spark, sf_dir), NAMES)), 0.01)
+    made = calibrate.significant_bins(calibrate.log_histogram(diagnostics.long_form(_values(spark, sf_dir), NAMES, [])), 0.01)
     return made.groupBy("diagnostic").agg(F.count("*").alias("bins"))
 
 
@@ -310,29 +311,29 @@ def _moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("flt11_severity_bounds", tables(f"SELECT diagnostic, severity, round(lower * {_SCALE_SQL}, 3) AS lower, round(upper * {_SCALE_SQL}, 3) AS upper FROM bounds", more=[*_LONG, _THRESHOLDS, _BOUNDS_SQL]))
 def _bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = calibrate.severity_bounds(calibrate.percentile_thresholds(_wide(spark, sf_dir), NAMES, PERCENTILES))
+    made = calibrate.severity_bounds(calibrate.percentile_thresholds(_values(spark, sf_dir), NAMES, PERCENTILES, spread=True))
     return made.select("diagnostic", "severity", r(c("lower") * _scale(), 3).alias("lower"), r(c("upper") * _scale(), 3).alias("upper"))
 
 
 @register("agg8_turbulence_probability", tables("SELECT diagnostic, severity, pressure_level, latitude, longitude, 100.0::DOUBLE * sum((value >= lower)::INT) / count(DISTINCT hour) AS probability FROM long JOIN bounds USING (diagnostic) GROUP BY ALL", more=[*_LONG, _THRESHOLDS, _BOUNDS_SQL]))
 def _probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = lattice(spark, sf_dir)
-    thresholds, _ = launch.calibration(grid, NAMES, PERCENTILES)
-    return launch.probabilities(grid, NAMES, thresholds)
+    thresholds, _ = launch.calibration(grid, NAMES, PERCENTILES, spread=True, deal=None)
+    return launch.probabilities(grid, NAMES, thresholds, deal=None)
 
 
 @register("agg9_regions_by_severity", tables(f"SELECT {_key}, diagnostic, severity, value >= lower AND value < upper AS turbulent FROM long JOIN bounds USING (diagnostic)", more=[*_LONG, _THRESHOLDS, _BOUNDS_SQL]))
 def _by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = _wide(spark, sf_dir)
-    bounds = calibrate.severity_bounds(calibrate.percentile_thresholds(wide, NAMES, PERCENTILES))
+    wide = files.written(_wide(spark, sf_dir))
+    bounds = calibrate.severity_bounds(calibrate.percentile_thresholds(wide, NAMES, PERCENTILES, spread=True))
     return keyed(calibrate.by_severity(diagnostics.long_form(wide, NAMES), bounds), "diagnostic", "severity", "turbulent")
 
 
 @register("agg10_dissipation_rates", tables(f"SELECT {_key}, diagnostic, round(exp(-2.572::DOUBLE - 0.5067::DOUBLE / sqrt(variance) * mean) * pow(greatest(value, 0), 0.5067::DOUBLE / sqrt(variance)), 5) AS edr FROM long JOIN (SELECT diagnostic, avg(ln) AS mean, var_pop(ln) AS variance FROM logs GROUP BY 1) USING (diagnostic)", more=_LOGS))
 def _edr(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = lattice(spark, sf_dir)
-    _, parameters = launch.calibration(grid, NAMES, PERCENTILES)
-    return keyed(launch.dissipation_rates(grid, NAMES, parameters), "diagnostic", r(c("edr"), 5).alias("edr"))
+    _, parameters = launch.calibration(grid, NAMES, PERCENTILES, spread=True, deal=None)
+    return keyed(launch.dissipation_rates(grid, NAMES, parameters, deal=None), "diagnostic", r(c("edr"), 5).alias("edr"))
 
 
 def _corr_sql(source: str, names: list[str], keys: str = "", where: str = "") -> str:
@@ -568,4 +569,4 @@ def _first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("flagship_turbulence_percentage", tables("SELECT diagnostic, severity, pressure_level, latitude, longitude, 100.0::DOUBLE * sum((value >= lower)::INT) / count(DISTINCT hour) AS probability FROM long JOIN bounds USING (diagnostic) WHERE diagnostic = 'ti1' AND severity <> 'light_to_moderate' GROUP BY ALL", more=[*_LONG, _THRESHOLDS, _BOUNDS_SQL]))
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return launch.turbulence_percentage(lattice(spark, sf_dir))
+    return launch.turbulence_percentage(lattice(spark, sf_dir), deal=None)
