@@ -118,3 +118,13 @@ def taken(column: pa.Array, index: np.ndarray) -> pa.Array:
 def grid_index(shape: Sequence[int], begin: int, end: int) -> list[np.ndarray]:
     """For the cells begin to end of a shape in row order, the index of each axis."""
     return list(np.unravel_index(np.arange(begin, end), tuple(shape))) if shape else []
+
+
+#: Cells that a partition of small pieces has, and partitions there are before pieces are put together.
+PACKED, LEAST = 1 << 18, 64
+
+
+def packed(pieces: list, cells: int) -> list[list]:
+    """Pieces of so many cells each, neighbours put together: up to PACKED cells, so tasks do not grow with the number of files."""
+    n = max(1, min(-(-len(pieces) // LEAST), PACKED // max(cells, 1)))
+    return [pieces[k : k + n] for k in range(0, len(pieces), n)]

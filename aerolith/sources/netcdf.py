@@ -207,13 +207,20 @@ def table(source: arrays.Bytes, held: Header, found: list[Variable], dims: tuple
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     path: str
     begin: int
     end: int
     leading: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Ranges that one task reads one after the other."""
+
+    held: list[Range]
+
+
 class NetcdfSource(DataSource):
     """See the module."""
 
@@ -254,7 +261,7 @@ class NetcdfReader(DataSourceReader):
         self.paths, self.wanted, self.decode = source.files(), source.wanted, source.decode
         self.rows, self.names = int(source._option("rows", str(ROWS))), names
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         out = []
         for path in self.paths:
             source = arrays.Bytes(path)
@@ -265,14 +272,15 @@ class NetcdfReader(DataSourceReader):
             leading = next((k for k in range(len(shape)) if prod(shape[k:]) <= self.rows), len(shape))
             runs, step = prod(shape[:leading]), max(1, self.rows // max(prod(shape[leading:]), 1))
             out += [Range(path, k, min(k + step, runs), leading) for k in range(0, runs, step)] if prod(shape) else []
-        return out
+        return [Ranges(x) for x in arrays.packed(out, self.rows)]
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        source = arrays.Bytes(partition.path)
-        held = header(source)
-        found, dims = chosen(held, self.wanted)
-        yield table(source, held, found, dims, partition.begin, partition.end, partition.leading, self.decode).select(self.names)
-        source.close()
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        for part in partition.held:
+            source = arrays.Bytes(part.path)
+            held = header(source)
+            found, dims = chosen(held, self.wanted)
+            yield table(source, held, found, dims, part.begin, part.end, part.leading, self.decode).select(self.names)
+            source.close()
 
 
 def read_netcdf(spark: SparkSession, path: str, variables: Iterable[str] | None = None, pattern: str = "*.nc", rows: int = ROWS, decode: bool = True) -> DataFrame:
