@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from aerolith.schema import CELL, LAT, LEVEL, LON, TIME
-from aerolith.sources import arrays
+from aerolith.sources import arrays, files
 
 #: Fixed: the name of the attribute that holds an array's dimensions, and how times are written.
 DIMENSIONS = "_ARRAY_DIMENSIONS"
@@ -146,8 +146,10 @@ def _attrs(a: Array) -> dict:
 
 
 @dataclass
-class Chunk(InputPartition):
-    which: tuple[int, ...]
+class Chunks(InputPartition):
+    """Chunks that one task reads one after the other, by their places."""
+
+    which: list[tuple[int, ...]]
 
 
 class ZarrSource(DataSource):
@@ -177,23 +179,24 @@ class ZarrReader(DataSourceReader):
         self.path, self.wanted, self.names = path, wanted, names
         self.held = opened(Store(path))
 
-    def partitions(self) -> list[Chunk]:
+    def partitions(self) -> list[Chunks]:
         _, first = chosen(self.held, self.wanted)
-        return [Chunk(w) for w in product(*map(range, first.counts()))]
+        return [Chunks(w) for w in arrays.packed(list(product(*map(range, first.counts()))), prod(first.chunks))]
 
-    def read(self, partition: Chunk) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Chunks) -> Iterator[pa.RecordBatch]:
         store = Store(self.path)
         found, first = chosen(self.held, self.wanted)
-        values = {a.name: chunk(store, a, partition.which) for a in found}
-        shape = values[first.name].shape
-        index = arrays.grid_index(shape, 0, prod(shape))
-        out = {}
-        for d, k, c, at in zip(first.dims, partition.which, first.chunks, index, strict=True):
-            at = at + k * c
-            axis = self.held.get(d)
-            out[d] = pa.array(at.astype(np.int64)) if axis is None else arrays.taken(arrays.decoded(whole(store, axis), axis.attrs), at)
-        out |= {a.name: arrays.decoded(values[a.name], _attrs(a)) for a in found}
-        yield pa.RecordBatch.from_pydict(out).select(self.names)
+        axes = {d: arrays.decoded(whole(store, self.held[d]), self.held[d].attrs) for d in first.dims if d in self.held}  # once a task
+        for which in partition.which:
+            values = {a.name: chunk(store, a, which) for a in found}
+            shape = values[first.name].shape
+            index = arrays.grid_index(shape, 0, prod(shape))
+            out = {}
+            for d, k, c, at in zip(first.dims, which, first.chunks, index, strict=True):
+                at = at + k * c
+                out[d] = arrays.taken(axes[d], at) if d in axes else pa.array(at.astype(np.int64))
+            out |= {a.name: arrays.decoded(values[a.name], _attrs(a)) for a in found}
+            yield pa.RecordBatch.from_pydict(out).select(self.names)
 
 
 def read_zarr(spark: SparkSession, path: str, names: Iterable[str] | None = None) -> DataFrame:
@@ -210,6 +213,7 @@ def write_zarr(wide: DataFrame, path: str, names: list[str], chunks: dict[str, i
     axis is whole microseconds. Cells without a row, and nulls, are NaN. Of several rows of a cell one stays.
     """
     spark, lengths = wide.sparkSession, CHUNKS | (chunks or {})
+    wide = files.written(wide.select(*axes, *names))  # read once an axis and once for the chunks
     held = {a: [r[0] for r in wide.select(a).where(F.col(a).isNotNull()).distinct().orderBy(a).collect()] for a in axes}  # as long as an axis
     times = {a for a in axes if wide.schema[a].dataType.simpleString().startswith("timestamp")}
     shape = tuple(len(held[a]) for a in axes)

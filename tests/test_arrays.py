@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aerolith import cli
-from aerolith.schema import GRID_VARIABLES, SHORT_NAMES
+from aerolith.schema import CELL, GRID_VARIABLES, SHORT_NAMES
 from aerolith.sources import archive, arrays, netcdf, readers, zarr
 from aerolith.sources.lattice import lattice
 
@@ -196,3 +196,17 @@ def test_raw_archive(spark, tmp_path):
 def test_members_of_gzip():
     assert netcdf.inflated(gzip.compress(b"a" * 99) + gzip.compress(b"b")) == b"a" * 99 + b"b" and netcdf.inflated(b"CDF") == b"CDF"
     assert zlib.decompress(zlib.compress(b"")) == b""
+
+
+def test_pieces_are_put_together_in_order():
+    assert [len(x) for x in arrays.packed(list(range(6)), 10)] == [1] * 6
+    many = arrays.packed(list(range(100_000)), 1000)
+    assert sum(many, []) == list(range(100_000)) and max(map(len, many)) == arrays.PACKED // 1000
+    assert len(arrays.packed(list(range(1000)), 1 << 20)) == 1000
+
+
+def test_many_small_files_and_chunks_are_few_tasks(spark, tmp_path):
+    grid = lattice(spark, "/root/testdata/sf0.001").select(*CELL, "altitude")
+    zarr.write_zarr(grid, f"{tmp_path}/z", ["altitude"], {"pressure_level": 1, "latitude": 2, "longitude": 6})
+    back = zarr.read_zarr(spark, f"{tmp_path}/z", ["altitude"])
+    assert back.rdd.getNumPartitions() <= arrays.LEAST and back.exceptAll(grid).count() == 0 and back.count() == grid.count()
