@@ -29,12 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
 
-    Where that is unset it is a folder of the default file system; a temporary one of this machine only if everything
-    runs in one process. A cluster whose default file system is this machine's must set spark.checkpoint.dir.
+    Where neither is set it is a folder of the default file system; if that is this machine's, a temporary one if
+    everything runs in one process, and else the warehouse, which a cluster must share for tables anyhow. That it is shared
+    is tried out once a session; if it is not, rows would be lost, so it is refused and spark.checkpoint.dir must be set.
     """
-    at = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(spark.sparkContext.applicationId)
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _OWN.get(spark.sparkContext.applicationId)
     if not at:
         default = spark._jvm.org.apache.hadoop.fs.FileSystem.get(spark._jsc.hadoopConfiguration())
         if default.getScheme() != "file":
@@ -42,11 +43,25 @@ def shared_dir(spark: SparkSession) -> str:
         elif spark.sparkContext.master.split("[")[0] == "local":
             at = f"file://{tempfile.mkdtemp(prefix='aerolith-')}"
         else:
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            at = spark.conf.get("spark.sql.warehouse.dir")
+            if not _is_shared(spark, at):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         _OWN[spark.sparkContext.applicationId] = at
     return at.rstrip("/")
 
 
+def _is_shared(spark: SparkSession, at: str) -> bool:
+    """Whether the driver sees what tasks on all cores of the cluster write to the folder."""
+    path, tasks = f"{at.rstrip('/')}/aerolith-{uuid.uuid4().hex}", 2 * max(2, spark.sparkContext.defaultParallelism)
+    try:
+        spark.range(0, tasks, 1, tasks).write.parquet(path)
+        held = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = held.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(held)
+        return sum(x.getPath().getName().startswith("part-") for x in files) == tasks
+    finally:
+        _drop(spark, path)
+
+
 _OWN: dict[str, str] = {}
 
 

@@ -1,10 +1,17 @@
+import importlib.util
+import os
+import re
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from aerolith.llm import common, decontaminate, near_duplicates, quality, toxicity  # noqa: E402
 
-SF = "/root/testdata/sf0.01"
+SF, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
@@ -62,3 +69,28 @@ def test_empty(spark):
 
 def test_thresholds():
     assert quality.THRESHOLD == 0.3 and toxicity.THRESHOLD == 0.5
+
+
+def test_cluster_without_checkpoint_folder(tmp_path):
+    """On a cluster where spark.checkpoint.dir is unset, tables go to the warehouse, which driver and executors share."""
+    home = tmp_path / "home"
+    for d in (home / "work", tmp_path / "conf"):
+        d.mkdir(parents=True)
+    for p in Path(importlib.util.find_spec("pyspark").origin).parent.iterdir():
+        if p.name != "work":
+            (home / p.name).symlink_to(p)
+    code = f"""
+import sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config(map={{"spark.ui.enabled": "false", "spark.executor.memory": "800m", "spark.driver.host": "127.0.0.1",
+    "spark.sql.shuffle.partitions": "4", "spark.sql.warehouse.dir": "{tmp_path}/warehouse", "spark.local.dir": "{tmp_path}/local"}}).getOrCreate()
+import corpus_pipeline
+docs = spark.read.parquet("{SMALL}/documents.parquet")
+kept = corpus_pipeline.toxicity_filter(spark, docs, "{SMALL}").count()
+print("kept", kept, spark.conf.get("spark.checkpoint.dir", None), [x.name for x in __import__("pathlib").Path("{tmp_path}/warehouse").iterdir()])
+"""
+    env = os.environ | {"SPARK_HOME": str(home), "SPARK_CONF_DIR": str(tmp_path / "conf"), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1", "PYSPARK_PYTHON": sys.executable, "PYSPARK_DRIVER_PYTHON": sys.executable}
+    env = {k: v for k, v in env.items() if k not in ("PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET", "PYSPARK_SUBMIT_ARGS", "SPARK_ENV_LOADED")}
+    done = subprocess.run([sys.executable, "-c", code], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    said = next((x for x in done.stdout.splitlines() if x.startswith("kept")), done.stderr[-2000:])
+    assert re.fullmatch(r"kept [1-9]\d* None \['aerolith-\w+'\]", said), said
