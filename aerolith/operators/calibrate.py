@@ -54,12 +54,12 @@ def across_columns(df: DataFrame, columns: list[str], method: str, name: str, ap
     return df.select("*", out) if append else df.select(*(c for c in df.columns if c not in columns), out)
 
 
-def percentile_thresholds(wide: DataFrame, names: list[str], percentiles: Thresholds, approximate: bool = False, accuracy: int = 10_000, spread: bool = False) -> DataFrame:
+def percentile_thresholds(wide: DataFrame, names: list[str], percentiles: Thresholds, approximate: bool = False, accuracy: int = 10_000, spread: bool = True) -> DataFrame:
     """(diagnostic, light .. severe): values at the percentiles, null where a percentile is; all names together.
 
-    approximate: by a bounded sketch. spread: exact as by default, but without a buffer of all distinct values: a sketch
-    says between which values a percentile lies, and a second pass ranks only those. It reads wide twice, so that should
-    be kept or written then.
+    approximate: by a bounded sketch. Else exact: a sketch says between which values a percentile lies, and a second pass
+    ranks only those. It reads wide twice, so that should be kept or written then. spread=False reads it once, but holds
+    all distinct values in one buffer, which is for small tables.
     """
     held = [(str(s), p / 100) for s, p in zip(Severity, percentiles.values(), strict=True) if p is not None]
     if any(not 0 <= p <= 1 for _, p in held):
@@ -152,17 +152,18 @@ def _bracketed(names: list[str], edges: dict[str, list[tuple[float, float]]]):
             for i, n in enumerate(names):
                 x = batch.column(i).drop_null().to_numpy(zero_copy_only=False) if n in edges else np.zeros(0)
                 for k, (low, high) in enumerate(edges.get(n, [])):
-                    under[n, k] = under.get((n, k), 0) + int((x < low).sum())
-                    values, times = np.unique(x[(x >= low) & (x <= high)], return_counts=True)
+                    below = ~(x >= low) & ~np.isnan(x)  # nan is above all numbers, as in Spark's order
+                    under[n, k] = under.get((n, k), 0) + int(below.sum())
+                    values, times = np.unique(x[~below & (np.isnan(high) | (x <= high))], return_counts=True)
                     out.append((n, k, values, times))
             yield _counts(out)
-        yield _counts([(n, k, np.array([np.nan]), np.array([x])) for (n, k), x in under.items()])
+        yield _counts([(n, k, np.zeros(1), np.array([x])) for (n, k), x in under.items()], True)
 
-    def _counts(rows: list[tuple[str, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    def _counts(rows: list[tuple[str, int, np.ndarray, np.ndarray]], null: bool = False) -> pa.RecordBatch:
         sizes = np.array([len(v) for _, _, v, _ in rows], np.int64)
         values = np.concatenate([*(v for _, _, v, _ in rows), np.zeros(0)])
         columns = [pa.array(np.repeat(np.array([n for n, *_ in rows], object), sizes).tolist(), pa.string()), pa.array(np.repeat(np.array([k for _, k, *_ in rows], np.int32), sizes), pa.int32())]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(values, pa.float64(), mask=np.isnan(values)), pa.array(np.concatenate([*(t for *_, t in rows), np.zeros(0, np.int64)]).astype(np.int64))], ["diagnostic", "k", "v", "n"])
+        return pa.RecordBatch.from_arrays([*columns, pa.array(values, pa.float64(), mask=np.full(len(values), null)), pa.array(np.concatenate([*(t for *_, t in rows), np.zeros(0, np.int64)]).astype(np.int64))], ["diagnostic", "k", "v", "n"])
 
     return counted
 

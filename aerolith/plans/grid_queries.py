@@ -260,7 +260,7 @@ _THRESHOLD_ROWS = tables(f"SELECT diagnostic, {_pct(90)} AS light, {_pct(93)} AS
 
 @register("agg2_percentile_thresholds", _THRESHOLD_ROWS)
 def _percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = calibrate.percentile_thresholds(_wide(spark, sf_dir), NAMES, PERCENTILES)
+    made = calibrate.percentile_thresholds(_values(spark, sf_dir), NAMES, PERCENTILES)
     return made.select("diagnostic", *(r(c(str(s)) * _scale(), 3).alias(str(s)) for s in Severity))
 
 

@@ -11,7 +11,7 @@ from aerolith.operators.filters import Domain, Thresholds
 from aerolith.schema import CELL, LEVEL, TIME, GroupBy, GroupMetric, Severity, ThresholdMode, ValidationCondition
 
 
-def calibration(grid: DataFrame, names: list[str], percentiles: Thresholds, approximate: bool = False, spread: bool = False, rows: int | None = None, deal: tuple[str, ...] | None = (TIME,)) -> tuple[DataFrame, DataFrame]:
+def calibration(grid: DataFrame, names: list[str], percentiles: Thresholds, approximate: bool = False, spread: bool = True, rows: int | None = None, deal: tuple[str, ...] | None = (TIME,)) -> tuple[DataFrame, DataFrame]:
     """(thresholds, distribution parameters) of each diagnostic, worked out here: one row a name each, kept as small tables.
 
     The wide table is worked out once for both and let go. approximate, spread: as in calibrate.percentile_thresholds.

@@ -97,6 +97,13 @@ def test_percentiles(spark, ranked, monkeypatch):
         assert found[k].moderate_to_severe is None
 
 
+def test_percentiles_of_values_that_are_no_numbers(spark):
+    df = spark.createDataFrame([(float(i), float("nan") if i >= 900 else float(i), float("nan"), float("inf") if i >= 950 else -float(i)) for i in range(1000)], "a double, b double, c double, d double").repartition(3).cache()
+    levels = Thresholds(light=10.0, moderate=89.0, severe=97.0)
+    whole, ranked = ({r.diagnostic: str(tuple(r)) for r in calibrate.percentile_thresholds(df, list("abcd"), levels, accuracy=100, spread=x).collect()} for x in (False, True))
+    assert ranked == whole
+
+
 def test_two_scans_and_no_row_multiplied(spark):
     df = spark.range(100).select((F.col("id") * 1.0).alias("a"), (F.col("id") * 2.0).alias("b"))
     plan = calibrate.percentile_thresholds(df, ["a", "b"], Thresholds(light=50.0, severe=99.0), spread=True)._jdf.queryExecution().executedPlan().toString()

@@ -43,3 +43,8 @@ def test_no_task_holds_all_values_of_a_diagnostic(spark, monkeypatch, name):
 @pytest.mark.parametrize("name", ["agg4_log_histogram", "flt15_significant_bins"])
 def test_histograms_work_the_diagnostics_out_once(spark, name):
     assert "Window" not in plan(catalogue.QUERIES[name](spark, DIR))
+
+
+def test_exact_thresholds_hold_no_buffer_of_all_values(spark):
+    made = plan(catalogue.QUERIES["agg2_percentile_thresholds"](spark, DIR))
+    assert "percentile(" not in made and "MapInArrow" in made
